@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .jaccard import jaccard_components
 from .licenses import license_scan
 from .rules import quality_rules
 from .urls import url_filter
@@ -17,6 +18,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("node")
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -30,7 +35,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules, op8_url_filter, op9_license_scan)}
+QUERIES = {f.__name__: f for f in (op5_quality_rules, op7_jaccard_join, op8_url_filter, op9_license_scan)}
 
 ORACLE_SQL = {
     "op8_url_filter": r"""
