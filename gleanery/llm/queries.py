@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contained
 from .jaccard import jaccard_components
 from .licenses import license_scan
 from .rules import quality_rules
@@ -14,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -35,7 +40,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules, op7_jaccard_join, op8_url_filter, op9_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op5_quality_rules, op7_jaccard_join, op8_url_filter, op9_license_scan)}
 
 ORACLE_SQL = {
     "op8_url_filter": r"""

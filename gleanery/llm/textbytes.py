@@ -151,17 +151,26 @@ def grams(h: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
     return mix(g[at]), at, np.searchsorted(at, off)
 
 
-def shingles(t: Texts, separator: np.ndarray = BLANK, k: int = 5) -> list[np.ndarray]:
-    """For each row the sorted distinct hashes of k words; of fewer words, of all of them; none without words."""
+def shingle_sequence(t: Texts, separator: np.ndarray = BLANK, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of k consecutive words in order, and their offsets by row; fewer words make one of all of them."""
     start, end, off = t.words(separator)
     h = t.hashes(start, end)
     g, _, at = grams(h, off, k)
     few = np.flatnonzero((np.diff(off) > 0) & (np.diff(off) < k))
-    out = [np.unique(g[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-    for r in few:
-        x = np.uint64(off[r + 1] - off[r])
-        with np.errstate(over="ignore"):
-            for w in h[off[r] : off[r + 1]]:
-                x = x * _A + w
-        out[r] = mix(np.array([x], np.uint64))
-    return out
+    if not len(few):
+        return g, at
+    short = np.empty(len(few), np.uint64)
+    for i, r in enumerate(few.tolist()):
+        x = np.array([off[r + 1] - off[r]], np.uint64)
+        for w in h[off[r] : off[r + 1]]:
+            x = x * _A + w
+        short[i] = mix(x)[0]
+    count = np.diff(at)
+    count[few] = 1
+    return np.insert(g, at[few], short), np.concatenate([[0], np.cumsum(count)])
+
+
+def shingles(t: Texts, separator: np.ndarray = BLANK, k: int = 5) -> list[np.ndarray]:
+    """For each row the sorted distinct hashes of its shingles; none without words."""
+    g, at = shingle_sequence(t, separator, k)
+    return [np.unique(g[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
