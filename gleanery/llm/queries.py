@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontaminate import contained
 from .jaccard import jaccard_components
 from .licenses import license_scan
 from .rules import quality_rules
+from .unigram import Vocabulary, decode, encode, token_counts
 from .urls import url_filter
 
 
@@ -15,10 +17,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def encoded_digest(df: DataFrame) -> DataFrame:
+    """Of (doc_id, text, ids, decoded): doc_id, n_pieces, a hash of the ids, and whether the text came back."""
+    return df.select("doc_id", F.when(F.col("ids").isNotNull(), F.size("ids")).cast("long").alias("n_pieces"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes each text and decodes its ids; `ids_sha256` is of the ids as decimal text joined by blanks."""
+    v = Vocabulary.load()
+    return encoded_digest(decode(encode(table(spark, sf_dir, "documents"), v), v))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -40,7 +57,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op5_quality_rules, op7_jaccard_join, op8_url_filter, op9_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_sentencepiece, op5_quality_rules, op6_token_counts, op7_jaccard_join, op8_url_filter, op9_license_scan)}
 
 ORACLE_SQL = {
     "op8_url_filter": r"""
