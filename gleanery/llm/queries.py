@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .decontaminate import contained
 from .jaccard import jaccard_components
 from .licenses import license_scan
+from .quality import quality_scores
 from .rules import quality_rules
 from .unigram import Vocabulary, decode, encode, token_counts
 from .urls import url_filter
@@ -26,6 +27,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes each text and decodes its ids; `ids_sha256` is of the ids as decimal text joined by blanks."""
     v = Vocabulary.load()
@@ -57,7 +62,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_sentencepiece, op5_quality_rules, op6_token_counts, op7_jaccard_join, op8_url_filter, op9_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op3_sentencepiece, op5_quality_rules, op6_token_counts, op7_jaccard_join, op8_url_filter, op9_license_scan)}
 
 ORACLE_SQL = {
     "op8_url_filter": r"""
