@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .decontaminate import contained
 from .jaccard import jaccard_components
 from .licenses import license_scan
+from .lines import line_dedup
 from .quality import quality_scores
 from .rules import quality_rules
 from .unigram import Vocabulary, decode, encode, token_counts
@@ -41,6 +42,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and removed lines of each text, and a hash of what stays."""
+    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -62,9 +68,28 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op3_sentencepiece, op5_quality_rules, op6_token_counts, op7_jaccard_join, op8_url_filter, op9_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op3_sentencepiece, op4_line_dedup, op5_quality_rules, op6_token_counts, op7_jaccard_join, op8_url_filter, op9_license_scan)}
 
 ORACLE_SQL = {
+    "op4_line_dedup": r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos
+  FROM documents WHERE text IS NOT NULL),
+f AS (
+  SELECT *, lead(line) OVER w AS line2, lead(pos) OVER w AS pos2 FROM l
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+r AS (
+  SELECT doc_id, pos AS a, pos2 AS b, line || chr(10) || line2 AS key FROM f WHERE pos2 IS NOT NULL
+  UNION ALL SELECT doc_id, pos, pos, line FROM f WHERE length(line) - length(replace(line, ' ', '')) >= 49),
+e AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, a) AS nth FROM r),
+g AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS pos FROM e WHERE nth > 1),
+k AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed,
+    coalesce(string_agg(CASE WHEN g.pos IS NULL THEN l.line END, chr(10) ORDER BY l.pos), '') AS kept
+  FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN d.text IS NOT NULL THEN sha256(kept) END AS kept_sha256
+FROM documents d LEFT JOIN k USING (doc_id)
+""",
     "op8_url_filter": r"""
 WITH p AS (
   SELECT page_id,
