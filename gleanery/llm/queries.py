@@ -11,6 +11,7 @@ from .licenses import license_scan
 from .lines import line_dedup
 from .quality import quality_scores
 from .rules import quality_rules
+from .suffixes import suffix_dedup
 from .unigram import Vocabulary, decode, encode, token_counts
 from .urls import url_filter
 
@@ -68,7 +69,11 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op3_sentencepiece, op4_line_dedup, op5_quality_rules, op6_token_counts, op7_jaccard_join, op8_url_filter, op9_license_scan)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op3_sentencepiece, op4_line_dedup, op5_quality_rules, op6_token_counts, op7_jaccard_join, op8_url_filter, op9_license_scan, op10_suffix_dedup)}
 
 ORACLE_SQL = {
     "op4_line_dedup": r"""
