@@ -70,7 +70,8 @@ def test_like_brute_force(spark):
 
 
 def test_odd_rows(spark):
-    t = "".join(random.Random(1).choice("abcdefgh") for _ in range(300))
+    r = random.Random(1)
+    t = "".join(r.choice("abcdefgh") for _ in range(300))
     df = spark.createDataFrame([(None, t), (1, t), (1, t), (2, t), (2, "y" + t)], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix_dedup(df).collect()), key=repr)
     assert got == sorted([(None, 300, 0), (1, 300, 0), (1, 300, 0), (2, 300, 300), (2, 301, 300)], key=repr)
