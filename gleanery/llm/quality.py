@@ -197,13 +197,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_labelled: int = MOST_LABELLED) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row of `docs`; labels are joined by doc_id."""
-    features = Scratch(docs.sparkSession).write(pooled(docs, word_vectors(docs, text_col), id_col, text_col))
+def _fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most_labelled: int) -> tuple[np.ndarray, DataFrame, Network]:
+    vectors = word_vectors(docs, text_col)
+    features = Scratch(docs.sparkSession).write(pooled(docs, vectors, id_col, text_col))
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("label")).dropna().where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"))
     rows = features.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(most_labelled).select("features", "label").collect()
     x = np.frombuffer(b"".join(bytes(r["features"]) for r in rows), np.float32).reshape(len(rows), -1) if rows else np.zeros((0, 1))
-    shared = docs.sparkSession.sparkContext.broadcast(train(x, np.array([r["label"] for r in rows], np.float64)))
+    return vectors, features, train(x, np.array([r["label"] for r in rows], np.float64))
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_labelled: int = MOST_LABELLED) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for each row of `docs`; labels are joined by doc_id."""
+    _, features, network = _fit(docs, labels, id_col, text_col, label_col, most_labelled)
+    shared = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,3 +219,20 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["doc_id", "score"])
 
     return features.mapInArrow(run, "doc_id long, score double").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_labelled: int = MOST_LABELLED) -> DataFrame:
+    """The rows of `docs` whose text scores 0.5 or more, with all their columns."""
+    vectors, _, network = _fit(docs, labels, id_col, text_col, label_col, most_labelled)
+    shared = docs.sparkSession.sparkContext.broadcast((vectors, network))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, network = shared.value
+        for batch in batches:
+            buf, off = column(batch.column(at))
+            for lo, hi in pieces(off):
+                score = network.score(pool(vectors, buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]))
+                yield batch.slice(lo, hi - lo).filter(pa.array(score >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

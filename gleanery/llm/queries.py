@@ -20,9 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def encoded_digest(df: DataFrame) -> DataFrame:
-    """Of (doc_id, text, ids, decoded): doc_id, n_pieces, a hash of the ids, and whether the text came back."""
-    return df.select("doc_id", F.when(F.col("ids").isNotNull(), F.size("ids")).cast("long").alias("n_pieces"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+def encoded_digest(df: DataFrame, *more: str) -> DataFrame:
+    """Of (doc_id, text, ids, decoded): doc_id, n_pieces, a hash of the ids, whether the text came back, and columns of `more`."""
+    return df.select("doc_id", F.when(F.col("ids").isNotNull(), F.size("ids")).cast("long").alias("n_pieces"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"), *more)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
