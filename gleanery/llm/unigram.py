@@ -32,9 +32,11 @@ from .textbytes import Texts, column, pieces
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
-STRETCH = 1 << 21
+STRETCH = 1 << 19
 #: Cells of the table that one block of words fills.
-_CELLS = 1 << 19
+_CELLS = 1 << 17
+#: Ids that are decoded at once.
+_IDS = 1 << 17
 
 
 @dataclass
@@ -300,8 +302,9 @@ def decode(df: DataFrame, vocabulary: Vocabulary | None = None, ids_col: str = "
         size = np.array([len(s) for s in surface])
         begin, raw = np.cumsum(size) - size, np.frombuffer(b"".join(surface), np.uint8)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
+            ids = whole.column(at).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for lo, hi in pieces(np.concatenate([[0], np.cumsum(ids)]), _IDS):
+                batch = whole.slice(lo, hi - lo)
                 lists = batch.column(at)
                 nulls = lists.is_null().to_numpy(zero_copy_only=False)
                 n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
