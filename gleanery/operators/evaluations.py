@@ -77,7 +77,8 @@ def _float_text(s: Column) -> Column:
 def as_suitability(f: Field) -> Column:
     """Rounded half to even, in 0 to 100; 50 for what isn't a finite number."""
     x = F.when(f.is_number, f.number).when(f.is_flag, f.flag.cast("double")).when(f.is_text, _float_text(f.text))
-    return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(100), F.rint(x).cast("bigint"))), F.lit(50)).cast("int")
+    clamped = F.greatest(F.lit(0), F.least(F.lit(100), F.rint(x).cast("bigint")))
+    return F.when(x.isNotNull(), clamped).otherwise(50).cast("int")
 
 
 def as_count(f: Field) -> Column:

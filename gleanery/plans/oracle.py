@@ -16,6 +16,10 @@ def _d(x: float) -> str:
     return f"{float(x)!r}e0"
 
 
+def _six(x: str) -> str:
+    return f"round_even(({x}) * 1000000e0, 0) / 1000000e0"
+
+
 def _whole(x: str) -> str:
     return f"CAST(CAST(round_even({x}, 0) AS BIGINT) AS VARCHAR)"
 
@@ -178,7 +182,7 @@ def _enum(key: str, allowed: list[str], default: str) -> str:
 
 
 _NUMBER = "('BIGINT', 'UBIGINT', 'DOUBLE')"
-_SUIT = f"coalesce(CASE WHEN {_kind('training_suitability')} = 'BOOLEAN' THEN CASE WHEN {_text('training_suitability')} = 'true' THEN 1 ELSE 0 END ELSE CAST(greatest(0, least(100, round_even(TRY_CAST({_text('training_suitability')} AS DOUBLE), 0))) AS BIGINT) END, 50)"
+_SUIT = f"CASE WHEN {_kind('training_suitability')} = 'BOOLEAN' THEN CASE WHEN {_text('training_suitability')} = 'true' THEN 1 ELSE 0 END WHEN TRY_CAST({_text('training_suitability')} AS DOUBLE) IS NULL THEN 50 ELSE CAST(greatest(0, least(100, round_even(TRY_CAST({_text('training_suitability')} AS DOUBLE), 0))) AS BIGINT) END"
 _SUBJECTS = f"CASE WHEN {_kind('subject_count')} IN {_NUMBER} THEN CAST(trunc(CAST({_text('subject_count')} AS DOUBLE)) AS BIGINT) WHEN {_kind('subject_count')} = 'VARCHAR' AND regexp_full_match({_text('subject_count')}, '[0-9]+') THEN CAST({_text('subject_count')} AS BIGINT) ELSE 1 END"
 
 
@@ -236,7 +240,7 @@ ORACLE: dict[str, str] = {
     "sidecar_join": f"{_FILES}, {_SIDECARS} SELECT folder, filename, sidecar FROM images",
     "dataset_catalog": f"{_FILES} SELECT * FROM (SELECT split_part(folder, '/', 4) AS name, folder AS path, concat('/', split_part(folder, '/', 2), '/', split_part(folder, '/', 3)) AS root, count(*) FILTER (regexp_matches(filename, {_IMAGE})) AS n_images FROM files GROUP BY folder) WHERE NOT starts_with(name, '_') AND NOT starts_with(name, '.') AND NOT ends_with(name, '_rejected')",
     "results_read": f"SELECT concat('img_', lpad(CAST(event_id AS VARCHAR), 8, '0')) AS filename, CASE WHEN json_valid({_BROKEN}) THEN CAST(json_extract({_BROKEN}, '$.k') AS BIGINT) END AS k, CAST(CASE WHEN event_id % 5 = 0 THEN 0 ELSE 2 END AS BIGINT) AS n_reasons FROM events WHERE event_type = 'view'",
-    "job_cascade_delete": "SELECT user_id AS job_ref, event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error')",
+    "job_cascade_delete": "SELECT user_id AS job_ref, event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND user_id % 3 = 0)",
     "exposure": f"SELECT vec_id, list_sum(pixels) / 64 AS mean_luma, len(list_filter(pixels, lambda x: x < 6 OR x > 249)) / 64 AS clip_frac FROM ({X.GRIDS_SQL})",
     "laplacian_var": f"SELECT vec_id, {_VAR8} AS sharpness FROM (SELECT vec_id, {_LAP8} FROM ({X.GRIDS_SQL}))",
     "global_sharpness": f"SELECT vec_id, {_VAR4} AS sharpness FROM (SELECT vec_id, {_LAP4} FROM (SELECT vec_id, {_HALF} FROM ({X.GRIDS_SQL})))",
@@ -251,8 +255,8 @@ SELECT doc_id, box_no, CASE WHEN ok THEN x0 END AS x0, CASE WHEN ok THEN y0 END
     "face_sharpness_choice": f"SELECT doc_id, CASE WHEN NOT face_detected THEN 0e0 WHEN doc_id % 3 > 0 THEN face_sharpness ELSE global_sharpness END AS face_sharpness FROM ({X.RECORDS_SQL})",
     "quality_verdict": f"{_FACE} SELECT doc_id, quality_verdict FROM gated",
     "quality_reasons": f"{_FACE} SELECT doc_id, array_to_string(quality_reasons, '; ') AS quality_reasons FROM gated",
-    "quality_score": f"{_FACE} SELECT doc_id, round(quality_score, 6) AS quality_score FROM scored",
-    "quality_score_by_purpose": _FACE + " UNION ALL ".join(f"SELECT doc_id, '{p.name}' AS purpose, round({_score([_d(w) for w in p.weights])}, 6) AS quality_score FROM records" for p in PURPOSES.values()),
+    "quality_score": f"{_FACE} SELECT doc_id, {_six('quality_score')} AS quality_score FROM scored",
+    "quality_score_by_purpose": _FACE + " UNION ALL ".join(f"SELECT doc_id, '{p.name}' AS purpose, {_six(_score([_d(w) for w in p.weights]))} AS quality_score FROM records" for p in PURPOSES.values()),
     "json_extract": f"{_ANSWERS} SELECT doc_id, attempt, object FROM objects",
     "coerce_bool": _fields("face_visible", "face_occluded"),
     "coerce_enum": _fields("shot_type", "face_clarity"),
@@ -265,18 +269,18 @@ best AS (SELECT * FROM good WHERE attempt <= 2 QUALIFY row_number() OVER (PARTIT
 j AS (SELECT d.doc_id, d.lang AS job_ref, b.j IS NULL AS parse_failed, coalesce(b.j, '{{}}') AS j FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id)
 SELECT doc_id AS image_id, job_ref, parse_failed, {_FIELDS['view_angle']} AS view_angle, {_FIELDS['subject_count']} AS subject_count, CASE WHEN parse_failed THEN 'model output could not be parsed' ELSE {_REASON} END AS reason FROM j""",
     "vector_choice": "SELECT concat('job', label % 3) AS job_ref, vec_id, CAST(CASE WHEN bool_and(NOT (label % 3 = 1 AND vec_id % 10 = 0)) OVER (PARTITION BY label % 3) THEN 64 ELSE 1 END AS BIGINT) AS dims FROM embeddings",
-    "cosine_pairs": f"{_VECTORS} SELECT a, b, round(sim, 6) AS sim FROM sims WHERE sim >= 0.9e0",
-    "hamming_pairs": f"{_VECTORS} SELECT a, b, distance FROM sims WHERE distance <= 4",
+    "cosine_pairs": f"{_VECTORS} SELECT a, b, {_six('sim')} AS sim FROM sims WHERE sim >= 0.9e0",
+    "hamming_pairs": f"{_VECTORS}, firsts AS (SELECT min(id) AS id, bits FROM v GROUP BY bits) SELECT a, b, distance FROM sims WHERE distance <= 4 AND a IN (SELECT id FROM firsts) AND b IN (SELECT id FROM firsts) UNION ALL SELECT f.id, v.id, 0 FROM v JOIN firsts f ON v.bits = f.bits AND v.id <> f.id",
     "near_dup_edges": f"{_VECTORS} SELECT a, b FROM edges",
     "near_dup_components": f"{_VECTORS} SELECT id, component FROM members",
     "cluster_ids": f"{_VECTORS} SELECT id, cluster_id FROM clustered",
     "cluster_representative": f"{_VECTORS} SELECT cluster_id, id FROM flagged WHERE cluster_id >= 0 AND NOT is_duplicate",
     "duplicate_flags": f"{_VECTORS} SELECT id, is_duplicate FROM flagged",
-    "max_similarity": f"{_VECTORS} SELECT id, round(max_sim, 6) AS max_sim FROM tops",
+    "max_similarity": f"{_VECTORS} SELECT id, {_six('max_sim')} AS max_sim FROM tops",
     "uniqueness": f"{_VECTORS} SELECT id, round((1 - max_sim - min(1 - max_sim) OVER ()) / (max(1 - max_sim) OVER () - min(1 - max_sim) OVER ()), 3) AS uniqueness FROM tops",
-    "soft_face_threshold": f"{_FACE} SELECT job_ref, round(cut, 6) AS soft_face_threshold FROM cuts",
+    "soft_face_threshold": f"{_FACE} SELECT job_ref, {_six('cut')} AS soft_face_threshold FROM cuts",
     **{f"rule_{r}": f"{_FACE} SELECT doc_id, {e} AS reason FROM ruled WHERE {e} IS NOT NULL" for r, e in _RULES.items()},
-    "combined_score": f"{_FACE} SELECT doc_id, round(combined, 6) AS combined_score FROM judged",
+    "combined_score": f"{_FACE} SELECT doc_id, {_six('combined')} AS combined_score FROM judged",
     "bucket_cap": f"""{_FACE}, all_caps AS (SELECT job_ref, count(*) AS n, {_median('n')} AS m FROM sizes GROUP BY job_ref)
 SELECT job_ref, CAST(5 AS BIGINT) AS cap, 'explicit' AS mode FROM all_caps UNION ALL SELECT job_ref, greatest(6, CAST(ceil(200e0 / n * 1.5e0) AS BIGINT)), 'target' FROM all_caps UNION ALL SELECT job_ref, greatest(6, CAST(ceil(m * 1.5e0) AS BIGINT)), 'median' FROM all_caps""",
     "bucket_cap_select": f"{_chain('face', None, 4)} SELECT doc_id, bucket, auto_decision, auto_reason FROM decided WHERE bucket <> ''",
@@ -326,6 +330,6 @@ ORACLE["coverage_display"] = _display("face", False)
 for _p in PURPOSES:
     ORACLE[f"hard_reject_{_p}"] = f"{_chain(_p, TARGET)} SELECT doc_id, reject_reason FROM judged"
     ORACLE[f"bucket_key_{_p}"] = f"SELECT doc_id, {_BUCKET[_p]} AS bucket FROM ({X.RECORDS_SQL})"
-    ORACLE[f"select_{_p}"] = f"{_chain(_p, TARGET)} SELECT doc_id, job_ref, filename, bucket, round(combined, 6) AS combined_score, auto_decision, auto_reason FROM decided"
+    ORACLE[f"select_{_p}"] = f"{_chain(_p, TARGET)} SELECT doc_id, job_ref, filename, bucket, {_six('combined')} AS combined_score, auto_decision, auto_reason FROM decided"
     ORACLE[f"requirement_counts_{_p}"] = f"{_chain(_p, TARGET)} SELECT job_ref, {', '.join(f'{_COUNTS[r.name]} AS {r.name}' for r in PURPOSES[_p].requirements)} FROM kept GROUP BY job_ref"
     ORACLE[f"coverage_gaps_{_p}"] = _display(_p, True)

@@ -25,6 +25,11 @@ TARGET = 60
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+def six(x):
+    """To six places, halves to even."""
+    return F.rint(x * 1e6) / 1e6
+
+
 def query(name: str):
     def add(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name] = f
@@ -92,7 +97,7 @@ def _(spark, sf_dir):
 @query("job_cascade_delete")
 def _(spark, sf_dir):
     rows = X.table(spark, sf_dir, "events").select(F.col("user_id").alias("job_ref"), "event_id")
-    deleted = X.table(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("user_id").alias("job_ref"))
+    deleted = X.table(spark, sf_dir, "events").where("event_type = 'error' and user_id % 3 = 0").select(F.col("user_id").alias("job_ref"))
     return S.delete_jobs(rows, deleted)
 
 
@@ -159,13 +164,13 @@ def _(spark, sf_dir):
 
 @query("quality_score")
 def _(spark, sf_dir):
-    return scored(spark, sf_dir).select("doc_id", F.round("quality_score", 6).alias("quality_score"))
+    return scored(spark, sf_dir).select("doc_id", six(F.col("quality_score")).alias("quality_score"))
 
 
 @query("quality_score_by_purpose")
 def _(spark, sf_dir):
     each = X.records(spark, sf_dir).withColumn("purpose", F.explode(F.array(*(F.lit(p) for p in PURPOSES))))
-    return Q.quality_score_by_purpose(each).select("doc_id", "purpose", F.round("quality_score", 6).alias("quality_score"))
+    return Q.quality_score_by_purpose(each).select("doc_id", "purpose", six(F.col("quality_score")).alias("quality_score"))
 
 
 # --- evaluations -----------------------------------------------------------
@@ -243,12 +248,12 @@ def _(spark, sf_dir):
 
 @query("cosine_pairs")
 def _(spark, sf_dir):
-    return _cosine(spark, sf_dir).select("a", "b", F.round("sim", 6).alias("sim"))
+    return _cosine(spark, sf_dir).select("a", "b", six(F.col("sim")).alias("sim"))
 
 
 @query("cosine_pairs_lsh")
 def _(spark, sf_dir):
-    return D.lsh_pairs(X.vectors(spark, sf_dir)).select("a", "b", F.round("sim", 6).alias("sim"))
+    return D.lsh_pairs(X.vectors(spark, sf_dir)).select("a", "b", six(F.col("sim")).alias("sim"))
 
 
 @query("hamming_pairs")
@@ -283,7 +288,7 @@ def _(spark, sf_dir):
 
 @query("max_similarity")
 def _(spark, sf_dir):
-    return D.max_similarity(X.vectors(spark, sf_dir)).select("id", F.round("max_sim", 6).alias("max_sim"))
+    return D.max_similarity(X.vectors(spark, sf_dir)).select("id", six(F.col("max_sim")).alias("max_sim"))
 
 
 @query("uniqueness")
@@ -296,7 +301,7 @@ def _(spark, sf_dir):
 
 @query("soft_face_threshold")
 def _(spark, sf_dir):
-    return C.soft_face_threshold(X.records(spark, sf_dir)).select("job_ref", F.round("soft_face_threshold", 6).alias("soft_face_threshold"))
+    return C.soft_face_threshold(X.records(spark, sf_dir)).select("job_ref", six(F.col("soft_face_threshold")).alias("soft_face_threshold"))
 
 
 RULE_QUERIES = {
@@ -334,7 +339,7 @@ def _by_purpose(p: str):
 
     @query(f"select_{p}")
     def _(spark, sf_dir):
-        return selected(spark, sf_dir, p).select("doc_id", "job_ref", "filename", "bucket", F.round("combined_score", 6).alias("combined_score"), "auto_decision", "auto_reason")
+        return selected(spark, sf_dir, p).select("doc_id", "job_ref", "filename", "bucket", six(F.col("combined_score")).alias("combined_score"), "auto_decision", "auto_reason")
 
     @query(f"requirement_counts_{p}")
     def _(spark, sf_dir):
@@ -351,7 +356,7 @@ for _p in PURPOSES:
 
 @query("combined_score")
 def _(spark, sf_dir):
-    return scored(spark, sf_dir).select("doc_id", F.round(C.combined_score(), 6).alias("combined_score"))
+    return scored(spark, sf_dir).select("doc_id", six(C.combined_score()).alias("combined_score"))
 
 
 @query("bucket_cap")
