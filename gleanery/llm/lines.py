@@ -25,20 +25,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import Scratch
+
 WORD = r"[^\x20\x09-\x0D]"
 
 
 def _windows(df: DataFrame, min_lines: int, long_line: int) -> DataFrame:
     """(doc_id, mark, first, last, key, fp, fp_at) of windows, and of long lines by themselves."""
     line = lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) >= long_line).alias("long"), x.rlike(WORD).alias("full"))
-    d = df.select("doc_id", "mark", F.filter(F.transform("lines", line), lambda x: x["full"]).alias("seq"))
-    d = d.where(F.size("seq") > 0).select("doc_id", "mark", F.posexplode("seq").alias("n", "line"), "seq")
-    one = d.where("line.long").select("doc_id", "mark", F.col("line.at").alias("first"), F.col("line.at").alias("last"), F.xxhash64("line.h", F.lit(1)).alias("key"), F.col("line.h").alias("fp"), F.col("line.at").alias("fp_at"))
-    w = F.slice("seq", F.col("n") + 1, F.lit(min_lines))
-    more = d.where(F.col("n") + min_lines <= F.size("seq")).select("doc_id", "mark", w.alias("w"))
+    seq = F.filter(F.transform("lines", line), lambda x: x["full"])
+    d = df.select("doc_id", "mark", seq.alias("seq"))
+    # each line with those after it, up to a window; the last windows are shorter
+    d = d.select("doc_id", "mark", F.explode(F.transform("seq", lambda x, n: F.slice("seq", n + 1, F.lit(min_lines)))).alias("w"))
+    first = F.col("w")[0]
+    one = F.when(first["long"], F.struct(first["at"].alias("first"), first["at"].alias("last"), F.xxhash64(first["h"], F.lit(1)).alias("key"), first["h"].alias("fp"), first["at"].alias("fp_at")))
     least = F.array_min(F.transform("w", lambda x: F.struct(x["h"].alias("h"), (-x["at"]).alias("back"))))
-    more = more.select("doc_id", "mark", F.col("w")[0]["at"].alias("first"), F.col("w")[min_lines - 1]["at"].alias("last"), F.xxhash64(F.transform("w", lambda x: x["h"]), F.lit(min_lines)).alias("key"), least.alias("least"))
-    return one.union(more.select("doc_id", "mark", "first", "last", "key", F.col("least.h"), -F.col("least.back")))
+    more = F.when(F.size("w") == min_lines, F.struct(first["at"].alias("first"), F.col("w")[min_lines - 1]["at"].alias("last"), F.xxhash64(F.transform("w", lambda x: x["h"]), F.lit(min_lines)).alias("key"), least["h"].alias("fp"), (-least["back"]).alias("fp_at")))
+    return d.select("doc_id", "mark", F.explode(F.array_compact(F.array(one, more))).alias("x")).select("doc_id", "mark", "x.*")
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, long_line: int = 49) -> DataFrame:
@@ -47,7 +50,8 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
         raise ValueError("a window has two lines at least")
     docs = df.select(F.struct(*df.columns).alias("row"), df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
     docs = docs.withColumn("mark", F.xxhash64("text")).withColumn("lines", F.split("text", "\n"))
-    windows = _windows(docs.where("doc_id is not null and text is not null"), min_lines, long_line)
+    # written once: the texts are split and hashed a single time
+    windows = Scratch(df.sparkSession).write(_windows(docs.where("doc_id is not null and text is not null"), min_lines, long_line))
     place = F.struct("doc_id", "mark", "fp_at")
     shared = windows.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("fp")
     windows = windows.join(shared, "fp", "left_semi")
