@@ -201,7 +201,11 @@ def _fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_c
     vectors = word_vectors(docs, text_col)
     features = Scratch(docs.sparkSession).write(pooled(docs, vectors, id_col, text_col))
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("label")).dropna().where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"))
-    rows = features.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(most_labelled).select("features", "label").collect()
+    # the labelled rows of least hash: a bound on the hash leaves few more than are wanted, whatever their number
+    n = features.select("doc_id").join(known, "doc_id").count()
+    place = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 62) - 1))
+    bound = int(min(1.0, (most_labelled + 8 * most_labelled**0.5 + 16) / max(n, 1)) * (1 << 62))
+    rows = features.join(known.where(place < bound), "doc_id").orderBy(place, "doc_id", "features").limit(most_labelled).select("features", "label").collect()
     x = np.frombuffer(b"".join(bytes(r["features"]) for r in rows), np.float32).reshape(len(rows), -1) if rows else np.zeros((0, 1))
     return vectors, features, train(x, np.array([r["label"] for r in rows], np.float64))
 
