@@ -233,3 +233,20 @@ def grid_laplacian_variance(pixels: Column, side: int, scale: int = 1) -> Column
     values = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lap)
     zero = F.struct(F.lit(0).cast("bigint").alias("s"), F.lit(0).cast("bigint").alias("q"))
     return F.aggregate(values, zero, lambda a, x: F.struct((a["s"] + x).alias("s"), (a["q"] + x * x).alias("q")), lambda a: (n * a["q"] - a["s"] * a["s"]) / F.lit(float(n * n * scale * scale)))
+
+
+def dct_weights(side: int, keep: int) -> list[list[float]]:
+    """For each of the keep x keep lowest frequencies the weights of a grid's pixels."""
+    m = dct_matrix(side)
+    return [np.outer(m[u], m[v]).ravel().tolist() for u in range(keep) for v in range(keep)]
+
+
+def grid_hash_bits(df: DataFrame, side: int = 8, keep: int = 4) -> DataFrame:
+    """Adds hash_bits of the grids in `pixels`, as text of 0 and 1."""
+    pixels = F.col("pixels")
+    dots = [F.aggregate(F.zip_with(pixels, F.lit(w), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x) for w in dct_weights(side, keep)]
+    inner = F.array_sort(F.filter(F.transform("_low", lambda x, i: F.when((i >= keep) & (i % keep > 0), x)), lambda x: x.isNotNull()))
+    n = (keep - 1) ** 2
+    median = (F.get(inner, (n - 1) // 2) + F.get(inner, n // 2)) / 2
+    text = F.array_join(F.transform("_low", lambda x: F.when(x > median, "1").otherwise("0")), "")
+    return df.withColumn("_low", F.array(*dots)).withColumn("hash_bits", text).drop("_low")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..config import CLARITIES, GARMENT_TYPES, POSE_CATEGORIES, SHOT_TYPES, VIEW_ANGLES, CoverageLimits, QualityLimits
+from ..operators.measure import dct_weights
 from ..operators.review import ACTIVE
 from ..purposes import PURPOSES
 from . import fixtures as X
@@ -154,6 +155,8 @@ flagged AS (SELECT *, cluster_id >= 0 AND row_number() OVER (PARTITION BY cluste
 tops AS (SELECT id, greatest(0, max(sim)) AS max_sim FROM (SELECT a AS id, sim FROM sims UNION ALL SELECT b, sim FROM sims) GROUP BY id)
 """
 
+_DCT = "[" + ", ".join("list_inner_product(p, [" + ", ".join(_d(x) if "e" not in repr(x) else repr(x) for x in w) + "])" for w in dct_weights(8, 4)) + "] AS low"
+
 _BEST_BOX = f"SELECT * FROM ({X.BOXES_SQL}) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY w * h DESC, box_no) = 1"
 
 # --- answers ---------------------------------------------------------------
@@ -244,6 +247,7 @@ ORACLE: dict[str, str] = {
     "exposure": f"SELECT vec_id, list_sum(pixels) / 64 AS mean_luma, len(list_filter(pixels, lambda x: x < 6 OR x > 249)) / 64 AS clip_frac FROM ({X.GRIDS_SQL})",
     "laplacian_var": f"SELECT vec_id, {_VAR8} AS sharpness FROM (SELECT vec_id, {_LAP8} FROM ({X.GRIDS_SQL}))",
     "global_sharpness": f"SELECT vec_id, {_VAR4} AS sharpness FROM (SELECT vec_id, {_LAP4} FROM (SELECT vec_id, {_HALF} FROM ({X.GRIDS_SQL})))",
+    "phash_bits": f"SELECT vec_id, array_to_string(list_transform(low, lambda x: CASE WHEN x > m THEN '1' ELSE '0' END), '') AS hash_bits FROM (SELECT *, list_sort(low[6:8] || low[10:12] || low[14:16])[5] AS m FROM (SELECT vec_id, {_DCT} FROM (SELECT vec_id, list_transform(pixels, lambda x: CAST(x AS DOUBLE)) AS p FROM ({X.GRIDS_SQL}))))",
     "largest_face": f"SELECT doc_id, box_no, x, y, w, h, score FROM ({_BEST_BOX})",
     "face_area": f"WITH records AS ({X.RECORDS_SQL}), best AS ({_BEST_BOX}) SELECT r.doc_id, coalesce(CAST(w * h AS DOUBLE) / CAST(width * height AS DOUBLE), 0e0) AS face_area_frac, w IS NOT NULL AS face_detected FROM records r LEFT JOIN best b ON r.doc_id = b.doc_id",
     "eye_band_box": f"""

@@ -121,6 +121,11 @@ def _(spark, sf_dir):
     return half.select("vec_id", M.grid_laplacian_variance(F.col("pixels"), 4, 4).alias("sharpness"))
 
 
+@query("phash_bits")
+def _(spark, sf_dir):
+    return M.grid_hash_bits(X.grids(spark, sf_dir)).select("vec_id", "hash_bits")
+
+
 @query("largest_face")
 def _(spark, sf_dir):
     return M.largest_face(X.detections(spark, sf_dir), ["doc_id"]).select("doc_id", "box_no", "x", "y", "w", "h", "score")
