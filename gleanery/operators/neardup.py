@@ -52,7 +52,8 @@ def _compare(df: DataFrame, threshold: float) -> DataFrame:
         job = table.column("job_ref")[0].as_py()
         ids = table.column("id").to_numpy()
         block = table.column("block").to_numpy()
-        x = np.array(table.column("features").to_pylist(), np.float64).reshape(len(ids), -1)
+        features = table.column("features").combine_chunks()
+        x = features.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
         low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
         left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
         if not len(left) or not len(right):

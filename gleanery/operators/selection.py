@@ -97,13 +97,21 @@ def survivors(df: DataFrame, name: str = "face", t: CoverageLimits = LIMITS) ->
     return hard_reject(df, name, t).where("reject_reason is null").withColumns({"bucket": purpose(name).bucket(), "combined_score": combined_score()})
 
 
-def bucket_caps(kept: DataFrame, target: int | None = None, t: CoverageLimits = LIMITS) -> DataFrame:
-    """(job_ref, cap) of survivors: explicit, or from the target, or from the median bucket."""
-    sizes = kept.groupBy("job_ref", "bucket").agg(F.count("*").alias("n"))
+def bucket_sizes(kept: DataFrame) -> DataFrame:
+    return kept.groupBy("job_ref", "bucket").agg(F.count("*").alias("n"))
+
+
+def _caps(sizes: DataFrame, target: int | None, t: CoverageLimits) -> DataFrame:
+    jobs = sizes.groupBy("job_ref")
     if t.per_bucket_cap is not None:
-        return sizes.groupBy("job_ref").agg(F.lit(t.per_bucket_cap).cast("long").alias("cap"))
+        return jobs.agg(F.lit(t.per_bucket_cap).cast("long").alias("cap"))
     base = F.lit(float(target)) / F.count("*") if target else upper_median("n").cast("double")
-    return sizes.groupBy("job_ref").agg(F.greatest(F.lit(t.cap_min), F.ceil(base * t.cap_factor)).cast("long").alias("cap"))
+    return jobs.agg(F.greatest(F.lit(t.cap_min), F.ceil(base * t.cap_factor)).cast("long").alias("cap"))
+
+
+def bucket_caps(kept: DataFrame, target: int | None = None, t: CoverageLimits = LIMITS) -> DataFrame:
+    """(job_ref, cap) of survivors: explicit, or from the target, or from the median bucket."""
+    return _caps(bucket_sizes(kept), target, t)
 
 
 def select_images(df: DataFrame, name: str = "face", target: int | None = None, t: CoverageLimits = LIMITS) -> DataFrame:
@@ -113,17 +121,20 @@ def select_images(df: DataFrame, name: str = "face", target: int | None = None,
     are left, the lowest go, but never a bucket's first. The trim sorts only what the cap left.
     """
     judged = hard_reject(df, name, t).withColumns({"bucket": F.when(F.col("reject_reason").isNull(), purpose(name).bucket()).otherwise(""), "combined_score": combined_score(), "_ok": F.col("reject_reason").isNull()})
-    caps = bucket_caps(judged.where("_ok"), target, t)
-    ranked = judged.join(caps, "job_ref", "left")
-    place = F.row_number().over(Window.partitionBy("job_ref", "bucket", "_ok").orderBy(F.desc("combined_score"), "filename"))
+    sizes = bucket_sizes(judged.where("_ok"))
+    # what the caps leave follows from the buckets' sizes
+    caps = sizes.join(_caps(sizes, target, t), "job_ref").groupBy("job_ref").agg(F.first("cap").alias("cap"), F.sum(F.least("n", "cap")).alias("_kept"))
+    # rows that aren't ranked are spread, or they would be sorted as one group
+    spread = F.pmod(F.xxhash64("filename"), F.lit(4096))
+    ranked = judged.join(caps, "job_ref", "left").withColumn("_part", F.when(F.col("_ok"), -1).otherwise(spread))
+    place = F.row_number().over(Window.partitionBy("job_ref", "bucket", "_part").orderBy(F.desc("combined_score"), "filename"))
     ranked = ranked.withColumn("_rank", F.when(F.col("_ok"), place)).withColumn("_in", F.col("_ok") & (F.col("_rank") <= F.col("cap")))
     over = F.concat(F.lit("over-represented bucket '"), "bucket", F.lit("' (>"), F.col("cap").cast("string"), F.lit("); rank "), F.col("_rank").cast("string"))
     trim = F.lit(None).cast("string")
     if target:
-        kept = F.count_if("_in").over(Window.partitionBy("job_ref"))
-        free = F.col("_in") & (F.col("_rank") > 1)
-        nth = F.row_number().over(Window.partitionBy("job_ref", "_free").orderBy("combined_score", "filename"))
-        ranked = ranked.withColumn("_kept", kept).withColumn("_free", free).withColumn("_nth", nth)
+        ranked = ranked.withColumn("_free", F.col("_in") & (F.col("_rank") > 1)).withColumn("_part", F.when(F.col("_free"), -1).otherwise(spread))
+        nth = F.row_number().over(Window.partitionBy("job_ref", "_part").orderBy("combined_score", "filename"))
+        ranked = ranked.withColumn("_nth", nth)
         trim = F.when(F.col("_free") & (F.col("_nth") <= F.col("_kept") - target), F.lit(f"target trim (kept top {target})"))
     reason = F.coalesce("reject_reason", F.when(~F.col("_in"), over), trim)
     out = ranked.withColumns({"auto_decision": F.when(reason.isNull(), "keep").otherwise("reject"), "auto_reason": F.coalesce(reason, F.lit(""))})
