@@ -132,7 +132,49 @@ def links(sets: list[np.ndarray], percent: int = 80) -> list[tuple[int, int]]:
     return found
 
 
-def _candidates(tok: np.ndarray, node: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+def _near_stars(size: np.ndarray, percent: int) -> np.ndarray:
+    """For sizes in order: the first place of each stretch in which every next set is near enough in size."""
+    near = 100 * size[:-1] >= percent * size[1:]
+    return np.maximum.accumulate(np.concatenate([[0], np.where(near, 0, np.arange(1, len(size)))]))
+
+
+def _cover(size: np.ndarray) -> np.ndarray:
+    """Places that stand for sizes in order: next ones differ by a tenth at most, or nothing lies between them."""
+    at = [0]
+    while at[-1] < len(size) - 1:
+        i = at[-1]
+        at.append(max(i + 1, int(np.searchsorted(size, size[i] / 0.9, "right")) - 1))
+    return np.array(at)
+
+
+def _ahead(tok: np.ndarray, node: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """Of a task's prefix entries those to send, whether they stand for a long run, and the stars of long runs.
+
+    A shingle that many texts of a task have goes on by a few nodes that cover their sizes, so what a very common
+    one sends grows with the tasks and not with the texts.
+    """
+    order = np.lexsort((node, size, tok))
+    tok, node, size = tok[order], node[order], size[order].astype(np.int64)
+    fresh = np.ones(len(tok), bool)
+    fresh[1:] = (tok[1:] != tok[:-1]) | (node[1:] != node[:-1])
+    tok, node, size = tok[fresh], node[fresh], size[fresh]
+    start = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
+    run = np.diff(np.append(start, len(tok)))
+    hot = np.repeat(run > SMALL, run)
+    send = ~hot
+    left, right = [], []
+    for s, k in zip(start[run > SMALL].tolist(), run[run > SMALL].tolist(), strict=True):
+        head = _near_stars(size[s : s + k], percent) + s
+        other = np.arange(s, s + k)
+        left.append(node[head[head != other]])
+        right.append(node[other[head != other]])
+        send[s + _cover(size[s : s + k])] = True
+    stars = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right)]
+    pairs = np.unique(np.stack([np.minimum(*stars), np.maximum(*stars)], 1), axis=0)
+    return tok[send], node[send], size[send].astype(np.uint16), hot[send], pairs[:, 0], pairs[:, 1]
+
+
+def _candidates(tok: np.ndarray, node: np.ndarray, size: np.ndarray, hot: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
     """Of prefix entries of one bucket: pairs a < b, how many shingles speak for each, how many must."""
     order = np.argsort(tok, kind="stable")
     t = tok[order]
@@ -141,27 +183,25 @@ def _candidates(tok: np.ndarray, node: np.ndarray, size: np.ndarray, percent: in
     twice[1:] |= same
     twice[:-1] |= same
     order = order[twice]
-    tok, node, size = tok[order], node[order], size[order].astype(np.int64)
-    order = np.lexsort((node, size, tok))
-    tok, node, size = tok[order], node[order], size[order]
+    tok, node, size, hot = tok[order], node[order], size[order].astype(np.int64), hot[order]
+    order = np.lexsort((~hot, node, size, tok))
+    tok, node, size, hot = tok[order], node[order], size[order], hot[order]
     fresh = np.ones(len(tok), bool)
     fresh[1:] = (tok[1:] != tok[:-1]) | (node[1:] != node[:-1])
-    tok, node, size = tok[fresh], node[fresh], size[fresh]
+    tok, node, size, hot = tok[fresh], node[fresh], size[fresh], hot[fresh]
     start = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]])) if len(tok) else np.zeros(0, np.int64)
     run = np.diff(np.concatenate([start, [len(tok)]]))
+    long = (run > SMALL) | np.logical_or.reduceat(hot, start) if len(start) else np.zeros(0, bool)
     left, right, weight = [], [], []
     for k in range(2, SMALL + 1):
-        at = start[run == k]
+        at = start[(run == k) & ~long]
         for i in range(k):
             for j in range(i + 1, k):
                 left.append(at + i)
                 right.append(at + j)
     weight = [np.ones(len(x), np.int64) for x in left]
-    for s, k in zip(start[run > SMALL].tolist(), run[run > SMALL].tolist(), strict=True):
-        # sorted by size: stars over stretches in which each next set is near enough in size
-        near = 100 * size[s : s + k - 1] >= percent * size[s + 1 : s + k]
-        head = np.concatenate([[0], np.where(near, 0, np.arange(1, k))])
-        head = np.maximum.accumulate(head) + s
+    for s, k in zip(start[long].tolist(), run[long].tolist(), strict=True):
+        head = _near_stars(size[s : s + k], percent) + s
         other = np.arange(s, s + k)
         left.append(head[head != other])
         right.append(other[head != other])
@@ -188,14 +228,22 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def name(batches):
         counter = np.zeros(SKETCH, np.int64)
+        waiting: list[np.ndarray] = []
+
+        def count(least: int) -> None:
+            if waiting and sum(map(len, waiting)) >= least:
+                np.add(counter, np.bincount((np.concatenate(waiting) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), out=counter)
+                waiting.clear()
+
         names = ["doc_id", "n_shingles", "node", "part", "data"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for batch, sets in _each(batches, words):
-            if sets:
-                np.add(counter, np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), out=counter)
+            waiting += sets
+            count(SKETCH // 2)
             n = len(sets)
             columns = [batch.column(0), [len(s) for s in sets], [node_of(s) for s in sets], [None] * n, [None] * n]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        count(0)
         for part, data in emit(counter):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(([None], [None], [None], [part], [data]), kinds, strict=True)], names=names)
 
@@ -210,15 +258,15 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         n_held = 0
 
         def flush():
-            tok, node, size = (np.concatenate(x) for x in zip(*held, strict=True))
-            bucket = (tok >> np.uint64(32)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            at = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-            tok, node, size = tok[order].astype(np.uint32), node[order], size[order]
-            some = np.flatnonzero(np.diff(at)).tolist()
-            data = [tok[at[k] : at[k + 1]].tobytes() + node[at[k] : at[k + 1]].tobytes() + size[at[k] : at[k + 1]].tobytes() for k in some]
+            tok, node, size, hot, a, b = _ahead(*(np.concatenate(x) for x in zip(*held, strict=True)), percent)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "data"])
+            rows = []
+            for kind, bucket, parts in ((0, (tok >> np.uint64(32)) % np.uint64(buckets), (tok.astype(np.uint32), node, size, hot)), (1, a.view(np.uint64) % np.uint64(buckets), (a, b))):
+                order = np.argsort(bucket, kind="stable")
+                at = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64)).tolist()
+                parts = [x[order] for x in parts]
+                rows += [(k, kind, b"".join(x[at[k] : at[k + 1]].tobytes() for x in parts)) for k in range(buckets) if at[k + 1] > at[k]]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "kind", "data"])
 
         for batch, sets in _each(batches, words):
             valid = batch.column(0).is_valid().to_pylist()
@@ -231,26 +279,33 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 head = np.argsort(rank, kind="stable")[:most]
                 held.append((mix(s[head]), np.full(most, node_of(s), np.int64), np.full(most, min(n, 0xFFFF), np.uint16)))
                 n_held += most
-            if n_held > 2_000_000:
+            if n_held > 1_000_000:
                 yield flush()
                 n_held = 0
         if held:
             yield flush()
 
     def meet(key, table):
-        tok, node, size = [], [], []
-        for d in table.column("data"):
-            d = d.as_buffer()
-            m = d.size // 14
-            raw = np.frombuffer(d, np.uint8)
-            tok.append(raw[: 4 * m].view(np.uint32))
-            node.append(np.frombuffer(d, np.uint8, 8 * m, 4 * m).copy().view(np.int64))
-            size.append(np.frombuffer(d, np.uint8, 2 * m, 12 * m).copy().view(np.uint16))
-        a, b, weight, need = _candidates(*(np.concatenate(x) for x in (tok, node, size)), percent)
-        for i in range(0, len(a), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (a, b, weight, need)], names=["a", "b", "weight", "need"])
-
-    pairs = by_key(docs.mapInArrow(prefixes, "bucket int, data binary"), ["bucket"], meet, "a long, b long, weight long, need long")
+        entries: list[tuple] = []
+        stars: list[tuple] = []
+        for kind, d in zip(table.column("kind").to_pylist(), table.column("data").to_pylist(), strict=True):
+            if kind:
+                stars.append(tuple(np.frombuffer(d, np.int64).reshape(2, -1)))
+                continue
+            m = len(d) // 15
+            part = lambda n, at, t: np.frombuffer(d, np.uint8, n * m, at * m).copy().view(t)  # noqa: B023, E731
+            entries.append((part(4, 0, np.uint32), part(8, 4, np.int64), part(2, 12, np.uint16), part(1, 14, bool)))
+        found = []
+        if entries:
+            found.append(_candidates(*(np.concatenate(x) for x in zip(*entries, strict=True)), percent))
+        if stars:
+            a, b = (np.concatenate(x) for x in zip(*stars, strict=True))
+            found.append((a, b, np.full(len(a), _WHOLE), np.ones(len(a), np.int64)))
+        for columns in found:
+            for i in range(0, len(columns[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in columns], names=["a", "b", "weight", "need"])
+
+    pairs = by_key(docs.mapInArrow(prefixes, "bucket int, kind int, data binary"), ["bucket"], meet, "a long, b long, weight long, need long")
     pairs = pairs.groupBy("a", "b").agg(F.sum("weight").alias("weight"), F.min("need").alias("need")).where("weight >= need")
     family = scratch.write(connected_components(pairs, "a", "b"))
     blocks = family.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))

@@ -94,6 +94,27 @@ def test_large_groups_go_in_blocks(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_many_rows_of_near_copies_of_several_lengths(spark):
+    r = random.Random(7)
+    base = [f"w{r.randrange(300)}" for _ in range(160)]
+    rows = []
+    for i in range(260):
+        w = base[: r.choice([90, 96, 104, 118, 131, 150, 160])]
+        for _ in range(r.choice([0, 0, 1, 3])):
+            w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    check(spark, rows)
+
+
+def test_covers_keep_neighbours_near():
+    r = random.Random(3)
+    for _ in range(200):
+        size = np.sort(np.array([r.choice([5, 6, 7, 100, r.randint(1, 2000)]) for _ in range(r.randint(1, 60))]))
+        at = jaccard._cover(size)
+        assert at[0] == 0 and at[-1] == len(size) - 1 and (np.diff(at) > 0).all()
+        assert all(j == i + 1 or size[j] * 0.9 <= size[i] for i, j in zip(at[:-1], at[1:], strict=True))
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.jaccard_components(df).count() == 0
