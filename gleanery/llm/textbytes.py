@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 #: Separators of words of the class [^\x20\x09-\x0D]+.
 BLANK = np.zeros(256, bool)
