@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,9 +41,14 @@ class Scratch:
         return out
 
     def release(self) -> None:
-        """Lets Spark remove the shuffle files of jobs whose results are written: its cleaner acts on collected objects."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        """Lets Spark remove the shuffle files of jobs whose results are written.
+
+        Its cleaner acts on collected objects; some are only free after a first round.
+        """
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(1)
 
     def drop(self, df: DataFrame) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
