@@ -8,7 +8,9 @@ Suffix arrays are built where repeats can be. The least hash of the GRAM-byte
 strings inside a window of `length` bytes (its anchor) is the same for equal
 windows, so
 1. a pass emits every text's anchors, dealt by hash; those of two texts, or of two
-   places of one, come back to the texts that have them;
+   places of one, come back to the texts that have them. A task sends two texts at
+   most for an anchor and answers for those it holds itself, so a very common
+   anchor grows with the tasks and not with the texts;
 2. stretches of windows with one such anchor go, as bytes, to the anchor's bucket.
    Of equal stretches in one task only the first is sent, the rest is known to go;
 3. a bucket sorts the suffixes of its stretches in two stages: those smaller than
@@ -37,7 +39,7 @@ from .arrays import by_key
 from .textbytes import Texts, column, mix, pieces
 
 GRAM = 16
-_HELD = 16 << 20
+_HELD = 8 << 20
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -212,12 +214,24 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
         def flush():
             h, mark = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            bucket = bucket_of(h)
-            order = np.argsort(bucket, kind="stable")
-            at = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-            h, mark = h[order].astype(np.uint32), mark[order]
-            some = np.flatnonzero(np.diff(at)).tolist()
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([h[at[k] : at[k + 1]].tobytes() + mark[at[k] : at[k + 1]].tobytes() for k in some], pa.binary())], names=["bucket", "data"])
+            order = np.lexsort((mark, h))
+            h, mark = h[order], mark[order]
+            fresh = np.ones(len(h), bool)
+            fresh[1:] = (h[1:] != h[:-1]) | (mark[1:] != mark[:-1])
+            h, mark = h[fresh], mark[fresh]
+            start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))[: len(h)]
+            run = np.diff(np.append(start, len(h)))
+            # anchors that several texts of this task have are answered here; two of the texts speak for all of them
+            send = np.arange(len(h)) - np.repeat(start, run) < 2
+            known = np.repeat(run > 1, run)
+            rows = []
+            told = ((0, bucket_of(h[send]), (h[send].astype(np.uint32), mark[send])), (1, mark[known].view(np.uint64) % np.uint64(buckets), ((bucket_of(h[known]) << np.uint64(32)) | (h[known] & np.uint64(0xFFFFFFFF)), mark[known])))
+            for kind, bucket, parts in told:
+                order = np.argsort(bucket, kind="stable")
+                at = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64)).tolist()
+                parts = [x[order] for x in parts]
+                rows += [(k, kind, b"".join(x[at[k] : at[k + 1]].tobytes() for x in parts)) for k in range(buckets) if at[k + 1] > at[k]]
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "kind", "data"])
 
         for batch in batches:
             buf, off = column(batch.column(0))
@@ -236,38 +250,35 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
                 # an anchor at two places of a text speaks as a second text would
                 held.append((np.concatenate([h[new], h[twice]]), np.concatenate([mark[new], mark[twice] ^ 1])))
                 n += len(held[-1][0])
-                if n > 2_000_000:
+                if n > 1_000_000:
                     yield flush()
                     n = 0
         if held:
             yield flush()
 
     def shared(key, table):
-        tok, mark = [], []
-        for d in table.column("data"):
-            d = d.as_buffer()
-            m = d.size // 12
-            tok.append(np.frombuffer(d, np.uint32, m))
-            mark.append(np.frombuffer(d, np.uint8, 8 * m, 4 * m).copy().view(np.int64))
+        tok, mark, whole, told = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [], []
+        for kind, d in zip(table.column("kind").to_pylist(), table.column("data").to_pylist(), strict=True):
+            if kind:
+                m = len(d) // 16
+                whole.append(np.frombuffer(d, np.uint64, m))
+                told.append(np.frombuffer(d, np.int64, m, 8 * m))
+            else:
+                m = len(d) // 12
+                tok.append(np.frombuffer(d, np.uint32, m))
+                mark.append(np.frombuffer(d, np.uint8, 8 * m, 4 * m).copy().view(np.int64))
         tok, mark = np.concatenate(tok), np.concatenate(mark)
-        order = np.argsort(tok, kind="stable")
-        same = tok[order][1:] == tok[order][:-1]
-        keep = np.zeros(len(tok), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        order = order[keep]
-        order = order[np.lexsort((mark[order], tok[order]))]
+        order = np.lexsort((mark, tok))
         tok, mark = tok[order], mark[order]
-        if not len(tok):
-            return
         fresh = np.ones(len(tok), bool)
         fresh[1:] = (tok[1:] != tok[:-1]) | (mark[1:] != mark[:-1])
         tok, mark = tok[fresh], mark[fresh]
-        start = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
+        start = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))[: len(tok)]
         run = np.diff(np.append(start, len(tok)))
         keep = np.repeat(run > 1, run)
-        tok, mark = tok[keep], mark[keep]
-        whole = (np.uint64(key[0]) << np.uint64(32)) | tok.astype(np.uint64)
+        whole.append((np.uint64(key[0]) << np.uint64(32)) | tok[keep].astype(np.uint64))
+        told.append(mark[keep])
+        whole, mark = np.concatenate(whole), np.concatenate(told)
         order = np.argsort(mark, kind="stable")
         mark, whole = mark[order], whole[order]
         at = np.flatnonzero(np.concatenate([[True], mark[1:] != mark[:-1]])) if len(mark) else np.zeros(0, np.int64)
@@ -276,7 +287,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
             part = list(zip(at[i : i + 10_000].tolist(), stop[i : i + 10_000].tolist(), strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(mark[at[i : i + 10_000]]), pa.array([whole[a:b].tobytes() for a, b in part], pa.binary())], names=["mark", "anchors"])
 
-    found = by_key(docs.select("text", "mark").mapInArrow(anchors, "bucket int, data binary"), ["bucket"], shared, "mark long, anchors binary")
+    found = by_key(docs.select("text", "mark").mapInArrow(anchors, "bucket int, kind int, data binary"), ["bucket"], shared, "mark long, anchors binary")
     found = found.groupBy("mark").agg(F.collect_list("anchors").alias("anchors"))
     first = docs.groupBy("mark").agg(F.min("doc_id").alias("doc_id"))
 
@@ -355,6 +366,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = df.select(df[id_col].cast("long").alias("doc_id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
     known = docs.where("doc_id is not null")
     sent = scratch.write(repeated_spans(known, length))
+    scratch.release()
     sorted_spans = by_key(sent.where("bucket is not null").select("bucket", "head", "data"), ["bucket"], lambda k, t: _sort_bucket(k, t, length), _SPANS)
     spans = sorted_spans.union(sent.where("bucket is null").select("doc_id", "mark", "a", "b"))
     spans = spans.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
