@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CoverageLimits
@@ -81,19 +81,23 @@ def review_categories(decided: DataFrame) -> DataFrame:
 
 
 def review_page(decided: DataFrame, page: int = 0, size: int = 60, category: str | None = None) -> DataFrame:
-    """A page in (bucket, filename) order; empty buckets are called (unbucketed)."""
+    """A page of each job in (bucket, filename) order; empty buckets are called (unbucketed)."""
     rows = decided if category is None else decided.where(final_decision() == category) if category in ("keep", "reject") else decided.where(review_category() == category)
-    return rows.orderBy("bucket", "filename").offset(page * size).limit(size).withColumn("section", F.when(F.coalesce("bucket", F.lit("")) == "", "(unbucketed)").otherwise(F.col("bucket")))
+    nth = F.row_number().over(Window.partitionBy("job_ref").orderBy("bucket", "filename"))
+    rows = rows.withColumn("_nth", nth).where((F.col("_nth") <= (page + 1) * size) & (F.col("_nth") > page * size))
+    return rows.orderBy("job_ref", "_nth").drop("_nth").withColumn("section", F.when(F.coalesce("bucket", F.lit("")) == "", "(unbucketed)").otherwise(F.col("bucket")))
 
 
 def gallery_order(decided: DataFrame) -> DataFrame:
-    """Sections by bucket, kept rows first, then by file."""
-    return decided.orderBy("bucket", F.col("auto_decision") != "keep", "filename")
+    """Job by job, sections by bucket, kept rows first, then by file."""
+    return decided.orderBy("job_ref", "bucket", F.col("auto_decision") != "keep", "filename")
 
 
 def reject_reasons(decided: DataFrame, most: int = 200) -> DataFrame:
-    """The first automatic rejects with a reason, in file order."""
-    return decided.where("auto_decision = 'reject' and auto_reason != ''").select("filename", "auto_reason").orderBy("filename").limit(most)
+    """(job_ref, filename, auto_reason): the first automatic rejects of each job with a reason, in file order."""
+    nth = F.row_number().over(Window.partitionBy("job_ref").orderBy("filename"))
+    rows = decided.where("auto_decision = 'reject' and auto_reason != ''").withColumn("_nth", nth).where(F.col("_nth") <= most)
+    return rows.orderBy("job_ref", "_nth").select("job_ref", "filename", "auto_reason")
 
 
 def decision_counts(decided: DataFrame) -> DataFrame:

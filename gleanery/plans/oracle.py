@@ -337,3 +337,35 @@ for _p in PURPOSES:
     ORACLE[f"select_{_p}"] = f"{_chain(_p, TARGET)} SELECT doc_id, job_ref, filename, bucket, {_six('combined')} AS combined_score, auto_decision, auto_reason FROM decided"
     ORACLE[f"requirement_counts_{_p}"] = f"{_chain(_p, TARGET)} SELECT job_ref, {', '.join(f'{_COUNTS[r.name]} AS {r.name}' for r in PURPOSES[_p].requirements)} FROM kept GROUP BY job_ref"
     ORACLE[f"coverage_gaps_{_p}"] = _display(_p, True)
+
+# --- the same over all jobs and attempts -----------------------------------
+
+_ALL = f"{_FACE}, every AS (SELECT *, coalesce(user_decision, auto_decision) AS decision FROM decided)"
+ORACLE |= {
+    "latest_override_all_jobs": f"{_ALL} SELECT job_ref, doc_id, user_decision FROM every",
+    "final_decision_all_jobs": f"{_ALL} SELECT job_ref, doc_id, decision FROM every",
+    "apply_manifest_all_jobs": f"""{_ALL}, files AS ({X.FILES_SQL}), {_SIDECARS},
+gone AS (SELECT i.folder, unnest([i.filename, i.sidecar]) AS name FROM images i JOIN every o ON i.doc_id = o.doc_id WHERE decision = 'reject'),
+m AS (SELECT concat(folder, '/', name) AS source, concat(folder, '_rejected/', name) AS target FROM gone WHERE name IS NOT NULL)
+SELECT source, target, count(*) OVER (PARTITION BY target) > 1 AS collision, true AS applied FROM m""",
+    "recaption_worklist_all_jobs": f"{_ALL} SELECT job_ref, doc_id, filename FROM every WHERE decision = 'keep'",
+    "apply_summary_all_jobs": f"{_ALL} SELECT job_ref, count(*) FILTER (decision = 'keep') AS kept, count(*) FILTER (decision = 'reject') AS rejected, count(*) FILTER (decision = 'reject') AS moved, CAST(0 AS BIGINT) AS deleted, count(*) FILTER (decision = 'keep') AS recaptioned FROM every GROUP BY job_ref",
+    "review_categories_all_jobs": f"{_ALL} SELECT job_ref, count(*) FILTER (decision = 'keep') AS keep, count(*) FILTER (decision = 'reject') AS reject, count(*) FILTER (auto_decision = 'reject' AND contains(auto_reason, 'over-represented')) AS overflow, count(*) FILTER (auto_decision = 'reject' AND NOT contains(auto_reason, 'over-represented')) AS hard FROM every GROUP BY job_ref",
+    "review_page_all_jobs": f"{_ALL} SELECT job_ref, doc_id, bucket, filename, CASE WHEN bucket = '' THEN '(unbucketed)' ELSE bucket END AS section FROM every QUALIFY row_number() OVER (PARTITION BY job_ref ORDER BY bucket, filename) BETWEEN 61 AND 120",
+    "gallery_order_all_jobs": f"{_ALL} SELECT job_ref, doc_id, bucket, auto_decision, filename FROM every",
+    "reject_reasons_all_jobs": f"{_ALL} SELECT job_ref, filename, auto_reason FROM every WHERE auto_decision = 'reject' AND auto_reason <> '' QUALIFY row_number() OVER (PARTITION BY job_ref ORDER BY filename) <= 200",
+}
+
+
+def _every_attempt(*names: str) -> str:
+    return f"{_ANSWERS} SELECT doc_id, attempt, {', '.join(f'{_FIELDS[n]} AS {n}' for n in names)} FROM good"
+
+
+ORACLE |= {
+    "coerce_bool_all_attempts": _every_attempt("face_visible", "face_occluded"),
+    "coerce_enum_all_attempts": _every_attempt("shot_type", "face_clarity"),
+    "coerce_int_all_attempts": _every_attempt("training_suitability", "subject_count"),
+    "coerce_list_all_attempts": _every_attempt("issues"),
+    "coerce_text_all_attempts": _every_attempt("reason"),
+    **{f"normalize_{p}_all_attempts": _every_attempt(*_SHARED, *own) for p, own in _OWN.items()},
+}

@@ -55,8 +55,8 @@ def kept(spark: SparkSession, sf_dir: str, purpose: str = "face") -> DataFrame:
 
 
 def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Selected rows of one job with the overrides of the log."""
-    d = selected(spark, sf_dir).where("job_ref = 'en'").withColumn("image_id", F.col("doc_id"))
+    """Selected rows of all jobs with the overrides of the log, which are those of one job."""
+    d = selected(spark, sf_dir).withColumn("image_id", F.col("doc_id"))
     log = X.overrides(spark, sf_dir).withColumn("job_ref", F.lit("en"))
     return A.latest_override(d, log)
 
@@ -181,20 +181,29 @@ def _(spark, sf_dir):
 # --- evaluations -----------------------------------------------------------
 
 
-def _answers(spark, sf_dir):
-    return X.answers(spark, sf_dir).where("attempt = 1")
-
-
 @query("json_extract")
 def _(spark, sf_dir):
     return X.answers(spark, sf_dir).select("doc_id", "attempt", V.json_text(F.col("answer")).alias("object"))
 
 
-def _coerced(name: str, build):
+def _answered(name: str, build):
+    """Registers a query over the first attempts, and <name>_all_attempts over all, with the attempt as a key."""
+
     @query(name)
     def _(spark, sf_dir):
-        v = _answers(spark, sf_dir).select("doc_id", V.parsed(F.col("answer")).alias("v")).where("v is not null")
-        return v.select("doc_id", *(c.alias(n) for n, c in build(lambda key: V.Field(F.col("v"), key)).items()))
+        return build(X.answers(spark, sf_dir).where("attempt = 1"), "doc_id")
+
+    @query(f"{name}_all_attempts")
+    def _(spark, sf_dir):
+        return build(X.answers(spark, sf_dir), "doc_id", "attempt")
+
+
+def _coerced(name: str, build):
+    def coerced(answers, *keys):
+        v = answers.select(*keys, V.parsed(F.col("answer")).alias("v")).where("v is not null")
+        return v.select(*keys, *(c.alias(n) for n, c in build(lambda key: V.Field(F.col("v"), key)).items()))
+
+    _answered(name, coerced)
 
 
 _coerced("coerce_bool", lambda f: {"face_visible": V.as_bool(f("face_visible"), True), "face_occluded": V.as_bool(f("face_occluded"), False)})
@@ -205,14 +214,15 @@ _coerced("coerce_text", lambda f: {"reason": V.as_text(f("reason"))})
 
 
 def _normalized(purpose: str):
-    @query(f"normalize_{purpose}")
-    def _(spark, sf_dir):
-        vl = _answers(spark, sf_dir).select("doc_id", V.normalize(V.parsed(F.col("answer")), purpose).alias("vl")).where("vl is not null")
+    def normalized(answers, *keys):
+        vl = answers.select(*keys, V.normalize(V.parsed(F.col("answer")), purpose).alias("vl")).where("vl is not null")
         flat = []
         for name, _part in V.SCHEMAS[purpose]:
             c = F.col("vl")[name]
             flat.append((F.array_join(c, ",") if name in ("issues", "style_tags") else c.cast("long") if name == "training_suitability" else c).alias(name))
-        return vl.select("doc_id", *flat)
+        return vl.select(*keys, *flat)
+
+    _answered(f"normalize_{purpose}", normalized)
 
 
 for _p in PURPOSES:
@@ -421,55 +431,34 @@ def _(spark, sf_dir):
 # --- review ----------------------------------------------------------------
 
 
-@query("latest_override")
-def _(spark, sf_dir):
-    return decided(spark, sf_dir).select("doc_id", "user_decision")
+def _reviewed(name: str, build):
+    """Registers a query over the job that has overrides, and <name>_all_jobs over all, with job_ref as a key."""
 
+    @query(name)
+    def _(spark, sf_dir):
+        out = build(decided(spark, sf_dir).where("job_ref = 'en'"), spark, sf_dir)
+        return out if name in ("apply_summary", "review_categories") else out.drop("job_ref")
 
-@query("final_decision")
-def _(spark, sf_dir):
-    return decided(spark, sf_dir).select("doc_id", A.final_decision().alias("decision"))
+    @query(f"{name}_all_jobs")
+    def _(spark, sf_dir):
+        return build(decided(spark, sf_dir), spark, sf_dir)
 
 
-def _manifest_rows(spark, sf_dir):
+def _manifest(d, spark, sf_dir):
     f = X.files(spark, sf_dir)
     images = A.sidecar_join(f.where(S.is_image(F.col("filename"))).select("doc_id", "folder", "filename"), f.select("folder", "filename"))
-    return images.join(decided(spark, sf_dir).select("doc_id", "auto_decision", "user_decision"), "doc_id")
-
-
-@query("apply_manifest")
-def _(spark, sf_dir):
-    return A.apply_manifest(_manifest_rows(spark, sf_dir))
-
-
-@query("recaption_worklist")
-def _(spark, sf_dir):
-    return A.recaption_worklist(decided(spark, sf_dir)).select("doc_id", "filename")
-
-
-@query("apply_summary")
-def _(spark, sf_dir):
-    return A.apply_summary(decided(spark, sf_dir))
-
-
-@query("review_categories")
-def _(spark, sf_dir):
-    return A.review_categories(decided(spark, sf_dir))
-
-
-@query("review_page")
-def _(spark, sf_dir):
-    return A.review_page(decided(spark, sf_dir), 1).select("doc_id", "bucket", "filename", "section")
-
-
-@query("gallery_order")
-def _(spark, sf_dir):
-    return A.gallery_order(decided(spark, sf_dir)).select("doc_id", "bucket", "auto_decision", "filename")
-
-
-@query("reject_reasons")
-def _(spark, sf_dir):
-    return A.reject_reasons(decided(spark, sf_dir))
+    return A.apply_manifest(images.join(d.select("doc_id", "auto_decision", "user_decision"), "doc_id"))
+
+
+_reviewed("latest_override", lambda d, *_: d.select("job_ref", "doc_id", "user_decision"))
+_reviewed("final_decision", lambda d, *_: d.select("job_ref", "doc_id", A.final_decision().alias("decision")))
+_reviewed("apply_manifest", _manifest)
+_reviewed("recaption_worklist", lambda d, *_: A.recaption_worklist(d).select("job_ref", "doc_id", "filename"))
+_reviewed("apply_summary", lambda d, *_: A.apply_summary(d))
+_reviewed("review_categories", lambda d, *_: A.review_categories(d))
+_reviewed("review_page", lambda d, *_: A.review_page(d, 1).select("job_ref", "doc_id", "bucket", "filename", "section"))
+_reviewed("gallery_order", lambda d, *_: A.gallery_order(d).select("job_ref", "doc_id", "bucket", "auto_decision", "filename"))
+_reviewed("reject_reasons", lambda d, *_: A.reject_reasons(d))
 
 
 @query("decision_counts")

@@ -10,6 +10,7 @@ from gleanery.operators import neardup as D
 from gleanery.operators import review as A
 from gleanery.operators import selection as C
 from gleanery.operators.graph import connected_components
+from gleanery.plans.queries import QUERIES
 from gleanery.purposes import PURPOSES, purpose
 
 VL = "shot_type string, view_angle string, face_visible boolean, face_clarity string, subject_count int, body_shape_visible boolean, pose_category string, pose_clearly_visible boolean, garment_type string, garment_visible boolean, garment_clarity string, style_tags array<string>, style_consistent boolean, issues array<string>, training_suitability int"
@@ -145,3 +146,23 @@ def test_manifest_collisions_and_dry_run(spark):
     assert got == [("/d/a.png", True, False), ("/d/a.png", True, False), ("/d/a.txt", False, False), ("/d/c.png", False, False)]
     assert {r["target"] for r in A.apply_manifest(d, mode="delete").collect()} == {None}
     assert A.recaption_worklist(d, dry_run=True).count() == 0
+
+
+def test_pages_and_reasons_of_each_job(spark):
+    rows = [(j, i, f"f{i:02d}", "" if i % 3 else "b", "reject" if i % 3 else "keep", "why" if i % 3 else "") for j in "ab" for i in range(12)]
+    d = spark.createDataFrame(rows, "job_ref string, doc_id long, filename string, bucket string, auto_decision string, auto_reason string")
+    page = [(r["job_ref"], r["filename"], r["section"]) for r in A.review_page(d, 1, 7).collect()]
+    want = ["f10", "f11", "f00", "f03", "f06", "f09"][1:]
+    assert [(j, f) for j, f, _ in page] == [(j, f) for j in "ab" for f in want] and page[0][2] == "(unbucketed)"
+    assert [tuple(r) for r in A.reject_reasons(d, 2).collect()] == [(j, f, "why") for j in "ab" for f in ("f01", "f02")]
+
+
+@pytest.mark.parametrize("name", ["latest_override", "apply_summary", "review_categories", "final_decision"])
+def test_all_jobs_are_reviewed(spark, name):
+    got = QUERIES[f"{name}_all_jobs"](spark, "/root/testdata/sf0.001")
+    assert {r["job_ref"] for r in got.select("job_ref").collect()} == {"de", "en", "es", "fr"}
+
+
+def test_all_attempts_are_coerced(spark):
+    got = {(r["doc_id"], r["attempt"]) for r in QUERIES["coerce_text_all_attempts"](spark, "/root/testdata/sf0.001").collect()}
+    assert {a for _, a in got} == {1, 2, 3} and (23, 1) not in got and {(23, 2), (23, 3)} <= got
