@@ -1,7 +1,7 @@
 """Signature rules of the license scan.
 
 Rules are patterns over normalised text: lower-case words joined by one space.
-Each has the keyword that must be present before the pattern is tried, a label,
+Each has the keyword that every match contains (patterns are tried only near it), a label,
 a priority and a score. `rules()` spells out the hand-written phrases below for
 every license of the list.
 """
@@ -30,7 +30,8 @@ LICENSES = [
     ("mit", "mit", r"mit licen[sc]e"),
     ("mit-x11", "x11", r"x11 licen[sc]e"),
     ("gpl", "gnu", r"gnu general public licen[sc]e{v}"),
-    ("lgpl", "lesser", r"gnu (?:lesser|library) general public licen[sc]e{v}"),
+    ("lgpl", "lesser", r"gnu lesser general public licen[sc]e{v}"),
+    ("lgpl", "library", r"gnu library general public licen[sc]e{v}"),
     ("agpl", "affero", r"(?:gnu )?affero general public licen[sc]e{v}"),
     ("gfdl", "gnu", r"gnu free documentation licen[sc]e{v}"),
     ("bsd-2-clause", "bsd", r"(?:simplified bsd|(?:2|two) clause bsd|bsd 2 clause) licen[sc]e"),
@@ -55,7 +56,7 @@ LICENSES = [
     ("postgresql", "postgresql", r"postgresql licen[sc]e"),
     ("openssl", "openssl", r"openssl licen[sc]e"),
     ("ofl", "sil", r"sil open font licen[sc]e{v}"),
-    ("osl", "osl", r"open software licen[sc]e{v}"),
+    ("osl", "software", r"open software licen[sc]e{v}"),
     ("afl", "academic", r"academic free licen[sc]e{v}"),
     ("ms-pl", "microsoft", r"microsoft public licen[sc]e"),
     ("ms-rl", "microsoft", r"microsoft reciprocal licen[sc]e"),
@@ -68,9 +69,12 @@ LICENSES = [
     ("bsl-business", "business", r"business source licen[sc]e{v}"),
     ("elastic", "elastic", r"elastic licen[sc]e{v}"),
     ("sspl", "server", r"server side public licen[sc]e{v}"),
-    ("odbl", "odbl", r"(?:open database licen[sc]e|odbl){v}"),
-    ("odc-by", "odc", r"(?:open data commons attribution|odc attribution) licen[sc]e{v}"),
-    ("pddl", "pddl", r"(?:public domain dedication and licen[sc]e|pddl){v}"),
+    ("odbl", "database", r"open database licen[sc]e{v}"),
+    ("odbl", "odbl", r"odbl{v}"),
+    ("odc-by", "commons", r"open data commons attribution licen[sc]e{v}"),
+    ("odc-by", "odc", r"odc attribution licen[sc]e{v}"),
+    ("pddl", "dedication", r"public domain dedication and licen[sc]e{v}"),
+    ("pddl", "pddl", r"pddl{v}"),
     ("cc-by-nc-nd", "cc", r"cc by nc nd{v}"),
     ("cc-by-nc-sa", "cc", r"cc by nc sa{v}"),
     ("cc-by-nc", "cc", r"cc by nc{v}"),
@@ -100,7 +104,7 @@ ALONE = [
     Rule("spdx", "spdx", r"spdx licen[sc]e identifier", 95, 1.0),
     Rule("reserved", "reserved", r"all rights (?:are )?reserved", 70, 0.7),
     Rule("reserved", "reserved", r"some rights reserved", 65, 0.6),
-    Rule("copyright", "copyright", r"copyright (?:c )?(?:\d{4} )+", 30, 0.4),
+    Rule("copyright", "copyright", r"copyright(?: c)?(?: \d{4})+", 30, 0.4),
     Rule("mit", "granted", r"permission is hereby granted free of charge to any person obtaining a copy", 100, 1.0),
     Rule("isc", "fee", r"permission to use copy modify and or distribute this software for any purpose with or without fee", 100, 1.0),
     Rule("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted", 100, 1.0),
@@ -112,7 +116,7 @@ ALONE = [
     Rule("no-warranty", "warranty", r"without warranty of any kind(?: express or implied)?", 20, 0.4),
 ]
 
-#: No pattern matches more words than this.
+#: No pattern matches more words than this, but for lists of years.
 MOST_WORDS = 40
 _VERSION = r"(?: (?:version |v)?(\d+(?: \d+)?)(?! \d))?"
 

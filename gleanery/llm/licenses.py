@@ -66,8 +66,10 @@ class Scanner:
         zones: list[list] = []
         for i, k in hits:
             lo, hi = max(0, i - MOST_WORDS), min(len(words), i + MOST_WORDS + 1)
+            while k == "copyright" and hi < len(words) and words[hi].isdigit():
+                hi += 1
             if zones and lo <= zones[-1][1]:
-                zones[-1][1] = hi
+                zones[-1][1] = max(hi, zones[-1][1])
                 zones[-1][2].add(k)
             else:
                 zones.append([lo, hi, {k}])

@@ -1,8 +1,10 @@
+import itertools
 import random
 import re
+from re import _parser
 
 from gleanery.llm.license_rules import BASE, MOST_WORDS, rules
-from gleanery.llm.licenses import license_scan, suppress
+from gleanery.llm.licenses import Scanner, license_scan, suppress
 
 
 def brute(text):
@@ -71,3 +73,46 @@ def test_rules():
 def test_suppression_keeps_what_is_not_inside():
     a, b, c, d = (0, 5, 90, "a", 1.0, 0), (2, 5, 95, "b", 1.0, 1), (1, 4, 40, "c", 0.5, 2), (4, 7, 40, "d", 0.5, 3)
     assert suppress([a, b, c, d]) == [a, b, d]
+
+
+def examples(parsed):
+    """Texts of a pattern that take every branch and every optional part."""
+    parts = []
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            parts.append([chr(arg)])
+        elif name == "IN":
+            parts.append(["1"] if str(arg[0][0]) == "CATEGORY" else [chr(x) for _, x in arg])
+        elif name == "BRANCH":
+            parts.append([x for branch in arg[1] for x in examples(branch)])
+        elif name == "SUBPATTERN":
+            parts.append(examples(arg[-1]))
+        elif name == "MAX_REPEAT":
+            low, _, inside = arg
+            parts.append([x * n for n in (low, low + 1) for x in examples(inside)] if low < 2 else [x * low for x in examples(inside)])
+        else:
+            assert name == "ASSERT_NOT"
+    return sorted({"".join(x) for x in itertools.product(*parts)})
+
+
+def test_each_rule_finds_its_examples():
+    n = 0
+    for rule in rules():
+        scanner = Scanner((rule,))
+        # Of the many ways to say a phrase, each branch is in some of these.
+        texts = examples(_parser.parse(rule.pattern))
+        for text in texts[:: max(1, len(texts) // 60)]:
+            words = text.split(" ")
+            hits = [(i, w) for i, w in enumerate(words) if w == rule.keyword]
+            assert any(label.startswith(rule.label) for _, _, _, label, _, _ in scanner.detect(words, hits)), (rule, text)
+            n += 1
+    assert n > 1000
+
+
+def test_lines_that_hold_no_other_keyword(spark):
+    texts = {"copyright 2020": "copyright", "Copyright (c) 2019 2020 someone": "copyright", "copyright 2020 x": "copyright", "copyright " + "2001 " * 60: "copyright", "open software license 3.0": "osl-3.0", "Open Database License": "odbl", "open data commons attribution license": "odc-by", "public domain dedication and license": "pddl", "GNU Library General Public License": "gpl,lgpl"}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {list(texts)[r["doc_id"]]: r for r in license_scan(df).collect()}
+    assert {t: r["labels"] for t, r in got.items()} == texts
+    assert got["copyright " + "2001 " * 60]["spans"][0]["last"] == 60
