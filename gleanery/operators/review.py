@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import fields
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import CoverageLimits
+from ..config import CoverageLimits, DedupLimits, QualityLimits
 
 ACTIVE = ("queued", "running", "apply_queued", "applying", "stopping")
 
@@ -115,14 +117,46 @@ def recent_jobs(jobs: DataFrame, most: int = 10) -> DataFrame:
     return jobs.orderBy(F.desc("created_at"), F.desc("job_id")).limit(most).withColumns({"progress": progress, "active": F.col("status").isin(*ACTIVE)})
 
 
+#: Keys of params that are called otherwise in the limits.
+_KEYS = {
+    "face_area_warn": "face_area_frac_warn", "face_area_min": "face_area_frac_min", "clip_warn": "clip_frac_warn", "luma_low": "mean_luma_low", "luma_high": "mean_luma_high",
+    "cosine": "similarity_threshold", "hamming": "phash_exact_max_hamming", "hash_side": "phash_size", "soft_face_ratio": "soft_face_rel_ratio", "min_garment_visible": "min_garment_visible_shots",
+}
+#: Fields of limits that params don't set.
+_INNER = ("processing_long_side", "clip_worst", "no_face")
+_TYPES = {bool: "boolean", int: "int", float: "double", str: "string", type(None): "int"}
+
+
+def _keys(limits) -> dict[str, object]:
+    """Key to default of the params of a class of limits."""
+    values = {f.name: getattr(limits, f.name) for f in fields(limits) if f.name not in _INNER}
+    values |= {f"min_{k}": v for k, v in values.pop("minimums", {}).items()}
+    return {_KEYS.get(k, k): v for k, v in values.items()}
+
+
+#: Block of params ('' for the top) to the default of each key; those after the limits are of models and tools.
+PARAMS: dict[str, dict[str, object]] = {
+    "quality": _keys(QualityLimits()) | {"face_detect_conf": 0.6},
+    "dedup": _keys(DedupLimits()) | {"use_clip_embeddings": False, "clip_model": "openai/clip-vit-base-patch32"},
+    "coverage": _keys(CoverageLimits()),
+    "": {"purpose": "face", "model_name_or_path": "huihui-ai/Huihui-Qwen3-VL-8B-Instruct-abliterated", "device": "cuda:0", "dtype": "bf16", "quantize": False, "qtype": "float8", "low_vram": False, "max_res": 1024, "vl_max_new_tokens": 512, "thumb_size": 384},
+}
+
+
 def job_params(jobs: DataFrame, preset: dict[str, float] | None = None) -> DataFrame:
-    """(job_id, min_suitability, per_bucket_cap, target) from each job's params JSON over preset and defaults.
+    """job_id, a column for each key of PARAMS, and target: each job's params JSON over preset (of coverage) and defaults.
 
-    Unknown keys and nulls are ignored, broken JSON is empty. A target clears the cap.
+    Unknown keys, nulls and values of another type are ignored, broken JSON is empty. A target clears the cap.
     """
-    t, preset = CoverageLimits(), preset or {}
-    p = F.from_json("params", "struct<target:int, coverage:struct<min_suitability:int, per_bucket_cap:int>>")
-    d = jobs.withColumn("_p", p)
+    preset = preset or {}
+    blocks = [", ".join(f"{k}:{_TYPES[type(v)]}" for k, v in keys.items()) for keys in PARAMS.values()]
+    schema = ", ".join(f"{block}:struct<{b}>" if block else b for block, b in zip(PARAMS, blocks, strict=True))
+    d = jobs.withColumn("_p", F.from_json("params", f"struct<target:int, {schema}>"))
     target = F.col("_p.target")
-    cap = F.when(target.isNull(), F.coalesce("_p.coverage.per_bucket_cap", F.lit(preset.get("per_bucket_cap", t.per_bucket_cap)).cast("int")))
-    return d.select("job_id", F.coalesce("_p.coverage.min_suitability", F.lit(preset.get("min_suitability", t.min_suitability))).alias("min_suitability"), cap.alias("per_bucket_cap"), target.alias("target"))
+    out = {}
+    for block, keys in PARAMS.items():
+        for k, default in keys.items():
+            default = preset.get(k, default) if block == "coverage" else default
+            out[k] = F.coalesce(F.col(f"_p.{block}.{k}" if block else f"_p.{k}"), F.lit(default).cast(_TYPES[type(keys[k])]))
+    out["per_bucket_cap"] = F.when(target.isNull(), out["per_bucket_cap"])
+    return d.select("job_id", *(c.alias(k) for k, c in out.items()), target.alias("target"))

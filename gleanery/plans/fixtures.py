@@ -135,6 +135,20 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(*(f"{e} AS {n}" for n, e in JOB.items()))
 
 
+#: Params of a job that override keys of every block, in both engines' SQL.
+WIDE_PARAMS = (
+    "CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 17 = 0 THEN '{broken' WHEN event_id % 5 = 0 THEN '{\"purpose\": \"pose\", \"quality\": null, \"nope\": 1, \"dedup\": {\"nope\": 2}, \"target\": 30, \"coverage\": {\"per_bucket_cap\": 5}}'"
+    " ELSE concat('{\"quantize\": true, \"max_res\": null, \"quality\": {\"min_side_fail\": ', CAST(event_id % 900 AS STRING), ', \"mean_luma_low\": 30.5, \"nope\": 2}, \"dedup\": {\"similarity_threshold\": 0.', CAST(80 + event_id % 20 AS STRING),"
+    " ', \"phash_size\": null, \"phash_exact_max_hamming\": 6}, \"coverage\": {\"soft_face_reject\": false, \"soft_face_rel_ratio\": 0.5, \"cap_factor\": 2, \"cap_min\": 3, \"min_style_variety\": ', CAST(event_id % 9 AS STRING), ', \"per_bucket_cap\": 7}}') END"
+)
+WIDE_JOBS_SQL = f"SELECT event_id AS job_id, {WIDE_PARAMS} AS params FROM events"
+
+
+def wide_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(job_id, params): jobs whose params hold keys of every block."""
+    return table(spark, sf_dir, "events").selectExpr("event_id AS job_id", f"{WIDE_PARAMS} AS params")
+
+
 #: An answer for each document and attempt, in both engines' SQL.
 _SUIT = "CASE doc_id % 8 WHEN 0 THEN CAST((doc_id * 31) % 130 AS STRING) WHEN 1 THEN concat('\"', CAST((doc_id * 31) % 130 AS STRING), '\"') WHEN 2 THEN '62.5' WHEN 3 THEN '\"good\"' WHEN 4 THEN 'null' WHEN 5 THEN '\"71.5\"' WHEN 6 THEN '-3' ELSE 'true' END"
 _FLAG = "CASE (doc_id + {0}) % 7 WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN '\" Yes \"' WHEN 3 THEN '\"no\"' WHEN 4 THEN '1' WHEN 5 THEN '\"1\"' ELSE 'null' END"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..config import CLARITIES, GARMENT_TYPES, POSE_CATEGORIES, SHOT_TYPES, VIEW_ANGLES, CoverageLimits, QualityLimits
 from ..operators.measure import dct_weights
-from ..operators.review import ACTIVE
+from ..operators.review import ACTIVE, PARAMS
 from ..purposes import PURPOSES
 from . import fixtures as X
 
@@ -369,3 +369,15 @@ ORACLE |= {
     "coerce_text_all_attempts": _every_attempt("reason"),
     **{f"normalize_{p}_all_attempts": _every_attempt(*_SHARED, *own) for p, own in _OWN.items()},
 }
+
+
+def _param(block: str, key: str, default: object) -> str:
+    kind = {bool: "BOOLEAN", float: "DOUBLE", str: "VARCHAR"}.get(type(default), "INTEGER")
+    value = "NULL" if default is None else repr(default) if isinstance(default, str) else _d(default) if isinstance(default, float) else str(default)
+    x = f"coalesce(CAST(p ->> '$.{block + '.' if block else ''}{key}' AS {kind}), {value})"
+    return f"CASE WHEN CAST(p ->> '$.target' AS INTEGER) IS NULL THEN {x} END AS {key}" if key == "per_bucket_cap" else f"{x} AS {key}"
+
+
+ORACLE["job_params_all_keys"] = f"""
+WITH j AS (SELECT job_id, CASE WHEN json_valid(params) THEN params ELSE '{{}}' END AS p FROM ({X.WIDE_JOBS_SQL}))
+SELECT job_id, {', '.join(_param(b, k, v) for b, keys in PARAMS.items() for k, v in keys.items())}, CAST(p ->> '$.target' AS INTEGER) AS target FROM j"""

@@ -480,3 +480,8 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     got = A.job_params(X.jobs(spark, sf_dir))
     return got.select("job_id", *(F.col(c).cast("long").alias(c) for c in ("min_suitability", "per_bucket_cap", "target")))
+
+
+@query("job_params_all_keys")
+def _(spark, sf_dir):
+    return A.job_params(X.wide_jobs(spark, sf_dir))

@@ -166,3 +166,11 @@ def test_all_jobs_are_reviewed(spark, name):
 def test_all_attempts_are_coerced(spark):
     got = {(r["doc_id"], r["attempt"]) for r in QUERIES["coerce_text_all_attempts"](spark, "/root/testdata/sf0.001").collect()}
     assert {a for _, a in got} == {1, 2, 3} and (23, 1) not in got and {(23, 2), (23, 3)} <= got
+
+
+def test_params_of_every_block(spark):
+    text = '{"quantize": true, "purpose": "pose", "nope": 1, "quality": {"min_side_fail": 256, "nope": 2}, "dedup": {"similarity_threshold": 0.8}, "coverage": {"soft_face_floor": 90, "cap_min": 2, "min_front_face": 9, "min_garment_visible_shots": 1}}'
+    a, b = A.job_params(spark.createDataFrame([(1, text), (2, "{}")], "job_id long, params string"), {"cap_min": 4}).orderBy("job_id").collect()
+    keys = ("quantize", "purpose", "min_side_fail", "similarity_threshold", "soft_face_floor", "cap_min", "min_front_face", "min_garment_visible_shots", "face_area_frac_min")
+    assert [a[k] for k in keys] == [True, "pose", 256, 0.8, 90.0, 2, 9, 1, 0.004]
+    assert [b[k] for k in keys] == [False, "face", 512, 0.9, 200.0, 4, 4, 8, 0.004]
