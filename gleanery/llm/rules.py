@@ -2,12 +2,13 @@
 
 `quality_rules` judges every text by itself. Base rules fail a text with fewer
 than 50 words or with more than half of its words in repeated 3-word windows.
-Texts that pass them are compressed with zstandard, as a whole and in fixed
-chunks; a ratio (compressed bytes by bytes) below or above the band for its
-length marks repetitive or incompressible text.
+Texts are compressed with zstandard, as a whole and, from one full chunk on, in
+fixed chunks; a ratio (compressed bytes by bytes) below or above the band for its
+length marks repetitive or incompressible text. What is left after the last full
+chunk is a chunk with the band of its length, or part of the last one if short.
 
 Null and empty texts have no words and fail the base rules; their ratios are
-null. Repeated rows give repeated results. Other columns are ignored.
+null. The share of odd chunks is null where no chunk is full. Repeated rows give repeated results. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +36,9 @@ class Bands:
     whole: tuple[tuple[int, float, float], ...] = ((0, 0.30, 1.05), (512, 0.22, 0.95), (2048, 0.16, 0.85), (8192, 0.12, 0.80), (65536, 0.08, 0.75))
     chunk_bytes: int = 4096
     chunk: tuple[float, float] = (0.10, 0.85)
-    #: A text goes if more than this share of its full chunks is outside the chunk band.
+    #: A shorter rest is part of the last chunk: the fixed bytes of a frame would weigh too much.
+    least_rest: int = 512
+    #: A text goes if more than this share of its bytes is in chunks outside their band.
     chunk_share: float = 0.5
     level: int = 3
     least_words: int = 50
@@ -87,18 +90,22 @@ def counts(t: Texts) -> dict[str, np.ndarray]:
     }
 
 
-def _bands(raw: memoryview, packer, b: Bands) -> tuple[bool, float, float]:
+def _bands(raw: memoryview, packer, b: Bands) -> tuple[bool, float, float | None]:
     n = len(raw)
+    limits = lambda n: next((lo, hi) for least, lo, hi in reversed(b.whole) if n >= least)
     ratio = len(packer.compress(raw)) / n
-    low, high = next((lo, hi) for least, lo, hi in reversed(b.whole) if n >= least)
-    odd = full = 0
-    if n >= 2 * b.chunk_bytes:
-        for i in range(0, n - b.chunk_bytes + 1, b.chunk_bytes):
-            r = len(packer.compress(raw[i : i + b.chunk_bytes])) / b.chunk_bytes
-            full += 1
-            odd += not b.chunk[0] <= r <= b.chunk[1]
-    share = odd / full if full else 0.0
-    return low <= ratio <= high and share <= b.chunk_share, ratio, share
+    low, high = limits(n)
+    if n < b.chunk_bytes:
+        return low <= ratio <= high, ratio, None
+    cuts = list(range(0, n, b.chunk_bytes))
+    if n - cuts[-1] < min(b.least_rest, b.chunk_bytes):
+        cuts.pop()
+    odd = 0
+    for i, j in zip(cuts, [*cuts[1:], n], strict=True):
+        lo, hi = b.chunk if j - i >= b.chunk_bytes else limits(j - i)
+        if not lo <= len(packer.compress(raw[i:j])) / (j - i) <= hi:
+            odd += j - i
+    return low <= ratio <= high and odd / n <= b.chunk_share, ratio, odd / n
 
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: Bands = Bands()) -> DataFrame:

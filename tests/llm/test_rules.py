@@ -49,3 +49,17 @@ def test_bands(spark):
     tight = quality_rules(df, bands=Bands(whole=((0, 0.0, 0.01),)))
     assert not any(x["kept"] for x in tight.collect())
     assert noise(3) and quality_rules(df.limit(0)).count() == 0
+
+
+def test_chunks_of_short_texts_and_rests(spark):
+    r = random.Random(3)
+    vocab = ["".join(r.choice("abcdefghijklmno") for _ in range(r.randint(2, 9))) for _ in range(900)]
+    prose = " ".join(r.choice(vocab) for _ in range(3000))
+    same = "ab" * 4000
+    texts = [prose[:4095], prose[:4096], same[:4096] + " " + prose[:3999], prose[:4096] + " " + prose[4096:8000], prose[:4096] + " " + same[:4095], prose[:4097], prose[:4096] + same[:3000], prose[:8192] + same[:600]]
+    got = [x for x in quality_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    share = [x["odd_chunk_share"] for x in got]
+    assert share[0] is None and share[1] == share[3] == share[5] == 0.0
+    assert share[2] == 4096 / 8096 and not got[2]["kept"] and not got[2]["base_failed"] and 0.16 <= got[2]["ratio"] <= 0.85
+    assert share[6] == 3000 / 7096 and share[7] == 600 / 8792 and got[3]["kept"]
+    assert share[4] == 0.5
