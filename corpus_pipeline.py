@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir), works on all rows of `docs` and returns
 the rows that stay, with the columns of documents; the last returns ids.
 
-Rows with null doc_id pass every stage that compares documents by id; rows of
-equal doc_id stay or go together there. Null and empty texts are scored by the
+Documents are compared row by row: of equal rows one stays, rows of equal or null
+doc_id stay or go by their own text. Null and empty texts are scored by the
 classifier like others, have no lines or shingles, and encode to null and no ids.
 """
 
@@ -38,15 +38,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
-    gone = jaccard_components(docs).where("component_id != doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates one row stays, that with the smallest doc_id; rows without one come last."""
+    rows = Scratch(spark).write(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = jaccard_components(rows, "_row").where("n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id")
+    named = found.join(rows.select("_row", "doc_id"), "_row")
+    top = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row"))["_row"].alias("_top"), F.count("*").alias("n")).where("n > 1")
+    gone = named.join(top, "component_id").where("_row != _top").select("_row")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain an item of the benchmark go."""
-    gone = contained(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    gone = contained(keyed, table(spark, sf_dir, "benchmark"), "_key").select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(gone, "_key", "left_anti").select(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -87,3 +87,16 @@ def test_run(spark, sf_dir):
     got = cp.run(spark, sf_dir)
     assert got.columns == ["doc_id", "n_pieces", "ids_sha256", "round_trip", "ids"]
     assert 0 < got.count() < len(rows(cp.table(spark, sf_dir, 'documents')))
+
+
+def test_rows_of_equal_and_null_ids(spark, sf_dir):
+    r = random.Random(4)
+    text = lambda: " ".join(r.choice("abcdefgh") + str(r.randint(0, 99)) for _ in range(40))
+    a, b, c, d = (text() for _ in range(4))
+    item = cp.table(spark, sf_dir, "benchmark").first()["text"]
+    same = lambda rows: spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = lambda stage, rows: sorted(((x["doc_id"], x["text"]) for x in stage(spark, same(rows), sf_dir).collect()), key=repr)
+    rows = [(5, a), (5, a), (3, b), (7, b), (7, c), (None, d), (None, d), (None, a), (8, ""), (8, ""), (9, None)]
+    assert got(cp.near_duplicates, rows) == sorted([(5, a), (3, b), (7, c), (None, d), (8, ""), (8, ""), (9, None)], key=repr)
+    rows = [(1, a), (1, b + " " + item), (None, item), (None, c), (2, item), (2, item), (4, None)]
+    assert got(cp.decontamination, rows) == sorted([(1, a), (None, c), (4, None)], key=repr)
