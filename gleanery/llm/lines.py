@@ -1,70 +1,117 @@
 """Line dedup by winnowing over line hashes, in DataFrame functions only.
 
-Lines are what `\\n` separates; lines without a word are skipped over. A run is
-`min_lines` lines in a row, or one line of at least `long_line` blanks. A line is
-deleted where it stands in a run that also stands earlier: in a document with a
-smaller doc_id, or earlier in the same one. Blank lines inside a deleted stretch
-go with it. All is judged on the input, so the first place of a run stays whole.
-
-In each window of `min_lines` hashes the least one (of equal ones the last) is a
-fingerprint, so equal runs have equal fingerprints. Windows whose fingerprint
-stands at two places or more are kept; windows to both sides of a fingerprint are
-compared as a whole by a hash with the first place of the same lines, and those
-that come later are joined to stretches as long as they reach. Groups are only
-ever aggregated to their first place, so a very common line costs no more than
-its number of places.
-
-Null ids and null texts are left as they are and compared with nothing; empty
-texts have one line without a word. Rows with equal doc_id are ordered by a hash
-of the text, and equal rows are one document. All columns of the table stay;
-`n_lines` and `n_removed` are added, over columns of that name.
+Lines are what `\\n` separates, words `[^\\x20\\x09-\\x0D]+`; lines without a word are
+skipped over. A run is some lines in a row with `min_words` words or more. A line is
+deleted where it lies in a run that also stands earlier: in a document with a
+smaller doc_id, or earlier in the same one. Blank lines go that stand between two
+lines that go. All is judged on the input, so the first place of a run stays whole.
+
+1. A window begins at each line and takes lines until it has `min_words` words. The
+   least line hash in it (of equal ones the last) is a fingerprint, so every run that
+   two places share has a fingerprint in common, and in text of short lines few
+   lines are one. Only windows of fingerprints that stand at two places go on.
+2. Each match is extended both ways from its fingerprint: to the left by the windows
+   that begin earlier and still have it, to the right line by line up to where the
+   next window is whole (from there on that window goes on).
+3. Every position, window by window and line by line, is joined to the first place of
+   the same lines, so a run is followed even where it is continued in another
+   document than it began in. Groups are only ever aggregated to their first place,
+   so a very common line costs no more than its number of places; both joins are
+   salted.
+4. What also stands earlier is joined to stretches, and these go.
+
+Null ids and null texts are left as they are and compared with nothing; texts with
+fewer words than a run, and empty ones, stay. Rows with equal doc_id are ordered by a
+hash of the text, and equal rows are one document. All columns of the table stay;
+`n_lines` and `n_removed` are added, over columns of that name. Jobs run while the
+result is built; what they wrote is dropped but for the runs that go.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import Scratch
 
 WORD = r"[^\x20\x09-\x0D]"
+#: Parts that a common fingerprint or window is spread over in joins.
+SALTS = 8
+
+
+def _window(s: Column, n: Column, min_words: int) -> Column:
+    """Of the lines (h, words) from the n-th on: the window that begins there, its fingerprint, and keys of it and of each longer run."""
+    none = F.array().cast("array<bigint>")
+    zero = F.struct(F.lit(0).alias("words"), F.lit(0).alias("size"), F.lit(0).cast("long").alias("key"), F.lit((1 << 63) - 1).alias("fp"), F.lit(0).alias("fp_at"), none.alias("keys"))
+
+    def step(a: Column, x: Column) -> Column:
+        words, key = a["words"] + x["words"], F.xxhash64(a["key"], x["h"])
+        open_, least = a["words"] < min_words, x["h"] <= a["fp"]
+        # a line after the window makes a longer run until the next window is whole
+        whole = (words >= min_words) & (open_ | (words - s[0]["words"] < min_words))
+        return F.struct(
+            words.alias("words"),
+            (a["size"] + open_.cast("int")).alias("size"),
+            key.alias("key"),
+            F.when(open_ & least, x["h"]).otherwise(a["fp"]).alias("fp"),
+            F.when(open_ & least, a["size"]).otherwise(a["fp_at"]).alias("fp_at"),
+            F.when(whole, F.array_append(a["keys"], key)).otherwise(a["keys"]).alias("keys"),
+        )
+
+    found = lambda a: F.struct(n.alias("first"), (n + a["size"] - 1).alias("last"), a["fp"].alias("fp"), (n + a["fp_at"]).alias("fp_at"), a["keys"].alias("keys"))
+    return F.aggregate(s, zero, step, lambda a: F.when(a["words"] >= min_words, found(a)))
 
 
-def _windows(df: DataFrame, min_lines: int, long_line: int) -> DataFrame:
-    """(doc_id, mark, first, last, key, fp, fp_at) of windows, and of long lines by themselves."""
-    line = lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) >= long_line).alias("long"), x.rlike(WORD).alias("full"))
-    seq = F.filter(F.transform("lines", line), lambda x: x["full"])
-    d = df.select("doc_id", "mark", seq.alias("seq"))
-    # each line with those after it, up to a window; the last windows are shorter
-    d = d.select("doc_id", "mark", F.explode(F.transform("seq", lambda x, n: F.slice("seq", n + 1, F.lit(min_lines)))).alias("w"))
-    first = F.col("w")[0]
-    one = F.when(first["long"], F.struct(first["at"].alias("first"), first["at"].alias("last"), F.xxhash64(first["h"], F.lit(1)).alias("key"), first["h"].alias("fp"), first["at"].alias("fp_at")))
-    least = F.array_min(F.transform("w", lambda x: F.struct(x["h"].alias("h"), (-x["at"]).alias("back"))))
-    more = F.when(F.size("w") == min_lines, F.struct(first["at"].alias("first"), F.col("w")[min_lines - 1]["at"].alias("last"), F.xxhash64(F.transform("w", lambda x: x["h"]), F.lit(min_lines)).alias("key"), least["h"].alias("fp"), (-least["back"]).alias("fp_at")))
-    return d.select("doc_id", "mark", F.explode(F.array_compact(F.array(one, more))).alias("x")).select("doc_id", "mark", "x.*")
+def windows(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, mark, first, last, fp, fp_at, keys) of docs (doc_id, mark, lines); lines with a word are numbered from 0."""
+    line = lambda x: F.struct(F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(WORD + "+")).alias("words"))
+    d = docs.select("doc_id", "mark", F.filter(F.transform("lines", line), lambda x: x["words"] > 0).alias("seq"))
+    # a window and what it is extended by have at most min_words + 1 lines, as each has a word
+    d = d.select("doc_id", "mark", F.posexplode(F.transform("seq", lambda x, n: F.slice("seq", n + 1, F.lit(min_words + 1)))).alias("n", "s"))
+    return d.select("doc_id", "mark", F.explode(F.array_compact(F.array(_window(F.col("s"), F.col("n"), min_words)))).alias("w")).select("doc_id", "mark", "w.*")
 
 
-def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, long_line: int = 49) -> DataFrame:
+def _salted(df: DataFrame) -> DataFrame:
+    """Rows once for each salt."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def later_runs(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, mark, a, b): spans of numbered lines a to b that also stand earlier; written to a table."""
+    scratch = Scratch(docs.sparkSession)
+    # written once: the texts are split and hashed a single time
+    every = scratch.write(windows(docs, min_words).withColumn("salt", F.pmod(F.xxhash64("doc_id", "first"), F.lit(SALTS)).cast("int")))
+    position = F.xxhash64("doc_id", "mark", "fp_at")
+    shared = every.groupBy("fp").agg(F.min(position).alias("x"), F.max(position).alias("y")).where("x != y").select("fp")
+    around = every.join(_salted(shared), ["fp", "salt"], "left_semi")
+    matches = scratch.write(around.select("doc_id", "mark", "salt", F.col("first").alias("a"), "last", F.posexplode("keys").alias("more", "key")))
+    scratch.drop(every)
+    place = F.struct("doc_id", "mark", "a")
+    earliest = matches.groupBy("key").agg(F.min(place).alias("e"), F.max(place).alias("l")).where("e != l").select("key", "e")
+    later = matches.join(_salted(earliest), ["key", "salt"]).where(place != F.col("e"))
+    runs = scratch.write(later.select("doc_id", "mark", "a", (F.col("last") + F.col("more")).alias("b")).distinct())
+    scratch.drop(matches)
+    return runs
+
+
+def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
     """`df` with the lines that stay in `text_col`, and n_lines, n_removed of the text as it was."""
-    if min_lines < 2:
-        raise ValueError("a window has two lines at least")
+    if min_words < 1:
+        raise ValueError("a window has a word at least")
     docs = df.select(F.struct(*df.columns).alias("row"), df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
     docs = docs.withColumn("mark", F.xxhash64("text")).withColumn("lines", F.split("text", "\n"))
-    # written once: the texts are split and hashed a single time
-    windows = Scratch(df.sparkSession).write(_windows(docs.where("doc_id is not null and text is not null"), min_lines, long_line))
-    place = F.struct("doc_id", "mark", "fp_at")
-    shared = windows.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("fp")
-    windows = windows.join(shared, "fp", "left_semi")
-    begins = F.struct("doc_id", "mark", "first")
-    earliest = windows.groupBy("key").agg(F.min(begins).alias("earliest"))
-    later = windows.join(earliest, "key").where(begins != F.col("earliest")).select("doc_id", "mark", "first", "last")
+    later = later_runs(docs.where("doc_id is not null and text is not null"), min_words)
     # stretches: spans that touch or overlap, in order of their start
-    order = Window.partitionBy("doc_id", "mark").orderBy("first", "last")
-    before = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    spans = later.distinct().withColumn("new", F.when(F.col("first") <= before + 1, 0).otherwise(1)).withColumn("stretch", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = spans.groupBy("doc_id", "mark", "stretch").agg(F.struct(F.min("first").alias("a"), F.max("last").alias("b")).alias("run"))
+    order = Window.partitionBy("doc_id", "mark").orderBy("a", "b")
+    before = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    spans = later.withColumn("new", F.when(F.col("a") <= before + 1, 0).otherwise(1)).withColumn("stretch", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = spans.groupBy("doc_id", "mark", "stretch").agg(F.struct(F.min("a").alias("a"), F.max("b").alias("b")).alias("run"))
     runs = runs.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list("run")).alias("runs"))
     both = docs.join(runs, ["doc_id", "mark"], "left")
+    # from numbered lines to all lines, blank ones between two that go with them
+    places = F.array_compact(F.transform("lines", lambda x, i: F.when(x.rlike(WORD), i)))
+    whole = F.transform(F.array(places), lambda p: F.transform("runs", lambda r: F.struct(p[r["a"]].alias("a"), p[r["b"]].alias("b"))))[0]
+    both = both.withColumn("runs", F.when(F.col("runs").isNotNull(), whole))
     n = F.size("lines")
     ends = F.array(F.struct(n.alias("a"), n.alias("b")))
     start = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.col("runs")[i - 1]["b"] + 1)

@@ -81,13 +81,17 @@ WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos
   FROM documents WHERE text IS NOT NULL),
 f AS (
-  SELECT *, lead(line) OVER w AS line2, lead(pos) OVER w AS pos2 FROM l
-  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-r AS (
-  SELECT doc_id, pos AS a, pos2 AS b, line || chr(10) || line2 AS key FROM f WHERE pos2 IS NOT NULL
-  UNION ALL SELECT doc_id, pos, pos, line FROM f WHERE length(line) - length(replace(line, ' ', '')) >= 49),
-e AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, a) AS nth FROM r),
-g AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS pos FROM e WHERE nth > 1),
+  SELECT *, row_number() OVER d AS n, sum(w) OVER d AS upto
+  FROM (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM l) WHERE w > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+w AS (SELECT a.doc_id, a.n, min(b.n) AS e, min(b.n) FILTER (b.upto >= a.upto + 50) AS next_e
+  FROM f a JOIN f b ON a.doc_id = b.doc_id AND b.n BETWEEN a.n AND a.n + 50 AND b.upto >= a.upto - a.w + 50 GROUP BY ALL),
+t AS (SELECT doc_id, list(line ORDER BY n) AS lines FROM f GROUP BY doc_id),
+m AS (SELECT doc_id, n, unnest(range(e, CASE WHEN next_e IS NULL THEN len(lines) + 1 ELSE greatest(next_e, e + 1) END)) AS b, lines FROM w JOIN t USING (doc_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY array_to_string(lines[n:b], chr(10)) ORDER BY doc_id, n) AS nth FROM m),
+r AS (SELECT doc_id, n AS a, b FROM o WHERE nth > 1),
+s AS (SELECT f.doc_id, f.pos, x.n IS NOT NULL AS gone FROM f LEFT JOIN (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS n FROM r) x ON f.doc_id = x.doc_id AND f.n = x.n),
+v AS (SELECT l.doc_id, l.pos, coalesce(s.gone, last_value(s.gone IGNORE NULLS) OVER (PARTITION BY l.doc_id ORDER BY l.pos) AND first_value(s.gone IGNORE NULLS) OVER (PARTITION BY l.doc_id ORDER BY l.pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS gone FROM l LEFT JOIN s ON l.doc_id = s.doc_id AND l.pos = s.pos),
+g AS (SELECT doc_id, pos FROM v WHERE gone),
 k AS (
   SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed,
     coalesce(string_agg(CASE WHEN g.pos IS NULL THEN l.line END, chr(10) ORDER BY l.pos), '') AS kept

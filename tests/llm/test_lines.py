@@ -1,49 +1,79 @@
 import random
 import re
 
-from gleanery.llm.lines import line_dedup
+from gleanery.llm.lines import line_dedup, windows
 
 
-def brute(rows, w=2, long_line=49):
-    """rows: (doc_id, text), ids distinct. {doc_id: text that stays}"""
+def brute(rows, min_words=50):
+    """rows: (doc_id, text), ids distinct. {doc_id: text that stays, lines, lines that go}. All runs, by the definition."""
     seen, out = set(), {}
     for d, t in sorted((r for r in rows if r[0] is not None and r[1] is not None), key=lambda r: r[0]):
         lines = t.split("\n")
-        full = [i for i, x in enumerate(lines) if re.search(r"[^\x20\x09-\x0D]", x)]
+        words = [len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in lines]
+        full = [i for i, n in enumerate(words) if n]
         gone = set()
         for j in range(len(full)):
-            runs = [full[j : j + w]] if j + w <= len(full) else []
-            runs += [full[j : j + 1]] if lines[full[j]].count(" ") >= long_line else []
-            for run in runs:
-                key = tuple(lines[i] for i in run)
-                if key in seen:
-                    gone |= set(range(run[0], run[-1] + 1))
-                seen.add(key)
+            total = 0
+            for k in range(j, len(full)):
+                total += words[full[k]]
+                if total >= min_words:
+                    run = tuple(lines[i] for i in full[j : k + 1])
+                    if run in seen:
+                        gone |= set(full[j : k + 1])
+                    seen.add(run)
+        for x, y in zip(full[:-1], full[1:]):  # blank lines between two that go
+            if x in gone and y in gone:
+                gone |= set(range(x, y))
         out[d] = ("\n".join(x for i, x in enumerate(lines) if i not in gone), len(lines), len(gone))
     return out
 
 
 def make(seed=1, n=150):
     r = random.Random(seed)
-    pool = [f"line {i} {'x ' * r.choice([0, 3, 60])}" for i in range(60)] + ["", "  ", "\t", "common"]
-    return [(i, "\n".join(r.choice(pool) if r.random() < 0.7 else f"own {i} {r.random()}" for _ in range(r.choice([0, 1, 2, 5, 12, 40])))) for i in range(n)]
+    pool = [f"line {i} {'x ' * r.choice([0, 3, 10, 60])}" for i in range(60)] + ["", "  ", "\t", "common"]
+    some = ["\n".join(r.choice(pool) for _ in range(12)) for _ in range(9)]
+    line = lambda i: r.choice(some) if r.random() < 0.2 else r.choice(pool) if r.random() < 0.7 else f"own {i} {r.random()}"
+    return [(i, "\n".join(line(i) for _ in range(r.choice([0, 1, 2, 5, 12, 40])))) for i in range(n)]
 
 
 def test_like_brute_force(spark):
     rows = make()
-    rows += [(1000, rows[5][1]), (1001, "a\na\na\na"), (1002, None), (1003, ""), (1004, "\n\n"), (1005, "many\n" * 5000), (1006, "é\nß\n\né\nß")]
-    for w in (2, 3):
+    rows += [(1000, rows[5][1]), (1001, "a\na\na\na"), (1002, None), (1003, ""), (1004, "\n\n"), (1005, "many\n" * 150), (1006, "é\nß\n\né\nß"), (1007, "a\tb " * 40_000), (1008, "y\n" + "a\tb " * 40_000 + "\n" + "a\tb " * 40_000)]
+    for w in (1, 2, 7, 50):
         df = spark.createDataFrame([(t, d, "x", 3) for d, t in rows], "text string, doc_id long, doc string, mark int")
-        got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in line_dedup(df, min_lines=w).collect()}
+        got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in line_dedup(df, min_words=w).collect()}
         want = brute(rows, w)
         assert {d: got[d] for d in want} == want
         assert got[1002] == (None, 0, 0)
-        assert line_dedup(df).columns == ["text", "doc_id", "doc", "mark", "n_lines", "n_removed"]
+    assert sum(x[2] for x in want.values()) > 100
+    assert line_dedup(df).columns == ["text", "doc_id", "doc", "mark", "n_lines", "n_removed"]
+
+
+def test_matches_reach_both_ways(spark):
+    """A run is followed to lines that begin or end no window of their own; separators other than blanks part words."""
+    long, a, b = "w\t" * 60, "lead in", "tail of it"
+    many = line_dedup(spark.createDataFrame([(1, "many\n" * 5000)], "doc_id long, text string")).first()
+    assert (many["text"], many["n_lines"], many["n_removed"]) == ("many\n", 5001, 4999)
+    rows = [(1, f"one\n{a}\n{long}\n{b}\nx1"), (2, f"two\n{a}\n{long}\n{b}\nx2"), (3, f"{' ' * 60}v"), (4, f"{' ' * 60}v")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**dict(rows), 2: "two\nx2"}
+
+
+def test_fingerprints_are_sparse(spark):
+    """In text of short lines few lines are fingerprints, and every shared run has one in common."""
+    r = random.Random(7)
+    run = [f"{r.random()} {r.random()}" for _ in range(25)]
+    docs = [(i, [f"{r.random()} z" for _ in range(100)] + run + [f"{r.random()} z" for _ in range(100)]) for i in range(2)]
+    df = spark.createDataFrame([(i, 0, x) for i, x in docs], "doc_id long, mark long, lines array<string>")
+    found = windows(df, 50).select("doc_id", "fp", "fp_at").distinct().collect()
+    assert len(found) < 0.2 * sum(len(x) for _, x in docs)
+    inside = [{x["fp"] for x in found if x["doc_id"] == i and 100 <= x["fp_at"] < 125} for i in range(2)]
+    assert inside[0] & inside[1]
 
 
 def test_nulls_and_repeated_rows(spark):
     df = spark.createDataFrame([(None, "a b\nc d"), (1, "a b\nc d"), (1, "a b\nc d"), (2, "x\na b\nc d")], "doc_id long, text string")
-    got = sorted(((r["doc_id"], r["text"]) for r in line_dedup(df).collect()), key=repr)
+    got = sorted(((r["doc_id"], r["text"]) for r in line_dedup(df, min_words=4).collect()), key=repr)
     assert got == sorted([(None, "a b\nc d"), (1, "a b\nc d"), (1, "a b\nc d"), (2, "x")], key=repr)
     assert line_dedup(df.limit(0)).count() == 0
 

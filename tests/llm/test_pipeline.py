@@ -15,7 +15,7 @@ def sf_dir(spark, tmp_path_factory):
     vocab = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(400)]
     text = lambda n: ". ".join(" ".join(r.choice(vocab) for _ in range(12)) for _ in range(n))
     bench = [(i, " ".join(r.choice(vocab) for _ in range(30))) for i in range(6)]
-    docs, shared = [], [text(1) + "\n" + text(1) for _ in range(3)]
+    docs, shared = [], [text(3) + "\n" + text(3) for _ in range(3)]
     for i in range(160):
         t = "\n".join(text(1) for _ in range(r.randint(3, 9)))
         kind = r.random()
