@@ -20,27 +20,41 @@ def strip(s: Column) -> Column:
     return F.regexp_replace(s, _SPACE, "")
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, with x computed once however often f names it (columns are written out at each use)."""
+    return F.transform(F.array(x), f)[0]
+
+
 def json_text(answer: Column) -> Column:
     """The text from the first { to the } that balances it; braces in strings count. Null if none does."""
-    text = strip(F.regexp_replace(answer, r"```(?:json)?", ""))
-    start = F.instr(text, "{")
-    rest = F.substr(text, start)
-    # only braces decide: one step for each of them instead of one for each character
-    marks = F.filter(F.transform(F.split(rest, "(?=[{}])"), lambda x, i: F.struct(F.length(x).alias("n"), F.when(x.startswith("{"), 1).when(x.startswith("}"), -1).otherwise(0).alias("d"))), lambda x: x["n"] > 0)
     zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(-1).alias("end"))
 
     def step(a: Column, x: Column) -> Column:
         depth = a["depth"] + x["d"]
         return F.struct(depth.alias("depth"), (a["at"] + x["n"]).alias("at"), F.when((a["end"] < 0) & (x["d"] == -1) & (depth == 0), a["at"] + 1).otherwise(a["end"]).alias("end"))
 
-    end = F.aggregate(marks, zero, step, lambda a: a["end"])
-    return F.when((start > 0) & (end > 0), F.substr(rest, F.lit(1), end))
+    def balanced(rest: Column) -> Column:
+        # only braces decide: one step for each of them instead of one for each character
+        mark = lambda x: F.struct(F.length(x).alias("n"), F.when(x.startswith("{"), 1).when(x.startswith("}"), -1).otherwise(0).alias("d"))
+        marks = F.filter(F.transform(F.split(rest, "(?=[{}])"), mark), lambda x: x["n"] > 0)
+        return F.aggregate(marks, zero, step, lambda a: F.when(a["end"] > 0, F.substr(rest, F.lit(1), a["end"])))
+
+    text = strip(F.regexp_replace(answer, r"```(?:json)?", ""))
+    return bound(text, lambda t: F.when(F.contains(t, F.lit("{")), bound(F.substr(t, F.instr(t, "{")), balanced)))
+
+
+def _is_object(v: Column) -> Column:
+    return F.schema_of_variant(v).startswith("OBJECT")
 
 
 def parsed(answer: Column) -> Column:
     """The answer's JSON object as VARIANT, or null."""
-    v = F.try_parse_json(json_text(answer))
-    return F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
+    return bound(F.try_parse_json(json_text(answer)), lambda v: F.when(_is_object(v), v))
+
+
+def there(x: Column) -> Column:
+    """Generates x where it isn't null: a filter after the column would have it computed a second time."""
+    return F.explode(F.array_compact(F.array(x)))
 
 
 class Field:
@@ -139,7 +153,8 @@ SCHEMAS: dict[str, list[tuple[str, _Part]]] = {
 
 def normalize(v: Column, purpose: str = "face") -> Column:
     """The evaluation struct of a VARIANT object; null for null."""
-    return F.when(v.isNotNull(), F.struct(*(part(v).alias(name) for name, part in SCHEMAS.get(purpose, SCHEMAS["face"]))))
+    fields = SCHEMAS.get(purpose, SCHEMAS["face"])
+    return bound(v, lambda v: F.when(v.isNotNull(), F.struct(*(part(v).alias(name) for name, part in fields))))
 
 
 def attempt_resolve(images: DataFrame, answers: DataFrame, purpose: str = "face") -> DataFrame:
@@ -147,10 +162,11 @@ def attempt_resolve(images: DataFrame, answers: DataFrame, purpose: str = "face"
 
     answers: job_ref, image_id, attempt, answer. Only attempts 1 and 2 count.
     """
-    good = answers.where("attempt in (1, 2)").select("job_ref", "image_id", "attempt", json_text(F.col("answer")).alias("object"))
-    good = good.where(F.schema_of_variant(F.try_parse_json("object")).startswith("OBJECT"))
+    read = bound(json_text(F.col("answer")), lambda t: F.when(_is_object(F.try_parse_json(t)), t))
+    good = answers.where("attempt in (1, 2)").select("job_ref", "image_id", "attempt", there(read).alias("object"))
     first = good.groupBy("job_ref", "image_id").agg(F.min_by("object", "attempt").alias("object"))
     joined = images.join(first, ["job_ref", "image_id"], "left")
+    failed = F.col("object").isNull()
     vl = normalize(F.parse_json(F.coalesce("object", F.lit("{}"))), purpose)
-    out = joined.select(*images.columns, vl.alias("vl"), F.col("object").isNull().alias("parse_failed"))
-    return out.withColumn("vl", F.when(F.col("parse_failed"), F.col("vl").withField("reason", F.lit("model output could not be parsed"))).otherwise(F.col("vl")))
+    vl = bound(vl, lambda e: F.when(failed, e.withField("reason", F.lit("model output could not be parsed"))).otherwise(e))
+    return joined.select(*images.columns, vl.alias("vl"), failed.alias("parse_failed"))

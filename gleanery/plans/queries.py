@@ -200,7 +200,7 @@ def _answered(name: str, build):
 
 def _coerced(name: str, build):
     def coerced(answers, *keys):
-        v = answers.select(*keys, V.parsed(F.col("answer")).alias("v")).where("v is not null")
+        v = answers.select(*keys, V.there(V.parsed(F.col("answer"))).alias("v"))
         return v.select(*keys, *(c.alias(n) for n, c in build(lambda key: V.Field(F.col("v"), key)).items()))
 
     _answered(name, coerced)
@@ -215,7 +215,7 @@ _coerced("coerce_text", lambda f: {"reason": V.as_text(f("reason"))})
 
 def _normalized(purpose: str):
     def normalized(answers, *keys):
-        vl = answers.select(*keys, V.normalize(V.parsed(F.col("answer")), purpose).alias("vl")).where("vl is not null")
+        vl = answers.select(*keys, V.there(V.normalize(V.parsed(F.col("answer")), purpose)).alias("vl"))
         flat = []
         for name, _part in V.SCHEMAS[purpose]:
             c = F.col("vl")[name]
