@@ -6,14 +6,16 @@ theirs, over the neighbouring words joined by one space. A detection is dropped
 when one of higher rank (priority, then length, start, order of the rules) holds
 its whole interval.
 
-Null and empty texts give no words, no places and empty label lists. Repeated
+Null ids are passed through. Null and empty texts give no words, no places and empty label lists. Repeated
 rows give repeated results; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -35,25 +37,37 @@ def _hash(words: list[str]) -> np.ndarray:
 
 
 def suppress(found: list[tuple[int, int, int, str, float, int]]) -> list[tuple[int, int, int, str, float, int]]:
-    """Of (first, last, priority, label, score, order of the rule), those not inside one of higher rank."""
+    """Of (first, last, priority, label, score, order of the rule), those not inside one of higher rank.
+
+    One sweep in order of rank; of what was seen only intervals that lie in no other are remembered, in order of both ends.
+    """
     kept: list = []
+    firsts: list[int] = []
+    lasts: list[int] = []
     for x in sorted(found, key=lambda x: (-x[2], x[0] - x[1], x[0], x[5])):
-        if not any(k[0] <= x[0] and x[1] <= k[1] for k in kept):
-            kept.append(x)
+        i = bisect_right(firsts, x[0])
+        if i and lasts[i - 1] >= x[1]:
+            continue
+        kept.append(x)
+        lo = hi = bisect_left(firsts, x[0])
+        while hi < len(lasts) and lasts[hi] <= x[1]:
+            hi += 1
+        firsts[lo:hi], lasts[lo:hi] = [x[0]], [x[1]]
     return sorted(kept)
 
 
 class Scanner:
     def __init__(self, all_rules: tuple[Rule, ...] = ()):
         self.rules = all_rules or rules()
-        keywords = sorted({r.keyword for r in self.rules})
+        keywords = sorted({k for r in self.rules for k in r.keyword.split("|")})
         h = _hash(keywords)
         self.by_hash = {int(x): k for x, k in zip(h, keywords, strict=True)}
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[h & np.uint64(0xFFFF)] = True
         self.of: dict[str, list[tuple[int, Rule, re.Pattern]]] = {}
         for n, r in enumerate(self.rules):
-            self.of.setdefault(r.keyword, []).append((n, r, re.compile(rf"(?<![^ ])(?:{r.pattern})(?![^ ])")))
+            for k in r.keyword.split("|"):
+                self.of.setdefault(k, []).append((n, r, re.compile(rf"(?<![^ ])(?:{r.pattern})(?![^ ])")))
         self.base = [(_hash(p.split()), label) for p, label in BASE.items()]
 
     def keywords(self, h: np.ndarray) -> list[tuple[int, str]]:
@@ -75,12 +89,14 @@ class Scanner:
                 zones.append([lo, hi, {k}])
         for lo, hi, keys in zones:
             text = " ".join(words[lo:hi])
+            begin = list(accumulate((len(w) + 1 for w in words[lo : hi - 1]), initial=0))
             for k in keys:
                 for n, r, pattern in self.of[k]:
                     for m in pattern.finditer(text):
-                        first = lo + text.count(" ", 0, m.start())
-                        last = first + m[0].strip().count(" ")
-                        version = next((g for g in m.groups() if g), None)
+                        named = "at" in pattern.groupindex
+                        start, end = m.span("at" if named else 0)
+                        first, last = (lo + bisect_right(begin, at) - 1 for at in (start, end - 1))
+                        version = None if named else next((g for g in m.groups() if g), None)
                         found.add((first, last, r.priority, f"{r.label}-{version.replace(' ', '.')}" if version else r.label, r.score, n))
         return suppress(list(found))
 
