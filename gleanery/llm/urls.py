@@ -1,18 +1,20 @@
 """URL filters: a sort-merge range join of urls with (host, path prefix) rules.
 
-A host is written with its labels reversed, each ended by a byte 0x01, so that a
-host and all its subdomains are one interval of keys: rule host `example.net` is
-`net\\x01example\\x01` up to the next string that doesn't start with it. Urls and
+A host is written with its labels reversed, each ended by a byte 0x01 (one inside a
+label is escaped), so that a host and all its subdomains are one interval of keys:
+rule host `example.net` is `net\\x01example\\x01` up to the next string that doesn't
+start with it. Urls and
 rules are dealt into the same key ranges, sorted, and swept once with a stack
 of the host intervals that are open; nested rules lie above each other. Of the
 open rules whose path starts the url's path the longest (host and path) wins,
 then the first in (host, path, verdict) order.
 
-Ranges are bounded by (key, id) of a fixed number of urls, so one hot host is
-spread over several ranges; a rule goes to each range that its interval meets.
-The bounds steer the balance only, never the result.
+Ranges are bounded by (key, id) of urls of least hash, one range for each RANGE_ROWS
+urls, so one hot host is spread over several ranges; a rule goes to each range that
+its interval meets. The bounds steer the balance only, never the result. Two jobs, a
+count and the choice of bounds (a few for each range), run while the plan is built.
 
-Null urls and urls without `://` have an empty host and path; no rule fits them.
+Null ids are passed through. Null urls and urls without `://` have an empty host and path; no rule fits them.
 Null rules are ignored, an empty rule host fits every url that has a host.
 Repeated urls and ids keep one row each; other columns are ignored.
 """
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 SCHEMA = "page_id long, host string, path string, rule string, verdict string"
 #: A key after all that start with a prefix ending in 0x01: the last byte becomes 0x02.
 _LABEL_END, _AFTER = "\x01", "\x02"
-#: Urls that bound the key ranges.
-BOUNDS = 1024
+#: Urls of one range, and urls looked at for each bound.
+RANGE_ROWS, LOOKED_AT = 100_000, 8
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -41,7 +43,8 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 
 def host_key(host: Column) -> Column:
-    return F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), _LABEL_END), F.lit(_LABEL_END)))
+    plain = F.replace(F.replace(host, F.lit(_AFTER), F.lit(_AFTER + "b")), F.lit(_LABEL_END), F.lit(_AFTER + "a"))
+    return F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(plain, r"\.")), _LABEL_END), F.lit(_LABEL_END)))
 
 
 def _sweep(batches: Iterator[pa.RecordBatch], default: str) -> Iterator[pa.RecordBatch]:
@@ -73,10 +76,11 @@ def url_filter(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_c
     host, path = split_url(F.col("url"))
     u = urls.select(urls[id_col].cast("long").alias("id"), urls[url_col].cast("string").alias("url")).select("id", host.alias("host"), path.alias("path"))
     u = u.withColumn("key", host_key(F.col("host")))
-    # the bounds: at most BOUNDS keys, chosen by a hash, so the same in each run
-    picked = u.select("key", "id").orderBy(F.xxhash64("id", "key", F.lit(7)), "key", "id").limit(BOUNDS).collect()
-    ends = sorted({(r["key"], r["id"] or 0) for r in picked})
-    n = max(1, min(len(ends), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    count = u.count()
+    n = -(-count // RANGE_ROWS) + int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = F.xxhash64("id", "key", F.lit(7)).bitwiseAND(F.lit((1 << 62) - 1)) < int(min(1.0, LOOKED_AT * n / max(count, 1)) * (1 << 62))
+    ends = sorted({(r["key"], r["id"] or 0) for r in u.where(least).select("key", "id").collect()})
+    n = max(1, min(len(ends), n))
     bounds = [ends[len(ends) * k // n] for k in range(1, n)] if ends else []
 
     @F.pandas_udf("int")
@@ -95,4 +99,4 @@ def url_filter(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_c
     rule = rules.select(F.translate(rules["host"].cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("host"), rules["path"].cast("string").alias("path"), rules["verdict"].cast("string").alias("verdict")).dropna()
     rule = rule.withColumn("key", host_key(F.col("host"))).withColumn("part", F.explode(ranges_of("key")))
     both = u.select(range_of("key", "id").alias("part"), "key", F.lit(1).alias("kind"), "id", "host", "path", F.lit(None).cast("string").alias("verdict")).unionByName(rule.select("part", "key", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), "host", "path", "verdict"))
-    return both.repartition("part").sortWithinPartitions("part", "key", "kind", "id").mapInArrow(lambda it: _sweep(it, default), SCHEMA)
+    return both.repartitionByRange(n, "part").sortWithinPartitions("part", "key", "kind", "id").mapInArrow(lambda it: _sweep(it, default), SCHEMA)

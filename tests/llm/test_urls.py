@@ -17,7 +17,7 @@ def brute(url, rules, default="allow"):
 
 def make():
     r = random.Random(4)
-    hosts = ["example.net", "a.example.net", "b.a.example.net", "xample.net", "net", "example.com", "Example.COM", "org", "x.org", "xorg", "localhost:80", "é.net", ""]
+    hosts = ["example.net", "a.example.net", "b.a.example.net", "xample.net", "net", "example.com", "Example.COM", "org", "x.org", "xorg", "localhost:80", "é.net", "", "net\x01evil", "x.net\x01evil", "evil\x01.net", "net\x02", "net\x02a", "\x01net", "a\x02.net", "net\x01"]
     paths = ["", "/", "/en/", "/en/1", "/de/x", "/fr/", "/EN/", "//"]
     out = [(i, f"{r.choice(['http', 'https', ''])}://{r.choice(hosts)}{r.choice(paths)}{r.choice(['', '?q=http://z.net/', '#f'])}") for i in range(600)]
     out += [(900, None), (901, ""), (902, "no scheme.net/en/"), (903, "://"), (904, "a://b://c.net/"), (905, "http://x.net/" + "y" * 100_000), (906, "http://a.net\n/en/"), (None, "http://z.net/"), (3, out[3][1]), (3, out[3][1])]
@@ -30,9 +30,9 @@ RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 def test_like_brute_force(spark, monkeypatch):
     pages = make()
     df = spark.createDataFrame([(*p, "h", "v") for p in pages], "page_id long, url string, host string, verdict string")
-    for rules in (RULES, [*RULES, ("", "/fr/", "block"), ("net", "/", "allow")], []):
-        for bounds in (1024, 3):
-            monkeypatch.setattr(urls, "BOUNDS", bounds)
+    for rules in (RULES, [*RULES, ("", "/fr/", "block"), ("net", "/", "allow"), ("net\x01evil", "/", "block"), ("net\x02a", "/", "block")], []):
+        for size in (100_000, 7):
+            monkeypatch.setattr(urls, "RANGE_ROWS", size)
             table = spark.createDataFrame([*rules, (None, "/", "block"), ("x", None, "block")], "host string, path string, verdict string")
             got = sorted(map(tuple, urls.url_filter(df, table).collect()), key=repr)
             assert got == sorted(((i, *brute(u, rules)) for i, u in pages), key=repr)
