@@ -39,11 +39,13 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..plans.lineage import Scratch
-from .arrays import by_key, emit, total
+from .arrays import by_key, emit, packed, total
 from .textbytes import LOWER, Texts, column, mix, pieces, shingles
 
 SKETCH = 1 << 20
 SMALL, BLOCK = 8, 512
+#: Entries of prefixes (15 bytes) in a bucket.
+BUCKET = 1 << 19
 _WHOLE = 1 << 30
 
 
@@ -235,22 +237,23 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 np.add(counter, np.bincount((np.concatenate(waiting) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), out=counter)
                 waiting.clear()
 
-        names = ["doc_id", "n_shingles", "node", "part", "data"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        names = ["doc_id", "n_shingles", "node", "part", "task", "data"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         for batch, sets in _each(batches, words):
             waiting += sets
             count(SKETCH // 2)
             n = len(sets)
-            columns = [batch.column(0), [len(s) for s in sets], [node_of(s) for s in sets], [None] * n, [None] * n]
+            columns = [batch.column(0), [len(s) for s in sets], [node_of(s) for s in sets], [None] * n, [None] * n, [None] * n]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
         count(0)
-        for part, data in emit(counter):
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(([None], [None], [None], [part], [data]), kinds, strict=True)], names=names)
+        for row in emit(counter):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(([None], [None], [None], *([x] for x in row)), kinds, strict=True)], names=names)
 
-    both = scratch.write(docs.mapInArrow(name, "doc_id long, n_shingles long, node long, part int, data binary"))
+    both = scratch.write(docs.mapInArrow(name, "doc_id long, n_shingles long, node long, part int, task int, data binary"))
     named = both.where("part is null").select("doc_id", "n_shingles", "node")
     sketch = spark.sparkContext.broadcast(np.minimum(total(both.where("part is not null"), SKETCH), (1 << 24) - 1).astype(np.uint64))
-    buckets = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_prefix = named.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) + n_prefix * (100 - percent + 5) // 100 // BUCKET
 
     def prefixes(batches):
         count = sketch.value
@@ -260,12 +263,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         def flush():
             tok, node, size, hot, a, b = _ahead(*(np.concatenate(x) for x in zip(*held, strict=True)), percent)
             held.clear()
-            rows = []
-            for kind, bucket, parts in ((0, (tok >> np.uint64(32)) % np.uint64(buckets), (tok.astype(np.uint32), node, size, hot)), (1, a.view(np.uint64) % np.uint64(buckets), (a, b))):
-                order = np.argsort(bucket, kind="stable")
-                at = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64)).tolist()
-                parts = [x[order] for x in parts]
-                rows += [(k, kind, b"".join(x[at[k] : at[k + 1]].tobytes() for x in parts)) for k in range(buckets) if at[k + 1] > at[k]]
+            rows = packed(0, (tok >> np.uint64(32)) % np.uint64(buckets), (tok.astype(np.uint32), node, size, hot)) + packed(1, a.view(np.uint64) % np.uint64(buckets), (a, b))
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "kind", "data"])
 
         for batch, sets in _each(batches, words):

@@ -97,9 +97,9 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
                             dim, sign = _index(key, salt + j)
                             acc += np.bincount((base + ids[me]) * DIM + dim, weights=sign, minlength=len(acc)).astype(np.int64)
         parts = emit(acc)
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in parts], pa.int32()), pa.array([d for _, d in parts], pa.binary())], names=["part", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in parts], k) for c, k in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["part", "task", "data"])
 
-    sums = total(docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(run, "part int, data binary"), rows * DIM).reshape(rows, DIM).astype(np.float64)
+    sums = total(docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(run, "part int, task int, data binary"), rows * DIM).reshape(rows, DIM).astype(np.float64)
     norm = np.linalg.norm(sums, axis=1, keepdims=True)
     return (sums / np.where(norm > 0, norm, 1.0)).astype(np.float32)
 

@@ -11,14 +11,17 @@ windows, so
    places of one, come back to the texts that have them. A task sends two texts at
    most for an anchor and answers for those it holds itself, so a very common
    anchor grows with the tasks and not with the texts;
-2. stretches of windows with one such anchor go, as bytes, to the anchor's bucket.
-   Of equal stretches in one task only the first is sent, the rest is known to go;
+2. stretches of windows with one such anchor go, as packed bytes, to the anchor's
+   bucket. Of equal stretches in one task only the first is sent, the rest is known
+   to go, and only its place is sent;
 3. a bucket sorts the suffixes of its stretches in two stages: those smaller than
    their successors are sorted directly, the others induced by scans over the
    buckets of first bytes. Neighbours with a common prefix of `length` bytes are
    equal windows, of which the first place stays;
 4. windows that go make each text's removed runs.
-Later copies of a whole text go as a whole without being compared.
+Later copies of a whole text go as a whole without being compared. Buckets are as
+many as the bytes of all texts need at BUCKET bytes each, which one job counts while
+the plan is built.
 
 Null texts are empty. Null ids are compared with nothing and lose nothing. Rows
 with equal doc_id and different texts are ordered by a hash of the text; equal
@@ -32,14 +35,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import by_key
+from .arrays import by_key, packed, runs
 from .textbytes import Texts, column, mix, pieces
 
 GRAM = 16
+#: Bytes of texts for each bucket; a bucket gets anchors of a third of that, and stretches of what repeats.
+BUCKET = 8 << 20
 _HELD = 8 << 20
+#: Suffixes that are copied out at once to be sorted.
+_SLICE = 1 << 16
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -117,12 +125,21 @@ def first_places(text: np.ndarray, off: np.ndarray, key: np.ndarray, length: int
     # first stage: B suffixes sorted directly by their bytes
     b = np.flatnonzero(needed & smaller)
     views = np.lib.stride_tricks.sliding_window_view(np.concatenate([text, np.zeros(length, np.uint8)]), length)
-    rows = views[b]
-    own_end = np.repeat(end, end - begin)[b]
-    for i in np.flatnonzero(b + length > own_end).tolist():
-        rows[i, own_end[i] - b[i] :] = 0
-    b = b[np.argsort(np.ascontiguousarray(rows).view(f"S{length}").ravel(), kind="stable")]
-    del rows
+    own_end = np.repeat(end, end - begin)
+    # slices of equal first two bytes, so few suffixes are copied out at a time
+    pair = text[b].astype(np.int32) * 256 + np.where(b + 1 < own_end[b], text[np.minimum(b + 1, n - 1)], 0)
+    order = np.argsort(pair, kind="stable")
+    b, pair = b[order], pair[order]
+    cut = np.append(np.flatnonzero(np.append(True, pair[1:] != pair[:-1])), len(b)) if len(b) else np.zeros(1, np.int64)
+    lo = 0
+    while lo < len(b):
+        hi = int(cut[max(np.searchsorted(cut, lo + _SLICE, "right") - 1, np.searchsorted(cut, lo, "right"))])
+        mine = b[lo:hi]
+        rows = views[mine]
+        for i in np.flatnonzero(mine + length > own_end[mine]).tolist():
+            rows[i, own_end[mine[i]] - mine[i] :] = 0
+        b[lo:hi] = mine[np.argsort(np.ascontiguousarray(rows).view(f"S{length}").ravel(), kind="stable")]
+        lo = hi
     b_at = np.searchsorted(text[b], np.arange(257))
     # second stage: A suffixes, bucket by bucket of the first byte, in the order of their successors
     a = np.flatnonzero(needed & ~smaller)
@@ -174,16 +191,23 @@ def _merge(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, n
 _SPANS = "doc_id long, mark long, a long, b long"
 
 
-def _span_batch(doc_id: np.ndarray, mark: np.ndarray, a: np.ndarray, b: np.ndarray, **more) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (doc_id, mark, a, b)), *more.values()], names=["doc_id", "mark", "a", "b", *more])
+def _span_batch(doc_id: np.ndarray, mark: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc_id, mark, a, b)], names=["doc_id", "mark", "a", "b"])
 
 
 def _sort_bucket(key: tuple, table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
-    """Spans that go, from a bucket's stretches."""
+    """Spans that go: those known before, and from a bucket's stretches."""
     head, text = [], []
+    unpack = zstandard.ZstdDecompressor()
     for h, d in zip(table.column("head").to_pylist(), table.column("data").to_pylist(), strict=True):
-        head.append(np.frombuffer(h, np.int64).reshape(4, -1))
-        text.append(np.frombuffer(d, np.uint8))
+        places = np.frombuffer(h, np.int64).reshape(4, -1)
+        if d is None:
+            yield _span_batch(*places)
+        else:
+            head.append(places)
+            text.append(np.frombuffer(unpack.decompress(d), np.uint8))
+    if not head:
+        return
     head, text = np.concatenate(head, 1), np.concatenate(text)
     doc_id, mark, start, size = head
     off = np.concatenate([[0], np.cumsum(size)])
@@ -204,7 +228,8 @@ def _sort_bucket(key: tuple, table: pa.Table, length: int) -> Iterator[pa.Record
 def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     """(doc_id, mark, a, b): bytes [a, b) of first copies that go. docs: doc_id, text, mark; ids not null."""
     spark = docs.sparkSession
-    buckets = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) + n_bytes // BUCKET
     bucket_of = lambda h: (h >> np.uint64(32)) % np.uint64(buckets)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,13 +249,8 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
             # anchors that several texts of this task have are answered here; two of the texts speak for all of them
             send = np.arange(len(h)) - np.repeat(start, run) < 2
             known = np.repeat(run > 1, run)
-            rows = []
-            told = ((0, bucket_of(h[send]), (h[send].astype(np.uint32), mark[send])), (1, mark[known].view(np.uint64) % np.uint64(buckets), ((bucket_of(h[known]) << np.uint64(32)) | (h[known] & np.uint64(0xFFFFFFFF)), mark[known])))
-            for kind, bucket, parts in told:
-                order = np.argsort(bucket, kind="stable")
-                at = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64)).tolist()
-                parts = [x[order] for x in parts]
-                rows += [(k, kind, b"".join(x[at[k] : at[k + 1]].tobytes() for x in parts)) for k in range(buckets) if at[k + 1] > at[k]]
+            rows = packed(0, bucket_of(h[send]), (h[send].astype(np.uint32), mark[send]))
+            rows += packed(1, mark[known].view(np.uint64) % np.uint64(buckets), ((bucket_of(h[known]) << np.uint64(32)) | (h[known] & np.uint64(0xFFFFFFFF)), mark[known]))
             return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "kind", "data"])
 
         for batch in batches:
@@ -294,7 +314,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         n = 0
-        names = ["bucket", "head", "data"]
+        packer = zstandard.ZstdCompressor(level=1)
 
         def flush():
             bucket, doc_id, mark, start, size, data = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -306,23 +326,23 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
             order = np.lexsort((start, mark, doc_id, h))
             new = np.ones(len(h), bool)
             new[1:] = h[order][1:] != h[order][:-1]
-            head = np.empty(len(h), np.int64)
-            head[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
-            again = (doc_id != doc_id[head]) | (mark != mark[head]) | (start != start[head])
-            if again.any():
-                yield _span_batch(doc_id[again], mark[again], start[again], (start + size)[again], **{c: pa.nulls(int(again.sum()), k) for c, k in zip(names, (pa.int32(), pa.binary(), pa.binary()), strict=True)})
-            order = np.flatnonzero(~again)
-            order = order[np.argsort(bucket[order], kind="stable")]
-            at = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            some = np.flatnonzero(np.diff(at)).tolist()
-            head, text = [], []
-            for k in some:
-                mine = order[at[k] : at[k + 1]]
-                head.append(np.stack([doc_id[mine], mark[mine], start[mine], size[mine]]).tobytes())
-                total = np.concatenate([[0], np.cumsum(size[mine])])
-                text.append(data[np.repeat(off[mine] - total[:-1], size[mine]) + np.arange(total[-1])].tobytes())
-            none = [None] * len(some)
-            yield pa.RecordBatch.from_arrays([*(pa.array(none, pa.int64()) for _ in range(4)), pa.array(some, pa.int32()), pa.array(head, pa.binary()), pa.array(text, pa.binary())], names=["doc_id", "mark", "a", "b", *names])
+            first = np.empty(len(h), np.int64)
+            first[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
+            again = (doc_id != doc_id[first]) | (mark != mark[first]) | (start != start[first])
+            rows = []
+            for known in (True, False):
+                these = np.flatnonzero(again == known)
+                order, spans = runs(bucket[these])
+                for lo, hi in spans:
+                    mine = these[order[lo:hi]]
+                    places = [doc_id[mine], mark[mine], start[mine]]
+                    if known:
+                        rows.append((int(bucket[mine[0]]), np.stack([*places, start[mine] + size[mine]]).tobytes(), None))
+                        continue
+                    total = np.concatenate([[0], np.cumsum(size[mine])])
+                    text = data[np.repeat(off[mine] - total[:-1], size[mine]) + np.arange(total[-1])]
+                    rows.append((int(bucket[mine[0]]), np.stack([*places, size[mine]]).tobytes(), packer.compress(text.tobytes())))
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "head", "data"])
 
         for batch in batches:
             buf, off = column(batch.column(1))
@@ -346,30 +366,23 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
                 held.append((bucket.astype(np.int64), ids[lo:hi][row], marks[lo:hi][row], at - t.off[row], size, data))
                 n += len(data)
                 if n > _HELD:
-                    yield from flush()
+                    yield flush()
                     n = 0
         if n:
-            yield from flush()
+            yield flush()
 
     chosen = found.join(first, "mark")
-    sent = docs.join(chosen, ["doc_id", "mark"]).select("doc_id", "text", "mark", "anchors").mapInArrow(send, f"{_SPANS}, bucket int, head binary, data binary")
-    return sent
+    sent = docs.join(chosen, ["doc_id", "mark"]).select("doc_id", "text", "mark", "anchors").mapInArrow(send, "bucket int, head binary, data binary")
+    return by_key(sent, ["bucket"], lambda k, t: _sort_bucket(k, t, length), _SPANS)
 
 
 def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row of `df`; `kept` is the remaining bytes."""
-    from ..plans.lineage import Scratch
-
     if length < 2 * GRAM:
         raise ValueError(f"length is {2 * GRAM} at least")
-    scratch = Scratch(df.sparkSession)
     docs = df.select(df[id_col].cast("long").alias("doc_id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
     known = docs.where("doc_id is not null")
-    sent = scratch.write(repeated_spans(known, length))
-    scratch.release()
-    sorted_spans = by_key(sent.where("bucket is not null").select("bucket", "head", "data"), ["bucket"], lambda k, t: _sort_bucket(k, t, length), _SPANS)
-    spans = sorted_spans.union(sent.where("bucket is null").select("doc_id", "mark", "a", "b"))
-    spans = spans.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    spans = repeated_spans(known, length).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     first = known.groupBy("mark").agg(F.min("doc_id").alias("first_id"))
     lost = known.select("doc_id", "mark").distinct().join(first, "mark").where("doc_id != first_id").select("doc_id", "mark", F.lit(True).alias("copy"))
     todo = spans.join(lost, ["doc_id", "mark"], "full")

@@ -5,6 +5,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from gleanery.llm import suffixes
 from gleanery.llm.suffixes import first_places, suffix_dedup
 
 
@@ -76,3 +77,19 @@ def test_odd_rows(spark):
     got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix_dedup(df).collect()), key=repr)
     assert got == sorted([(None, 300, 0), (1, 300, 0), (1, 300, 0), (2, 300, 300), (2, 301, 300)], key=repr)
     assert suffix_dedup(df.limit(0)).count() == 0
+
+
+def test_long_texts_and_many_buckets(spark, monkeypatch):
+    """Texts longer than a piece, with passages that stand far apart; small buckets and slices give the same."""
+    r = random.Random(5)
+    noise = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz \n") for _ in range(n))
+    passage, again = noise(700), noise(100)
+    a = noise(900_000)
+    rows = [(1, a[:450_000] + passage + a[450_000:] + again), (2, passage[10:650] + noise(700_000) + again + passage), (3, a[100_000:700_000]), (4, noise(50) + passage * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 100)
+    assert want[3][1] == 600_000 and want[2][1] > 1400
+    for bucket, part in ((suffixes.BUCKET, suffixes._SLICE), (4096, 50)):
+        monkeypatch.setattr(suffixes, "BUCKET", bucket)
+        monkeypatch.setattr(suffixes, "_SLICE", part)
+        assert {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in suffix_dedup(df).collect()} == want
