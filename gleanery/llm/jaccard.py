@@ -10,19 +10,23 @@ equal sets are one node, named by a hash of the set, so copies cost nothing more
    SMALL nodes by pair, counted over all shingles; longer runs become stars
    between nodes of fitting size, so no run makes more rows than a multiple of
    its length.
-3. Connected candidates are a family. Its whole sets go to one task, or in blocks
-   of BLOCK nodes to one task for each two blocks, and a T-occurrence search with
-   DivideSkip finds links: short inverted lists are merged by a heap, long ones
-   probed by binary search, and texts that reach the overlap are united. Nodes
-   already united with the first one needn't be searched for again, so a large
-   group of near copies takes few searches.
+3. Connected candidates are a family. Its whole sets go to one task, and a
+   T-occurrence search with DivideSkip finds links: short inverted lists are merged
+   by a heap, long ones probed by binary search, and texts that reach the overlap
+   are united. Nodes already united with the first one needn't be searched for
+   again, so a large group of near copies takes few searches.
+   A family beyond BLOCK nodes or CELLS shingles is cut into blocks. Its blocks first
+   meet a few of its nodes (hubs); what links to the best hub is one group already.
+   Only the rest is searched for against all blocks, so a large group of near copies
+   costs about its size; a family in which little links to a hub costs the square of
+   its number of blocks.
 4. Components of the links give each text the smallest doc_id that it reaches.
 
 Sets are compared by 64-bit hashes, whose chance of a false match is about the
 number of compared shingles over 2**64. Rows with equal doc_id are separate rows.
 Null and empty texts have no shingles, link with nothing and keep their own
 doc_id; a null doc_id takes no part and has a null component. Other columns are
-ignored.
+ignored. Jobs run while the result is built, for sketch, components and families.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ from math import log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
@@ -44,6 +48,10 @@ from .textbytes import LOWER, Texts, column, mix, pieces, shingles
 
 SKETCH = 1 << 20
 SMALL, BLOCK = 8, 512
+#: Shingles in a block, and nodes of a family that its blocks meet first.
+CELLS, HUBS = 1 << 20, 3
+#: Parts that a large group is spread over in joins.
+SALTS = 8
 #: Entries of prefixes (15 bytes) in a bucket.
 BUCKET = 1 << 19
 _WHOLE = 1 << 30
@@ -134,6 +142,18 @@ def links(sets: list[np.ndarray], percent: int = 80) -> list[tuple[int, int]]:
     return found
 
 
+def links_to(hubs: list[np.ndarray], sets: list[np.ndarray], percent: int = 80) -> list[tuple[int, int]]:
+    """(k, i) where hub k and set i link."""
+    found = []
+    for k, h in enumerate(hubs):
+        for i, s in enumerate(sets):
+            if 100 * min(len(h), len(s)) >= percent * max(len(h), len(s)):
+                both = int((h[np.minimum(np.searchsorted(h, s), len(h) - 1)] == s).sum())
+                if 100 * both >= percent * (len(h) + len(s) - both):
+                    found.append((k, i))
+    return found
+
+
 def _near_stars(size: np.ndarray, percent: int) -> np.ndarray:
     """For sizes in order: the first place of each stretch in which every next set is near enough in size."""
     near = 100 * size[:-1] >= percent * size[1:]
@@ -306,11 +326,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     pairs = by_key(docs.mapInArrow(prefixes, "bucket int, kind int, data binary"), ["bucket"], meet, "a long, b long, weight long, need long")
     pairs = pairs.groupBy("a", "b").agg(F.sum("weight").alias("weight"), F.min("need").alias("need")).where("weight >= need")
     family = scratch.write(connected_components(pairs, "a", "b"))
-    blocks = family.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
-    block = F.when(F.col("n_blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
-    members = family.join(blocks, "component").select("node", "component", "n_blocks", block.alias("block"))
-    of_node = named.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    members = members.join(of_node, "node")
+    of_node = named.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("size"))
+    members = family.join(of_node, "node")
+    blocks = members.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / CELLS)).cast("int").alias("n_blocks"))
+    members = members.join(blocks, "component").select("node", "component", "n_blocks", "doc_id", _place("node", "n_blocks").alias("block"))
 
     def whole_sets(batches):
         for batch, sets in _each(batches, words):
@@ -319,8 +338,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["component", "n_blocks", "block", "node", "data"])
 
     sets = docs.join(members, "doc_id").select("doc_id", "text", "component", "n_blocks", "block", "node").mapInArrow(whole_sets, "component long, n_blocks int, block int, node long, data binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
-    sets = sets.select("component", "block", "node", "data", other.alias("other")).select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "data")
+    sets = scratch.write(sets)
+    met, searched = _blocks(scratch, sets, percent)
 
     def search(key, table):
         node = table.column("node").to_pylist()
@@ -329,9 +348,49 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         found = links([data[x] for x in node], percent) if len(node) > 1 else []
         yield pa.RecordBatch.from_arrays([pa.array([node[i] for i, _ in found], pa.int64()), pa.array([node[j] for _, j in found], pa.int64())], names=["src", "dst"])
 
-    component = connected_components(by_key(sets, ["component", "low", "high"], search, "src long, dst long"))
-    rooted = named.join(component, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("component", "node").alias("root"))
-    least = rooted.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    found = by_key(searched, ["component", "low", "high"], search, "src long, dst long")
+    component = connected_components(found.union(met.select(F.col("hub").alias("src"), F.col("node").alias("dst"))))
+    # large groups are spread; texts that are alone need no join but the first
+    spread = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = named.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    rooted = salted.join(spread(component), ["node", "salt"], "left").select("doc_id", "n_shingles", "node", "salt", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("root"))
+    least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    linked = rooted.join(spread(least), ["root", "salt"], "left")
     own = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
-    linked = rooted.withColumn("root", F.when(F.col("n_shingles") > 0, F.col("root"))).join(least, "root", "left")
     return linked.select("doc_id", "n_shingles", own.alias("component_id"), "node")
+
+
+def _place(node: str, n_blocks: str) -> Column:
+    """The block of a node."""
+    return F.when(F.col(n_blocks) == 1, 0).otherwise(F.pmod(F.xxhash64(node), F.col(n_blocks)).cast("int"))
+
+
+def _blocks(scratch: Scratch, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (hub, node) of large families to their best hub; and (component, low, high, node, data): the sets of each search."""
+    one = sets.where("n_blocks = 1").select("component", F.lit(0).alias("low"), F.lit(0).alias("high"), "node", "data")
+    large = sets.where("n_blocks > 1")
+    picked = large.groupBy("component").agg(*(F.min_by("node", F.xxhash64("node", F.lit(k))).alias(f"h{k}") for k in range(HUBS)))
+    picked = picked.select(F.explode(F.array_distinct(F.array(*(f"h{k}" for k in range(HUBS))))).alias("node"))
+    hubs = large.join(picked, "node").select("component", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), "node", "data", F.lit(True).alias("hub"))
+
+    def meet(key, table):
+        node, data = table.column("node").to_pylist(), [np.frombuffer(x, np.uint64) for x in table.column("data").to_pylist()]
+        is_hub = table.column("hub").to_pylist()
+        hub, other = ([i for i, h in enumerate(is_hub) if h == kind] for kind in (True, False))
+        found = [(node[hub[k]], node[other[i]]) for k, i in links_to([data[i] for i in hub], [data[i] for i in other], percent)]
+        yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(found), pa.int64()), *(pa.array([x[c] for x in found], pa.int64()) for c in range(2))], names=["component", "hub", "node"])
+
+    met = scratch.write(by_key(large.select("component", "block", "node", "data", F.lit(False).alias("hub")).union(hubs), ["component", "block"], meet, "component long, hub long, node long"))
+    best = met.groupBy("component", "hub").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub"))
+    # a hub links to itself, so it is among those that are met
+    met = met.join(best, ["component", "hub"])
+    united = met.select("node")
+    left = large.join(united, "node", "left_anti")
+    n_left = left.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.octet_length("data")) / (8 * CELLS))).cast("int").alias("n_left"))
+    rest = left.join(n_left, "component").withColumn("own", _place("node", "n_left"))
+    among = rest.select("component", "node", "data", "own", F.explode(F.sequence(F.lit(0), F.col("n_left") - 1)).alias("other"))
+    among = among.select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "data")
+    to_all = rest.select("component", F.col("own").alias("low"), F.explode(F.sequence(F.col("n_left"), F.col("n_left") + F.col("n_blocks") - 1)).alias("high"), "node", "data")
+    others = large.join(united, "node", "left_semi").join(n_left, "component")
+    others = others.select("component", F.explode(F.sequence(F.lit(0), F.col("n_left") - 1)).alias("low"), (F.col("n_left") + F.col("block")).alias("high"), "node", "data")
+    return met, one.union(among).union(to_all).union(others)

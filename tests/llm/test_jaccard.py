@@ -118,3 +118,24 @@ def test_covers_keep_neighbours_near():
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.jaccard_components(df).count() == 0
+
+
+def test_large_families_of_several_groups(spark, monkeypatch):
+    """Families in which little links to a hub: chains, several lengths, and two groups held together by a common passage."""
+    monkeypatch.setattr(jaccard, "BLOCK", 6)
+    monkeypatch.setattr(jaccard, "CELLS", 700)
+    r = random.Random(11)
+    word = lambda: f"w{r.randrange(400)}"
+    chain, rows = [word() for _ in range(100)], []
+    for i in range(40):
+        chain = [*chain[4:], *(word() for _ in range(4))]
+        rows.append((i, " ".join(chain)))
+    passage = [word() for _ in range(60)]
+    for g in range(3):
+        base = [word() for _ in range(40)]
+        for i in range(12):
+            w = [*base, *passage]
+            w[r.randrange(40)] = f"x{r.randrange(10**6)}"
+            rows.append((1000 + 100 * g + i, " ".join(w)))
+    check(spark, rows)
+    check(spark, corpus(120, 5))
