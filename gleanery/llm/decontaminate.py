@@ -12,10 +12,13 @@ Jaccard similarity is at least 0.28, so a passage is missed with a chance of
 about 0.72**HASHES, 3 in 100,000. Items of up to 8 shingles are looked up by each
 of their shingles, without loss.
 
-Items are taken in blocks of ITEM_BLOCK, so that what is sent to tasks is
-bounded; each block is one pass over the documents.
+Items are taken in blocks of about ITEM_BLOCK items or ITEM_BYTES bytes, whichever
+makes more, so that what is sent to tasks is bounded (a word and a blank have two
+bytes at least, so hashes take four times the text at most); each block is one pass
+over the documents. Counting items and hashing those of each block are jobs that run
+while the plan is built.
 
-Null and empty texts contain nothing, and null or empty items are contained in
+Null ids of documents are passed through, items with null ids left out. Null and empty texts contain nothing, and null or empty items are contained in
 nothing. A text or item of fewer words than a shingle is one shingle of all its
 words. Repeated rows of documents give repeated rows of results, repeated items
 one for each distinct id. Other columns are ignored.
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 from .textbytes import BLANK, LOWER, Texts, column, mix, pieces, shingle_sequence, shingles
 
 HASHES = 32
-ITEM_BLOCK = 10_000
+ITEM_BLOCK, ITEM_BYTES = 10_000, 8 << 20
 #: Shingles in a block of minima; windows start at each.
 STEP = 8
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -133,7 +136,8 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
                 sets = shingles(Texts(LOWER[buf[off[lo] : off[hi]]], off[lo : hi + 1]), BLANK, words)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary())], names=["item_id", "data"])
 
-    n_blocks = max(1, -(-q.count() // ITEM_BLOCK))
+    n, size = q.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    n_blocks = max(1, -(-n // ITEM_BLOCK), -(-(size or 0) // ITEM_BYTES))
     parts = []
     for k in range(n_blocks):
         block = q.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k) if n_blocks > 1 else q

@@ -43,6 +43,8 @@ def test_like_brute_force(spark, monkeypatch):
     assert get() == want and len(want) > 50
     monkeypatch.setattr(decontaminate, "ITEM_BLOCK", 15)
     assert get() == want
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 2000)
+    assert get() == want
 
 
 def test_empty_tables(spark):
