@@ -11,16 +11,19 @@ score less 10, and is written as its bytes.
 No piece has a space mark after another character, so a text falls apart into
 words with their leading marks (and bytes that no piece has), and each distinct
 word of a stretch of text is segmented once. Words are read side by side: a step
-moves the automata of a whole block of words by a byte. Sums are exact in 64-bit
-floats, where the library's 32-bit sums round over long texts.
+moves the automata of a whole block of words by a byte. A long word (text without
+blanks, packed data) is read in overlapping parts side by side, as a state depends on
+no more bytes than the longest piece has; what it matches is then relaxed in order.
+Sums are exact in 64-bit floats, where the library's 32-bit sums round over long texts.
 
-Null texts have null ids, decoded texts and counts; empty texts have no pieces.
+Null ids are passed through. Null texts have null ids, decoded texts and counts; empty texts have no pieces.
 Repeated rows give repeated results; other columns are ignored. The vocabulary
 is a file of fixed size, read by the driver and broadcast.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,6 +38,8 @@ MARK = "▁".encode()
 STRETCH = 1 << 19
 #: Cells of the table that one block of words fills.
 _CELLS = 1 << 17
+#: Bytes from which a word is read in parts; bytes of it whose matches are held at once; bytes of a part.
+_LONG, _SPAN, _PART = 512, 1 << 15, 128
 #: Ids that are decoded at once.
 _IDS = 1 << 17
 
@@ -113,6 +118,7 @@ class Automaton:
             self.next[edges[:, 0], edges[:, 1]] = edges[:, 2]
             level = edges[:, 2].tolist()
         self.head = np.where(self.piece >= 0, np.arange(n), self.link)
+        self.longest = max((len(p) for p in v.pieces), default=1)
         self.marks_lead = not any(MARK in p.lstrip(MARK) for p in v.pieces)
 
     def _block(self, text: np.ndarray, start: np.ndarray, size: np.ndarray, paths: bool):
@@ -163,6 +169,65 @@ class Automaton:
             char[ends[t - 1]] = 0
         return count[size, np.arange(n)], came, span
 
+    def _states(self, kind: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """States after the bytes lo to hi of a long word, from parts that begin earlier by the longest piece."""
+        begin = np.arange(lo, hi, _PART)
+        lead = self.longest - 1
+        out = np.zeros((_PART, len(begin)), np.int64)
+        state = np.zeros(len(begin), np.int64)
+        for t in range(-lead, _PART):
+            at = begin + t
+            state = np.where(at >= 0, self.next[state, kind[np.clip(at, 0, len(kind) - 1)]], 0)
+            if t >= 0:
+                out[t] = state
+        return out.T.ravel()[: hi - lo]
+
+    def _long(self, raw: np.ndarray, paths: bool) -> tuple[int, np.ndarray]:
+        """Pieces of one long word, and their ids if `paths`."""
+        n, kind = len(raw), self.kind[raw]
+        starts = (raw & 0xC0) != 0x80
+        starts[0] = True
+        begin = np.maximum.accumulate(np.where(starts, np.arange(n), 0))
+        size = np.arange(n) - begin + 1  # bytes of the character so far
+        ends = np.append(starts[1:], True)
+        best, count = array("d", [0.0]) + array("d", [-np.inf]) * n, array("q", [0]) * (n + 1)
+        came, span = (array("i", [-1]) * (n + 1), array("i", [0]) * (n + 1)) if paths else (None, None)
+        for lo in range(0, n, _SPAN):
+            hi = min(n, lo + _SPAN)
+            cur = self.head[self._states(kind, lo, hi)]
+            at = np.flatnonzero(cur >= 0)
+            cur = cur[at]
+            found = []
+            single = np.zeros(hi - lo, bool)
+            while len(at):
+                single[at[self.length[cur] == size[lo + at]]] = True
+                found.append((at, self.length[cur], self.score[cur], self.piece[cur]))
+                cur = self.link[cur]
+                on = cur >= 0
+                at, cur = at[on], cur[on]
+            # the longest first, an unknown character last
+            at = np.flatnonzero(ends[lo:hi] & ~single)
+            found.append((at, size[lo + at], np.full(len(at), self.v.unknown), np.full(len(at), -1)))
+            at, back, score, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(at, kind="stable")
+            for t, b, x, p in zip((at[order] + lo + 1).tolist(), back[order].tolist(), score[order].tolist(), piece[order].tolist(), strict=True):
+                x += best[t - b]
+                if x > best[t]:
+                    best[t], count[t] = x, count[t - b] + (b if p < 0 else 1)
+                    if paths:
+                        came[t], span[t] = p, b
+        if not paths:
+            return count[n], np.zeros(0, np.int32)
+        steps, t = [], n
+        while t > 0:
+            steps.append((came[t], t - span[t], span[t]))
+            t -= span[t]
+        p, first, back = np.array(steps[::-1], np.int64).T
+        many = np.where(p < 0, back, 1)
+        nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        p, first = np.repeat(p, many), np.repeat(first, many)
+        return count[n], np.where(p >= 0, self.v.ids[p], self.v.byte_ids[raw[np.minimum(first + nth, n - 1)]]).astype(np.int32)
+
     def _paths(self, text: np.ndarray, start: np.ndarray, size: np.ndarray, came, span) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a block's words, word after word, from its table: ids, word of each."""
         pos, who = size.copy(), np.arange(len(size))
@@ -186,7 +251,11 @@ class Automaton:
         size = (end - start)[order]
         count = np.zeros(len(start), np.int64)
         ids: list[tuple[np.ndarray, np.ndarray]] = []
-        lo = 0
+        lo, short = 0, int(np.searchsorted(size, _LONG))
+        for i in order[short:].tolist():
+            count[i], x = self._long(text[start[i] : end[i]], paths)
+            ids.append((x, np.full(len(x), i)))
+        order, size = order[:short], size[:short]
         while lo < len(order):
             hi = lo + max(1, int(_CELLS // max(1, size[min(lo + _CELLS // max(1, size[lo]), len(order) - 1)])))
             these = order[lo:hi]
