@@ -380,7 +380,8 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row of `df`; `kept` is the remaining bytes."""
     if length < 2 * GRAM:
         raise ValueError(f"length is {2 * GRAM} at least")
-    docs = df.select(df[id_col].cast("long").alias("doc_id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    # with metadata the name is kept in all copies of this plan, so that equal shuffles are seen to be equal
+    docs = df.select(df[id_col].cast("long").alias("doc_id", metadata={"role": "id"}), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
     known = docs.where("doc_id is not null")
     spans = repeated_spans(known, length).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     first = known.groupBy("mark").agg(F.min("doc_id").alias("first_id"))
@@ -413,4 +414,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 n, removed, spans, sha, kept = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, removed, spans)), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return docs.join(todo, ["doc_id", "mark"], "left").select("doc_id", "text", "spans", "copy").mapInArrow(finish, f"{SCHEMA}, kept binary")
+    # the texts are dealt by (doc_id, mark) as for their stretches, so one shuffle serves both; rows without an id need none
+    dealt = known.join(todo, ["doc_id", "mark"], "left").select("doc_id", "text", "spans", "copy")
+    rest = docs.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<struct<a:long,b:long>>").alias("spans"), F.lit(None).cast("boolean").alias("copy"))
+    return dealt.union(rest).mapInArrow(finish, f"{SCHEMA}, kept binary")
