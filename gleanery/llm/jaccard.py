@@ -15,11 +15,12 @@ equal sets are one node, named by a hash of the set, so copies cost nothing more
    by a heap, long ones probed by binary search, and texts that reach the overlap
    are united. Nodes already united with the first one needn't be searched for
    again, so a large group of near copies takes few searches.
-   A family beyond BLOCK nodes or CELLS shingles is cut into blocks. Its blocks first
-   meet a few of its nodes (hubs); what links to the best hub is one group already.
-   Only the rest is searched for against all blocks, so a large group of near copies
-   costs about its size; a family in which little links to a hub costs the square of
-   its number of blocks.
+   A family beyond BLOCK nodes or CELLS shingles is cut into blocks. Each block names
+   the node whose shingles are most common in it, and the best few of these (hubs)
+   meet all blocks; what links to the best hub is one group already. Only the rest is
+   searched for against all blocks, so a large group of near copies of one text costs
+   about its size; a family in which little links to a hub costs the square of its
+   number of blocks.
 4. Components of the links give each text the smallest doc_id that it reaches.
 
 Sets are compared by 64-bit hashes, whose chance of a false match is about the
@@ -369,8 +370,16 @@ def _blocks(scratch: Scratch, sets: DataFrame, percent: int) -> tuple[DataFrame,
     """Links (hub, node) of large families to their best hub; and (component, low, high, node, data): the sets of each search."""
     one = sets.where("n_blocks = 1").select("component", F.lit(0).alias("low"), F.lit(0).alias("high"), "node", "data")
     large = sets.where("n_blocks > 1")
-    picked = large.groupBy("component").agg(*(F.min_by("node", F.xxhash64("node", F.lit(k))).alias(f"h{k}") for k in range(HUBS)))
-    picked = picked.select(F.explode(F.array_distinct(F.array(*(f"h{k}" for k in range(HUBS))))).alias("node"))
+
+    def weigh(key, table):
+        node, data = table.column("node").to_pylist(), [np.frombuffer(x, np.uint64) for x in table.column("data").to_pylist()]
+        _, which, count = np.unique(np.concatenate(data), return_inverse=True, return_counts=True)
+        weight = np.add.reduceat(count[which], np.concatenate([[0], np.cumsum([len(x) for x in data])[:-1]])) / len(data)
+        k = min(range(len(node)), key=lambda i: (-weight[i], node[i]))
+        yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([node[k]], pa.int64()), pa.array([weight[k]], pa.float64())], names=["component", "node", "weight"])
+
+    picked = by_key(large.select("component", "block", "node", "data"), ["component", "block"], weigh, "component long, node long, weight double")
+    picked = picked.groupBy("component").agg(F.collect_list(F.struct("weight", "node")).alias("x")).select(F.explode(F.slice(F.sort_array("x", False), 1, HUBS)).alias("x")).select("x.node")
     hubs = large.join(picked, "node").select("component", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), "node", "data", F.lit(True).alias("hub"))
 
     def meet(key, table):
@@ -390,7 +399,9 @@ def _blocks(scratch: Scratch, sets: DataFrame, percent: int) -> tuple[DataFrame,
     rest = left.join(n_left, "component").withColumn("own", _place("node", "n_left"))
     among = rest.select("component", "node", "data", "own", F.explode(F.sequence(F.lit(0), F.col("n_left") - 1)).alias("other"))
     among = among.select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "data")
-    to_all = rest.select("component", F.col("own").alias("low"), F.explode(F.sequence(F.col("n_left"), F.col("n_left") + F.col("n_blocks") - 1)).alias("high"), "node", "data")
-    others = large.join(united, "node", "left_semi").join(n_left, "component")
-    others = others.select("component", F.explode(F.sequence(F.lit(0), F.col("n_left") - 1)).alias("low"), (F.col("n_left") + F.col("block")).alias("high"), "node", "data")
-    return met, one.union(among).union(to_all).union(others)
+    # the texts that are one group already, in blocks of their own
+    others = large.join(united, "node", "left_semi").select("component", "node", "data").join(n_left, "component")
+    n_met = others.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.octet_length("data")) / (8 * CELLS))).cast("int").alias("n_met"))
+    to_met = rest.join(n_met, "component").select("component", F.col("own").alias("low"), F.explode(F.sequence(F.col("n_left"), F.col("n_left") + F.col("n_met") - 1)).alias("high"), "node", "data")
+    others = others.join(n_met, "component").select("component", F.explode(F.sequence(F.lit(0), F.col("n_left") - 1)).alias("low"), (F.col("n_left") + _place("node", "n_met")).alias("high"), "node", "data")
+    return met, one.union(among).union(to_met).union(others)
