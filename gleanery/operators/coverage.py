@@ -23,7 +23,7 @@ def requirement_counts(kept: DataFrame, name: str = "face") -> DataFrame:
 
 
 def coverage_display(counts: DataFrame, name: str = "face", t: CoverageLimits = LIMITS) -> DataFrame:
-    """(job_ref, place, requirement, label, count, minimum) in the purpose's gap order, from requirement_counts."""
+    """(job_ref, place, requirement, label, count, minimum) in the purpose's gap order, from requirement_counts. Minimums may be columns of `counts`."""
     p = purpose(name)
     by_name = {r.name: r for r in p.requirements}
     rows = F.array(*(F.struct(F.lit(k).alias("place"), F.lit(n).alias("requirement"), F.lit(by_name[n].label).alias("label"), F.col(n).alias("count"), F.lit(t.minimums[n]).alias("minimum")) for k, n in enumerate(p.gaps)))

@@ -3,9 +3,9 @@
 All steps are partitioned by job_ref. The cosine join compares blocks of BLOCK
 vectors by a matrix product: a task holds two blocks, a vector is sent once for
 each other block, and what comes out is the near pairs and one partial maximum
-for each vector and block. That is every pair of a job, which uniqueness needs;
-beyond some hundred thousand vectors in one job use `lsh_pairs`, whose uniqueness
-is approximate.
+for each vector and block. That is every pair of a job, which uniqueness needs.
+`similar` compares each job once for both; jobs of more than MOST_EXACT vectors go
+by random hyperplanes there, and their maxima are marked approximate.
 """
 
 from __future__ import annotations
@@ -18,16 +18,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DedupLimits
+from ..plans.lineage import Scratch
 from .graph import connected_components
 
 LIMITS = DedupLimits()
 BLOCK = 1024
+#: Vectors of a job up to which all its pairs are compared (20,000 pairs of blocks).
+MOST_EXACT = 200_000
+#: Random hyperplanes of a table and tables. Two vectors of cosine 0.9 share one of 64 tables of 16 with a chance of 0.996.
+BITS, TABLES = 16, 64
 
 
 def vector_choice(df: DataFrame, external: bool = True) -> DataFrame:
     """Adds features: the `embedding` column if asked for and present in all rows of the job, else `perceptual`."""
-    whole = F.bool_and(F.col("embedding").isNotNull()).over(Window.partitionBy("job_ref"))
-    return df.withColumn("features", F.when(whole & F.lit(external), F.col("embedding")).otherwise(F.col("perceptual")))
+    whole = df.groupBy("job_ref").agg(F.bool_and(F.col("embedding").isNotNull()).alias("_whole"))
+    return df.join(whole, "job_ref").select(*df.columns, F.when(F.col("_whole") & F.lit(external), F.col("embedding")).otherwise(F.col("perceptual")).alias("features"))
 
 
 def unit(v: Column) -> Column:
@@ -85,29 +90,73 @@ def cosine_pairs(df: DataFrame, threshold: float = LIMITS.cosine) -> DataFrame:
     return _compare(df, threshold).where("b is not null")
 
 
+def _best(compared: DataFrame) -> DataFrame:
+    best = compared.where("b is null").groupBy("job_ref", F.col("a").alias("id")).agg(F.max("sim").alias("max_sim"))
+    return best.withColumn("max_sim", F.greatest("max_sim", F.lit(0.0)))
+
+
 def max_similarity(df: DataFrame) -> DataFrame:
     """(job_ref, id, max_sim): the greatest cosine to another vector of the job, 0 at least."""
-    best = _compare(df, 2.0).where("b is null").groupBy("job_ref", F.col("a").alias("id")).agg(F.max("sim").alias("max_sim"))
-    return best.withColumn("max_sim", F.greatest("max_sim", F.lit(0.0)))
+    return _best(_compare(df, 2.0))
 
 
 def uniqueness(best: DataFrame) -> DataFrame:
     """(job_ref, id, uniqueness) from max_similarity: 1 - similarity, stretched to 0..1 over the job unless all are equal."""
-    w = Window.partitionBy("job_ref")
-    raw = best.withColumn("u", 1.0 - F.col("max_sim")).withColumn("lo", F.min("u").over(w)).withColumn("hi", F.max("u").over(w))
-    return raw.select("job_ref", "id", F.bround(F.when(F.col("hi") > F.col("lo"), (F.col("u") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(F.col("u")), 3).alias("uniqueness"))
+    raw = best.withColumn("u", 1.0 - F.col("max_sim"))
+    ends = raw.groupBy("job_ref").agg(F.min("u").alias("lo"), F.max("u").alias("hi"))
+    stretched = F.when(F.col("hi") > F.col("lo"), (F.col("u") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(F.col("u"))
+    return raw.join(ends, "job_ref").select("job_ref", "id", F.bround(stretched, 3).alias("uniqueness"))
 
 
-def lsh_pairs(df: DataFrame, threshold: float = LIMITS.cosine, tables: int = 8, length: float = 0.6) -> DataFrame:
-    """(job_ref, a, b, sim) found through random projections: no all-pairs work, some pairs may be missed."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+def lsh_pairs(df: DataFrame, threshold: float = LIMITS.cosine, bits: int = BITS, tables: int = TABLES) -> DataFrame:
+    """(job_ref, a, b, sim) of pairs that share a table's signs of random hyperplanes: no all-pairs work, some pairs may be missed.
 
-    d = df.select("job_ref", F.col("id").cast("long").alias("id"), array_to_vector(unit(F.col("features"))).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=length, numHashTables=tables, seed=5).fit(d)
-    near = model.approxSimilarityJoin(d, d, (2 - 2 * threshold) ** 0.5 + 1e-9, "dist")
-    near = near.where("datasetA.job_ref = datasetB.job_ref and datasetA.id < datasetB.id")
-    return near.select(F.col("datasetA.job_ref").alias("job_ref"), F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), (1 - F.col("dist") * F.col("dist") / 2).alias("sim"))
+    Equal vectors meet as one, by their smallest id, so copies make one pair each; every candidate's cosine is computed.
+    """
+    d = df.select("job_ref", F.col("id").cast("long").alias("id"), unit(F.col("features")).alias("features"))
+    first = d.groupBy("job_ref", "features").agg(F.min("id").alias("id"))
+    norm = F.aggregate("features", F.lit(0.0), lambda s, x: s + x * x)
+    copies = d.join(first.withColumnRenamed("id", "a"), ["job_ref", "features"]).where(F.col("id") != F.col("a")).where(norm > 0.5).select("job_ref", "a", F.col("id").alias("b"), F.lit(1.0).alias("sim"))
+
+    def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            if planes is None or planes.shape[0] != x.shape[1]:
+                planes = np.random.default_rng(5).normal(size=(x.shape[1], bits * tables))
+            weight = np.int64(1) << np.arange(bits, dtype=np.int64)
+            keys = ((x @ planes > 0).reshape(len(x), tables, bits) * weight).sum(2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(keys), pa.list_(pa.int64()))], names=["job_ref", "id", "keys"])
+
+    keyed = first.select("job_ref", "id", "features").mapInArrow(signs, "job_ref string, id long, keys array<long>").select("job_ref", "id", F.posexplode("keys").alias("table", "key"))
+    left, right = keyed.withColumnRenamed("id", "a"), keyed.withColumnRenamed("id", "b")
+    met = left.join(right, ["job_ref", "table", "key"]).where("a < b").select("job_ref", "a", "b").distinct()
+    vector = lambda k: first.select("job_ref", F.col("id").alias(k), F.col("features").alias(f"v{k}"))
+    sim = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    near = met.join(vector("a"), ["job_ref", "a"]).join(vector("b"), ["job_ref", "b"]).select("job_ref", "a", "b", sim.alias("sim"))
+    return near.where(F.col("sim") >= threshold).union(copies)
+
+
+def similar(df: DataFrame, threshold: float = LIMITS.cosine, most_exact: int = MOST_EXACT) -> tuple[DataFrame, DataFrame]:
+    """(pairs, best) of one comparison: (job_ref, a, b, sim) and (job_ref, id, max_sim, approximate).
+
+    Jobs of up to `most_exact` vectors are compared exactly and what that finds is written once. In larger ones pairs come
+    from lsh_pairs, and a vector without one has the maximum 0, which is marked approximate, as all maxima of the job are.
+    """
+    scratch = Scratch(df.sparkSession)
+    sizes = df.groupBy("job_ref").agg(F.count("*").alias("n"))
+    of = lambda condition: df.join(sizes.where(condition), "job_ref", "left_semi")
+    compared = scratch.write(_compare(of(F.col("n") <= most_exact), threshold))
+    pairs, best = compared.where("b is not null"), _best(compared).withColumn("approximate", F.lit(False))
+    if sizes.where(F.col("n") > most_exact).isEmpty():
+        return pairs, best
+    large = of(F.col("n") > most_exact)
+    found = scratch.write(lsh_pairs(large, threshold))
+    ends = found.select("job_ref", F.explode(F.array("a", "b")).alias("id"), "sim").groupBy("job_ref", "id").agg(F.max("sim").alias("max_sim"))
+    rough = large.select("job_ref", F.col("id").cast("long").alias("id")).join(ends, ["job_ref", "id"], "left")
+    return pairs.union(found), best.union(rough.select("job_ref", "id", F.coalesce("max_sim", F.lit(0.0)), F.lit(True)))
 
 
 def hamming_pairs(df: DataFrame, words: int = 1, most: int = LIMITS.hamming) -> DataFrame:

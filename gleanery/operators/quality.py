@@ -46,16 +46,17 @@ def _checks(t: QualityLimits) -> list[Column]:
 
 
 def quality_gate(df: DataFrame, t: QualityLimits = LIMITS) -> DataFrame:
-    """Adds quality_verdict (the worst check's) and quality_reasons (in order of the checks)."""
+    """Adds quality_verdict (the worst check's) and quality_reasons (in order of the checks). Limits may be columns of `df`."""
     found = F.array_compact(F.array(*_checks(t)))
     worst = F.coalesce(F.array_max(F.transform("_found", lambda x: x["level"])), F.lit(0))
     verdict = F.when(worst == 2, "fail").when(worst == 1, "warn").otherwise("pass")
     return df.withColumn("_found", found).withColumns({"quality_verdict": verdict, "quality_reasons": F.transform("_found", lambda x: x["reason"])}).drop("_found")
 
 
-def ramp(v: Column, lo: float, hi: float) -> Column:
-    """0 up to lo, 1 from hi, a line between; 1 where the interval is empty."""
-    return F.lit(1.0) if hi <= lo else F.greatest(F.least((v - lo) / (hi - lo), F.lit(1.0)), F.lit(0.0))
+def ramp(v: Column, lo: float | Column, hi: float | Column) -> Column:
+    """0 up to lo, 1 from hi, a line between; 1 where the interval is empty. Limits may be columns."""
+    lo, hi = F.lit(lo), F.lit(hi)
+    return F.when(hi <= lo, 1.0).otherwise(F.greatest(F.least((v - lo) / (hi - lo), F.lit(1.0)), F.lit(0.0)))
 
 
 def score_of(weights: list[Column], t: QualityLimits = LIMITS) -> Column:

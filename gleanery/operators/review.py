@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import fields
+from types import SimpleNamespace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -118,7 +119,7 @@ def recent_jobs(jobs: DataFrame, most: int = 10) -> DataFrame:
 
 
 #: Keys of params that are called otherwise in the limits.
-_KEYS = {
+KEYS = {
     "face_area_warn": "face_area_frac_warn", "face_area_min": "face_area_frac_min", "clip_warn": "clip_frac_warn", "luma_low": "mean_luma_low", "luma_high": "mean_luma_high",
     "cosine": "similarity_threshold", "hamming": "phash_exact_max_hamming", "hash_side": "phash_size", "soft_face_ratio": "soft_face_rel_ratio", "min_garment_visible": "min_garment_visible_shots",
 }
@@ -131,7 +132,7 @@ def _keys(limits) -> dict[str, object]:
     """Key to default of the params of a class of limits."""
     values = {f.name: getattr(limits, f.name) for f in fields(limits) if f.name not in _INNER}
     values |= {f"min_{k}": v for k, v in values.pop("minimums", {}).items()}
-    return {_KEYS.get(k, k): v for k, v in values.items()}
+    return {KEYS.get(k, k): v for k, v in values.items()}
 
 
 #: Block of params ('' for the top) to the default of each key; those after the limits are of models and tools.
@@ -160,3 +161,26 @@ def job_params(jobs: DataFrame, preset: dict[str, float] | None = None) -> DataF
             out[k] = F.coalesce(F.col(f"_p.{block}.{k}" if block else f"_p.{k}"), F.lit(default).cast(_TYPES[type(keys[k])]))
     out["per_bucket_cap"] = F.when(target.isNull(), out["per_bucket_cap"])
     return d.select("job_id", *(c.alias(k) for k, c in out.items()), target.alias("target"))
+
+
+def limits_of(limits: object, prefix: str = "limit_") -> SimpleNamespace:
+    """A class of limits with the columns of `with_limits` in place of its values; what params don't set stays as it is."""
+    own = {f.name: getattr(limits, f.name) for f in fields(limits)}
+    known = {f.name: KEYS.get(f.name, f.name) for f in fields(limits) if f.name not in _INNER and f.name != "minimums"}
+    found = own | {name: F.col(prefix + key) for name, key in known.items()}
+    if "minimums" in own:
+        found["minimums"] = {k: F.col(prefix + KEYS.get(f"min_{k}", f"min_{k}")) for k in own["minimums"]}
+    return SimpleNamespace(**found)
+
+
+def with_limits(rows: DataFrame, params: DataFrame, prefix: str = "limit_") -> DataFrame:
+    """rows (job_ref, ..) with all params of their job (job_params, by job_id), as columns limit_<key>; jobs without params have the defaults.
+
+    With `limits_of` these columns take the place of one set of limits, so jobs of different settings go through one run.
+    """
+    keys = [c for c in params.columns if c != "job_id"]
+    own = params.select(F.col("job_id").alias("job_ref"), *(F.col(k).alias(prefix + k) for k in keys))
+    defaults = {k: v for block in PARAMS.values() for k, v in block.items()}
+    joined = rows.join(own, "job_ref", "left")
+    fill = {prefix + k: F.coalesce(prefix + k, F.lit(v)) for k, v in defaults.items() if v is not None}
+    return joined.withColumns(fill)

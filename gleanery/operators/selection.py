@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from types import SimpleNamespace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from ..purposes import not_false, purpose, vl
 from .quality import whole
 
 LIMITS = CoverageLimits()
+#: Slices of the score that a bucket is ranked in.
+SLICES = 64
 
 
 def upper_median(column: str) -> Column:
@@ -20,13 +23,14 @@ def upper_median(column: str) -> Column:
 
 
 def soft_face_threshold(df: DataFrame, t: CoverageLimits = LIMITS) -> DataFrame:
-    """(job_ref, soft_face_threshold): the greater of a floor and a part of the median over all detected faces; 0 if off or none."""
-    jobs = df.groupBy("job_ref")
-    if not t.soft_face_reject:
-        return jobs.agg(F.lit(0.0).alias("soft_face_threshold"))
-    sharp = df.withColumn("_sharp", F.when(F.col("face_detected") & (F.col("face_sharpness") > 0), F.col("face_sharpness")))
-    median = sharp.groupBy("job_ref").agg(upper_median("_sharp").alias("m"))
-    return median.select("job_ref", F.when(F.col("m").isNull(), 0.0).otherwise(F.greatest(F.lit(t.soft_face_floor), F.col("m") * t.soft_face_ratio)).alias("soft_face_threshold"))
+    """(job_ref, soft_face_threshold): the greater of a floor and a part of the median over all detected faces; 0 if off or none.
+
+    Limits may be columns of `df`, the same in all rows of a job. The median counts each distinct value of a job once.
+    """
+    sharp = df.withColumn("_sharp", F.when(F.col("face_detected") & (F.col("face_sharpness") > 0) & F.lit(t.soft_face_reject), F.col("face_sharpness")))
+    limits = [F.lit(x) for x in (t.soft_face_floor, t.soft_face_ratio)]
+    median = sharp.groupBy("job_ref").agg(upper_median("_sharp").alias("m"), *(F.max(x).alias(k) for x, k in zip(limits, ("floor", "ratio"), strict=True)))
+    return median.select("job_ref", F.when(F.col("m").isNull(), 0.0).otherwise(F.greatest("floor", F.col("m") * F.col("ratio"))).alias("soft_face_threshold"))
 
 
 def with_threshold(df: DataFrame, t: CoverageLimits = LIMITS) -> DataFrame:
@@ -101,12 +105,20 @@ def bucket_sizes(kept: DataFrame) -> DataFrame:
     return kept.groupBy("job_ref", "bucket").agg(F.count("*").alias("n"))
 
 
-def _caps(sizes: DataFrame, target: int | None, t: CoverageLimits) -> DataFrame:
+def _caps(sizes: DataFrame, target: int | Column | None, t: CoverageLimits) -> DataFrame:
+    """(job_ref, cap) from bucket sizes; limits that are columns are those of `sizes`, the same in a job."""
     jobs = sizes.groupBy("job_ref")
-    if t.per_bucket_cap is not None:
-        return jobs.agg(F.lit(t.per_bucket_cap).cast("long").alias("cap"))
-    base = F.lit(float(target)) / F.count("*") if target else upper_median("n").cast("double")
-    return jobs.agg(F.greatest(F.lit(t.cap_min), F.ceil(base * t.cap_factor)).cast("long").alias("cap"))
+    found: list[Column] = [] if t.per_bucket_cap is None else [_of_job(t.per_bucket_cap)]
+    if not found or isinstance(t.per_bucket_cap, Column):
+        counts = [_of_job(target) / F.count("*")] if isinstance(target, Column) else [F.lit(float(target)) / F.count("*")] if target else []
+        bases = [*(F.when(_of_job(target) > 0, c) if isinstance(target, Column) else c for c in counts), upper_median("n").cast("double")]
+        found.append(F.greatest(_of_job(t.cap_min), F.ceil(F.coalesce(*bases) * _of_job(t.cap_factor))))
+    return jobs.agg(F.coalesce(*found).cast("long").alias("cap"))
+
+
+def _of_job(limit: object) -> Column:
+    """A limit as an aggregate of a job's rows."""
+    return F.max(limit) if isinstance(limit, Column) else F.lit(limit)
 
 
 def bucket_caps(kept: DataFrame, target: int | None = None, t: CoverageLimits = LIMITS) -> DataFrame:
@@ -114,28 +126,54 @@ def bucket_caps(kept: DataFrame, target: int | None = None, t: CoverageLimits =
     return _caps(bucket_sizes(kept), target, t)
 
 
-def select_images(df: DataFrame, name: str = "face", target: int | None = None, t: CoverageLimits = LIMITS) -> DataFrame:
+def select_images(df: DataFrame, name: str = "face", target: int | Column | None = None, t: CoverageLimits = LIMITS) -> DataFrame:
     """Adds auto_decision, auto_reason, bucket (empty for hard rejects) and combined_score to all rows.
 
     Survivors are ranked in their bucket by score, then filename; those beyond the cap go. If more than the target
-    are left, the lowest go, but never a bucket's first. The trim sorts only what the cap left.
+    are left, the lowest go, but never a bucket's first. A bucket is ranked in SLICES slices of the score, one after
+    another, so one that holds most rows isn't sorted as a whole; the trim sorts only what the cap left.
+
+    Limits and target may be columns of `df`, the same in all rows of a job.
     """
+    slot = F.least(F.greatest(F.floor(combined_score() * SLICES), F.lit(0)), F.lit(SLICES)).cast("int")
     judged = hard_reject(df, name, t).withColumns({"bucket": F.when(F.col("reject_reason").isNull(), purpose(name).bucket()).otherwise(""), "combined_score": combined_score(), "_ok": F.col("reject_reason").isNull()})
-    sizes = bucket_sizes(judged.where("_ok"))
+    judged = judged.withColumn("_slice", F.when(F.col("_ok"), slot))
+    limits = _columns(target, t)
+    sliced = judged.where("_ok").groupBy("job_ref", "bucket", "_slice").agg(F.count("*").alias("n"), *(F.max(c).alias(k) for k, c in limits.items()))
+    sizes = sliced.groupBy("job_ref", "bucket").agg(F.sum("n").alias("n"), *(F.max(k).alias(k) for k in limits))
     # what the caps leave follows from the buckets' sizes
-    caps = sizes.join(_caps(sizes, target, t), "job_ref").groupBy("job_ref").agg(F.first("cap").alias("cap"), F.sum(F.least("n", "cap")).alias("_kept"))
+    caps = sizes.join(_caps(sizes, *_named(target, t)), "job_ref").groupBy("job_ref").agg(F.first("cap").alias("cap"), F.sum(F.least("n", "cap")).alias("_kept"))
+    above = F.coalesce(F.sum("n").over(Window.partitionBy("job_ref", "bucket").orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = sliced.select("job_ref", "bucket", "_slice", above.alias("_above"))
     # rows that aren't ranked are spread, or they would be sorted as one group
     spread = F.pmod(F.xxhash64("filename"), F.lit(4096))
-    ranked = judged.join(caps, "job_ref", "left").withColumn("_part", F.when(F.col("_ok"), -1).otherwise(spread))
+    ranked = judged.join(caps, "job_ref", "left").join(places, ["job_ref", "bucket", "_slice"], "left").withColumn("_part", F.when(F.col("_ok"), F.col("_slice")).otherwise(-1 - spread))
     place = F.row_number().over(Window.partitionBy("job_ref", "bucket", "_part").orderBy(F.desc("combined_score"), "filename"))
-    ranked = ranked.withColumn("_rank", F.when(F.col("_ok"), place)).withColumn("_in", F.col("_ok") & (F.col("_rank") <= F.col("cap")))
+    ranked = ranked.withColumn("_rank", F.when(F.col("_ok"), place + F.col("_above"))).withColumn("_in", F.col("_ok") & (F.col("_rank") <= F.col("cap")))
     over = F.concat(F.lit("over-represented bucket '"), "bucket", F.lit("' (>"), F.col("cap").cast("string"), F.lit("); rank "), F.col("_rank").cast("string"))
     trim = F.lit(None).cast("string")
-    if target:
+    if target is not None and (isinstance(target, Column) or target):
         ranked = ranked.withColumn("_free", F.col("_in") & (F.col("_rank") > 1)).withColumn("_part", F.when(F.col("_free"), -1).otherwise(spread))
         nth = F.row_number().over(Window.partitionBy("job_ref", "_part").orderBy("combined_score", "filename"))
         ranked = ranked.withColumn("_nth", nth)
-        trim = F.when(F.col("_free") & (F.col("_nth") <= F.col("_kept") - target), F.lit(f"target trim (kept top {target})"))
+        wanted = F.lit(target).cast("long")
+        trim = F.when(F.col("_free") & (wanted > 0) & (F.col("_nth") <= F.col("_kept") - wanted), F.concat(F.lit("target trim (kept top "), wanted.cast("string"), F.lit(")")))
     reason = F.coalesce("reject_reason", F.when(~F.col("_in"), over), trim)
     out = ranked.withColumns({"auto_decision": F.when(reason.isNull(), "keep").otherwise("reject"), "auto_reason": F.coalesce(reason, F.lit(""))})
     return out.select(*df.columns, "soft_face_threshold", "bucket", "combined_score", "auto_decision", "auto_reason")
+
+
+_CAP_LIMITS = ("per_bucket_cap", "cap_min", "cap_factor")
+
+
+def _columns(target: object, t: CoverageLimits) -> dict[str, Column]:
+    """The limits of caps that are columns, by the names that they have in bucket sizes."""
+    every = {"_target": target} | {f"_{k}": getattr(t, k) for k in _CAP_LIMITS}
+    return {k: c for k, c in every.items() if isinstance(c, Column)}
+
+
+def _named(target: object, t: CoverageLimits) -> tuple[object, object]:
+    """Target and limits with columns of bucket sizes in place of those of rows."""
+    names = _columns(target, t)
+    limit = lambda k: F.col(f"_{k}") if f"_{k}" in names else getattr(t, k)
+    return F.col("_target") if "_target" in names else target, SimpleNamespace(**{k: limit(k) for k in _CAP_LIMITS})

@@ -6,6 +6,8 @@ make inputs, never results.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -149,6 +151,20 @@ def wide_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr("event_id AS job_id", f"{WIDE_PARAMS} AS params")
 
 
+#: Params of jobs, by job_ref of records; other jobs have none.
+JOB_SETTINGS = {
+    "en": {"quality": {"min_side_fail": 600, "face_sharpness_warn": 300.0}, "coverage": {"cap_min": 3, "cap_factor": 1.25, "min_suitability": 55, "soft_face_floor": 300.0}, "target": 30},
+    "de": {"quality": {"clip_frac_warn": 0.2, "face_area_frac_min": 0.01}, "coverage": {"per_bucket_cap": 4, "soft_face_reject": False}},
+    "fr": {"quality": {"mean_luma_low": 60.0, "global_sharpness_fail": 20.0}, "coverage": {"soft_face_rel_ratio": 0.9, "cap_min": 2}},
+    "es": {},
+}
+
+
+def job_settings(spark: SparkSession) -> DataFrame:
+    """(job_id, params) of the jobs of records; a table of a few rows, one for each job."""
+    return spark.createDataFrame([(job, json.dumps(params)) for job, params in JOB_SETTINGS.items() if params], "job_id string, params string")
+
+
 #: An answer for each document and attempt, in both engines' SQL.
 _SUIT = "CASE doc_id % 8 WHEN 0 THEN CAST((doc_id * 31) % 130 AS STRING) WHEN 1 THEN concat('\"', CAST((doc_id * 31) % 130 AS STRING), '\"') WHEN 2 THEN '62.5' WHEN 3 THEN '\"good\"' WHEN 4 THEN 'null' WHEN 5 THEN '\"71.5\"' WHEN 6 THEN '-3' ELSE 'true' END"
 _FLAG = "CASE (doc_id + {0}) % 7 WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN '\" Yes \"' WHEN 3 THEN '\"no\"' WHEN 4 THEN '1' WHEN 5 THEN '\"1\"' ELSE 'null' END"

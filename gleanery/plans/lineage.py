@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +13,12 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests, one machine) a temporary one."""
+    """The folder named in spark.checkpoint.dir. Where that is unset, a temporary one on a single machine, and an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     key = spark.sparkContext.applicationId
     if key not in _own:
         _own[key] = tempfile.mkdtemp(prefix="spark-")
@@ -40,16 +40,6 @@ class Scratch:
         out._scratch_path = path
         return out
 
-    def release(self) -> None:
-        """Lets Spark remove the shuffle files of jobs whose results are written.
-
-        Its cleaner acts on collected objects; some are only free after a first round.
-        """
-        for _ in range(2):
-            gc.collect()
-            self.spark._jvm.System.gc()
-            time.sleep(1)
-
     def drop(self, df: DataFrame) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from ..config import CLARITIES, GARMENT_TYPES, POSE_CATEGORIES, SHOT_TYPES, VIEW_ANGLES, CoverageLimits, QualityLimits
 from ..operators.measure import dct_weights
-from ..operators.review import ACTIVE, PARAMS
+from ..operators.review import ACTIVE, KEYS, PARAMS
 from ..purposes import PURPOSES
 from . import fixtures as X
 
@@ -30,43 +32,59 @@ def _ramp(v: str, lo: float, hi: float) -> str:
 
 
 _SIDE = "least(width, height)"
-_USABLE = f"(face_detected AND face_area_frac >= {_d(_Q.face_area_min)})"
 _TENTHS = "CAST(round_even(face_area_frac * 100 * 10, 0) AS BIGINT)"
-_CHECKS = [
-    [(f"{_SIDE} < {_Q.min_side_fail}", 2, f"concat('resolution too low (', {_SIDE}, 'px)')"), (f"{_SIDE} < {_Q.min_side_warn}", 1, f"concat('low resolution (', {_SIDE}, 'px)')")],
-    [(f"global_sharpness < {_Q.global_sharpness_fail}", 2, f"concat('image very blurry (sharpness ', {_whole('global_sharpness')}, ')')"), (f"global_sharpness < {_Q.global_sharpness_warn}", 1, f"concat('image slightly soft (sharpness ', {_whole('global_sharpness')}, ')')")],
-    [(f"{_USABLE} AND face_sharpness < {_Q.face_sharpness_fail}", 2, f"concat('blurry face (face sharpness ', {_whole('face_sharpness')}, ')')"), (f"{_USABLE} AND face_sharpness < {_Q.face_sharpness_warn}", 1, f"concat('soft face (face sharpness ', {_whole('face_sharpness')}, ')')")],
-    [(f"{_USABLE} AND face_area_frac < {_d(_Q.face_area_warn)}", 1, f"concat('small face (', {_TENTHS} // 10, '.', {_TENTHS} % 10, '% of frame)')")],
-    [(f"clip_frac > {_d(_Q.clip_warn)}", 1, f"concat('exposure clipping (', {_whole('clip_frac * 100')}, '%)')")],
-    [(f"mean_luma < {_Q.luma_low}", 1, "'underexposed'"), (f"mean_luma > {_Q.luma_high}", 1, "'overexposed'")],
-]
-_LEVEL = "greatest(" + ", ".join("CASE " + " ".join(f"WHEN {c} THEN {s}" for c, s, _ in check) + " ELSE 0 END" for check in _CHECKS) + ")"
-_REASONS = "list_filter([" + ", ".join("CASE " + " ".join(f"WHEN {c} THEN {t}" for c, _, t in check) + " END" for check in _CHECKS) + "], lambda x: x IS NOT NULL)"
-
-
-def _score(weights: list[str]) -> str:
+
+
+def _usable(q: QualityLimits) -> str:
+    return f"(face_detected AND face_area_frac >= {_d(q.face_area_min)})"
+
+
+def _checks(q: QualityLimits) -> list[list[tuple[str, int, str]]]:
+    return [
+        [(f"{_SIDE} < {q.min_side_fail}", 2, f"concat('resolution too low (', {_SIDE}, 'px)')"), (f"{_SIDE} < {q.min_side_warn}", 1, f"concat('low resolution (', {_SIDE}, 'px)')")],
+        [(f"global_sharpness < {q.global_sharpness_fail}", 2, f"concat('image very blurry (sharpness ', {_whole('global_sharpness')}, ')')"), (f"global_sharpness < {q.global_sharpness_warn}", 1, f"concat('image slightly soft (sharpness ', {_whole('global_sharpness')}, ')')")],
+        [(f"{_usable(q)} AND face_sharpness < {q.face_sharpness_fail}", 2, f"concat('blurry face (face sharpness ', {_whole('face_sharpness')}, ')')"), (f"{_usable(q)} AND face_sharpness < {q.face_sharpness_warn}", 1, f"concat('soft face (face sharpness ', {_whole('face_sharpness')}, ')')")],
+        [(f"{_usable(q)} AND face_area_frac < {_d(q.face_area_warn)}", 1, f"concat('small face (', {_TENTHS} // 10, '.', {_TENTHS} % 10, '% of frame)')")],
+        [(f"clip_frac > {_d(q.clip_warn)}", 1, f"concat('exposure clipping (', {_whole('clip_frac * 100')}, '%)')")],
+        [(f"mean_luma < {q.luma_low}", 1, "'underexposed'"), (f"mean_luma > {q.luma_high}", 1, "'overexposed'")],
+    ]
+
+
+def _level(q: QualityLimits) -> str:
+    return "greatest(" + ", ".join("CASE " + " ".join(f"WHEN {c} THEN {s}" for c, s, _ in check) + " ELSE 0 END" for check in _checks(q)) + ")"
+
+
+def _reasons(q: QualityLimits) -> str:
+    return "list_filter([" + ", ".join("CASE " + " ".join(f"WHEN {c} THEN {t}" for c, _, t in check) + " END" for check in _checks(q)) + "], lambda x: x IS NOT NULL)"
+
+
+def _score(weights: list[str], q: QualityLimits = _Q) -> str:
     parts = [
-        _ramp(_SIDE, _Q.min_side_fail, _Q.min_side_warn),
-        _ramp("global_sharpness", _Q.global_sharpness_fail, _Q.global_sharpness_warn * 1.5),
-        f"CASE WHEN {_USABLE} THEN {_ramp('face_sharpness', _Q.face_sharpness_fail, _Q.face_sharpness_warn * 1.5)} ELSE {_d(_Q.no_face)} END",
-        f"CASE WHEN {_USABLE} THEN {_ramp('face_area_frac', _Q.face_area_min, _Q.face_area_warn * 2)} ELSE {_d(_Q.no_face)} END",
-        f"(1e0 - {_ramp('clip_frac', _Q.clip_warn, _Q.clip_worst)})",
+        _ramp(_SIDE, q.min_side_fail, q.min_side_warn),
+        _ramp("global_sharpness", q.global_sharpness_fail, q.global_sharpness_warn * 1.5),
+        f"CASE WHEN {_usable(q)} THEN {_ramp('face_sharpness', q.face_sharpness_fail, q.face_sharpness_warn * 1.5)} ELSE {_d(q.no_face)} END",
+        f"CASE WHEN {_usable(q)} THEN {_ramp('face_area_frac', q.face_area_min, q.face_area_warn * 2)} ELSE {_d(q.no_face)} END",
+        f"(1e0 - {_ramp('clip_frac', q.clip_warn, q.clip_worst)})",
     ]
     return "greatest(least(" + " + ".join(f"{w} * {p}" for w, p in zip(weights, parts, strict=True)) + ", 1e0), 0e0)"
 
 
-_RULES = {
-    "quality_fail": "CASE WHEN quality_verdict = 'fail' THEN concat('quality:', array_to_string(quality_reasons[1:2], '; ')) END",
-    "duplicate": "CASE WHEN is_duplicate THEN 'duplicate' END",
-    "multiple_subjects": "CASE WHEN coalesce(subject_count, 1) > 1 OR many_issue THEN 'multiple subjects' END",
-    "face_blurry": "CASE WHEN face_clarity = 'blurry' AND coalesce(face_visible, true) THEN 'vl:blurry face' END",
-    "soft_face": f"CASE WHEN cut > 0 AND face_detected AND coalesce(face_visible, true) AND face_sharpness < cut THEN concat('soft face (sharpness ', {_whole('face_sharpness')}, ' < ', {_whole('cut')}, ')') END",
-    "body_not_visible": "CASE WHEN NOT coalesce(body_shape_visible, true) THEN 'body not visible' END",
-    "pose_not_visible": "CASE WHEN NOT coalesce(pose_clearly_visible, true) THEN 'pose not visible' END",
-    "garment_not_visible": "CASE WHEN NOT coalesce(garment_visible, true) THEN 'garment not visible' END",
-    "garment_blurry": "CASE WHEN garment_clarity = 'blurry' THEN 'vl:blurry garment' END",
-    "low_suitability": f"CASE WHEN training_suitability < {_C.min_suitability} THEN concat('low suitability (', training_suitability, ')') END",
-}
+def _rules(c: CoverageLimits = _C) -> dict[str, str]:
+    return {
+        "quality_fail": "CASE WHEN quality_verdict = 'fail' THEN concat('quality:', array_to_string(quality_reasons[1:2], '; ')) END",
+        "duplicate": "CASE WHEN is_duplicate THEN 'duplicate' END",
+        "multiple_subjects": "CASE WHEN coalesce(subject_count, 1) > 1 OR many_issue THEN 'multiple subjects' END",
+        "face_blurry": "CASE WHEN face_clarity = 'blurry' AND coalesce(face_visible, true) THEN 'vl:blurry face' END",
+        "soft_face": f"CASE WHEN cut > 0 AND face_detected AND coalesce(face_visible, true) AND face_sharpness < cut THEN concat('soft face (sharpness ', {_whole('face_sharpness')}, ' < ', {_whole('cut')}, ')') END",
+        "body_not_visible": "CASE WHEN NOT coalesce(body_shape_visible, true) THEN 'body not visible' END",
+        "pose_not_visible": "CASE WHEN NOT coalesce(pose_clearly_visible, true) THEN 'pose not visible' END",
+        "garment_not_visible": "CASE WHEN NOT coalesce(garment_visible, true) THEN 'garment not visible' END",
+        "garment_blurry": "CASE WHEN garment_clarity = 'blurry' THEN 'vl:blurry garment' END",
+        "low_suitability": f"CASE WHEN training_suitability < {c.min_suitability} THEN concat('low suitability (', training_suitability, ')') END",
+    }
+
+
+_RULES = _rules()
 _VIEW, _SHOT = "coalesce(view_angle, 'front')", "coalesce(shot_type, 'other')"
 _BUCKET = {
     "face": f"concat({_VIEW}, '|', {_SHOT})",
@@ -96,17 +114,17 @@ def _median(x: str) -> str:
     return f"list_sort(list({x}))[count(*) // 2 + 1]"
 
 
-def _chain(p: str = "face", target: int | None = None, cap: int | None = None) -> str:
+def _chain(p: str = "face", target: int | None = None, cap: int | None = None, q: QualityLimits = _Q, c: CoverageLimits = _C) -> str:
     """Common tables from records to selected rows."""
-    reason = ", ".join(_RULES[r] for r in ("quality_fail", "duplicate", *PURPOSES[p].rules, "low_suitability"))
-    limit = str(cap) if cap is not None else f"greatest({_C.cap_min}, CAST(ceil(" + (f"({_d(target)} / count(*))" if target else f"CAST({_median('n')} AS DOUBLE)") + f" * {_d(_C.cap_factor)}) AS BIGINT))"
+    reason = ", ".join(_rules(c)[r] for r in ("quality_fail", "duplicate", *PURPOSES[p].rules, "low_suitability"))
+    limit = str(cap) if cap is not None else f"greatest({c.cap_min}, CAST(ceil(" + (f"({_d(target)} / count(*))" if target else f"CAST({_median('n')} AS DOUBLE)") + f" * {_d(c.cap_factor)}) AS BIGINT))"
     trim = f"ok AND rank <= cap AND rank > 1 AND nth <= n_in - {target}" if target else "false"
     return f"""
 WITH records AS ({X.RECORDS_SQL}),
-gated AS (SELECT *, CASE {_LEVEL} WHEN 2 THEN 'fail' WHEN 1 THEN 'warn' ELSE 'pass' END AS quality_verdict, {_REASONS} AS quality_reasons FROM records),
-scored AS (SELECT *, {_score([_d(w) for w in PURPOSES[p].weights])} AS quality_score FROM gated),
-faces AS (SELECT job_ref, {_median('face_sharpness')} AS m FROM records WHERE face_detected AND face_sharpness > 0 GROUP BY job_ref),
-cuts AS (SELECT j.job_ref, CASE WHEN m IS NULL THEN 0e0 ELSE greatest({_d(_C.soft_face_floor)}, m * {_d(_C.soft_face_ratio)}) END AS cut FROM (SELECT DISTINCT job_ref FROM records) j LEFT JOIN faces f ON j.job_ref = f.job_ref),
+gated AS (SELECT *, CASE {_level(q)} WHEN 2 THEN 'fail' WHEN 1 THEN 'warn' ELSE 'pass' END AS quality_verdict, {_reasons(q)} AS quality_reasons FROM records),
+scored AS (SELECT *, {_score([_d(w) for w in PURPOSES[p].weights], q)} AS quality_score FROM gated),
+faces AS (SELECT job_ref, {_median('face_sharpness')} AS m FROM records WHERE face_detected AND face_sharpness > 0 AND {str(c.soft_face_reject).lower()} GROUP BY job_ref),
+cuts AS (SELECT j.job_ref, CASE WHEN m IS NULL THEN 0e0 ELSE greatest({_d(c.soft_face_floor)}, m * {_d(c.soft_face_ratio)}) END AS cut FROM (SELECT DISTINCT job_ref FROM records) j LEFT JOIN faces f ON j.job_ref = f.job_ref),
 ruled AS (SELECT s.*, cut FROM scored s JOIN cuts c ON s.job_ref = c.job_ref),
 judged AS (SELECT *, coalesce({reason}) AS reject_reason, {_BUCKET[p]} AS bucket_key,
   quality_score * (coalesce(CAST(training_suitability AS DOUBLE), 50e0) / 100e0) * (0.5e0 + 0.5e0 * coalesce(uniqueness, 0.5e0)) AS combined FROM ruled),
@@ -274,6 +292,8 @@ j AS (SELECT d.doc_id, d.lang AS job_ref, b.j IS NULL AS parse_failed, coalesce(
 SELECT doc_id AS image_id, job_ref, parse_failed, {_FIELDS['view_angle']} AS view_angle, {_FIELDS['subject_count']} AS subject_count, CASE WHEN parse_failed THEN 'model output could not be parsed' ELSE {_REASON} END AS reason FROM j""",
     "vector_choice": "SELECT concat('job', label % 3) AS job_ref, vec_id, CAST(CASE WHEN bool_and(NOT (label % 3 = 1 AND vec_id % 10 = 0)) OVER (PARTITION BY label % 3) THEN 64 ELSE 1 END AS BIGINT) AS dims FROM embeddings",
     "cosine_pairs": f"{_VECTORS} SELECT a, b, {_six('sim')} AS sim FROM sims WHERE sim >= 0.9e0",
+    "cosine_lsh_recall": f"{_VECTORS} SELECT count(*) AS n_pairs, true AS enough FROM sims WHERE sim >= 0.9e0",
+    "similar_uniqueness": f"{_VECTORS}, near AS (SELECT id, count(*) AS n_near FROM (SELECT a AS id FROM sims WHERE sim >= 0.9e0 UNION ALL SELECT b FROM sims WHERE sim >= 0.9e0) GROUP BY id) SELECT t.id, round((1 - max_sim - min(1 - max_sim) OVER ()) / (max(1 - max_sim) OVER () - min(1 - max_sim) OVER ()), 3) AS uniqueness, coalesce(n_near, 0) AS n_near FROM tops t LEFT JOIN near n ON t.id = n.id",
     "hamming_pairs": f"{_VECTORS}, firsts AS (SELECT min(id) AS id, bits FROM v GROUP BY bits) SELECT a, b, distance FROM sims WHERE distance <= 4 AND a IN (SELECT id FROM firsts) AND b IN (SELECT id FROM firsts) UNION ALL SELECT f.id, v.id, 0 FROM v JOIN firsts f ON v.bits = f.bits AND v.id <> f.id",
     "near_dup_edges": f"{_VECTORS} SELECT a, b FROM edges",
     "near_dup_components": f"{_VECTORS} SELECT id, component FROM members",
@@ -381,3 +401,18 @@ def _param(block: str, key: str, default: object) -> str:
 ORACLE["job_params_all_keys"] = f"""
 WITH j AS (SELECT job_id, CASE WHEN json_valid(params) THEN params ELSE '{{}}' END AS p FROM ({X.WIDE_JOBS_SQL}))
 SELECT job_id, {', '.join(_param(b, k, v) for b, keys in PARAMS.items() for k, v in keys.items())}, CAST(p ->> '$.target' AS INTEGER) AS target FROM j"""
+
+
+def _own(params: dict, block: str) -> dict[str, object]:
+    """A block of params by the names of the limits."""
+    names = {v: k for k, v in KEYS.items()}
+    return {names.get(k, k): v for k, v in params.get(block, {}).items()}
+
+
+# --- jobs of different settings --------------------------------------------
+
+_BY_JOB = {
+    job: _chain("face", params.get("target"), params.get("coverage", {}).get("per_bucket_cap") if not params.get("target") else None, replace(_Q, **_own(params, "quality")), replace(_C, **{k: v for k, v in _own(params, "coverage").items() if k != "per_bucket_cap"}))
+    for job, params in X.JOB_SETTINGS.items()
+}
+ORACLE["select_by_job"] = " UNION ALL ".join(f"SELECT * FROM ({sql} SELECT doc_id, job_ref, bucket, quality_verdict, {_six('combined')} AS combined_score, auto_decision, auto_reason FROM decided WHERE job_ref = '{job}')" for job, sql in _BY_JOB.items())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import CoverageLimits
+from ..config import CoverageLimits, QualityLimits
 from ..operators import coverage as K
 from ..operators import evaluations as V
 from ..operators import measure as M
@@ -271,6 +271,23 @@ def _(spark, sf_dir):
     return D.lsh_pairs(X.vectors(spark, sf_dir)).select("a", "b", six(F.col("sim")).alias("sim"))
 
 
+@query("cosine_lsh_recall")
+def _(spark, sf_dir):
+    """How many pairs there are, and whether random hyperplanes find nine tenths of them (equal vectors are paired with the first only)."""
+    v = X.vectors(spark, sf_dir)
+    exact, found = D.cosine_pairs(v).select("a", "b"), D.lsh_pairs(v).select("a", "b", F.lit(1).alias("hit"))
+    both = exact.join(found, ["a", "b"], "left")
+    return both.agg(F.count("*").alias("n_pairs"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
+
+
+@query("similar_uniqueness")
+def _(spark, sf_dir):
+    """Pairs and uniqueness from one comparison."""
+    pairs, best = D.similar(X.vectors(spark, sf_dir))
+    partners = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_near"))
+    return D.uniqueness(best).join(partners, "id", "left").select("id", "uniqueness", F.coalesce("n_near", F.lit(0)).alias("n_near"))
+
+
 @query("hamming_pairs")
 def _(spark, sf_dir):
     return _hamming(spark, sf_dir).select("a", "b", "distance")
@@ -395,6 +412,15 @@ def _(spark, sf_dir):
     return s.where("auto_reason like 'target trim%'").select("doc_id", "bucket", "auto_reason")
 
 
+@query("select_by_job")
+def _(spark, sf_dir):
+    """Jobs of different settings in one run: every limit and the target are those of the row's job."""
+    rows = A.with_limits(X.records(spark, sf_dir), A.job_params(X.job_settings(spark)))
+    q, c = A.limits_of(QualityLimits()), A.limits_of(CoverageLimits())
+    got = C.select_images(Q.quality_score(Q.quality_gate(rows, q), "face", q), "face", F.col("limit_target"), c)
+    return got.select("doc_id", "job_ref", "bucket", "quality_verdict", six(F.col("combined_score")).alias("combined_score"), "auto_decision", "auto_reason")
+
+
 # --- coverage --------------------------------------------------------------
 
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from gleanery.operators import neardup as D
 from gleanery.operators import review as A
 from gleanery.operators import selection as C
 from gleanery.operators.graph import connected_components
+from gleanery.plans.lineage import shared_folder
 from gleanery.plans.queries import QUERIES
 from gleanery.purposes import PURPOSES, purpose
 
@@ -174,3 +176,45 @@ def test_params_of_every_block(spark):
     keys = ("quantize", "purpose", "min_side_fail", "similarity_threshold", "soft_face_floor", "cap_min", "min_front_face", "min_garment_visible_shots", "face_area_frac_min")
     assert [a[k] for k in keys] == [True, "pose", 256, 0.8, 90.0, 2, 9, 1, 0.004]
     assert [b[k] for k in keys] == [False, "face", 512, 0.9, 200.0, 4, 4, 8, 0.004]
+
+
+def test_hyperplanes_find_near_pairs(spark):
+    """Recall of 0.9 at least on pairs of cosine 0.9 and little more, within jobs only; copies are paired with the first."""
+    r = np.random.default_rng(4)
+    rows, near = [], set()
+    for i in range(0, 400, 2):
+        v = r.normal(size=96)
+        v /= np.linalg.norm(v)
+        side = r.normal(size=96)
+        side -= (side @ v) * v
+        w = v + side / np.linalg.norm(side) * np.tan(np.arccos(0.9 + 0.02 * r.random()))
+        rows += [("ab"[i % 4 // 2], i, v.tolist()), ("ab"[i % 4 // 2], i + 1, w.tolist())]
+        near.add((i, i + 1))
+    rows += [("a", 900, rows[0][2]), ("b", 901, rows[0][2]), ("a", 902, [0.0] * 96), ("a", 903, [0.0] * 96)]
+    df = spark.createDataFrame(rows, "job_ref string, id long, features array<double>")
+    exact = {(x["a"], x["b"]) for x in D.cosine_pairs(df).collect()}
+    found = {(x["a"], x["b"]): x["sim"] for x in D.lsh_pairs(df).collect()}
+    assert near <= exact and set(found) <= exact and (0, 900) in found and (0, 901) not in found
+    assert len(near & set(found)) >= 0.9 * len(near)
+    pairs, best = D.similar(df, most_exact=201)  # job b has 201 vectors, job a 203
+    marks = {x["id"]: x["approximate"] for x in best.collect()}
+    assert len(marks) == len(rows) and {marks[i] for j, i, _ in rows if j == "b"} == {False} and {marks[i] for j, i, _ in rows if j == "a"} == {True}
+    assert {(x["a"], x["b"]) for x in pairs.where("job_ref = 'b'").collect()} == {p for p in exact if rows[p[0]][0] == "b"}
+    assert D.similar(df.limit(0))[0].count() == 0
+
+
+def test_one_extraction_in_a_plan(spark):
+    df = spark.createDataFrame([("{}",)], "answer string")
+    vl = df.select(V.there(V.normalize(V.parsed(F.col("answer")))).alias("vl")).select("vl.*")
+    assert vl._jdf.queryExecution().optimizedPlan().toString().count("```(?:json)?") == 1
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Context:
+        master, applicationId = "spark://there:7077", "x"
+
+    class Session:
+        sparkContext, conf = Context(), type("Conf", (), {"get": staticmethod(lambda *_: None)})()
+
+    with pytest.raises(RuntimeError):
+        shared_folder(Session())
