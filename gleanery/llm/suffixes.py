@@ -107,45 +107,52 @@ def first_places(text: np.ndarray, off: np.ndarray, key: np.ndarray, length: int
     key: an order number of each byte's place.
     """
     n, begin, end = len(text), off[:-1], off[1:]
+    place = np.arange(n, dtype=np.int32)  # places fit in 32 bits; a bucket's arrays are what a task's memory is made of
     last = np.zeros(n, bool)
     last[end - 1] = True
     # types: B, smaller than the successor; A, greater (an end is smaller than all)
     step = np.empty(n, np.int8)
     step[:-1] = np.sign(text[1:].astype(np.int16) - text[:-1])
     step[last] = -1
-    told = np.where(step != 0, np.arange(n), n)
-    smaller = step[np.minimum.accumulate(told[::-1])[::-1]] > 0
-    next_b = np.minimum.accumulate(np.where(smaller, np.arange(n), n)[::-1])[::-1]
+    smaller = step[np.minimum.accumulate(np.where(step != 0, place, n)[::-1])[::-1]] > 0
+    del step
     final = end - length  # last windows
-    upto = np.minimum(next_b[final], end - 1)
-    needed = np.zeros(n + 1, np.int8)
-    np.add.at(needed, begin, 1)
-    np.add.at(needed, upto + 1, -1)
-    needed = np.cumsum(needed)[:n] > 0
+    upto = np.minimum(np.minimum.accumulate(np.where(smaller, place, n)[::-1])[::-1][final], end - 1)
+    del place
+
+    def between(first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        edge = np.zeros(n + 1, np.int8)
+        np.add.at(edge, first, 1)
+        np.add.at(edge, stop, -1)
+        return np.cumsum(edge, dtype=np.int8)[:n] > 0
+
+    needed = between(begin, upto + 1)
     # first stage: B suffixes sorted directly by their bytes
-    b = np.flatnonzero(needed & smaller)
     views = np.lib.stride_tricks.sliding_window_view(np.concatenate([text, np.zeros(length, np.uint8)]), length)
-    own_end = np.repeat(end, end - begin)
+    b = np.flatnonzero(needed & smaller).astype(np.int32)
     # slices of equal first two bytes, so few suffixes are copied out at a time
-    pair = text[b].astype(np.int32) * 256 + np.where(b + 1 < own_end[b], text[np.minimum(b + 1, n - 1)], 0)
+    pair = (text[b].astype(np.uint16) << 8) | np.where(last[b], 0, text[np.minimum(b + 1, n - 1)])
     order = np.argsort(pair, kind="stable")
     b, pair = b[order], pair[order]
     cut = np.append(np.flatnonzero(np.append(True, pair[1:] != pair[:-1])), len(b)) if len(b) else np.zeros(1, np.int64)
+    del order, pair
     lo = 0
     while lo < len(b):
         hi = int(cut[max(np.searchsorted(cut, lo + _SLICE, "right") - 1, np.searchsorted(cut, lo, "right"))])
         mine = b[lo:hi]
         rows = views[mine]
-        for i in np.flatnonzero(mine + length > own_end[mine]).tolist():
-            rows[i, own_end[mine[i]] - mine[i] :] = 0
+        own_end = end[np.searchsorted(end, mine, "right")]
+        for i in np.flatnonzero(mine + length > own_end).tolist():
+            rows[i, own_end[i] - mine[i] :] = 0
         b[lo:hi] = mine[np.argsort(np.ascontiguousarray(rows).view(f"S{length}").ravel(), kind="stable")]
         lo = hi
     b_at = np.searchsorted(text[b], np.arange(257))
     # second stage: A suffixes, bucket by bucket of the first byte, in the order of their successors
-    a = np.flatnonzero(needed & ~smaller)
+    a = np.flatnonzero(needed & ~smaller).astype(np.int32)
     a = a[np.argsort(text[a], kind="stable")]
     a_at = np.searchsorted(text[a], np.arange(257))
-    rank = np.full(n + 1, -1, np.int64)
+    del smaller
+    rank = np.full(n + 1, -1, np.int32)
     order: list[np.ndarray] = []
     done = 0
     for c in range(256):
@@ -163,18 +170,18 @@ def first_places(text: np.ndarray, off: np.ndarray, key: np.ndarray, length: int
         rank[mine] = np.arange(done, done + len(mine))
         done += len(mine)
         order.append(mine)
+    del rank, a, b
     order = np.concatenate(order)
-    window = np.zeros(n, bool)
-    window[needed] = np.arange(n)[needed] + length <= np.repeat(end, end - begin)[needed]
-    order = order[window[order]]
+    order = order[between(begin, np.maximum(final + 1, begin))[order]]
     # common prefixes of neighbours, as far as they count
     same = np.zeros(len(order), bool)
-    for lo in range(1, len(order), 1 << 16):
-        hi = min(len(order), lo + (1 << 16))
+    for lo in range(1, len(order), _SLICE):
+        hi = min(len(order), lo + _SLICE)
         same[lo:hi] = (views[order[lo:hi]] == views[order[lo - 1 : hi - 1]]).all(1)
     group = np.flatnonzero(~same)
-    least = np.minimum.reduceat(key[order], group) if len(group) else key[:0]
-    return order, key[order] > np.repeat(least, np.diff(np.append(group, len(order))))
+    own = key[order]
+    least = np.minimum.reduceat(own, group) if len(group) else own
+    return order, own > np.repeat(least, np.diff(np.append(group, len(order))))
 
 
 def _merge(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -217,7 +224,8 @@ def _sort_bucket(key: tuple, table: pa.Table, length: int) -> Iterator[pa.Record
     doc = np.empty(len(by), np.int64)
     doc[by] = np.cumsum(new) - 1
     ids = by[new]
-    order_no = np.repeat((doc << 40) + start - off[:-1], size) + np.arange(len(text))
+    order_no = np.repeat((doc << 40) + start - off[:-1], size)
+    order_no += np.arange(len(text), dtype=np.int32)
     place, gone = first_places(text, off, order_no, length)
     k = np.sort(order_no[place[gone]])
     d, a = k >> 40, k & ((1 << 40) - 1)
