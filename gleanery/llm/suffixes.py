@@ -325,11 +325,9 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
         packer = zstandard.ZstdCompressor(level=1)
 
         def flush():
-            bucket, doc_id, mark, start, size, data = (np.concatenate(x) for x in zip(*held, strict=True))
+            bucket, doc_id, mark, start, size, h, data = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             off = np.concatenate([[0], np.cumsum(size)])
-            t = Texts(data, off)
-            h = t.hashes(off[:-1], off[1:])
             # of equal stretches the first goes on
             order = np.lexsort((start, mark, doc_id, h))
             new = np.ones(len(h), bool)
@@ -371,7 +369,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
                 at, size, row, bucket = at[keep], windows[keep] + length - 1, row[keep], bucket[keep]
                 total = np.concatenate([[0], np.cumsum(size)])
                 data = t.buf[np.repeat(at - total[:-1], size) + np.arange(total[-1])]
-                held.append((bucket.astype(np.int64), ids[lo:hi][row], marks[lo:hi][row], at - t.off[row], size, data))
+                held.append((bucket.astype(np.int64), ids[lo:hi][row], marks[lo:hi][row], at - t.off[row], size, t.hashes(at, at + size), data))
                 n += len(data)
                 if n > _HELD:
                     yield flush()

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from helpers import components, shingle_set
 from test_decontaminate import brute as brute_contained
 from test_lines import brute as brute_lines
@@ -100,3 +101,27 @@ def test_rows_of_equal_and_null_ids(spark, sf_dir):
     assert got(cp.near_duplicates, rows) == sorted([(5, a), (3, b), (7, c), (None, d), (8, ""), (8, ""), (9, None)], key=repr)
     rows = [(1, a), (1, b + " " + item), (None, item), (None, c), (2, item), (2, item), (4, None)]
     assert got(cp.decontamination, rows) == sorted([(1, a), (None, c), (4, None)], key=repr)
+
+
+def test_empty_tables(spark, sf_dir, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert cp.run(spark, str(tmp_path)).count() == 0
+    # nothing to learn from and no item: only copies go
+    spark.read.parquet(f"{sf_dir}/documents.parquet").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert cp.run(spark, str(tmp_path)).count() > 0
+
+
+def test_further_columns_stay(spark, sf_dir):
+    names = ["row", "_row", "_of", "_key", "mark", "lines", "kept", "runs", "n_lines", "n_removed", "component_id", "node", "item_id", "ids", "score", "features"]
+    plain = cp.table(spark, sf_dir, "documents")
+    docs = plain.select("*", *(F.concat(F.lit(n + " "), F.coalesce("doc_id", F.lit(-1))).alias(n) for n in names))
+    for name, stage in cp.STAGES:
+        out, want = stage(spark, docs, sf_dir), stage(spark, plain, sf_dir)
+        if name == "encoding":
+            assert out.count() == want.count()
+            break
+        assert out.columns == docs.columns
+        assert sorted(map(tuple, out.select(*plain.columns).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+        assert out.where(" or ".join(f"`{n}` != concat('{n} ', coalesce(doc_id, -1))" for n in names)).count() == 0
+        docs, plain = out, want
