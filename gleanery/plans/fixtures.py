@@ -63,9 +63,17 @@ _VL = ["subject_count", "face_clarity", "garment_clarity", "view_angle", "shot_t
 RECORDS_SQL = "SELECT " + ", ".join(f"{e} AS {n}" for n, e in RECORD.items()) + " FROM (SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) x"
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: The same with a job for each language and source: small jobs, in which each purpose has gaps.
+SMALL_JOB = "concat(lang, '/', source)"
+
+
+def in_small_jobs(sql: str) -> str:
+    return sql.replace("lang AS job_ref", f"{SMALL_JOB} AS job_ref").replace("d.lang, l.quality", "d.lang, d.source, l.quality")
+
+
+def records(spark: SparkSession, sf_dir: str, job: str = "lang") -> DataFrame:
     """One row for each document: metrics, and the evaluation as struct `vl`."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr(job).alias("lang")).join(table(spark, sf_dir, "labels"), "doc_id", "left")
     flat = d.selectExpr(*(f"{e} AS {n}" for n, e in RECORD.items()))
     issues = F.when(F.col("many_issue"), F.array(F.lit("multiple_subjects"), F.lit("watermark_or_text"))).otherwise(F.array(F.lit("occlusion")))
     tags = F.when(F.col("style_tag").isNotNull(), F.array("style_tag", F.lit("other"))).otherwise(F.array().cast("array<string>"))
@@ -190,6 +198,33 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.selectExpr("doc_id", "job_ref", "attempt", f"{ANSWER} AS answer")
 
 
+_FOLDER = "concat('/data/', lang, '/', CASE WHEN doc_id % 53 = 0 THEN '_' ELSE '' END, source, CASE WHEN doc_id % 23 = 0 THEN '_rejected' ELSE '' END)"
+#: Height that the image source gives: below 0 where it can't decode, as for all images of one job.
+HEIGHT = "CASE WHEN lang = 'es' OR doc_id % 17 = 0 THEN -1 ELSE 400 + (doc_id * 53) % 1200 END"
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(job_ref, image): an image for each document."""
+    return table(spark, sf_dir, "documents").select(F.col("lang").alias("job_ref"), F.struct(F.expr(HEIGHT).alias("height")).alias("image"))
+
+
+#: Folders as a file system lists them: those of the files, and one without files for each language.
+FOLDERS_SQL = f"SELECT DISTINCT {_FOLDER} AS path FROM documents UNION SELECT DISTINCT concat('/data/', lang, '/nothing') FROM documents"
+
+
+def folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.expr(_FOLDER).alias("path")).union(d.select(F.concat(F.lit("/data/"), "lang", F.lit("/nothing")))).distinct()
+
+
+#: Metrics with more places than are stored.
+LONG_METRICS = {"global_sharpness": "CAST((doc_id * 71) % 3000 AS DOUBLE) / 70", "face_sharpness": "CAST((doc_id * 97) % 9000 AS DOUBLE) / 70", "face_area_frac": "CAST((doc_id * 13) % 400 AS DOUBLE) / 13000", "face_conf": "CAST(doc_id % 97 AS DOUBLE) / 97", "mean_luma": "CAST((doc_id * 29) % 256 AS DOUBLE) / 7", "clip_frac": "CAST((doc_id * 17) % 100 AS DOUBLE) / 333", "quality_score": "CAST((doc_id * 41) % 1000 AS DOUBLE) / 1003"}
+
+
+def long_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").selectExpr("doc_id", *(f"{e} AS {n}" for n, e in LONG_METRICS.items()))
+
+
 _SIDE = "(doc_id * box_no * 17) % 90 + 10"
 BOX = {"doc_id": "doc_id", "box_no": "box_no", "x": "(doc_id * 3 + box_no) % 50", "y": "(doc_id * 5) % 40", "w": _SIDE, "h": f"CASE WHEN box_no = 2 THEN {_SIDE} ELSE 60 END", "score": "CAST((doc_id * 7 + box_no) % 100 AS DOUBLE) / 100"}
 BOXES_SQL = "SELECT " + ", ".join(f"{e} AS {n}" for n, e in BOX.items()) + " FROM (SELECT doc_id, unnest(range(1, doc_id % 4 + 1)) AS box_no FROM documents) x"
@@ -201,7 +236,6 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.selectExpr(*(f"{e} AS {n}" for n, e in BOX.items()))
 
 
-_FOLDER = "concat('/data/', lang, '/', CASE WHEN doc_id % 53 = 0 THEN '_' ELSE '' END, source, CASE WHEN doc_id % 23 = 0 THEN '_rejected' ELSE '' END)"
 _STEM = "concat(CASE WHEN doc_id % 19 = 0 THEN '.' ELSE '' END, 'img_', lpad(CAST(doc_id AS STRING), 8, '0'))"
 FILE = {
     "doc_id": "doc_id",

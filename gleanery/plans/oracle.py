@@ -357,6 +357,7 @@ for _p in PURPOSES:
     ORACLE[f"select_{_p}"] = f"{_chain(_p, TARGET)} SELECT doc_id, job_ref, filename, bucket, {_six('combined')} AS combined_score, auto_decision, auto_reason FROM decided"
     ORACLE[f"requirement_counts_{_p}"] = f"{_chain(_p, TARGET)} SELECT job_ref, {', '.join(f'{_COUNTS[r.name]} AS {r.name}' for r in PURPOSES[_p].requirements)} FROM kept GROUP BY job_ref"
     ORACLE[f"coverage_gaps_{_p}"] = _display(_p, True)
+    ORACLE[f"coverage_gaps_small_jobs_{_p}"] = X.in_small_jobs(_display(_p, True))
 
 # --- the same over all jobs and attempts -----------------------------------
 
@@ -416,3 +417,10 @@ _BY_JOB = {
     for job, params in X.JOB_SETTINGS.items()
 }
 ORACLE["select_by_job"] = " UNION ALL ".join(f"SELECT * FROM ({sql} SELECT doc_id, job_ref, bucket, quality_verdict, {_six('combined')} AS combined_score, auto_decision, auto_reason FROM decided WHERE job_ref = '{job}')" for job, sql in _BY_JOB.items())
+
+# --- unreadable images, empty folders, stored metrics ----------------------
+
+ORACLE["read_report"] = f"SELECT *, CASE WHEN read_errors = n_images THEN 'no readable images' END AS error FROM (SELECT lang AS job_ref, count(*) AS n_images, count(*) FILTER ({X.HEIGHT} <= 0) AS read_errors FROM documents GROUP BY lang)"
+ORACLE["dataset_catalog_folders"] = f"{_FILES}, all_folders AS ({X.FOLDERS_SQL}) SELECT * FROM (SELECT split_part(d.path, '/', 4) AS name, d.path, concat('/', split_part(d.path, '/', 2), '/', split_part(d.path, '/', 3)) AS root, count(*) FILTER (regexp_matches(filename, {_IMAGE})) AS n_images FROM all_folders d LEFT JOIN files f ON f.folder = d.path GROUP BY d.path) WHERE NOT starts_with(name, '_') AND NOT starts_with(name, '.') AND NOT ends_with(name, '_rejected')"
+_PLACES = {"global_sharpness": 1, "face_sharpness": 1, "face_area_frac": 4, "face_conf": 3, "mean_luma": 1, "clip_frac": 3, "quality_score": 3}
+ORACLE["rounded_metrics"] = "SELECT doc_id, " + ", ".join(f"round_even({X.LONG_METRICS[n]}, {k}) AS {n}" for n, k in _PLACES.items()) + " FROM documents"

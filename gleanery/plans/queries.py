@@ -86,6 +86,17 @@ def _(spark, sf_dir):
     return S.dataset_catalog(X.files(spark, sf_dir))
 
 
+@query("dataset_catalog_folders")
+def _(spark, sf_dir):
+    """The catalogue with folders that hold no file."""
+    return S.dataset_catalog(X.files(spark, sf_dir), X.folders(spark, sf_dir))
+
+
+@query("read_report")
+def _(spark, sf_dir):
+    return S.read_report(X.images(spark, sf_dir))
+
+
 @query("results_read")
 def _(spark, sf_dir):
     broken = "CASE WHEN event_id % 7 = 0 THEN substr(props, 1, 4) ELSE props END"
@@ -172,6 +183,11 @@ def _(spark, sf_dir):
     return scored(spark, sf_dir).select("doc_id", six(F.col("quality_score")).alias("quality_score"))
 
 
+@query("rounded_metrics")
+def _(spark, sf_dir):
+    return Q.rounded_metrics(X.long_metrics(spark, sf_dir))
+
+
 @query("quality_score_by_purpose")
 def _(spark, sf_dir):
     each = X.records(spark, sf_dir).withColumn("purpose", F.explode(F.array(*(F.lit(p) for p in PURPOSES))))
@@ -382,6 +398,12 @@ def _by_purpose(p: str):
         return K.coverage_gaps(K.requirement_counts(kept(spark, sf_dir, p), p), p).select("job_ref", "place", "requirement", "count", "minimum", "text")
 
 
+    @query(f"coverage_gaps_small_jobs_{p}")
+    def _(spark, sf_dir):
+        rows = C.survivors(Q.quality_score(Q.quality_gate(X.records(spark, sf_dir, X.SMALL_JOB)), p), p)
+        return K.coverage_gaps(K.requirement_counts(rows, p), p).select("job_ref", "place", "requirement", "count", "minimum", "text")
+
+
 for _p in PURPOSES:
     _by_purpose(_p)
 

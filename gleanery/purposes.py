@@ -71,6 +71,7 @@ def _view_shot() -> Column:
 
 _VIEWS = Requirement("distinct_views", "Distinct views", distinct="view_angle", default="front")
 
+#: Names, weights, order of requirements, of rules and of gaps.
 PURPOSES = {
     p.name: p
     for p in (

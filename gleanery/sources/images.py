@@ -38,13 +38,31 @@ def readable(images: DataFrame) -> tuple[DataFrame, DataFrame]:
     return images.where("image.height > 0"), images.where("image.height <= 0").select(F.col("image.origin").alias("path"))
 
 
-def dataset_catalog(files: DataFrame) -> DataFrame:
-    """(name, path, root, n_images) of the sub-folders that hold files (path), by name.
+def read_report(images: DataFrame) -> DataFrame:
+    """(job_ref, n_images, read_errors, error) of rows of the `image` source: images that can't be decoded are left out, a job without any other fails."""
+    bad = F.coalesce(F.col("image.height") <= 0, F.lit(True))
+    d = images.groupBy("job_ref").agg(F.count("*").alias("n_images"), F.count_if(bad).alias("read_errors"))
+    return d.withColumn("error", F.when(F.col("read_errors") == F.col("n_images"), "no readable images"))
+
+
+def sub_folders(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """(path) of the folders right below some roots, as the file system lists them; those without files are among them."""
+    found = []
+    for root in roots:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        found += [x.getPath().toUri().getPath() for x in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path) if x.isDirectory()]
+    return spark.createDataFrame([(x,) for x in sorted(set(found))], "path string")
+
+
+def dataset_catalog(files: DataFrame, folders: DataFrame | None = None) -> DataFrame:
+    """(name, path, root, n_images) of the sub-folders that hold files (path), and of `folders` (path), by name.
 
     Folders that start with _ or . or end with _rejected are passed over; hidden files count.
     """
     folder = F.regexp_replace("path", "/[^/]*$", "")
     d = files.select(folder.alias("folder"), file_name(F.col("path")).alias("file"))
+    if folders is not None:
+        d = d.union(folders.select("path", F.lit("")))
     d = d.groupBy("folder").agg(F.count_if(is_image(F.col("file"))).alias("n_images"))
     name = file_name(F.col("folder"))
     d = d.select(name.alias("name"), F.col("folder").alias("path"), F.regexp_replace("folder", "/[^/]*$", "").alias("root"), "n_images")

@@ -54,6 +54,16 @@ def test_measure_and_unreadable_rows(spark, folder):
     assert apart < 30
 
 
+def test_read_report_and_folders(spark, folder):
+    rows = spark.read.format("image").load([str(folder / n) for n in ("a.png", "other.png", "broken.png")]).withColumn("job_ref", F.when(F.col("image.origin").contains("broken"), "bad").otherwise("good"))
+    both = rows.union(rows.where("job_ref = 'bad'").withColumn("job_ref", F.lit("good")))
+    assert sorted((r["job_ref"], r["n_images"], r["read_errors"], r["error"]) for r in S.read_report(both).collect()) == [("bad", 1, 1, "no readable images"), ("good", 3, 1, None)]
+    (folder / "hollow").mkdir(exist_ok=True)
+    files = S.scan_images(spark, str(folder / "below"))
+    got = {(r["name"], r["n_images"]) for r in S.dataset_catalog(files, S.sub_folders(spark, [str(folder)])).collect()}
+    assert got == {("below", 1), ("hollow", 0)}
+
+
 def test_formulas():
     flat = np.full((20, 30), 77.0)
     assert M.laplacian_variance(flat) == 0

@@ -44,7 +44,8 @@ def test_query(spark, con, name):
     assert sorted(names) == sorted(df.columns)
     want = rows(names, found.fetchall())
     assert got == want
-    assert got or name.startswith(("coverage_gaps", "rule_low"))
+    # jobs of a whole language may have no gap; the small ones have some for each purpose
+    assert got or (name.startswith("coverage_gaps") and "small_jobs" not in name) or name.startswith("rule_low")
 
 
 def test_entry(spark):
