@@ -9,8 +9,9 @@ length. What is left after the last full chunk is a chunk, or part of the last o
 if short. Limits are points, with straight lines in the logarithm of the length
 between them; outside the points the nearest one holds.
 
-Null and empty texts have no words and fail the base rules; their ratios are
-null. The share of odd chunks is null where no chunk is full. Repeated rows give repeated results. Other columns are ignored.
+Null ids are passed through. Null and empty texts have no words and fail the base
+rules; their ratios are null. The share of odd chunks is null where no chunk is full.
+Repeated rows give repeated results. Other columns are ignored.
 """
 
 from __future__ import annotations

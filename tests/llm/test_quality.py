@@ -1,9 +1,12 @@
 import random
+import re
 import zlib
 
 import numpy as np
+import pytest
 
 from gleanery.llm import quality
+from gleanery.llm.textbytes import Texts, mix
 
 
 def make(n=500, seed=2):
@@ -58,3 +61,72 @@ def test_temperature_calibrates():
     for lo in (0.0, 0.25, 0.5, 0.75):
         part = (p >= lo) & (p < lo + 0.25)
         assert abs(p[part].mean() - y[3000:][part].mean()) < 0.12
+
+
+def plain_tokens(text):
+    """(hash of the lower-cased form, bucket, shape) of each token, one by one."""
+    out = []
+    for m in re.finditer(rb"[0-9A-Za-z\x80-\xFF]+|[^0-9A-Za-z\x80-\xFF\x20\x09-\x0D]+", (text or "").encode()):
+        raw, n = m[0], len(m[0])
+        low = raw.lower()
+        h = int(Texts(np.frombuffer(low, np.uint8), np.array([0, n])).hashes(np.array([0]), np.array([n]))[0])
+        upper, digit = sum(0x41 <= c <= 0x5A for c in raw), sum(0x30 <= c <= 0x39 for c in raw)
+        length = next(k for k, most in enumerate((1, 3, 6, 12, 24, 10**9)) if n <= most)
+        if re.match(rb"[^0-9A-Za-z\x80-\xFF]", raw):
+            shape = 42 + (raw[0] * 37 >> 2) % 22
+        else:
+            case = 5 if digit == n else 4 if digit else 3 if upper == n > 1 else 2 if 0x41 <= raw[0] <= 0x5A else 1 if upper else 0
+            shape = case * 6 + length
+        out.append((h, h % quality.BUCKETS, shape))
+    return out
+
+
+def plain_vectors(texts):
+    """Sums of the neighbours' sparse index vectors, unit length."""
+    sums = np.zeros((quality.BUCKETS + quality.SHAPES, quality.DIM))
+
+    def index(x, salt):
+        y = int(mix(np.array([(x + salt) % 2**64], np.uint64))[0])
+        return (y >> 8) % quality.DIM, 1 - 2 * (y & 1)
+
+    for t in texts:
+        found = plain_tokens(t)
+        for a, b in zip(found[:-1], found[1:], strict=True):
+            for me, other in ((a, b), (b, a)):
+                for j in range(2):
+                    dim, sign = index(other[0], j)
+                    sums[me[1], dim] += sign
+                    dim, sign = index(other[2], 10 + j)
+                    sums[quality.BUCKETS + me[2], dim] += sign
+    norm = np.linalg.norm(sums, axis=1, keepdims=True)
+    return sums / np.where(norm > 0, norm, 1)
+
+
+def plain_pool(vectors, text):
+    found = plain_tokens(text)
+    parts, near = [], []
+    for rows in ([f[1] for f in found], [quality.BUCKETS + f[2] for f in found]):
+        v = vectors[rows] if found else np.zeros((1, quality.DIM))
+        parts += [v.mean(0), v.std(0)]
+        near.append(sum(a @ b for a, b in zip(v[:-1], v[1:], strict=True)) / max(len(found) - 1, 1))
+    return np.concatenate([*parts, near, [np.log1p(len(found))]])
+
+
+def test_vectors_and_pooling_like_plain_versions(spark):
+    docs, _ = make(40)
+    texts = [t for _, t in docs] + [None, "", "one", "É1 é2\tX-y!? 12 ABC\n中文 #!", "word " * 30_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    vectors = quality.word_vectors(df)
+    want = plain_vectors(texts)
+    assert np.abs(vectors - want).max() < 1e-6 and (np.abs(want).sum(1) > 0).sum() > 100
+    got = {r["doc_id"]: np.frombuffer(r["features"], np.float32) for r in quality.pooled(df, vectors).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(plain_pool(want, t), abs=2e-3), i
+
+
+def test_very_long_text(spark):
+    """A text of several MB is one row like others."""
+    docs, labels = make(200)
+    long = " ".join(t for _, t in docs if "$$$" not in t and "!!" not in t) * 30
+    got = quality.quality_scores(spark.createDataFrame([*docs, (5000, long)], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert len(long) > 1_500_000 and got.count() == len(docs) + 1 and 0 <= got.where("doc_id = 5000").first()["score"] <= 1
