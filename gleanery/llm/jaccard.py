@@ -50,12 +50,14 @@ from .textbytes import LOWER, Texts, column, mix, pieces, shingles
 SKETCH = 1 << 20
 SMALL, BLOCK = 8, 512
 #: Shingles in a block, and nodes of a family that its blocks meet first.
-CELLS, HUBS = 1 << 20, 3
+CELLS, HUBS = 1 << 19, 3
 #: Parts that a large group is spread over in joins.
 SALTS = 8
 #: Entries of prefixes (15 bytes) in a bucket.
 BUCKET = 1 << 19
 _WHOLE = 1 << 30
+#: Prefix entries that a task holds before it sends them.
+_FLUSH = 400_000
 
 
 def needed(n: int, percent: int) -> int:
@@ -298,7 +300,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 head = np.argsort(rank, kind="stable")[:most]
                 held.append((mix(s[head]), np.full(most, node_of(s), np.int64), np.full(most, min(n, 0xFFFF), np.uint16)))
                 n_held += most
-            if n_held > 1_000_000:
+            if n_held > _FLUSH:
                 yield flush()
                 n_held = 0
         if held:
