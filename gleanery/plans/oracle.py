@@ -137,8 +137,7 @@ counted AS (SELECT *, count(*) FILTER (ok AND rank <= cap) OVER (PARTITION BY jo
 selected AS (SELECT *, CASE WHEN ok THEN bucket_key ELSE '' END AS bucket,
   coalesce(reject_reason, CASE WHEN rank > cap THEN concat('over-represented bucket ''', bucket_key, ''' (>', cap, '); rank ', rank) END, CASE WHEN {trim} THEN 'target trim (kept top {target})' END, '') AS auto_reason FROM counted),
 decided AS (SELECT s.*, CASE WHEN s.auto_reason = '' THEN 'keep' ELSE 'reject' END AS auto_decision, u.decision AS user_decision FROM selected s
-  LEFT JOIN (SELECT doc_id, decision FROM ({X.OVERRIDES_SQL}) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ts DESC, event_id DESC) = 1) u ON s.doc_id = u.doc_id AND s.job_ref = 'en'),
-one AS (SELECT *, coalesce(user_decision, auto_decision) AS decision FROM decided WHERE job_ref = 'en')
+  LEFT JOIN (SELECT doc_id, decision FROM ({X.OVERRIDES_SQL}) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ts DESC, event_id DESC) = 1) u ON s.doc_id = u.doc_id)
 """
 
 
@@ -183,7 +182,7 @@ _CLEAN = r"regexp_replace(answer, '```(json)?', '', 'g')"
 #: Answers nest braces two deep at most.
 _OBJECT = r"CASE WHEN {0} THEN '{{not json}}' ELSE nullif(regexp_extract(" + _CLEAN + r", '\{{(?:[^{{}}]|\{{[^{{}}]*\}})*\}}'), '') END"
 _EXTRACT = _OBJECT.format("contains(answer, '{not json}')")
-_ANSWERS = f"WITH answers AS ({X.ANSWERS_SQL}), objects AS (SELECT doc_id, job_ref, attempt, {_EXTRACT} AS object FROM answers), good AS (SELECT doc_id, job_ref, attempt, object AS j FROM objects WHERE object IS NOT NULL AND object <> '{{not json}}'), first AS (SELECT * FROM good WHERE attempt = 1)"
+_ANSWERS = f"WITH answers AS ({X.ANSWERS_SQL}), objects AS (SELECT doc_id, job_ref, attempt, {_EXTRACT} AS object FROM answers), good AS (SELECT doc_id, job_ref, attempt, object AS j FROM objects WHERE object IS NOT NULL AND object <> '{{not json}}')"
 
 
 def _text(key: str) -> str:
@@ -238,10 +237,6 @@ _FIELDS = {
 }
 
 
-def _fields(*names: str) -> str:
-    return f"{_ANSWERS} SELECT doc_id, {', '.join(f'{_FIELDS[n]} AS {n}' for n in names)} FROM first"
-
-
 _SHARED = ("shot_type", "view_angle", "subject_count", "issues", "training_suitability", "reason")
 _OWN = {
     "face": ("face_visible", "face_occluded", "face_clarity", "body_shape_visible"),
@@ -280,12 +275,6 @@ SELECT doc_id, box_no, CASE WHEN ok THEN x0 END AS x0, CASE WHEN ok THEN y0 END
     "quality_score": f"{_FACE} SELECT doc_id, {_six('quality_score')} AS quality_score FROM scored",
     "quality_score_by_purpose": _FACE + " UNION ALL ".join(f"SELECT doc_id, '{p.name}' AS purpose, {_six(_score([_d(w) for w in p.weights]))} AS quality_score FROM records" for p in PURPOSES.values()),
     "json_extract": f"{_ANSWERS} SELECT doc_id, attempt, object FROM objects",
-    "coerce_bool": _fields("face_visible", "face_occluded"),
-    "coerce_enum": _fields("shot_type", "face_clarity"),
-    "coerce_int": _fields("training_suitability", "subject_count"),
-    "coerce_list": _fields("issues"),
-    "coerce_text": _fields("reason"),
-    **{f"normalize_{p}": _fields(*_SHARED, *own) for p, own in _OWN.items()},
     "attempt_resolve": f"""{_ANSWERS},
 best AS (SELECT * FROM good WHERE attempt <= 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY attempt) = 1),
 j AS (SELECT d.doc_id, d.lang AS job_ref, b.j IS NULL AS parse_failed, coalesce(b.j, '{{}}') AS j FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id)
@@ -318,18 +307,6 @@ SELECT job_ref, n_survivors, CAST(n_gaps AS BIGINT) AS n_gaps, CASE WHEN n_survi
     "run_summary": f"""{_FACE}, k AS (SELECT job_ref, {', '.join(f"{_COUNTS[r.name]} AS {r.name}" for r in PURPOSES['face'].requirements)} FROM kept GROUP BY job_ref),
 s AS (SELECT job_ref, count(*) AS n_input, round(any_value(cut), 1) AS soft_face_threshold, count(*) FILTER (bucket = '') AS n_hard_reject, count(*) FILTER (bucket <> '') AS n_survivors, count(*) FILTER (starts_with(auto_reason, 'over-represented')) AS n_overflow_reject, count(*) FILTER (auto_decision = 'keep') AS n_final_keep FROM decided GROUP BY job_ref)
 SELECT s.*, {', '.join(f"coalesce({r.name}, 0) AS {r.name}" for r in PURPOSES['face'].requirements)} FROM s LEFT JOIN k ON s.job_ref = k.job_ref""",
-    "latest_override": f"{_FACE} SELECT doc_id, user_decision FROM one",
-    "final_decision": f"{_FACE} SELECT doc_id, decision FROM one",
-    "apply_manifest": f"""{_FACE}, files AS ({X.FILES_SQL}), {_SIDECARS},
-gone AS (SELECT i.folder, unnest([i.filename, i.sidecar]) AS name FROM images i JOIN one o ON i.doc_id = o.doc_id WHERE decision = 'reject'),
-m AS (SELECT concat(folder, '/', name) AS source, concat(folder, '_rejected/', name) AS target FROM gone WHERE name IS NOT NULL)
-SELECT source, target, count(*) OVER (PARTITION BY target) > 1 AS collision, true AS applied FROM m""",
-    "recaption_worklist": f"{_FACE} SELECT doc_id, filename FROM one WHERE decision = 'keep'",
-    "apply_summary": f"{_FACE} SELECT job_ref, count(*) FILTER (decision = 'keep') AS kept, count(*) FILTER (decision = 'reject') AS rejected, count(*) FILTER (decision = 'reject') AS moved, CAST(0 AS BIGINT) AS deleted, count(*) FILTER (decision = 'keep') AS recaptioned FROM one GROUP BY job_ref",
-    "review_categories": f"{_FACE} SELECT job_ref, count(*) FILTER (decision = 'keep') AS keep, count(*) FILTER (decision = 'reject') AS reject, count(*) FILTER (auto_decision = 'reject' AND contains(auto_reason, 'over-represented')) AS overflow, count(*) FILTER (auto_decision = 'reject' AND NOT contains(auto_reason, 'over-represented')) AS hard FROM one GROUP BY job_ref",
-    "review_page": f"{_FACE} SELECT doc_id, bucket, filename, CASE WHEN bucket = '' THEN '(unbucketed)' ELSE bucket END AS section FROM one ORDER BY bucket, filename LIMIT 60 OFFSET 60",
-    "gallery_order": f"{_FACE} SELECT doc_id, bucket, auto_decision, filename FROM one",
-    "reject_reasons": f"{_FACE} SELECT filename, auto_reason FROM one WHERE auto_decision = 'reject' AND auto_reason <> '' ORDER BY filename LIMIT 200",
     "decision_counts": f"{_FACE} SELECT job_ref, auto_decision, count(*) AS n FROM decided GROUP BY ALL",
     "jobs_by_status": f"SELECT status, count(*) AS n FROM ({X.JOBS_SQL}) GROUP BY ROLLUP (status)",
     "recent_jobs": f"SELECT job_id, status, CASE WHEN total_steps > 0 THEN step / total_steps ELSE 0e0 END AS progress, status IN ({', '.join(repr(a) for a in ACTIVE)}) AS active FROM ({X.JOBS_SQL}) ORDER BY created_at DESC, job_id DESC LIMIT 10",
@@ -359,7 +336,7 @@ for _p in PURPOSES:
     ORACLE[f"coverage_gaps_{_p}"] = _display(_p, True)
     ORACLE[f"coverage_gaps_small_jobs_{_p}"] = X.in_small_jobs(_display(_p, True))
 
-# --- the same over all jobs and attempts -----------------------------------
+# --- review and answers, each under two names ------------------------------
 
 _ALL = f"{_FACE}, every AS (SELECT *, coalesce(user_decision, auto_decision) AS decision FROM decided)"
 ORACLE |= {
@@ -403,6 +380,8 @@ ORACLE["job_params_all_keys"] = f"""
 WITH j AS (SELECT job_id, CASE WHEN json_valid(params) THEN params ELSE '{{}}' END AS p FROM ({X.WIDE_JOBS_SQL}))
 SELECT job_id, {', '.join(_param(b, k, v) for b, keys in PARAMS.items() for k, v in keys.items())}, CAST(p ->> '$.target' AS INTEGER) AS target FROM j"""
 
+ORACLE |= {name.removesuffix(end): sql for name, sql in ORACLE.items() for end in ("_all_jobs", "_all_attempts") if name.endswith(end)}
+
 
 def _own(params: dict, block: str) -> dict[str, object]:
     """A block of params by the names of the limits."""

@@ -55,9 +55,10 @@ def kept(spark: SparkSession, sf_dir: str, purpose: str = "face") -> DataFrame:
 
 
 def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Selected rows of all jobs with the overrides of the log, which are those of one job."""
+    """Selected rows of all jobs with the overrides of the log; entries for images that no job has stay in it."""
     d = selected(spark, sf_dir).withColumn("image_id", F.col("doc_id"))
-    log = X.overrides(spark, sf_dir).withColumn("job_ref", F.lit("en"))
+    jobs = X.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), F.col("lang").alias("job_ref"))
+    log = X.overrides(spark, sf_dir).join(jobs, "image_id", "left").fillna("none", ["job_ref"])
     return A.latest_override(d, log)
 
 
@@ -203,15 +204,12 @@ def _(spark, sf_dir):
 
 
 def _answered(name: str, build):
-    """Registers a query over the first attempts, and <name>_all_attempts over all, with the attempt as a key."""
+    """Registers a query over all attempts, with the attempt as a key, under two names."""
+    for full in (name, f"{name}_all_attempts"):
 
-    @query(name)
-    def _(spark, sf_dir):
-        return build(X.answers(spark, sf_dir).where("attempt = 1"), "doc_id")
-
-    @query(f"{name}_all_attempts")
-    def _(spark, sf_dir):
-        return build(X.answers(spark, sf_dir), "doc_id", "attempt")
+        @query(full)
+        def _(spark, sf_dir):
+            return build(X.answers(spark, sf_dir), "doc_id", "attempt")
 
 
 def _coerced(name: str, build):
@@ -480,16 +478,12 @@ def _(spark, sf_dir):
 
 
 def _reviewed(name: str, build):
-    """Registers a query over the job that has overrides, and <name>_all_jobs over all, with job_ref as a key."""
+    """Registers a query over all jobs, with job_ref as a key, under two names."""
+    for full in (name, f"{name}_all_jobs"):
 
-    @query(name)
-    def _(spark, sf_dir):
-        out = build(decided(spark, sf_dir).where("job_ref = 'en'"), spark, sf_dir)
-        return out if name in ("apply_summary", "review_categories") else out.drop("job_ref")
-
-    @query(f"{name}_all_jobs")
-    def _(spark, sf_dir):
-        return build(decided(spark, sf_dir), spark, sf_dir)
+        @query(full)
+        def _(spark, sf_dir):
+            return build(decided(spark, sf_dir), spark, sf_dir)
 
 
 def _manifest(d, spark, sf_dir):
