@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import connected_components
 from ..plans.lineage import Scratch
 from .arrays import by_key, emit, packed, total
-from .textbytes import LOWER, Texts, column, mix, pieces, shingles
+from .textbytes import LOWER, Texts, column, forget, mix, pieces, shingles
 
 SKETCH = 1 << 20
 SMALL, BLOCK = 8, 512
@@ -252,6 +252,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
 
     def name(batches):
+        forget()
         counter = np.zeros(SKETCH, np.int64)
         waiting: list[np.ndarray] = []
 

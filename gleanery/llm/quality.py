@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import Scratch
 from .arrays import emit, total
-from .textbytes import BLANK, LOWER, Texts, column, mix, pieces
+from .textbytes import BLANK, LOWER, Texts, column, forget, mix, pieces
 
 BUCKETS, SHAPES, DIM = 1 << 13, 64, 32
 MOST_LABELLED = 20_000
@@ -79,6 +79,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     rows = BUCKETS + SHAPES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         acc = np.zeros(rows * DIM, np.int64)
         for batch in batches:
             buf, off = column(batch.column(0))

@@ -12,7 +12,7 @@ from .lines import line_dedup
 from .quality import quality_scores
 from .rules import quality_rules
 from .suffixes import suffix_dedup
-from .unigram import Vocabulary, decode, encode, token_counts
+from .unigram import round_trip, token_counts
 from .urls import url_filter
 
 
@@ -35,8 +35,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes each text and decodes its ids; `ids_sha256` is of the ids as decimal text joined by blanks."""
-    v = Vocabulary.load()
-    return encoded_digest(decode(encode(table(spark, sf_dir, "documents"), v), v))
+    return encoded_digest(round_trip(table(spark, sf_dir, "documents")))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,15 @@ import pyarrow as pa
 
 PIECE = 1 << 19
 
+#: What a Python worker keeps from task to task. Workers live on and do other work, which clears this first.
+KEPT: dict = {}
+
+
+def forget() -> None:
+    """Clears what this worker keeps. A function by its name, so that a task's code finds the worker's own."""
+    KEPT.clear()
+
+
 #: Separators of words of the class [^\x20\x09-\x0D]+.
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True

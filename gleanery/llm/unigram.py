@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textbytes import Texts, column, pieces
+from .textbytes import KEPT, Texts, column, pieces
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
@@ -309,15 +309,12 @@ def marked(buf: np.ndarray, off: np.ndarray) -> Texts:
     return Texts(np.frombuffer(b"".join(out), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int64))
 
 
-_automata: dict[int, Automaton] = {}
-
-
 def _automaton(shared) -> Automaton:
-    """One for each Python worker."""
-    if shared.id not in _automata:
-        _automata.clear()
-        _automata[shared.id] = Automaton(shared.value)
-    return _automata[shared.id]
+    """One for each Python worker, until it is put to other work."""
+    if shared.id not in KEPT:
+        KEPT.clear()
+        KEPT[shared.id] = Automaton(shared.value)
+    return KEPT[shared.id]
 
 
 class _Shared:
@@ -341,54 +338,77 @@ def _offsets(n: np.ndarray, nulls: np.ndarray) -> pa.Array:
     return pa.array(x, pa.int32(), mask=np.append(nulls, False)) if nulls.any() else pa.array(x, pa.int32())
 
 
+def _encoded(a: Automaton, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.ListArray]]:
+    """Slices of batches with the ids of their texts (column 1)."""
+    for batch in batches:
+        buf, off = column(batch.column(1))
+        for lo, hi in pieces(off, STRETCH):
+            n, ids = a.segment(marked(buf[off[lo] : off[hi]], off[lo : hi + 1]), True)
+            part = batch.slice(lo, hi - lo)
+            yield part, pa.ListArray.from_arrays(_offsets(n, part.column(1).is_null().to_numpy(zero_copy_only=False)), pa.array(ids, pa.int32()))
+
+
+class _Decoder:
+    def __init__(self, v: Vocabulary):
+        self.size = np.array([len(s) for s in v.surface])
+        self.begin, self.raw = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(v.surface), np.uint8)
+
+    def __call__(self, lists: pa.ListArray) -> Iterator[tuple[int, int, pa.Array]]:
+        """Texts of ranges of rows of a column of ids."""
+        of_row = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for lo, hi in pieces(np.concatenate([[0], np.cumsum(of_row)]), _IDS):
+            part, n = lists.slice(lo, hi - lo), of_row[lo:hi]
+            nulls = part.is_null().to_numpy(zero_copy_only=False)
+            ids = part.flatten().fill_null(0).to_numpy(zero_copy_only=False)
+            ids = np.where((ids < 0) | (ids >= len(self.size)), 0, ids)
+            each = self.size[ids]
+            total = np.concatenate([[0], np.cumsum(each)])
+            out = self.raw[np.repeat(self.begin[ids] - total[:-1], each) + np.arange(total[-1])].tobytes()
+            row = total[np.concatenate([[0], np.cumsum(n)])].tolist()
+            texts = [None if null else out[a + (out[a : a + 1] == b" ") : b].decode("utf-8", "replace") if b > a else "" for a, b, null in zip(row[:-1], row[1:], nulls.tolist(), strict=True)]
+            yield lo, hi, pa.array(texts, pa.string())
+
+
 def encode(df: DataFrame, vocabulary: Vocabulary | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, ids) for each row of `df`."""
     shared = _Shared(df, vocabulary or Vocabulary.load())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = _automaton(shared)
-        for batch in batches:
-            buf, off = column(batch.column(1))
-            for lo, hi in pieces(off, STRETCH):
-                n, ids = a.segment(marked(buf[off[lo] : off[hi]], off[lo : hi + 1]), True)
-                part = batch.slice(lo, hi - lo)
-                nulls = part.column(1).is_null().to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(_offsets(n, nulls), pa.array(ids, pa.int32()))], names=["doc_id", "text", "ids"])
+        for part, ids in _encoded(_automaton(shared), batches):
+            yield pa.RecordBatch.from_arrays([*part.columns, ids], names=["doc_id", "text", "ids"])
 
     return _docs(df, id_col, text_col).mapInArrow(run, "doc_id long, text string, ids array<int>")
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary | None = None, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """`df` with the text of `ids_col` in `out_col`. Null ids and ids outside the vocabulary decode as unknown, null lists as null."""
-    v = vocabulary or Vocabulary.load()
-    shared = _Shared(df, v)
+    shared = _Shared(df, vocabulary or Vocabulary.load())
     kept = [c for c in df.columns if c != out_col]
     at = kept.index(ids_col)
     schema = df.select(*kept).schema.add(out_col, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        surface = shared.value.surface
-        size = np.array([len(s) for s in surface])
-        begin, raw = np.cumsum(size) - size, np.frombuffer(b"".join(surface), np.uint8)
-        for whole in batches:
-            ids = whole.column(at).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for lo, hi in pieces(np.concatenate([[0], np.cumsum(ids)]), _IDS):
-                batch = whole.slice(lo, hi - lo)
-                lists = batch.column(at)
-                nulls = lists.is_null().to_numpy(zero_copy_only=False)
-                n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                ids = lists.flatten().fill_null(0).to_numpy(zero_copy_only=False)
-                ids = np.where((ids < 0) | (ids >= len(size)), 0, ids)
-                each = size[ids]
-                total = np.concatenate([[0], np.cumsum(each)])
-                out = raw[np.repeat(begin[ids] - total[:-1], each) + np.arange(total[-1])].tobytes()
-                row = total[np.concatenate([[0], np.cumsum(n)])].tolist()
-                texts = [None if null else out[a + (out[a : a + 1] == b" ") : b].decode("utf-8", "replace") if b > a else "" for a, b, null in zip(row[:-1], row[1:], nulls.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*kept, out_col])
+        texts_of = _Decoder(shared.value)
+        for batch in batches:
+            for lo, hi, texts in texts_of(batch.column(at)):
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, texts], names=[*kept, out_col])
 
     return df.select(*kept).mapInArrow(run, schema)
 
 
+def round_trip(df: DataFrame, vocabulary: Vocabulary | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, ids, decoded): `encode` and `decode` in one pass, with one Python worker for a task instead of two."""
+    shared = _Shared(df, vocabulary or Vocabulary.load())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts_of = _Decoder(shared.value)
+        for part, ids in _encoded(_automaton(shared), batches):
+            for lo, hi, texts in texts_of(ids):
+                yield pa.RecordBatch.from_arrays([*part.slice(lo, hi - lo).columns, ids.slice(lo, hi - lo), texts], names=["doc_id", "text", "ids", "decoded"])
+
+    return _docs(df, id_col, text_col).mapInArrow(run, "doc_id long, text string, ids array<int>, decoded string")
+
+
 def token_counts(df: DataFrame, vocabulary: Vocabulary | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens) for each row of `df`: as many as `encode` gives, without keeping paths."""
     shared = _Shared(df, vocabulary or Vocabulary.load())

@@ -67,6 +67,7 @@ def test_round_trip_and_counts(spark):
     got = unigram.decode(unigram.encode(df)).collect()
     assert len(got) == len(rows)
     assert all(r["decoded"] == r["text"] for r in got)
+    assert sorted(map(tuple, unigram.round_trip(df).collect()), key=repr) == sorted(map(tuple, got), key=repr)
     assert all((r["ids"] is None) == (r["text"] is None) for r in got)
     one = unigram.token_counts(spark.createDataFrame([(1, "word")], "doc_id long, text string")).first()["n_tokens"]
     counts = sorted(unigram.token_counts(df).collect(), key=repr)
