@@ -24,7 +24,7 @@ from gleanery.llm.jaccard import jaccard_components
 from gleanery.llm.lines import WORD, line_dedup
 from gleanery.llm.quality import quality_filter
 from gleanery.llm.queries import encoded_digest, table
-from gleanery.llm.unigram import Vocabulary, decode, encode
+from gleanery.llm.unigram import round_trip
 from gleanery.plans.lineage import Scratch
 
 
@@ -61,8 +61,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, and whether they decode to it."""
-    v = Vocabulary.load()
-    return encoded_digest(decode(encode(docs, v), v), "ids")
+    return encoded_digest(round_trip(docs), "ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
