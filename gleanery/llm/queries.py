@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .codes import codebooks_digest, labelled_errors, vector_codes
 from .decontaminate import contained
 from .jaccard import jaccard_components
 from .licenses import license_scan
@@ -72,7 +73,13 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op3_sentencepiece, op4_line_dedup, op5_quality_rules, op6_token_counts, op7_jaccard_join, op8_url_filter, op9_license_scan, op10_suffix_dedup)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = vector_codes(table(spark, sf_dir, "embeddings"))
+    digest = F.lit(None if books is None else codebooks_digest(books)).cast("string")
+    return labelled_errors(found).select(F.col("id").alias("vec_id"), "code", "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op3_sentencepiece, op4_line_dedup, op5_quality_rules, op6_token_counts, op7_jaccard_join, op8_url_filter, op9_license_scan, op10_suffix_dedup, op11_vector_codes)}
 
 ORACLE_SQL = {
     "op4_line_dedup": r"""
@@ -113,5 +120,45 @@ m AS (
     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/'
   END AS rule FROM p)
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m LEFT JOIN r ON rule = rh || rp
+""",
+    "op11_vector_codes": r"""
+WITH RECURSIVE kept AS MATERIALIZED (
+  SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS row
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+parts AS MATERIALIZED (
+  SELECT row, p, list_transform(embedding[p * len(embedding) // 16 + 1 : (p + 1) * len(embedding) // 16], lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM kept, range(16) r(p)),
+books0 AS MATERIALIZED (SELECT p, row - 1 AS e, v FROM parts WHERE row <= 64),
+near0 AS MATERIALIZED (
+  SELECT q.row, q.p, arg_min(b.e, (list_sum(list_transform(list_zip(q.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, b.e)) AS e,
+    min(list_sum(list_transform(list_zip(q.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT) AS d
+  FROM parts q JOIN books0 b USING (p) GROUP BY q.row, q.p),
+books1 AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.v, b.v) AS v
+  FROM books0 b LEFT JOIN (
+    SELECT p, e, list(floor_mean ORDER BY j) AS v FROM (
+      SELECT n.p, n.e, j, ((sum(q.v[j]) - ((sum(q.v[j]) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS floor_mean
+      FROM near0 n JOIN parts q USING (row, p), (SELECT unnest(range(1, max(len(v)) + 1)) AS j FROM parts) i GROUP BY n.p, n.e, j)
+    GROUP BY p, e) m USING (p, e)),
+near1 AS MATERIALIZED (
+  SELECT q.row, q.p, arg_min(b.e, (list_sum(list_transform(list_zip(q.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, b.e)) AS e,
+    min(list_sum(list_transform(list_zip(q.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT) AS d
+  FROM parts q JOIN books1 b USING (p) GROUP BY q.row, q.p),
+books2 AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.v, b.v) AS v
+  FROM books1 b LEFT JOIN (
+    SELECT p, e, list(floor_mean ORDER BY j) AS v FROM (
+      SELECT n.p, n.e, j, ((sum(q.v[j]) - ((sum(q.v[j]) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS floor_mean
+      FROM near1 n JOIN parts q USING (row, p), (SELECT unnest(range(1, max(len(v)) + 1)) AS j FROM parts) i GROUP BY n.p, n.e, j)
+    GROUP BY p, e) m USING (p, e)),
+near2 AS MATERIALIZED (
+  SELECT q.row, q.p, arg_min(b.e, (list_sum(list_transform(list_zip(q.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, b.e)) AS e,
+    min(list_sum(list_transform(list_zip(q.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT) AS d
+  FROM parts q JOIN books2 b USING (p) GROUP BY q.row, q.p),
+codes AS (SELECT row, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM near2 GROUP BY row),
+digest AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS sha FROM books2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, sha AS codebooks_sha256
+FROM kept JOIN codes USING (row), digest
 """,
 }
