@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .codes import codebooks_digest, labelled_errors, vector_codes
+from .collocations import collocations
 from .decontaminate import contained
 from .jaccard import jaccard_components
 from .licenses import license_scan
@@ -79,7 +80,11 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled_errors(found).select(F.col("id").alias("vec_id"), "code", "error", "label_error", digest.alias("codebooks_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op3_sentencepiece, op4_line_dedup, op5_quality_rules, op6_token_counts, op7_jaccard_join, op8_url_filter, op9_license_scan, op10_suffix_dedup, op11_vector_codes)}
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op3_sentencepiece, op4_line_dedup, op5_quality_rules, op6_token_counts, op7_jaccard_join, op8_url_filter, op9_license_scan, op10_suffix_dedup, op11_vector_codes, op12_collocations)}
 
 ORACLE_SQL = {
     "op4_line_dedup": r"""
@@ -160,5 +165,21 @@ codes AS (SELECT row, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(
 digest AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS sha FROM books2)
 SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, sha AS codebooks_sha256
 FROM kept JOIN codes USING (row), digest
+""",
+    "op12_collocations": r"""
+WITH t AS (SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT lang, regexp_extract_all(unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS ws FROM t),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, range(1, 4) r(k))),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= 10),
+cuts AS (SELECT c.lang, c.phrase, c.a, c.k, cut, array_to_string(ws[1:cut], ' ') AS one, array_to_string(ws[cut + 1:], ' ') AS two FROM c, range(1, 3) x(cut) WHERE cut < c.k),
+s AS (
+  SELECT x.*, l.a AS l, r.a AS r, (1000000::HUGEINT * x.a * x.a // (l.a::HUGEINT * r.a))::BIGINT AS score
+  FROM cuts x JOIN f l ON l.lang = x.lang AND l.phrase = one JOIN f r ON r.lang = x.lang AND r.phrase = two),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+d AS (SELECT b.lang, b.phrase FROM b JOIN c ON b.lang = c.lang AND b.k = 2 AND c.k = 3 AND b.phrase IN (array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')) AND 100 * c.a >= 50 * b.a),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b WHERE (lang, phrase) NOT IN (SELECT lang, phrase FROM d))
+SELECT o.lang, rank, phrase, a, l, r, n, score FROM o JOIN n ON o.lang = n.lang WHERE rank <= 2000
 """,
 }
