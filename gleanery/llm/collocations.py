@@ -8,15 +8,17 @@ language. A phrase of `least` occurrences or more is frequent.
    what is frequent in it by a lowered threshold is proposed: one bit for each phrase in
    a bitmap of SLOTS bits for each length, the only thing that is sent to all tasks. Two
    phrases may share a bit; then more is counted than needed.
-2. A full pass counts exactly each phrase whose shorter parts (without its first, without
-   its last word) are all proposed. These are the proposed phrases and their negative
-   border; words are all in it. Tasks count a piece of text by hashes and send each
-   distinct phrase with its number; Spark adds.
-3. A phrase of the border that turns out frequent is a failure of the sample: it joins
-   the bitmaps, and a further pass counts what only now has all its parts there. That
-   ends when no bit is added, after as many passes as a phrase has words at most. Whether
-   a phrase is counted in a pass depends on the phrase alone, so each one is counted in
-   one pass, over all texts.
+2. A full pass counts each phrase whose shorter parts (without its first, without its
+   last word) are all proposed. These are the proposed phrases and their negative border;
+   words are all in it. Tasks count a piece of text and send hashes with their numbers;
+   Spark adds. A phrase of the border that turns out frequent is a failure of the sample:
+   it joins the bitmaps, and a further pass counts what only now has all its parts there.
+   That ends when no bit is added, after as many passes as a phrase has words at most.
+   Whether a phrase is counted in a pass depends on the phrase alone, so each one is
+   counted in one pass, over all texts.
+3. Bitmaps of what was frequent pick the phrases that a last pass spells out and counts
+   by their text, so neither shared bits nor shared hashes of different pieces of text
+   change a number.
 4. Each cut of a candidate is joined to the counts of its two sides (salted, as common
    words are a side of many); the cut of least score counts. Candidates that lie inside a
    longer one that is nearly as frequent go. Ranks are taken in slices first, so no task
@@ -25,13 +27,13 @@ language. A phrase of `least` occurrences or more is frequent.
 The sample only saves work: results are the same for any share, 0 and 1 too. Null texts
 are empty, null languages `und`. Repeated rows count as often as they are there. Other
 columns are ignored. An empty table gives an empty result. Phrases that differ but share
-a 64-bit hash inside 4 MB of text would be counted as one. Jobs run while the result is
+a 60-bit hash inside 1 MB of text would be counted as one. Jobs run while the result is
 built; it reads a table in the shared folder that holds the frequent phrases.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +47,9 @@ from .textbytes import LOWER, Texts, column, mix, pieces
 BITS = 25
 SLOTS = 1 << BITS
 #: Bytes of text that are counted at once.
-TEXT = 1 << 22
+TEXT = 1 << 20
+#: The low bits of a hash are the number of words.
+LENGTH = 15
 #: Parts of a common word's joins, and slices of a language's ranking.
 SALTS, SLICES = 8, 64
 
@@ -70,7 +74,7 @@ def phrases(t: Texts, lang: np.ndarray, most_words: int) -> tuple[np.ndarray, np
             fits = fits[piece[fits] == piece[fits + k - 1]]
             g = g[np.searchsorted(at, fits)] * _STEP + h[fits + k - 1]
             at = fits
-        found.append((mix(g ^ mix(lang[row[at]] + np.uint64(k))), at))
+        found.append((mix(g ^ mix(lang[row[at]] + np.uint64(k))) & ~np.uint64(LENGTH) | np.uint64(k), at))
     return start, end, row, found
 
 
@@ -94,18 +98,18 @@ def proposed(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
     return (bitmap[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _wanted(bitmaps: list[np.ndarray] | None, found: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
-    """Which phrases of k words have both shorter parts in the bitmaps; of None all words and nothing else."""
-    key, at = found[k - 1]
-    if k == 1 or bitmaps is None:
-        return np.full(len(at), k == 1)
+def _wanted(bitmaps: list[np.ndarray], found: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
+    """Which phrases of k words have both shorter parts in the bitmaps; all words."""
+    _, at = found[k - 1]
+    if k == 1:
+        return np.ones(len(at), bool)
     short, begin = found[k - 2]
     good = proposed(bitmaps[k - 2], short)
     return good[np.searchsorted(begin, at)] & good[np.searchsorted(begin, at + 1)]
 
 
 def _batches(batch: pa.RecordBatch, most_words: int):
-    """(buf, lang column, its piece's rows, words and phrases) of each piece of a batch (lang, text)."""
+    """(buf, rows of the language column, words and phrases) of each piece of a batch (lang, text)."""
     buf, off = column(batch.column(1))
     lang_buf, lang_off = column(batch.column(0))
     lang = Texts(lang_buf, lang_off).hashes(lang_off[:-1], lang_off[1:])
@@ -114,77 +118,79 @@ def _batches(batch: pa.RecordBatch, most_words: int):
         yield low, batch.column(0).slice(lo, hi - lo), phrases(Texts(low, off[lo : hi + 1]), lang[lo:hi], most_words)
 
 
-def sampled(texts: DataFrame, most_words: int) -> DataFrame:
-    """(k, h, n): phrases of (lang, text) shorter than most_words by hash."""
+def _by_hash(texts: DataFrame, most_words: int, want: Callable | None) -> DataFrame:
+    """(h, n) of phrases of (lang, text) of up to most_words words; `want` tells which, of the phrases found and a length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, (_, _, _, found) in _batches(batch, most_words - 1):
+            for _, _, (_, _, _, found) in _batches(batch, most_words):
                 for k, (key, _) in enumerate(found, 1):
-                    h, n = np.unique(key, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k, np.int32)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["k", "h", "n"])
+                    h, n = np.unique(key if want is None else key[want(found, k)], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
-    return texts.mapInArrow(run, "k int, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n"))
-
-
-def counted(texts: DataFrame, most_words: int, now: list[np.ndarray], before: list[np.ndarray] | None, first: bool, least: int) -> DataFrame:
-    """(lang, k, h, phrase, n): frequent phrases of (lang, text) whose parts are in `now` but, if given, not all in `before`. The first pass has k = 0 for all words of a language."""
-    shared = texts.sparkSession.sparkContext.broadcast((now, before))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, before = shared.value
-        names = ["lang", "k", "h", "phrase", "n"]
-        for batch in batches:
-            for buf, langs, (start, end, row, found) in _batches(batch, most_words):
-                if first:
-                    n = np.bincount(row, minlength=len(langs))
-                    yield pa.RecordBatch.from_arrays([langs, pa.array(np.zeros(len(n), np.int32)), pa.array(np.zeros(len(n), np.int64)), pa.array([""] * len(n), pa.string()), pa.array(n.astype(np.int64))], names=names)
-                for k in range(1 if first else 2, most_words + 1):
-                    want = _wanted(now, found, k)
-                    if not first:
-                        want &= ~_wanted(before, found, k)
-                    key, at = found[k - 1][0][want], found[k - 1][1][want]
-                    if not len(at):
-                        continue
-                    h, place, n = np.unique(key, return_index=True, return_counts=True)
-                    at = at[place]
-                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(row[at])), pa.array(np.full(len(h), k, np.int32)), pa.array(h.view(np.int64)), spelled(buf, start, end, at, k), pa.array(n.astype(np.int64))], names=names)
-
-    rows = texts.mapInArrow(run, "lang string, k int, h long, phrase string, n long")
-    return rows.groupBy("lang", "k", "h", "phrase").agg(F.sum("n").alias("n")).where((F.col("k") == 0) | (F.col("n") >= least))
+    return texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def bitmaps_of(rows: DataFrame, most_words: int) -> list[np.ndarray]:
-    """Bitmaps by length, of rows (k, h); their size is the same for any input."""
+    """Bitmaps by length, of rows (h); their size is the same for any input."""
     slot = F.shiftrightunsigned("h", 64 - BITS)
-    bits = rows.where((F.col("k") > 0) & (F.col("k") < most_words)).select("k", F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - BITS}) & 63 as int))").alias("bit"))
+    bits = rows.select((F.col("h").bitwiseAND(LENGTH)).cast("int").alias("k"), F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - BITS}) & 63 as int))").alias("bit"))
     found = bits.groupBy("k", "word").agg(F.bit_or("bit").alias("bits")).toArrow()
     k, word, value = (found.column(c).to_numpy() for c in ("k", "word", "bits"))
-    out = [np.zeros(SLOTS // 64, np.uint64) for _ in range(most_words - 1)]
+    out = [np.zeros(SLOTS // 64, np.uint64) for _ in range(most_words)]
     for j, bitmap in enumerate(out, 1):
         bitmap[word[k == j]] = value[k == j].astype(np.int64).view(np.uint64)
     return out
 
 
-def frequent_phrases(texts: DataFrame, most_words: int = 3, least: int = 10, share: float = 0.25) -> tuple[DataFrame, int]:
-    """(lang, k, h, phrase, n) of (lang, text), k = 0 for the number of all words; and the number of full passes."""
-    scratch = Scratch(texts.sparkSession)
+def proposals(texts: DataFrame, most_words: int, least: int, share: float) -> list[np.ndarray]:
+    """Bitmaps of the phrases of fewer than most_words words that are frequent in a sample, by a lowered threshold."""
     part = F.xxhash64("text", "lang").bitwiseAND((1 << 30) - 1) < int(share * (1 << 30))
     lowered = max(2, int(0.8 * least * share))
-    now = bitmaps_of(sampled(texts.where(part), most_words).where(F.col("n") >= lowered), most_words)
-    before, passes = None, []
+    return bitmaps_of(_by_hash(texts.where(part), most_words - 1, None).where(F.col("n") >= lowered), most_words - 1)
+
+
+def closed(texts: DataFrame, most_words: int, least: int, share: float) -> tuple[list[np.ndarray], int]:
+    """Bitmaps by length that hold every frequent phrase of (lang, text), and the number of full passes it took."""
+    context = texts.sparkSession.sparkContext
+    now, before, passes = proposals(texts, most_words, least, share), None, 0
+    frequent = [np.zeros(SLOTS // 64, np.uint64) for _ in range(most_words)]
     while True:
-        last = scratch.write(counted(texts, most_words, now, before, not passes, least))
-        passes.append(last)
-        more = bitmaps_of(last, most_words)
-        before, now = now, [a | b for a, b in zip(now, more, strict=True)]
-        # closed: no border phrase was frequent that the sample or an earlier pass had not proposed
+        shared = context.broadcast((now, before))
+
+        def want(found: list, k: int, shared=shared) -> np.ndarray:
+            now, before = shared.value
+            return _wanted(now, found, k) & ~_wanted(before, found, k) if before is not None else _wanted(now, found, k)
+
+        more = bitmaps_of(_by_hash(texts, most_words, want).where(F.col("n") >= least), most_words)
+        passes += 1
+        frequent = [a | b for a, b in zip(frequent, more, strict=True)]
+        before, now = now, [a | b for a, b in zip(now, more[:-1], strict=True)]
+        # no border phrase was frequent that the sample or an earlier pass had not proposed
         if all((a == b).all() for a, b in zip(before, now, strict=True)):
-            break
-    out = passes[0]
-    for p in passes[1:]:
-        out = out.unionByName(p)
-    return out, len(passes)
+            return frequent, passes
+
+
+def frequent_phrases(texts: DataFrame, most_words: int = 3, least: int = 10, share: float = 0.25) -> tuple[DataFrame, int]:
+    """(lang, k, phrase, n) of (lang, text), k = 0 for the number of all words; and the number of full passes before. A table in the shared folder."""
+    frequent, passes = closed(texts, most_words, least, share)
+    shared = texts.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["lang", "k", "phrase", "n"]
+        for batch in batches:
+            for buf, langs, (start, end, row, found) in _batches(batch, most_words):
+                n = np.bincount(row, minlength=len(langs))
+                yield pa.RecordBatch.from_arrays([langs, pa.array(np.zeros(len(n), np.int32)), pa.array([""] * len(n), pa.string()), pa.array(n.astype(np.int64))], names=names)
+                for k, (key, at) in enumerate(found, 1):
+                    good = proposed(shared.value[k - 1], key)
+                    h, place, n = np.unique(key[good], return_index=True, return_counts=True)
+                    first = at[good][place]
+                    if len(h):
+                        yield pa.RecordBatch.from_arrays([langs.take(pa.array(row[first])), pa.array(np.full(len(h), k, np.int32)), spelled(buf, start, end, first, k), pa.array(n.astype(np.int64))], names=names)
+
+    rows = texts.mapInArrow(run, "lang string, k int, phrase string, n long").groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+    return Scratch(texts.sparkSession).write(rows.where((F.col("k") == 0) | (F.col("n") >= least))), passes
 
 
 def _salted(df: DataFrame) -> DataFrame:
@@ -197,8 +203,8 @@ def _words(x: Column, first: Column, n: Column) -> Column:
 
 def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang", most_words: int = 3, least: int = 10, inside: int = 50, top: int | None = 2000, share: float = 0.25) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of phrases of 2 to most_words words; `inside`: per cent of a phrase's occurrences that a longer candidate has at least for it to go; `top` of each language, None for all."""
-    if most_words < 2:
-        raise ValueError("a phrase has two words or more")
+    if not 2 <= most_words <= LENGTH:
+        raise ValueError(f"a phrase has 2 to {LENGTH} words")
     texts = df.select(F.coalesce(df[lang_col].cast("string"), F.lit("und")).alias("lang"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))
     found, _ = frequent_phrases(texts, most_words, least, share)
     words = found.where("k = 0").select("lang", F.col("n").alias("n_words"))
