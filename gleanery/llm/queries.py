@@ -14,6 +14,7 @@ from .lines import line_dedup
 from .quality import quality_scores
 from .rules import quality_rules
 from .suffixes import suffix_dedup
+from .toxicity import toxicity_scores
 from .unigram import round_trip, token_counts
 from .urls import url_filter
 
@@ -84,7 +85,11 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op3_sentencepiece, op4_line_dedup, op5_quality_rules, op6_token_counts, op7_jaccard_join, op8_url_filter, op9_license_scan, op10_suffix_dedup, op11_vector_codes, op12_collocations)}
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op3_sentencepiece, op4_line_dedup, op5_quality_rules, op6_token_counts, op7_jaccard_join, op8_url_filter, op9_license_scan, op10_suffix_dedup, op11_vector_codes, op12_collocations, op13_toxicity)}
 
 ORACLE_SQL = {
     "op4_line_dedup": r"""
