@@ -4,8 +4,9 @@ All steps are partitioned by job_ref. The cosine join compares blocks of BLOCK
 vectors by a matrix product: a task holds two blocks, a vector is sent once for
 each other block, and what comes out is the near pairs and one partial maximum
 for each vector and block. That is every pair of a job, which uniqueness needs.
-`similar` compares each job once for both; jobs of more than MOST_EXACT vectors go
-by random hyperplanes there, and their maxima are marked approximate.
+`similar` compares each job once for both, and prunes blocks of large jobs by angles
+first (operators.nearest), with the same results. `lsh_pairs` finds pairs alone by random
+hyperplanes, as many as the size of the job and the recall call for.
 """
 
 from __future__ import annotations
@@ -18,15 +19,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DedupLimits
-from ..plans.lineage import Scratch
 from .graph import connected_components
+from .nearest import PLAIN, compare
 
 LIMITS = DedupLimits()
 BLOCK = 1024
-#: Vectors of a job up to which all its pairs are compared (20,000 pairs of blocks).
-MOST_EXACT = 200_000
-#: Random hyperplanes of a table and tables. Two vectors of cosine 0.9 share one of 64 tables of 16 with a chance of 0.996.
-BITS, TABLES = 16, 64
+#: Signs of a table at most, and the chance with which a pair at the threshold is found by random hyperplanes.
+MOST_BITS, RECALL = 32, 0.99
+#: Rows of a key beyond which it is split.
+HOT = 4096
 
 
 def vector_choice(df: DataFrame, external: bool = True) -> DataFrame:
@@ -46,11 +47,11 @@ def _blocks(df: DataFrame) -> DataFrame:
     """Each row to all pairs of blocks that hold its own: (job_ref, low, high, block, id, features)."""
     n = df.groupBy("job_ref").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
     d = df.join(n, "job_ref").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
-    d = d.select("job_ref", "id", "features", "block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"))
-    return d.select("job_ref", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "features")
+    d = d.select("job_ref", "id", "features", "cut", "block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"))
+    return d.select("job_ref", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "features", "cut")
 
 
-def _compare(df: DataFrame, threshold: float) -> DataFrame:
+def _compare(df: DataFrame, threshold: float | Column) -> DataFrame:
     """(job_ref, a, b, sim): near pairs a < b, and rows with null b for a's greatest similarity in a block."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -59,12 +60,12 @@ def _compare(df: DataFrame, threshold: float) -> DataFrame:
         block = table.column("block").to_numpy()
         features = table.column("features").combine_chunks()
         x = features.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        low, high, cut = (table.column(c)[0].as_py() for c in ("low", "high", "cut"))
         left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
         if not len(left) or not len(right):
             return pa.table({"job_ref": pa.array([], pa.string()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
         sim = x[left] @ x[right].T
-        i, j = np.nonzero(sim >= threshold)
+        i, j = np.nonzero(sim >= cut)
         keep = (ids[left[i]] < ids[right[j]]) if low == high else np.ones(len(i), bool)
         i, j = i[keep], j[keep]
         if low == high:
@@ -81,12 +82,15 @@ def _compare(df: DataFrame, threshold: float) -> DataFrame:
             }
         )
 
-    d = _blocks(df.select("job_ref", F.col("id").cast("long").alias("id"), unit(F.col("features")).alias("features")))
+    d = _blocks(df.select("job_ref", F.col("id").cast("long").alias("id"), unit(F.col("features")).alias("features"), F.lit(threshold).cast("double").alias("cut")))
     return d.groupBy("job_ref", "low", "high").applyInArrow(run, "job_ref string, a long, b long, sim double")
 
 
-def cosine_pairs(df: DataFrame, threshold: float = LIMITS.cosine) -> DataFrame:
-    """(job_ref, a, b, sim) of pairs of ids a < b in a job with at least that cosine. Needs job_ref, id, features."""
+def cosine_pairs(df: DataFrame, threshold: float | Column = LIMITS.cosine) -> DataFrame:
+    """(job_ref, a, b, sim) of pairs of ids a < b in a job with at least that cosine. Needs job_ref, id, features.
+
+    A threshold may be a column, the same in all rows of a job.
+    """
     return _compare(df, threshold).where("b is not null")
 
 
@@ -108,82 +112,140 @@ def uniqueness(best: DataFrame) -> DataFrame:
     return raw.join(ends, "job_ref").select("job_ref", "id", F.bround(stretched, 3).alias("uniqueness"))
 
 
-def lsh_pairs(df: DataFrame, threshold: float = LIMITS.cosine, bits: int = BITS, tables: int = TABLES) -> DataFrame:
-    """(job_ref, a, b, sim) of pairs that share a table's signs of random hyperplanes: no all-pairs work, some pairs may be missed.
+def lsh_tables(n: Column, threshold: Column, recall: float) -> tuple[Column, Column]:
+    """(signs of a table, tables) for a job of n vectors.
 
-    Equal vectors meet as one, by their smallest id, so copies make one pair each; every candidate's cosine is computed.
+    About log2 n signs, so that unrelated vectors of a job meet about once for each vector and table; and as many tables as
+    two vectors at the threshold need to share one with a chance of `recall`.
     """
-    d = df.select("job_ref", F.col("id").cast("long").alias("id"), unit(F.col("features")).alias("features"))
-    first = d.groupBy("job_ref", "features").agg(F.min("id").alias("id"))
-    norm = F.aggregate("features", F.lit(0.0), lambda s, x: s + x * x)
-    copies = d.join(first.withColumnRenamed("id", "a"), ["job_ref", "features"]).where(F.col("id") != F.col("a")).where(norm > 0.5).select("job_ref", "a", F.col("id").alias("b"), F.lit(1.0).alias("sim"))
+    bits = F.least(F.greatest(F.ceil(F.log2(n)), F.lit(8)), F.lit(MOST_BITS)).cast("int")
+    one = F.pow(1 - F.acos(threshold) / np.pi, bits)
+    return bits, F.greatest(F.ceil(F.log(F.lit(1 - recall)) / F.log(1 - one)), F.lit(1)).cast("int")
+
+
+def _signs(df: DataFrame) -> DataFrame:
+    """(job_ref, id, table, key) of (job_ref, id, features, bits, tables)."""
 
-    def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            if planes is None or planes.shape[0] != x.shape[1]:
-                planes = np.random.default_rng(5).normal(size=(x.shape[1], bits * tables))
-            weight = np.int64(1) << np.arange(bits, dtype=np.int64)
-            keys = ((x @ planes > 0).reshape(len(x), tables, bits) * weight).sum(2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(keys), pa.list_(pa.int64()))], names=["job_ref", "id", "keys"])
-
-    keyed = first.select("job_ref", "id", "features").mapInArrow(signs, "job_ref string, id long, keys array<long>").select("job_ref", "id", F.posexplode("keys").alias("table", "key"))
-    left, right = keyed.withColumnRenamed("id", "a"), keyed.withColumnRenamed("id", "b")
-    met = left.join(right, ["job_ref", "table", "key"]).where("a < b").select("job_ref", "a", "b").distinct()
-    vector = lambda k: first.select("job_ref", F.col("id").alias(k), F.col("features").alias(f"v{k}"))
+            bits, tables = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            for t in range(int(tables.max())):
+                if (t, x.shape[1]) not in planes:
+                    planes[t, x.shape[1]] = np.random.default_rng(5 + t).normal(size=(x.shape[1], MOST_BITS))
+                at = np.flatnonzero(tables > t)
+                sign = (x[at] @ planes[t, x.shape[1]] > 0) & (np.arange(MOST_BITS) < bits[at][:, None])
+                key = (sign * (np.int64(1) << np.arange(MOST_BITS, dtype=np.int64))).sum(1)
+                rows = pa.array(at)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.full(len(at), t, np.int32)), pa.array(key)], names=["job_ref", "id", "table", "key"])
+
+    return df.select("job_ref", "id", "features", "bits", "tables").mapInArrow(run, "job_ref string, id long, table int, key long")
+
+
+def _met(keyed: DataFrame, keys: list[str], carried: list[str]) -> DataFrame:
+    """Rows a < b of equal keys: (keys, a, b, carried of a, and of b as other_*). A common key is split in parts of HOT rows, each against all of the key."""
+    parts = keyed.groupBy(*keys).agg(F.ceil(F.count("*") / HOT).cast("int").alias("_parts")).where("_parts > 1")
+    sized = keyed.join(parts, keys, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    left = sized.withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int")).select(*keys, "_part", F.col("id").alias("a"), *carried)
+    right = sized.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).select(*keys, "_part", F.col("id").alias("b"), *(F.col(c).alias(f"other_{c}") for c in carried))
+    return left.join(right, [*keys, "_part"]).where("a < b").drop("_part")
+
+
+def lsh_candidates(df: DataFrame, threshold: float | Column = LIMITS.cosine, recall: float = RECALL) -> DataFrame:
+    """(job_ref, a, b): pairs of (job_ref, id, features of unit length, all different) that share a table's signs."""
+    d = df.select("job_ref", F.col("id").cast("long").alias("id"), "features", F.lit(threshold).cast("double").alias("cut"))
+    sizes = d.groupBy("job_ref").agg(F.count("*").alias("n"), F.max("cut").alias("least"))
+    bits, tables = lsh_tables(F.col("n"), F.col("least"), recall)
+    planned = sizes.select("job_ref", bits.alias("bits"), tables.alias("tables"))
+    return _met(_signs(d.join(planned, "job_ref")), ["job_ref", "table", "key"], []).select("job_ref", "a", "b").distinct()
+
+
+def lsh_pairs(df: DataFrame, threshold: float | Column = LIMITS.cosine, recall: float = RECALL) -> DataFrame:
+    """(job_ref, a, b, sim) of pairs that share a table's signs of random hyperplanes: no all-pairs work, a pair at the threshold is found with a chance of `recall`.
+
+    Equal vectors meet as one, by their smallest id, so copies make one pair each; every candidate's cosine is computed.
+    """
+    d = df.select("job_ref", F.col("id").cast("long").alias("id"), unit(F.col("features")).alias("features"), F.lit(threshold).cast("double").alias("cut"))
+    first = d.groupBy("job_ref", "features").agg(F.min("id").alias("id"), F.max("cut").alias("cut"))
+    norm = F.aggregate("features", F.lit(0.0), lambda s, x: s + x * x)
+    copies = d.join(first.select("job_ref", "features", F.col("id").alias("a")), ["job_ref", "features"]).where(F.col("id") != F.col("a")).where(norm > 0.5).select("job_ref", "a", F.col("id").alias("b"), F.lit(1.0).alias("sim"))
+    met = lsh_candidates(first, F.col("cut"), recall)
+    vector = lambda k: first.select("job_ref", F.col("id").alias(k), F.col("features").alias(f"v{k}"), *([F.col("cut")] if k == "a" else []))
     sim = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    near = met.join(vector("a"), ["job_ref", "a"]).join(vector("b"), ["job_ref", "b"]).select("job_ref", "a", "b", sim.alias("sim"))
-    return near.where(F.col("sim") >= threshold).union(copies)
+    near = met.join(vector("a"), ["job_ref", "a"]).join(vector("b"), ["job_ref", "b"]).select("job_ref", "a", "b", sim.alias("sim"), "cut")
+    return near.where(F.col("sim") >= F.col("cut")).drop("cut").union(copies)
 
 
-def similar(df: DataFrame, threshold: float = LIMITS.cosine, most_exact: int = MOST_EXACT) -> tuple[DataFrame, DataFrame]:
-    """(pairs, best) of one comparison: (job_ref, a, b, sim) and (job_ref, id, max_sim, approximate).
+def similar(df: DataFrame, threshold: float | Column = LIMITS.cosine, plain: int = PLAIN) -> tuple[DataFrame, DataFrame]:
+    """(pairs, best) of one exact comparison: (job_ref, a, b, sim) and (job_ref, id, max_sim). Needs job_ref, id, features.
 
-    Jobs of up to `most_exact` vectors are compared exactly and what that finds is written once. In larger ones pairs come
-    from lsh_pairs, and a vector without one has the maximum 0, which is marked approximate, as all maxima of the job are.
+    In jobs of more than `plain` vectors blocks are pruned first, see operators.nearest; that changes no result. Of equal
+    vectors each is paired with the smallest id. A threshold may be a column, the same in all rows of a job; it is above 0.
     """
-    scratch = Scratch(df.sparkSession)
-    sizes = df.groupBy("job_ref").agg(F.count("*").alias("n"))
-    of = lambda condition: df.join(sizes.where(condition), "job_ref", "left_semi")
-    compared = scratch.write(_compare(of(F.col("n") <= most_exact), threshold))
-    pairs, best = compared.where("b is not null"), _best(compared).withColumn("approximate", F.lit(False))
-    if sizes.where(F.col("n") > most_exact).isEmpty():
-        return pairs, best
-    large = of(F.col("n") > most_exact)
-    found = scratch.write(lsh_pairs(large, threshold))
-    ends = found.select("job_ref", F.explode(F.array("a", "b")).alias("id"), "sim").groupBy("job_ref", "id").agg(F.max("sim").alias("max_sim"))
-    rough = large.select("job_ref", F.col("id").cast("long").alias("id")).join(ends, ["job_ref", "id"], "left")
-    return pairs.union(found), best.union(rough.select("job_ref", "id", F.coalesce("max_sim", F.lit(0.0)), F.lit(True)))
-
-
-def hamming_pairs(df: DataFrame, words: int = 1, most: int = LIMITS.hamming) -> DataFrame:
+    if not isinstance(threshold, Column) and threshold <= 0:
+        raise ValueError("pairs are near by a cosine above 0")
+    pairs, best, _ = compare(df.select("job_ref", "id", unit(F.col("features")).alias("features"), F.lit(threshold).alias("cut")), F.col("cut"), plain)
+    return pairs, best
+
+
+def _bits(lo: int, hi: int) -> list[Column]:
+    """Bits lo to hi of the hash, as words."""
+    parts = []
+    for w in range(lo // 64, (hi - 1) // 64 + 1):
+        a, b = max(lo, 64 * w) - 64 * w, min(hi, 64 * w + 64) - 64 * w
+        shifted = F.shiftrightunsigned(F.col("hash")[w], a)
+        parts.append(shifted if b - a == 64 else shifted.bitwiseAND(F.lit((1 << (b - a)) - 1)))
+    return parts
+
+
+def hamming_pairs(df: DataFrame, words: int = 1, most: int | Column = LIMITS.hamming) -> DataFrame:
     """(job_ref, a, b, distance) of pairs of ids with hashes (`hash`, array of 64-bit words) at most that far apart.
 
-    Exact: of most + 1 bands of bits one at least is equal, so bands are joined by value. Ids with equal hashes meet
-    as one, by their smallest id, so copies make one pair each.
+    Exact: of most + 1 bands of bits one at least is equal, so bands are joined by value. A band that more than HOT
+    hashes of a job share is split by the other bits, which are banded again for the same reason; what is common even
+    then meets in parts. Ids with equal hashes meet as one, by their smallest id, so copies make one pair each.
+
+    The distance may be a column, the same in all rows of a job; each distance that occurs is a plan of its own, and
+    which there are (a number of bits) is read while the result is built. Null distances find nothing.
     """
-    bits, bands = 64 * words, most + 1
+    if isinstance(most, Column):
+        d = df.withColumn("_most", most.cast("int"))
+        found = [x[0] for x in d.select("_most").where(F.col("_most").between(0, 64 * words)).distinct().collect()]
+        out = hamming_pairs(df.limit(0), words, 0)
+        for m in sorted(found):
+            out = out.union(hamming_pairs(d.where(F.col("_most") == m).drop("_most"), words, m))
+        return out
+    bits = 64 * words
+    bands = min(most + 1, bits)
     cut = [bits * k // bands for k in range(bands + 1)]
 
-    def band(k: int) -> Column:
-        parts = []
-        for w in range(cut[k] // 64, (cut[k + 1] - 1) // 64 + 1):
-            lo, hi = max(cut[k], 64 * w) - 64 * w, min(cut[k + 1], 64 * w + 64) - 64 * w
-            mask = (1 << (hi - lo)) - 1
-            shifted = F.shiftrightunsigned(F.col("hash")[w], lo)
-            parts.append(shifted if hi - lo == 64 else shifted.bitwiseAND(F.lit(mask)))
-        return F.xxhash64(F.lit(k), *parts)
+    def others(k: int) -> list[Column]:
+        """The bits outside of band k, in bands."""
+        lo, hi = cut[k], cut[k + 1]
+        rest = bits - (hi - lo)
+        n = min(most + 1, rest)
+        ends = [rest * j // n for j in range(n + 1)] if rest else [0, 0]
+        out = []
+        for j, (x, y) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            # places among the rest: those before the band, and those after it
+            below = _bits(min(x, lo), min(y, lo)) if x < min(y, lo) else []
+            above = _bits(max(x, lo) + hi - lo, y + hi - lo) if max(x, lo) < y else []
+            out.append(F.xxhash64(F.lit(j), *below, *above))
+        return out
 
     d = df.select("job_ref", F.col("id").cast("long").alias("id"), "hash")
     first = d.groupBy("job_ref", "hash").agg(F.min("id").alias("id"))
     copies = d.join(first.withColumnRenamed("id", "a"), ["job_ref", "hash"]).where("id != a").select("job_ref", "a", F.col("id").alias("b"), F.lit(0).cast("long").alias("distance"))
-    keyed = first.select("job_ref", "id", "hash", F.explode(F.array(*(band(k) for k in range(bands)))).alias("band"))
-    other = keyed.select("job_ref", F.col("id").alias("b"), F.col("hash").alias("other"), "band")
-    apart = F.aggregate(F.zip_with("hash", "other", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = keyed.withColumnRenamed("id", "a").join(other, ["job_ref", "band"]).where("a < b").withColumn("distance", apart.cast("long")).where(F.col("distance") <= most)
+    keyed = first.select("job_ref", "id", "hash", F.posexplode(F.array(*(F.xxhash64(F.lit(k), *_bits(cut[k], cut[k + 1])) for k in range(bands)))).alias("k", "band"))
+    common = keyed.groupBy("job_ref", "band").agg(F.count("*").alias("_n")).where(F.col("_n") > HOT).select("job_ref", "band", F.lit(True).alias("_hot"))
+    marked = keyed.join(common, ["job_ref", "band"], "left")
+    rest = F.array(*(F.array(*others(k)) for k in range(bands)))[F.col("k")]
+    finer = marked.withColumn("rest", F.explode(F.when(F.col("_hot"), rest).otherwise(F.array(F.lit(0).cast("long")))))
+    apart = F.aggregate(F.zip_with("hash", "other_hash", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = _met(finer.select("job_ref", "band", "rest", "id", "hash"), ["job_ref", "band", "rest"], ["hash"]).withColumn("distance", apart.cast("long")).where(F.col("distance") <= most)
     return near.select("job_ref", "a", "b", "distance").distinct().union(copies)
 
 

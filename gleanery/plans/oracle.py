@@ -289,6 +289,7 @@ SELECT doc_id AS image_id, job_ref, parse_failed, {_FIELDS['view_angle']} AS vie
     "cluster_ids": f"{_VECTORS} SELECT id, cluster_id FROM clustered",
     "cluster_representative": f"{_VECTORS} SELECT cluster_id, id FROM flagged WHERE cluster_id >= 0 AND NOT is_duplicate",
     "duplicate_flags": f"{_VECTORS} SELECT id, is_duplicate FROM flagged",
+    "max_similarity_pruned": f"{_VECTORS} SELECT id, {_six('max_sim')} AS max_sim FROM tops",
     "max_similarity": f"{_VECTORS} SELECT id, {_six('max_sim')} AS max_sim FROM tops",
     "uniqueness": f"{_VECTORS} SELECT id, round((1 - max_sim - min(1 - max_sim) OVER ()) / (max(1 - max_sim) OVER () - min(1 - max_sim) OVER ()), 3) AS uniqueness FROM tops",
     "soft_face_threshold": f"{_FACE} SELECT job_ref, {_six('cut')} AS soft_face_threshold FROM cuts",

@@ -302,6 +302,12 @@ def _(spark, sf_dir):
     return D.uniqueness(best).join(partners, "id", "left").select("id", "uniqueness", F.coalesce("n_near", F.lit(0)).alias("n_near"))
 
 
+@query("max_similarity_pruned")
+def _(spark, sf_dir):
+    """The maxima of the search that prunes blocks, at any size of the job."""
+    return D.similar(X.vectors(spark, sf_dir), plain=0)[1].select("id", six(F.col("max_sim")).alias("max_sim"))
+
+
 @query("hamming_pairs")
 def _(spark, sf_dir):
     return _hamming(spark, sf_dir).select("a", "b", "distance")
