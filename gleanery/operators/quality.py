@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import QualityLimits
-from ..purposes import PURPOSES
+from ..purposes import PURPOSES, of_purpose
 
 LIMITS = QualityLimits()
 
@@ -74,9 +74,10 @@ def score_of(weights: list[Column], t: QualityLimits = LIMITS) -> Column:
     return F.greatest(F.least(total, F.lit(1.0)), F.lit(0.0))
 
 
-def quality_score(df: DataFrame, purpose: str = "face", t: QualityLimits = LIMITS) -> DataFrame:
-    """Adds quality_score, in 0 to 1."""
-    return df.withColumn("quality_score", score_of([F.lit(w) for w in PURPOSES[purpose].weights], t))
+def quality_score(df: DataFrame, purpose: str | Column = "face", t: QualityLimits = LIMITS) -> DataFrame:
+    """Adds quality_score, in 0 to 1, by the weights of a purpose or of that which a column names."""
+    weights = [of_purpose(purpose, lambda p, k=k: F.lit(p.weights[k])) for k in range(5)]
+    return df.withColumn("quality_score", score_of(weights, t))
 
 
 def quality_score_by_purpose(df: DataFrame, t: QualityLimits = LIMITS) -> DataFrame:

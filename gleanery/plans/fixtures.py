@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import GARMENT_TYPES, POSE_CATEGORIES, SHOT_TYPES, VIEW_ANGLES
+from ..purposes import PURPOSES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -174,6 +175,40 @@ def job_settings(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(job, json.dumps(params)) for job, params in JOB_SETTINGS.items() if params], "job_id string, params string")
 
 
+def _purpose_settings() -> dict[str, dict]:
+    """Params of a job for each language and purpose: minimums, totals, caps and targets of their own."""
+    out = {}
+    for k, (lang, p) in enumerate((lang, p) for lang in ("en", "de", "fr", "es") for p in PURPOSES.values()):
+        keys = {"garment_visible": "min_garment_visible_shots"}
+        minimums = {keys.get(r.name, f"min_{r.name}"): (2, 9, 40, 4, 0)[(k + j) % 5] for j, r in enumerate(p.requirements)}
+        own = {"purpose": p.name, "coverage": {**minimums, "min_total_marginal": (5, 30, 15)[k % 3], "min_total_sufficient": (10, 60, 25)[k % 3], "cap_min": 2 + k % 4}}
+        out[f"{lang}:{p.name}"] = own | ({"target": 20 + k} if k % 4 else {}) | ({"quality": {"min_side_fail": 450 + 15 * k}} if k % 2 else {})
+    return out
+
+
+#: Params of jobs of all purposes, by job_ref.
+PURPOSE_SETTINGS = _purpose_settings()
+
+
+def purpose_settings(spark: SparkSession) -> DataFrame:
+    """(job_id, params) of the jobs of records_by_purpose; a few rows."""
+    return spark.createDataFrame([(job, json.dumps(params)) for job, params in PURPOSE_SETTINGS.items()], "job_id string, params string")
+
+
+def records_by_purpose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records once for each purpose, in a job for each language and purpose."""
+    d = records(spark, sf_dir).withColumn("purpose", F.explode(F.array(*(F.lit(p) for p in PURPOSES))))
+    return d.withColumn("job_ref", F.concat("job_ref", F.lit(":"), "purpose"))
+
+
+#: Params of the jobs that vectors are dealt to, by id; the last has none.
+DEDUP_SETTINGS = {"v0": {"similarity_threshold": 0.95, "phash_exact_max_hamming": 2}, "v1": {"similarity_threshold": 0.6, "phash_exact_max_hamming": 9}, "v2": {}}
+
+
+def dedup_settings(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(job, json.dumps({"dedup": params})) for job, params in DEDUP_SETTINGS.items() if params], "job_id string, params string")
+
+
 #: An answer for each document and attempt, in both engines' SQL.
 _SUIT = "CASE doc_id % 8 WHEN 0 THEN CAST((doc_id * 31) % 130 AS STRING) WHEN 1 THEN concat('\"', CAST((doc_id * 31) % 130 AS STRING), '\"') WHEN 2 THEN '62.5' WHEN 3 THEN '\"good\"' WHEN 4 THEN 'null' WHEN 5 THEN '\"71.5\"' WHEN 6 THEN '-3' ELSE 'true' END"
 _FLAG = "CASE (doc_id + {0}) % 7 WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN '\" Yes \"' WHEN 3 THEN '\"no\"' WHEN 4 THEN '1' WHEN 5 THEN '\"1\"' ELSE 'null' END"

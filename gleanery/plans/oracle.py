@@ -337,22 +337,22 @@ for _p in PURPOSES:
     ORACLE[f"coverage_gaps_{_p}"] = _display(_p, True)
     ORACLE[f"coverage_gaps_small_jobs_{_p}"] = X.in_small_jobs(_display(_p, True))
 
-# --- review and answers, each under two names ------------------------------
+# --- review and answers ------------------------------
 
 _ALL = f"{_FACE}, every AS (SELECT *, coalesce(user_decision, auto_decision) AS decision FROM decided)"
 ORACLE |= {
-    "latest_override_all_jobs": f"{_ALL} SELECT job_ref, doc_id, user_decision FROM every",
-    "final_decision_all_jobs": f"{_ALL} SELECT job_ref, doc_id, decision FROM every",
-    "apply_manifest_all_jobs": f"""{_ALL}, files AS ({X.FILES_SQL}), {_SIDECARS},
+    "latest_override": f"{_ALL} SELECT job_ref, doc_id, user_decision FROM every",
+    "final_decision": f"{_ALL} SELECT job_ref, doc_id, decision FROM every",
+    "apply_manifest": f"""{_ALL}, files AS ({X.FILES_SQL}), {_SIDECARS},
 gone AS (SELECT i.folder, unnest([i.filename, i.sidecar]) AS name FROM images i JOIN every o ON i.doc_id = o.doc_id WHERE decision = 'reject'),
 m AS (SELECT concat(folder, '/', name) AS source, concat(folder, '_rejected/', name) AS target FROM gone WHERE name IS NOT NULL)
 SELECT source, target, count(*) OVER (PARTITION BY target) > 1 AS collision, true AS applied FROM m""",
-    "recaption_worklist_all_jobs": f"{_ALL} SELECT job_ref, doc_id, filename FROM every WHERE decision = 'keep'",
-    "apply_summary_all_jobs": f"{_ALL} SELECT job_ref, count(*) FILTER (decision = 'keep') AS kept, count(*) FILTER (decision = 'reject') AS rejected, count(*) FILTER (decision = 'reject') AS moved, CAST(0 AS BIGINT) AS deleted, count(*) FILTER (decision = 'keep') AS recaptioned FROM every GROUP BY job_ref",
-    "review_categories_all_jobs": f"{_ALL} SELECT job_ref, count(*) FILTER (decision = 'keep') AS keep, count(*) FILTER (decision = 'reject') AS reject, count(*) FILTER (auto_decision = 'reject' AND contains(auto_reason, 'over-represented')) AS overflow, count(*) FILTER (auto_decision = 'reject' AND NOT contains(auto_reason, 'over-represented')) AS hard FROM every GROUP BY job_ref",
-    "review_page_all_jobs": f"{_ALL} SELECT job_ref, doc_id, bucket, filename, CASE WHEN bucket = '' THEN '(unbucketed)' ELSE bucket END AS section FROM every QUALIFY row_number() OVER (PARTITION BY job_ref ORDER BY bucket, filename) BETWEEN 61 AND 120",
-    "gallery_order_all_jobs": f"{_ALL} SELECT job_ref, doc_id, bucket, auto_decision, filename FROM every",
-    "reject_reasons_all_jobs": f"{_ALL} SELECT job_ref, filename, auto_reason FROM every WHERE auto_decision = 'reject' AND auto_reason <> '' QUALIFY row_number() OVER (PARTITION BY job_ref ORDER BY filename) <= 200",
+    "recaption_worklist": f"{_ALL} SELECT job_ref, doc_id, filename FROM every WHERE decision = 'keep'",
+    "apply_summary": f"{_ALL} SELECT job_ref, count(*) FILTER (decision = 'keep') AS kept, count(*) FILTER (decision = 'reject') AS rejected, count(*) FILTER (decision = 'reject') AS moved, CAST(0 AS BIGINT) AS deleted, count(*) FILTER (decision = 'keep') AS recaptioned FROM every GROUP BY job_ref",
+    "review_categories": f"{_ALL} SELECT job_ref, count(*) FILTER (decision = 'keep') AS keep, count(*) FILTER (decision = 'reject') AS reject, count(*) FILTER (auto_decision = 'reject' AND contains(auto_reason, 'over-represented')) AS overflow, count(*) FILTER (auto_decision = 'reject' AND NOT contains(auto_reason, 'over-represented')) AS hard FROM every GROUP BY job_ref",
+    "review_page": f"{_ALL} SELECT job_ref, doc_id, bucket, filename, CASE WHEN bucket = '' THEN '(unbucketed)' ELSE bucket END AS section FROM every QUALIFY row_number() OVER (PARTITION BY job_ref ORDER BY bucket, filename) BETWEEN 61 AND 120",
+    "gallery_order": f"{_ALL} SELECT job_ref, doc_id, bucket, auto_decision, filename FROM every",
+    "reject_reasons": f"{_ALL} SELECT job_ref, filename, auto_reason FROM every WHERE auto_decision = 'reject' AND auto_reason <> '' QUALIFY row_number() OVER (PARTITION BY job_ref ORDER BY filename) <= 200",
 }
 
 
@@ -361,12 +361,12 @@ def _every_attempt(*names: str) -> str:
 
 
 ORACLE |= {
-    "coerce_bool_all_attempts": _every_attempt("face_visible", "face_occluded"),
-    "coerce_enum_all_attempts": _every_attempt("shot_type", "face_clarity"),
-    "coerce_int_all_attempts": _every_attempt("training_suitability", "subject_count"),
-    "coerce_list_all_attempts": _every_attempt("issues"),
-    "coerce_text_all_attempts": _every_attempt("reason"),
-    **{f"normalize_{p}_all_attempts": _every_attempt(*_SHARED, *own) for p, own in _OWN.items()},
+    "coerce_bool": _every_attempt("face_visible", "face_occluded"),
+    "coerce_enum": _every_attempt("shot_type", "face_clarity"),
+    "coerce_int": _every_attempt("training_suitability", "subject_count"),
+    "coerce_list": _every_attempt("issues"),
+    "coerce_text": _every_attempt("reason"),
+    **{f"normalize_{p}": _every_attempt(*_SHARED, *own) for p, own in _OWN.items()},
 }
 
 
@@ -381,7 +381,6 @@ ORACLE["job_params_all_keys"] = f"""
 WITH j AS (SELECT job_id, CASE WHEN json_valid(params) THEN params ELSE '{{}}' END AS p FROM ({X.WIDE_JOBS_SQL}))
 SELECT job_id, {', '.join(_param(b, k, v) for b, keys in PARAMS.items() for k, v in keys.items())}, CAST(p ->> '$.target' AS INTEGER) AS target FROM j"""
 
-ORACLE |= {name.removesuffix(end): sql for name, sql in ORACLE.items() for end in ("_all_jobs", "_all_attempts") if name.endswith(end)}
 
 
 def _own(params: dict, block: str) -> dict[str, object]:
@@ -398,6 +397,51 @@ _BY_JOB = {
 }
 ORACLE["select_by_job"] = " UNION ALL ".join(f"SELECT * FROM ({sql} SELECT doc_id, job_ref, bucket, quality_verdict, {_six('combined')} AS combined_score, auto_decision, auto_reason FROM decided WHERE job_ref = '{job}')" for job, sql in _BY_JOB.items())
 
+ORACLE["select_by_purpose"] = " UNION ALL ".join(f"SELECT doc_id, concat(job_ref, ':{p}') AS job_ref, filename, bucket, combined_score, auto_decision, auto_reason FROM ({ORACLE[f'select_{p}']})" for p in PURPOSES)
+
+
+def _own_limits(params: dict) -> CoverageLimits:
+    own = _own(params, "coverage")
+    return replace(_C, **{k: v for k, v in own.items() if not k.startswith("min_") or k.startswith("min_total")}, minimums=_C.minimums | {k.removeprefix("min_"): v for k, v in own.items() if k.startswith("min_") and not k.startswith("min_total")})
+
+
+def _of_job(job: str, params: dict) -> str:
+    return _chain(params["purpose"], params.get("target"), None, replace(_Q, **_own(params, "quality")), _own_limits(params))
+
+
+def _of_all_jobs(select) -> str:
+    """`select` gives the query of a job over its common tables, which hold all languages."""
+    return " UNION ALL ".join(f"SELECT * FROM ({_of_job(job, params)} {select(job, params)})" for job, params in X.PURPOSE_SETTINGS.items())
+
+
+def _job_sufficiency(job: str, params: dict) -> str:
+    t, needs = _own_limits(params), PURPOSES[params["purpose"]].requirements
+    counts = ", ".join(f"{_COUNTS[r.name]} AS {r.name}" for r in needs)
+    gaps = " + ".join(f"CASE WHEN {r.name} < {t.minimums[r.name]} THEN 1 ELSE 0 END" for r in needs)
+    lang = job.split(":")[0]
+    return f"""SELECT '{job}' AS job_ref, n_survivors, CAST(n_gaps AS BIGINT) AS n_gaps, CASE WHEN n_survivors < {t.min_total_marginal} THEN 'insufficient' WHEN n_gaps > 0 OR n_survivors < {t.min_total_sufficient} THEN 'marginal' ELSE 'sufficient' END AS verdict
+FROM (SELECT *, {gaps} AS n_gaps FROM (SELECT count(*) AS n_survivors, {counts} FROM kept WHERE job_ref = '{lang}')) WHERE EXISTS (SELECT 1 FROM records WHERE job_ref = '{lang}')"""
+
+
+def _job_gaps(job: str, params: dict) -> str:
+    t, own = _own_limits(params), PURPOSES[params["purpose"]]
+    label = {r.name: r.label for r in own.requirements}
+    counts = ", ".join(f"{_COUNTS[r.name]} AS {r.name}" for r in own.requirements)
+    rows = " UNION ALL ".join(f"SELECT {k} AS place, '{n}' AS requirement, '{label[n]}' AS label, (SELECT {n} FROM c) AS count, {t.minimums[n]} AS minimum" for k, n in enumerate(own.gaps))
+    return f"SELECT '{job}' AS job_ref, place, requirement, count, minimum, concat(label, ': too few (', count, '/', minimum, ')') AS text FROM (WITH c AS (SELECT {counts} FROM kept WHERE job_ref = '{job.split(':')[0]}' HAVING count(*) > 0) {rows}) WHERE count < minimum"
+
+
+ORACLE["select_by_purpose_and_job"] = _of_all_jobs(lambda job, _: f"SELECT doc_id, '{job}' AS job_ref, bucket, {_six('combined')} AS combined_score, auto_decision, auto_reason FROM decided WHERE job_ref = '{job.split(':')[0]}'")
+ORACLE["sufficiency_by_job"] = _of_all_jobs(_job_sufficiency)
+ORACLE["coverage_gaps_by_job"] = _of_all_jobs(_job_gaps)
+
+
+def _by_vector_job(key: str, default: float) -> str:
+    return "CASE a % 1000000 % 3 " + " ".join(f"WHEN {k} THEN {_d(p.get(key, default))}" for k, p in enumerate(X.DEDUP_SETTINGS.values())) + " END"
+
+
+ORACLE["dedup_by_job"] = _VECTORS.replace("edges AS (SELECT a, b FROM sims WHERE sim >= 0.9e0 OR distance <= 4)", f"edges AS (SELECT a, b FROM sims WHERE a % 1000000 % 3 = b % 1000000 % 3 AND (sim >= {_by_vector_job('similarity_threshold', 0.9)} OR distance <= {_by_vector_job('phash_exact_max_hamming', 4)}))") + " SELECT concat('v', id % 1000000 % 3) AS job_ref, id, component FROM members"
+
 # --- unreadable images, empty folders, stored metrics ----------------------
 
 ORACLE["read_report"] = f"SELECT *, CASE WHEN read_errors = n_images THEN 'no readable images' END AS error FROM (SELECT lang AS job_ref, count(*) AS n_images, count(*) FILTER ({X.HEIGHT} <= 0) AS read_errors FROM documents GROUP BY lang)"

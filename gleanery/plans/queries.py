@@ -204,12 +204,11 @@ def _(spark, sf_dir):
 
 
 def _answered(name: str, build):
-    """Registers a query over all attempts, with the attempt as a key, under two names."""
-    for full in (name, f"{name}_all_attempts"):
+    """Registers a query over all attempts, with the attempt as a key."""
 
-        @query(full)
-        def _(spark, sf_dir):
-            return build(X.answers(spark, sf_dir), "doc_id", "attempt")
+    @query(name)
+    def _(spark, sf_dir):
+        return build(X.answers(spark, sf_dir), "doc_id", "attempt")
 
 
 def _coerced(name: str, build):
@@ -313,6 +312,17 @@ def _(spark, sf_dir):
     return _hamming(spark, sf_dir).select("a", "b", "distance")
 
 
+@query("dedup_by_job")
+def _(spark, sf_dir):
+    """Near-duplicate edges of jobs with thresholds and distances of their own, from their params."""
+    v = X.vectors(spark, sf_dir).withColumn("job_ref", F.concat(F.lit("v"), (F.col("id") % 1000000 % 3).cast("string")))
+    rows = A.with_limits(v, A.job_params(X.dedup_settings(spark)))
+    near = D.similar(rows, F.col("limit_similarity_threshold"))[0].select("job_ref", "a", "b")
+    hashes = rows.select("job_ref", "id", X.sign_words(F.col("features")).alias("hash"), "limit_phash_exact_max_hamming")
+    alike = D.hamming_pairs(hashes, 1, F.col("limit_phash_exact_max_hamming"))
+    return D.near_dup_components(D.near_dup_edges(near, alike)).select("job_ref", "id", "component")
+
+
 @query("near_dup_edges")
 def _(spark, sf_dir):
     return D.near_dup_edges(_cosine(spark, sf_dir), _hamming(spark, sf_dir)).select("a", "b")
@@ -447,9 +457,45 @@ def _(spark, sf_dir):
     return got.select("doc_id", "job_ref", "bucket", "quality_verdict", six(F.col("combined_score")).alias("combined_score"), "auto_decision", "auto_reason")
 
 
+def _of_all_purposes(spark, sf_dir):
+    """Scored rows of jobs of all purposes, each with its own params, and the coverage limits as columns."""
+    rows = A.with_limits(X.records_by_purpose(spark, sf_dir).drop("purpose"), A.job_params(X.purpose_settings(spark)))
+    q, own = A.limits_of(QualityLimits()), F.col("limit_purpose")
+    return Q.quality_score(Q.quality_gate(rows, q), own, q), own, A.limits_of(CoverageLimits())
+
+
+@query("select_by_purpose")
+def _(spark, sf_dir):
+    """Jobs of five purposes in one run, with one set of limits: the union of the five selections."""
+    own = F.col("purpose")
+    got = C.select_images(Q.quality_score(Q.quality_gate(X.records_by_purpose(spark, sf_dir)), own), own, TARGET)
+    return got.select("doc_id", "job_ref", "filename", "bucket", six(F.col("combined_score")).alias("combined_score"), "auto_decision", "auto_reason")
+
+
+@query("select_by_purpose_and_job")
+def _(spark, sf_dir):
+    """Jobs of five purposes, each with limits and a target of its own."""
+    rows, own, c = _of_all_purposes(spark, sf_dir)
+    got = C.select_images(rows, own, F.col("limit_target"), c)
+    return got.select("doc_id", "job_ref", "bucket", six(F.col("combined_score")).alias("combined_score"), "auto_decision", "auto_reason")
+
+
 # --- coverage --------------------------------------------------------------
 
 
+@query("sufficiency_by_job")
+def _(spark, sf_dir):
+    rows, own, c = _of_all_purposes(spark, sf_dir)
+    return K.sufficiency(rows, own, c)
+
+
+@query("coverage_gaps_by_job")
+def _(spark, sf_dir):
+    rows, own, c = _of_all_purposes(spark, sf_dir)
+    gaps = K.coverage_gaps(K.requirement_counts(C.survivors(rows, own, c), own, c), own, c)
+    return gaps.select("job_ref", "place", "requirement", "count", "minimum", "text")
+
+
 @query("coverage_display")
 def _(spark, sf_dir):
     return K.coverage_display(K.requirement_counts(kept(spark, sf_dir)))
@@ -484,12 +530,11 @@ def _(spark, sf_dir):
 
 
 def _reviewed(name: str, build):
-    """Registers a query over all jobs, with job_ref as a key, under two names."""
-    for full in (name, f"{name}_all_jobs"):
+    """Registers a query over all jobs, with job_ref as a key."""
 
-        @query(full)
-        def _(spark, sf_dir):
-            return build(decided(spark, sf_dir), spark, sf_dir)
+    @query(name)
+    def _(spark, sf_dir):
+        return build(decided(spark, sf_dir), spark, sf_dir)
 
 
 def _manifest(d, spark, sf_dir):

@@ -137,3 +137,14 @@ PURPOSES = {
 def purpose(name: str | None) -> Purpose:
     """The purpose of that name; unknown names and None mean face."""
     return PURPOSES.get(name or "face", PURPOSES["face"])
+
+
+def of_purpose(name: str | Column | None, build: Callable[[Purpose], Column]) -> Column:
+    """`build` for one purpose, or for that which a column names in each row; unknown names and nulls mean face."""
+    if not isinstance(name, Column):
+        return build(purpose(name))
+    out = None
+    for p in PURPOSES.values():
+        if p.name != "face":
+            out = F.when(name == p.name, build(p)) if out is None else out.when(name == p.name, build(p))
+    return build(PURPOSES["face"]) if out is None else out.otherwise(build(PURPOSES["face"]))
