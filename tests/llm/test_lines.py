@@ -1,7 +1,11 @@
 import random
 import re
 
-from gleanery.llm.lines import line_dedup, windows
+import pytest
+from pyspark.sql import functions as F
+
+from gleanery.llm import lines
+from gleanery.llm.lines import line_dedup, positions
 
 
 def brute(rows, min_words=50):
@@ -65,9 +69,9 @@ def test_fingerprints_are_sparse(spark):
     run = [f"{r.random()} {r.random()}" for _ in range(25)]
     docs = [(i, [f"{r.random()} z" for _ in range(100)] + run + [f"{r.random()} z" for _ in range(100)]) for i in range(2)]
     df = spark.createDataFrame([(i, 0, x) for i, x in docs], "doc_id long, mark long, lines array<string>")
-    found = windows(df, 50).select("doc_id", "fp", "fp_at").distinct().collect()
+    found = positions(df, 50).select("doc_id", "fp", "at").distinct().collect()
     assert len(found) < 0.2 * sum(len(x) for _, x in docs)
-    inside = [{x["fp"] for x in found if x["doc_id"] == i and 100 <= x["fp_at"] < 125} for i in range(2)]
+    inside = [{x["fp"] for x in found if x["doc_id"] == i and 100 <= x["at"] < 125} for i in range(2)]
     assert inside[0] & inside[1]
 
 
@@ -82,3 +86,38 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame(make(n=5), "doc_id long, text string")
     plan = line_dedup(df)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_positions_hold_the_least_line_of_each_window(spark):
+    r = random.Random(11)
+    text = [f"{r.random()} " + "w " * r.randint(0, 9) for _ in range(700)]
+    df = spark.createDataFrame([(1, 0, text)], "doc_id long, mark long, lines array<string>")
+    h = [x[0] for x in df.select(F.explode("lines").alias("x")).select(F.xxhash64("x")).collect()]
+    words = [len(x.split()) for x in text]
+    seen = {}
+    for p in positions(df, 50).collect():
+        assert h[p["at"]] == p["fp"] and p["lines"] == h[p["first"] : p["first"] + len(p["lines"])]
+        for k, w in enumerate(p["windows"]):
+            a = p["first"] + k
+            assert sum(words[a : w["end"]]) < 50 <= sum(words[a : w["end"] + 1]) and p["fp"] == min(h[a : w["end"] + 1])
+            assert a <= p["at"] <= w["end"] < p["first"] + len(p["lines"])
+            seen[a] = seen.get(a, 0) + 1
+    whole = max(a for a in range(700) if sum(words[a:]) >= 50)
+    assert seen == dict.fromkeys(range(whole + 1), 1)
+
+
+def test_nothing_is_found_without_fingerprints(spark, monkeypatch):
+    """Matches begin at positions with a shared fingerprint: with fingerprints that are no lines' hashes but places', no run is found."""
+    rows = [(1, "q1\n" + "w " * 60 + "\nr1"), (2, "q2\n" + "w " * 60 + "\nr2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["n_removed"] for r in line_dedup(df).orderBy("doc_id").collect()] == [0, 1]
+    own = lines.positions
+    monkeypatch.setattr(lines, "positions", lambda docs, n: own(docs, n).withColumn("fp", F.xxhash64("doc_id", "at")))
+    assert [r["n_removed"] for r in line_dedup(df).orderBy("doc_id").collect()] == [0, 0]
+
+
+@pytest.mark.parametrize("n", [100_000])
+def test_texts_of_very_many_lines(spark, n):
+    df = spark.range(2).select(F.col("id").alias("doc_id"), F.concat(F.col("id").cast("string"), F.lit("\n"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda x: F.concat(F.lit("k"), x.cast("string"))), "\n")).alias("text"))
+    got = line_dedup(df).select("doc_id", "n_lines", "n_removed", F.length("text").alias("left")).orderBy("doc_id").collect()
+    assert [tuple(x)[1:3] for x in got] == [(n + 1, 0), (n + 1, n)] and got[1]["left"] == 1
