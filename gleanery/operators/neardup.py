@@ -15,12 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DedupLimits
 from .graph import connected_components
 from .nearest import PLAIN, compare
+from .ranks import numbered
 
 LIMITS = DedupLimits()
 BLOCK = 1024
@@ -264,12 +265,12 @@ def near_dup_components(edges: DataFrame) -> DataFrame:
 def cluster_ids(rows: DataFrame, members: DataFrame) -> DataFrame:
     """Adds cluster_id to rows (job_ref, id, filename): 0, 1, .. by a cluster's first filename, -1 without one.
 
-    Only clusters are numbered, one row for each.
+    Only clusters are numbered, one row for each, in ranges (operators.ranks).
     """
     with_names = members.join(rows.select("job_ref", "id", "filename"), ["job_ref", "id"])
     first = with_names.groupBy("job_ref", "component").agg(F.min("filename").alias("first"))
-    numbered = first.withColumn("cluster_id", F.row_number().over(Window.partitionBy("job_ref").orderBy("first")) - 1)
-    ids = members.join(numbered, ["job_ref", "component"]).select("job_ref", "id", "cluster_id")
+    ranked = numbered(first, ["first", "component"]).withColumn("cluster_id", (F.col("nth") - 1).cast("int"))
+    ids = members.join(ranked, ["job_ref", "component"]).select("job_ref", "id", "cluster_id")
     return rows.join(ids, ["job_ref", "id"], "left").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1)))
 
 

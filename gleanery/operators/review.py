@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import fields
 from types import SimpleNamespace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CoverageLimits, DedupLimits, QualityLimits
+from .ranks import numbered
 
 ACTIVE = ("queued", "running", "apply_queued", "applying", "stopping")
 
@@ -84,11 +85,10 @@ def review_categories(decided: DataFrame) -> DataFrame:
 
 
 def review_page(decided: DataFrame, page: int = 0, size: int = 60, category: str | None = None) -> DataFrame:
-    """A page of each job in (bucket, filename) order; empty buckets are called (unbucketed)."""
+    """A page of each job in (bucket, filename) order; empty buckets are called (unbucketed). Only ranges of rows that hold the page are ranked."""
     rows = decided if category is None else decided.where(final_decision() == category) if category in ("keep", "reject") else decided.where(review_category() == category)
-    nth = F.row_number().over(Window.partitionBy("job_ref").orderBy("bucket", "filename"))
-    rows = rows.withColumn("_nth", nth).where((F.col("_nth") <= (page + 1) * size) & (F.col("_nth") > page * size))
-    return rows.orderBy("job_ref", "_nth").drop("_nth").withColumn("section", F.when(F.coalesce("bucket", F.lit("")) == "", "(unbucketed)").otherwise(F.col("bucket")))
+    rows = numbered(rows, ["bucket", "filename"], page * size + 1, (page + 1) * size)
+    return rows.orderBy("job_ref", "nth").drop("nth").withColumn("section", F.when(F.coalesce("bucket", F.lit("")) == "", "(unbucketed)").otherwise(F.col("bucket")))
 
 
 def gallery_order(decided: DataFrame) -> DataFrame:
@@ -98,9 +98,8 @@ def gallery_order(decided: DataFrame) -> DataFrame:
 
 def reject_reasons(decided: DataFrame, most: int = 200) -> DataFrame:
     """(job_ref, filename, auto_reason): the first automatic rejects of each job with a reason, in file order."""
-    nth = F.row_number().over(Window.partitionBy("job_ref").orderBy("filename"))
-    rows = decided.where("auto_decision = 'reject' and auto_reason != ''").withColumn("_nth", nth).where(F.col("_nth") <= most)
-    return rows.orderBy("job_ref", "_nth").select("job_ref", "filename", "auto_reason")
+    rows = numbered(decided.where("auto_decision = 'reject' and auto_reason != ''").select("job_ref", "filename", "auto_reason"), ["filename"], 1, most)
+    return rows.orderBy("job_ref", "nth").select("job_ref", "filename", "auto_reason")
 
 
 def decision_counts(decided: DataFrame) -> DataFrame:
