@@ -1,7 +1,7 @@
 """Image measurement: decoded pixels to metrics, hashes and vectors, in one Arrow pass.
 
-Formulas work on arrays (numpy inside a task, one image at a time); small grids
-have the same formulas as Column expressions.
+Formulas work on arrays (numpy inside a task), on stacks of images of one shape;
+small grids have the same formulas as Column expressions.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +26,12 @@ def grey(bgr: np.ndarray) -> np.ndarray:
     return np.floor(bgr @ np.array([0.114, 0.587, 0.299]) + 0.5)
 
 
-def laplacian_variance(g: np.ndarray) -> float:
-    """Population variance of the 4-neighbour Laplacian; borders reflect without repeating the edge."""
-    p = np.pad(g.astype(np.float64), 1, mode="reflect") if min(g.shape) > 1 else np.pad(g.astype(np.float64), 1, mode="edge")
-    return float((p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * p[1:-1, 1:-1]).var())
+def laplacian_variance(g: np.ndarray) -> np.ndarray:
+    """Population variance of the 4-neighbour Laplacian of (.., height, width); borders reflect without repeating the edge."""
+    flat = [(0, 0)] * (g.ndim - 2)
+    p = np.pad(g.astype(np.float64), [*flat, (1, 1), (1, 1)], mode="reflect" if min(g.shape[-2:]) > 1 else "edge")
+    inner = p[..., 1:-1, 1:-1]
+    return (p[..., :-2, 1:-1] + p[..., 2:, 1:-1] + p[..., 1:-1, :-2] + p[..., 1:-1, 2:] - 4 * inner).var(axis=(-2, -1))
 
 
 def _weights(n: int, m: int) -> np.ndarray:
@@ -41,17 +43,20 @@ def _weights(n: int, m: int) -> np.ndarray:
     return part / part.sum(1, keepdims=True)
 
 
-def area_resize(x: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over the area of each new pixel."""
-    x = x.astype(np.float64)
-    rows, cols = _weights(x.shape[0], height), _weights(x.shape[1], width)
-    return np.einsum("ai,ij...,bj->ab...", rows, x, cols) if x.ndim == 3 else rows @ x @ cols.T
+def area_resize(g: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Mean over the area of each new pixel of (.., height, width)."""
+    return _weights(g.shape[-2], height) @ g.astype(np.float64) @ _weights(g.shape[-1], width).T
 
 
-def shrink(x: np.ndarray, long_side: int) -> np.ndarray:
-    """To that long side, only if larger."""
-    scale = long_side / max(x.shape[:2])
-    return np.floor(area_resize(x, max(1, int(x.shape[0] * scale)), max(1, int(x.shape[1] * scale))) + 0.5) if scale < 1 else x
+def shrink(bgr: np.ndarray, long_side: int) -> np.ndarray:
+    """Colour images (.., height, width, 3), or a grey one (height, width), to that long side, only if larger."""
+    grey_one = bgr.ndim == 2
+    height, width = bgr.shape if grey_one else bgr.shape[-3:-1]
+    scale = long_side / max(height, width)
+    if scale >= 1:
+        return bgr
+    out = area_resize(bgr if grey_one else np.moveaxis(bgr, -1, -3), max(1, int(height * scale)), max(1, int(width * scale)))
+    return np.floor((out if grey_one else np.moveaxis(out, -3, -1)) + 0.5)
 
 
 def dct_matrix(n: int) -> np.ndarray:
@@ -62,23 +67,26 @@ def dct_matrix(n: int) -> np.ndarray:
 
 
 def hash_bits(g32: np.ndarray, side: int = DedupLimits().hash_side) -> np.ndarray:
-    """Bits of the low frequencies above their median, which leaves out the first row and column."""
-    m = dct_matrix(len(g32))
-    low = (m @ g32 @ m.T)[:side, :side]
-    return (low > np.median(low[1:, 1:])).ravel()
+    """Bits (.., side * side) of the low frequencies above their median, which leaves out the first row and column."""
+    m = dct_matrix(g32.shape[-1])
+    low = (m @ g32 @ m.T)[..., :side, :side]
+    rest = low[..., 1:, 1:].reshape(*low.shape[:-2], -1)
+    return low.reshape(*low.shape[:-2], -1) > np.median(rest, axis=-1)[..., None]
 
 
 def pack(bits: np.ndarray) -> list[int]:
     return np.packbits(bits).view(">i8").astype(np.int64).tolist()
 
 
-def _unit(v: np.ndarray) -> np.ndarray:
-    n = np.linalg.norm(v)
-    return v / n if n > 0 else v
+def unit_rows(v: np.ndarray) -> np.ndarray:
+    """Rows over their lengths; rows of zeros stay."""
+    size = np.sqrt((v * v).sum(-1, keepdims=True))
+    return np.divide(v, size, out=np.zeros_like(v), where=size > 0)
 
 
 def hsv_histogram(bgr: np.ndarray) -> np.ndarray:
-    """8 x 8 x 4 counts of hue (0..180), saturation and value (0..256)."""
+    """Counts (image, 256) in 8 x 8 x 4 bins of hue (0..180), saturation and value (0..256) of images (image, height, width, 3)."""
+    n = len(bgr)
     x = bgr.reshape(-1, 3).astype(np.float64)
     b, g, r = x[:, 0], x[:, 1], x[:, 2]
     v = x.max(1)
@@ -86,16 +94,18 @@ def hsv_histogram(bgr: np.ndarray) -> np.ndarray:
     safe = np.where(d > 0, d, 1)
     hue = np.select([d == 0, v == r, v == g], [0, 30 * (g - b) / safe, 60 + 30 * (b - r) / safe], 120 + 30 * (r - g) / safe) % 180
     s = np.where(v > 0, 255 * d / np.where(v > 0, v, 1), 0)
-    return np.histogramdd(np.stack([np.floor(hue + 0.5) % 180, np.floor(s + 0.5), v], 1), bins=(8, 8, 4), range=((0, 180), (0, 256), (0, 256)))[0].ravel()
+    cell = np.floor((np.floor(hue + 0.5) % 180) / 22.5) * 32 + np.floor(np.floor(s + 0.5) / 32) * 4 + np.floor(v / 64)
+    image = np.repeat(np.arange(n), len(x) // max(n, 1))
+    return np.bincount(image * 256 + cell.astype(np.int64), minlength=256 * n).reshape(n, 256).astype(np.float64)
 
 
 def perceptual(bgr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A unit vector of structure, hash and colour, and the hash bits."""
+    """Of images (image, height, width, 3): unit vectors of structure, hash and colour, and hash bits."""
     g = grey(bgr)
     bits = hash_bits(np.floor(area_resize(g, 32, 32) + 0.5))
-    small = np.floor(area_resize(g, 24, 24) + 0.5).ravel()
-    parts = [0.62 * _unit(small - small.mean()), 0.62 * _unit(bits * 2.0 - 1.0), 0.22 * _unit(hsv_histogram(bgr))]
-    return _unit(np.concatenate(parts)).astype(np.float32), bits
+    small = np.floor(area_resize(g, 24, 24) + 0.5).reshape(len(g), -1)
+    parts = [0.62 * unit_rows(small - small.mean(1, keepdims=True)), 0.62 * unit_rows(bits * 2.0 - 1.0), 0.22 * unit_rows(hsv_histogram(bgr))]
+    return unit_rows(np.concatenate(parts, axis=1)).astype(np.float32), bits
 
 
 def eye_band(bgr: np.ndarray, eyes: tuple[float, float, float, float]) -> float | None:
@@ -110,7 +120,7 @@ def eye_band(bgr: np.ndarray, eyes: tuple[float, float, float, float]) -> float
     if x1 - x0 < 4 or y1 - y0 < 4:
         return None
     g = grey(bgr[y0:y1, x0:x1])
-    return laplacian_variance(np.floor(area_resize(g, max(4, int(g.shape[0] * 160 / g.shape[1])), 160) + 0.5))
+    return float(laplacian_variance(np.floor(area_resize(g, max(4, int(g.shape[0] * 160 / g.shape[1])), 160) + 0.5)))
 
 
 def face_crop(bgr: np.ndarray, box: tuple[int, int, int, int]) -> float:
@@ -118,34 +128,42 @@ def face_crop(bgr: np.ndarray, box: tuple[int, int, int, int]) -> float:
     x, y, w, h = box
     x, y = max(0, x), max(0, y)
     crop = bgr[y : y + h, x : x + w]
-    return laplacian_variance(np.floor(area_resize(grey(crop), 256, 256) + 0.5)) if crop.size else 0.0
+    return float(laplacian_variance(np.floor(area_resize(grey(crop), 256, 256) + 0.5))) if crop.size else 0.0
 
 
-def measure_pixels(bgr: np.ndarray, face: dict | None, t: QualityLimits = LIMITS) -> dict:
-    """Metrics of one image. face: x, y, w, h and eyes rx, ry, lx, ly, score in pixels of the image as given."""
-    height, width = bgr.shape[:2]
+def measure_stack(bgr: np.ndarray, faces: list[dict | None], t: QualityLimits = LIMITS) -> dict[str, list]:
+    """Metrics of images of one shape (image, height, width, 3), by column. faces: x, y, w, h and eyes rx, ry, lx, ly, score in pixels of the image as given, or None."""
+    n, height, width = bgr.shape[:3]
     x = shrink(bgr, t.processing_long_side)
-    ratio = x.shape[1] / width
+    ratio = x.shape[2] / width
     g = grey(x)
+    feat, bits = perceptual(x)
     out = {
-        "width": width,
-        "height": height,
-        "global_sharpness": laplacian_variance(grey(shrink(x, t.sharpness_long_side))),
-        "mean_luma": float(g.mean()),
-        "clip_frac": float(((g < 6) | (g > 249)).mean()),
-        "face_detected": face is not None,
-        "face_area_frac": 0.0,
-        "face_conf": 0.0,
-        "face_sharpness": 0.0,
+        "width": [width] * n,
+        "height": [height] * n,
+        "global_sharpness": laplacian_variance(grey(shrink(x, t.sharpness_long_side))).tolist(),
+        "mean_luma": g.mean(axis=(1, 2)).tolist(),
+        "clip_frac": ((g < 6) | (g > 249)).mean(axis=(1, 2)).tolist(),
+        "face_detected": [f is not None for f in faces],
+        "face_area_frac": [0.0] * n,
+        "face_conf": [0.0] * n,
+        "face_sharpness": [0.0] * n,
+        "perceptual": list(feat),
+        "hash": [pack(b) for b in bits],
     }
-    if face is not None:
-        box = tuple(int(face[k] * ratio) for k in ("x", "y", "w", "h"))
-        out["face_area_frac"] = box[2] * box[3] / (x.shape[0] * x.shape[1])
-        out["face_conf"] = float(face["score"])
-        sharp = eye_band(x, tuple(float(face[k]) * ratio for k in ("rx", "ry", "lx", "ly"))) if face.get("rx") is not None else None
-        out["face_sharpness"] = sharp if sharp is not None else face_crop(x, box)
-    feat, bits = perceptual(x)
-    return out | {"perceptual": feat.tolist(), "hash": pack(bits)}
+    for k, face in enumerate(faces):
+        if face is not None:
+            box = tuple(int(face[c] * ratio) for c in ("x", "y", "w", "h"))
+            out["face_area_frac"][k] = box[2] * box[3] / (x.shape[1] * x.shape[2])
+            out["face_conf"][k] = float(face["score"])
+            sharp = eye_band(x[k], tuple(float(face[c]) * ratio for c in ("rx", "ry", "lx", "ly"))) if face.get("rx") is not None else None
+            out["face_sharpness"][k] = sharp if sharp is not None else face_crop(x[k], box)
+    return out
+
+
+def measure_pixels(bgr: np.ndarray, face: dict | None, t: QualityLimits = LIMITS) -> dict:
+    """Metrics of one image."""
+    return {k: v[0] for k, v in measure_stack(bgr[None], [face], t).items()}
 
 
 MEASURED = (
@@ -154,26 +172,38 @@ MEASURED = (
 )
 
 
-def measure_images(images: DataFrame, detections: DataFrame | None = None) -> DataFrame:
-    """Metrics of rows of the `image` source that could be read. detections: path, x, y, w, h, rx, ry, lx, ly, score."""
+#: Bytes of pixels that are measured at once.
+STACK = 1 << 24
+
+
+def measure_images(images: DataFrame, detections: DataFrame | None = None, t: QualityLimits = LIMITS) -> DataFrame:
+    """Metrics of rows of the `image` source that could be read. detections: path, x, y, w, h, rx, ry, lx, ly, score.
+
+    Images of one shape in an Arrow batch are stacked, up to STACK bytes, and measured together; only faces are cropped one by one.
+    """
     rows = images.where("image.height > 0").select(F.col("image.origin").alias("path"), "image.height", "image.width", "image.nChannels", "image.data")
     kinds = "struct<x:double,y:double,w:double,h:double,rx:double,ry:double,lx:double,ly:double,score:double>"
     if detections is None:
         rows = rows.withColumn("face", F.lit(None).cast(kinds))
     else:
         rows = rows.join(largest_face(detections, ["path"]).select("path", F.struct(*(F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h", "rx", "ry", "lx", "ly", "score"))).alias("face")), "path", "left")
+    fields = [c.split() for c in MEASURED.split(", ")]
+    kind = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<float>": pa.list_(pa.float32()), "array<bigint>": pa.list_(pa.int64())}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                x = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels)
-                x = np.repeat(x, 3, 2) if r.nChannels == 1 else x[:, :, :3]
-                face = r.face if isinstance(r.face, dict) else r.face.asDict() if hasattr(r.face, "asDict") else None
-                out.append({"path": r.path} | measure_pixels(x, face))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in MEASURED.split(", ")])
-
-    return rows.mapInPandas(run, MEASURED)
+            shapes = np.stack([batch.column(c).to_numpy() for c in (1, 2, 3)], axis=1)
+            for shape in np.unique(shapes, axis=0):
+                same = np.flatnonzero((shapes == shape).all(1))
+                height, width, channels = shape.tolist()
+                for part in np.array_split(same, -(-len(same) * height * width * channels // STACK)):
+                    some = batch.take(pa.array(part))
+                    x = np.frombuffer(b"".join(some.column(4).to_pylist()), np.uint8).reshape(len(part), height, width, channels)
+                    x = np.repeat(x, 3, 3) if channels == 1 else x[..., :3]
+                    found = measure_stack(x, some.column(5).to_pylist(), t)
+                    yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(found[c], kind[k]) for c, k in fields[1:])], names=[c for c, _ in fields])
+
+    return rows.mapInArrow(run, MEASURED)
 
 
 # --- columns --------------------------------------------------------------

@@ -111,6 +111,20 @@ def sign_words(v, width: int = 64):
     return F.array(F.aggregate(F.transform(v, bit), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x)))
 
 
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image): the grids as rows of the `image` source, of one channel."""
+    pixels = F.unhex(F.array_join(F.transform("pixels", lambda x: F.lpad(F.hex(x), 2, "0")), ""))
+    image = F.struct(F.concat(F.lit("vec_"), F.col("vec_id").cast("string")).alias("origin"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), pixels.alias("data"))
+    return grids(spark, sf_dir).select(image.alias("image"))
+
+
+def picture_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, box_no, x, y, w, h, rx, ry, lx, ly, score): two boxes in every second picture, of which the second is larger; no eyes."""
+    d = table(spark, sf_dir, "embeddings").where("vec_id % 2 = 0").select(F.concat(F.lit("vec_"), F.col("vec_id").cast("string")).alias("path"), F.explode(F.array(F.lit(1), F.lit(2))).alias("box_no"))
+    side = F.col("box_no") * 2
+    return d.select("path", "box_no", F.lit(2).alias("x"), F.lit(1).alias("y"), side.alias("w"), side.alias("h"), *(F.lit(None).cast("double").alias(c) for c in ("rx", "ry", "lx", "ly")), (F.col("box_no") / 4).alias("score"))
+
+
 # --- grids, logs, jobs, answers, boxes, files ------------------------------
 
 

@@ -442,6 +442,30 @@ def _by_vector_job(key: str, default: float) -> str:
 
 ORACLE["dedup_by_job"] = _VECTORS.replace("edges AS (SELECT a, b FROM sims WHERE sim >= 0.9e0 OR distance <= 4)", f"edges AS (SELECT a, b FROM sims WHERE a % 1000000 % 3 = b % 1000000 % 3 AND (sim >= {_by_vector_job('similarity_threshold', 0.9)} OR distance <= {_by_vector_job('phash_exact_max_hamming', 4)}))") + " SELECT concat('v', id % 1000000 % 3) AS job_ref, id, component FROM members"
 
+# --- pictures --------------------------------------------------------------
+
+
+def _crop_sharpness() -> str:
+    """Of the 4 x 4 box at (2, 1), each pixel blown up to 64 x 64: inside a block the Laplacian is 0, along its edges the steps to its neighbours."""
+    at = lambda r, c: f"pixels[({r} + 1) * 8 + {c} + 3]"
+    total, square = [], []
+    for r in range(4):
+        for c in range(4):
+            up, down, left, right = (f"({at(r + i, c + j)} - {at(r, c)})" if 0 <= r + i < 4 and 0 <= c + j < 4 else "0" for i, j in ((-1, 0), (1, 0), (0, -1), (0, 1)))
+            total.append(f"64 * ({up} + {down} + {left} + {right})")
+            square.append(" + ".join([f"62 * {x} * {x}" for x in (up, down, left, right)] + [f"({x} + {y}) * ({x} + {y})" for x in (up, down) for y in (left, right)]))
+    n = "65536e0"
+    return f"(({' + '.join(square)}) / {n} - (({' + '.join(total)}) / {n}) * (({' + '.join(total)}) / {n}))"
+
+
+_PICTURES = f"WITH g AS ({X.GRIDS_SQL})"
+ORACLE["measured_pictures"] = f"""{_PICTURES}, l AS (SELECT *, {_LAP8} FROM g), m AS (SELECT *, vec_id % 2 = 0 AS face FROM l)
+SELECT concat('vec_', vec_id) AS path, 8 AS width, 8 AS height, {_six(_VAR8)} AS global_sharpness, list_sum(pixels) / 64 AS mean_luma, len(list_filter(pixels, lambda x: x < 6 OR x > 249)) / 64 AS clip_frac,
+face AS face_detected, CASE WHEN face THEN 16 / 64 ELSE 0e0 END AS face_area_frac, CASE WHEN face THEN 0.5e0 ELSE 0e0 END AS face_conf, CASE WHEN face THEN {_six(_crop_sharpness())} ELSE 0e0 END AS face_sharpness FROM m"""
+_MEANS = "list_transform(range(16), lambda k: CAST(floor((" + " + ".join(f"pixels[((k // 4) * 2 + {i}) * 8 + (k % 4) * 2 + {j} + 1]" for i in (0, 1) for j in (0, 1)) + ") / 4 + 0.5) AS BIGINT)) AS half"
+ORACLE["measured_pictures_shrunk"] = f"""{_PICTURES}, s AS (SELECT vec_id, {_MEANS} FROM g), l AS (SELECT *, {_LAP4} FROM s)
+SELECT concat('vec_', vec_id) AS path, 8 AS width, 8 AS height, {_six(f"({_VAR4}) * 16")} AS global_sharpness, list_sum(half) / 16 AS mean_luma, len(list_filter(half, lambda x: x < 6 OR x > 249)) / 16 AS clip_frac FROM l"""
+
 # --- unreadable images, empty folders, stored metrics ----------------------
 
 ORACLE["read_report"] = f"SELECT *, CASE WHEN read_errors = n_images THEN 'no readable images' END AS error FROM (SELECT lang AS job_ref, count(*) AS n_images, count(*) FILTER ({X.HEIGHT} <= 0) AS read_errors FROM documents GROUP BY lang)"

@@ -133,6 +133,22 @@ def _(spark, sf_dir):
     return half.select("vec_id", M.grid_laplacian_variance(F.col("pixels"), 4, 4).alias("sharpness"))
 
 
+_MEASURES = ("path", "width", "height", "global_sharpness", "mean_luma", "clip_frac", "face_detected", "face_area_frac", "face_conf", "face_sharpness")
+
+
+@query("measured_pictures")
+def _(spark, sf_dir):
+    """The whole pixel pass over pictures with faces: exposure, sharpness, face area and sharpness of the crop."""
+    d = M.measure_images(X.pictures(spark, sf_dir), X.picture_faces(spark, sf_dir)).select(*_MEASURES)
+    return d.withColumns({c: six(F.col(c)) for c in ("global_sharpness", "face_sharpness")})
+
+
+@query("measured_pictures_shrunk")
+def _(spark, sf_dir):
+    """The same at a processing size of half the side: metrics are of the copy, width and height of the picture itself."""
+    return M.measure_images(X.pictures(spark, sf_dir), None, QualityLimits(processing_long_side=4)).select("path", "width", "height", six(F.col("global_sharpness")).alias("global_sharpness"), "mean_luma", "clip_frac")
+
+
 @query("phash_bits")
 def _(spark, sf_dir):
     return M.grid_hash_bits(X.grids(spark, sf_dir)).select("vec_id", "hash_bits")

@@ -104,3 +104,22 @@ def test_reports_and_split(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "report" / "records")).count() == 2
     S.write_split(rows, str(tmp_path / "split"))
     assert spark.read.parquet(str(tmp_path / "split")).where(F.col("decision") == "keep").count() == 1
+
+
+def test_a_stack_is_measured_like_its_images():
+    r = np.random.default_rng(3)
+    stack = r.integers(0, 255, (5, 40, 60, 3)).astype(np.uint8)
+    stack[3] = 9
+    face = {"x": 5.0, "y": 4.0, "w": 20.0, "h": 22.0, "rx": 10.0, "ry": 12.0, "lx": 22.0, "ly": 13.0, "score": 0.7}
+    faces = [face, None, face | {"rx": None}, None, None]
+    for t in (M.LIMITS, M.QualityLimits(processing_long_side=33, sharpness_long_side=20)):
+        whole = M.measure_stack(stack, faces, t)
+        for k in range(5):
+            one = M.measure_pixels(stack[k], faces[k], t)
+            assert all(np.allclose(np.asarray(one[c], float), np.asarray(whole[c][k], float)) for c in one)
+    x = stack[0].astype(float)
+    v, d = x.max(2), x.max(2) - x.min(2)
+    assert M.hsv_histogram(stack)[0].reshape(8, 8, 4).sum((0, 1)).tolist() == np.histogram(v, 4, (0, 256))[0].tolist()
+    assert M.hsv_histogram(stack)[0].reshape(8, 8, 4).sum((0, 2)).tolist() == np.histogram(np.floor(255 * d / np.where(v > 0, v, 1) + 0.5), 8, (0, 256))[0].tolist()
+    assert np.linalg.norm(M.perceptual(stack)[0], axis=1) == pytest.approx(np.ones(5), abs=1e-5)
+    assert not M.unit_rows(np.zeros((2, 3))).any()
