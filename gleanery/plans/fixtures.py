@@ -125,6 +125,13 @@ def picture_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("path", "box_no", F.lit(2).alias("x"), F.lit(1).alias("y"), side.alias("w"), side.alias("h"), *(F.lit(None).cast("double").alias(c) for c in ("rx", "ry", "lx", "ly")), (F.col("box_no") / 4).alias("score"))
 
 
+#: Schema of an evaluation without a field set, as in runs without a model.
+EMPTY_EVALUATION = "subject_count int, issues array<string>, face_visible boolean, face_clarity string, training_suitability int, view_angle string, shot_type string"
+
+#: Vectors that stand for a picture: those of the embeddings, and some that are copied nearly; jobs by id.
+PICTURE_JOB = "concat('p', CAST(id % 1000000 % 3 AS STRING))"
+
+
 # --- grids, logs, jobs, answers, boxes, files ------------------------------
 
 

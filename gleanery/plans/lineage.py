@@ -32,9 +32,13 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.base, self.n = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}", 0
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def path(self) -> str:
+        """A new place in the shared folder."""
         self.n += 1
-        path = f"{self.base}/{self.n}"
+        return f"{self.base}/{self.n}"
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = self.path()
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path

@@ -466,6 +466,43 @@ _MEANS = "list_transform(range(16), lambda k: CAST(floor((" + " + ".join(f"pixel
 ORACLE["measured_pictures_shrunk"] = f"""{_PICTURES}, s AS (SELECT vec_id, {_MEANS} FROM g), l AS (SELECT *, {_LAP4} FROM s)
 SELECT concat('vec_', vec_id) AS path, 8 AS width, 8 AS height, {_six(f"({_VAR4}) * 16")} AS global_sharpness, list_sum(half) / 16 AS mean_luma, len(list_filter(half, lambda x: x < 6 OR x > 249)) / 16 AS clip_frac FROM l"""
 
+_SHARES = "sqrt(CASE WHEN spread > 0 THEN 0.62e0 * 0.62e0 ELSE 0e0 END + 0.62e0 * 0.62e0 + 0.22e0 * 0.22e0)"
+ORACLE["perceptual_vector"] = f"""{_PICTURES}, m AS (SELECT *, list_sum(pixels) / 64 AS mean FROM g),
+s AS (SELECT *, list_sum(list_transform(pixels, lambda x: (x - mean) * (x - mean))) AS spread, list_transform(range(4), lambda j: len(list_filter(pixels, lambda x: x // 64 = j))) AS bins FROM m),
+u AS (SELECT *, {_SHARES} AS size, sqrt(list_sum(list_transform(bins, lambda x: x * x))) AS colours FROM s),
+v AS (SELECT vec_id, list_concat(list_transform(pixels, lambda x: CASE WHEN spread > 0 THEN 0.62e0 * (x - mean) / (3 * sqrt(spread)) / size ELSE 0e0 END), [0.62e0 / 16 / size], list_transform(bins, lambda x: 0.22e0 * x / colours / size)) AS x FROM u)
+SELECT concat('vec_', vec_id) AS path, CAST(k AS INTEGER) AS k, CAST(CAST(x[k + 1] AS FLOAT) AS DOUBLE) AS x FROM v, range(69) r(k)"""
+
+_TINY = QualityLimits(min_side_fail=4, min_side_warn=8, global_sharpness_fail=2000.0, global_sharpness_warn=4000.0, luma_low=118.0, luma_high=139.0, clip_warn=0.01)
+_NO_VL = ", ".join(f"CAST(NULL AS {kind}) AS {n}" for kind, names in {"INTEGER": ("subject_count", "training_suitability"), "VARCHAR": ("face_clarity", "garment_clarity", "view_angle", "shot_type", "pose_category", "garment_type", "style_tag"), "BOOLEAN": ("face_visible", "body_shape_visible", "pose_clearly_visible", "garment_visible", "style_consistent")}.items() for n in names)
+_SAME_JOB = "a % 1000000 % 3 = b % 1000000 % 3"
+# pictures with metrics, cluster, duplicate flag and uniqueness, in the place of records
+_PICTURE_RECORDS = (
+    _VECTORS.strip().replace("sims AS (", "every AS (").replace("edges AS (SELECT a, b FROM sims WHERE sim >= 0.9e0 OR distance <= 4)", f"sims AS (SELECT * FROM every WHERE {_SAME_JOB}), edges AS (SELECT a, b FROM sims WHERE sim >= 0.9e0)")
+    .replace("row_number() OVER (ORDER BY min(", "row_number() OVER (PARTITION BY component % 1000000 % 3 ORDER BY min(")
+    + f""",
+pg AS ({X.GRIDS_SQL}), pl AS (SELECT *, {_LAP8} FROM pg),
+metrics AS (SELECT vec_id, 8 AS width, 8 AS height, {_VAR8} AS global_sharpness, list_sum(pixels) / 64 AS mean_luma, len(list_filter(pixels, lambda x: x < 6 OR x > 249)) / 64 AS clip_frac, {_crop_sharpness()} AS crop FROM pl),
+pictures AS (SELECT v.id AS doc_id, concat('p', v.id % 1000000 % 3) AS job_ref, concat('img_', lpad(CAST(v.id AS VARCHAR), 8, '0'), '.png') AS filename, width, height, global_sharpness, v.id % 2 = 0 AND v.id < 1000000 AS face_detected,
+  CASE WHEN v.id % 2 = 0 AND v.id < 1000000 THEN 16 / 64 ELSE 0e0 END AS face_area_frac, CASE WHEN v.id % 2 = 0 AND v.id < 1000000 THEN crop ELSE 0e0 END AS face_sharpness, mean_luma, clip_frac FROM v JOIN metrics m ON v.id % 1000000 = m.vec_id),
+valued AS (SELECT *, {_score([_d(w) for w in PURPOSES['face'].weights], _TINY)} AS own_score FROM pictures),
+grouped AS (SELECT p.*, coalesce(cluster_id, -1) AS cluster_id FROM valued p LEFT JOIN members m ON p.doc_id = m.id LEFT JOIN numbered n ON m.component = n.component),
+alone AS (SELECT id, max_sim, id % 1000000 % 3 AS j FROM tops)
+SELECT g.*, cluster_id >= 0 AND row_number() OVER (PARTITION BY job_ref, cluster_id ORDER BY own_score DESC, filename) > 1 AS is_duplicate,
+  coalesce(u.uniqueness, 0) AS uniqueness, {_NO_VL}, false AS many_issue FROM grouped g
+JOIN (SELECT id, round((1 - max_sim - min(1 - max_sim) OVER (PARTITION BY j)) / (max(1 - max_sim) OVER (PARTITION BY j) - min(1 - max_sim) OVER (PARTITION BY j)), 3) AS uniqueness FROM alone) u ON g.doc_id = u.id"""
+)
+ORACLE["pictures_to_selection"] = _chain("face", 40, None, _TINY).replace(f"records AS ({X.RECORDS_SQL})", f"records AS ({_PICTURE_RECORDS})") + f" SELECT job_ref, doc_id AS id, cluster_id, uniqueness, quality_verdict, {_six('combined')} AS combined_score, auto_decision, auto_reason FROM decided"
+
+# --- sinks, read again -----------------------------------------------------
+
+ORACLE["results_upsert"] = """
+SELECT lang AS job_ref, concat('img_', doc_id) AS image_id, CASE WHEN lang NOT IN ('de', 'fr') THEN n_chars WHEN n_chars % 6 = 0 THEN n_chars + 1 ELSE n_chars END AS value,
+CAST(CASE WHEN lang NOT IN ('de', 'fr') THEN 1 WHEN n_chars % 6 = 0 THEN 3 ELSE 2 END AS BIGINT) AS updated_at FROM documents WHERE lang NOT IN ('de', 'fr') OR n_chars % 2 = 0"""
+ORACLE["report_records"] = f"{_FACE} SELECT doc_id, job_ref, bucket, auto_decision, auto_reason, {_six('combined')} AS combined_score FROM decided"
+ORACLE["report_summary"] = ORACLE["run_summary"]
+ORACLE["quarantine_split"] = f"{_FACE} SELECT doc_id, job_ref, auto_decision AS decision FROM decided"
+
 # --- unreadable images, empty folders, stored metrics ----------------------
 
 ORACLE["read_report"] = f"SELECT *, CASE WHEN read_errors = n_images THEN 'no readable images' END AS error FROM (SELECT lang AS job_ref, count(*) AS n_images, count(*) FILTER ({X.HEIGHT} <= 0) AS read_errors FROM documents GROUP BY lang)"

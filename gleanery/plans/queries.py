@@ -18,6 +18,7 @@ from ..operators import selection as C
 from ..purposes import PURPOSES
 from ..sources import images as S
 from . import fixtures as X
+from .lineage import Scratch
 
 #: Images that a run is to keep, in the queries with a target.
 TARGET = 60
@@ -106,6 +107,45 @@ def _(spark, sf_dir):
     return S.read_results(rows, "view").select("filename", F.variant_get("vl", "$.k", "bigint").alias("k"), F.size("reasons").cast("long").alias("n_reasons"))
 
 
+@query("results_upsert")
+def _(spark, sf_dir):
+    """A table of results after a second run of some jobs: their rows are replaced, of one id the latest stays, other jobs keep theirs."""
+    d = X.table(spark, sf_dir, "documents").select(F.col("lang").alias("job_ref"), F.concat(F.lit("img_"), F.col("doc_id").cast("string")).alias("image_id"), F.col("n_chars").cast("long").alias("value"), F.lit(1).alias("updated_at"))
+    again = d.where("job_ref in ('de', 'fr')")
+    second = again.where("value % 2 = 0").withColumn("updated_at", F.lit(2)).union(again.where("value % 6 = 0").withColumns({"value": F.col("value") + 1, "updated_at": F.lit(3)}))
+    path = Scratch(spark).path()
+    S.write_results(d, path)
+    S.write_results(second, path)
+    return spark.read.schema(d.schema).parquet(path).select("job_ref", "image_id", "value", F.col("updated_at").cast("long").alias("updated_at"))
+
+
+@query("report_records")
+def _(spark, sf_dir):
+    """Records of a run as the report has them: written as JSON lines and read again."""
+    d = selected(spark, sf_dir).select("doc_id", "job_ref", "bucket", "auto_decision", "auto_reason", six(F.col("combined_score")).alias("combined_score"))
+    path = Scratch(spark).path()
+    S.write_report(K.run_summary(selected(spark, sf_dir)), d, path)
+    return spark.read.schema(d.schema).json(f"{path}/records")
+
+
+@query("report_summary")
+def _(spark, sf_dir):
+    """The summary of a run, written as JSON lines and read again."""
+    d = K.run_summary(selected(spark, sf_dir))
+    path = Scratch(spark).path()
+    S.write_report(d, d.select("job_ref"), path)
+    return spark.read.schema(d.schema).json(f"{path}/summary")
+
+
+@query("quarantine_split")
+def _(spark, sf_dir):
+    """Kept and rejected rows as two partitions, read again."""
+    d = selected(spark, sf_dir).select("doc_id", "job_ref", F.col("auto_decision").alias("decision"))
+    path = Scratch(spark).path()
+    S.write_split(d, path)
+    return spark.read.schema(d.schema).parquet(path)
+
+
 @query("job_cascade_delete")
 def _(spark, sf_dir):
     rows = X.table(spark, sf_dir, "events").select(F.col("user_id").alias("job_ref"), "event_id")
@@ -149,6 +189,44 @@ def _(spark, sf_dir):
     return M.measure_images(X.pictures(spark, sf_dir), None, QualityLimits(processing_long_side=4)).select("path", "width", "height", six(F.col("global_sharpness")).alias("global_sharpness"), "mean_luma", "clip_frac")
 
 
+@query("perceptual_vector")
+def _(spark, sf_dir):
+    """Of the perceptual vector of each picture: structure at the middle of the grid's cells, the size of the hash's share, and colour by value."""
+    d = M.measure_images(X.pictures(spark, sf_dir)).select("path", F.col("perceptual").alias("v"))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.get("v", ((F.floor(k / 8) * 3 + 1) * 24 + (k % 8) * 3 + 1).cast("int")))
+    colour = F.slice("v", 576 + 256 + 1, 4)
+    share = F.abs(F.get("v", 576))
+    return d.select("path", F.posexplode(F.concat(cells, F.array(share), colour)).alias("k", "x")).select("path", "k", F.col("x").cast("double").alias("x"))
+
+
+def _picture_rows(spark, sf_dir):
+    """(job_ref, id, filename, features, image): pictures with a vector, some of them nearly copied."""
+    v = X.vectors(spark, sf_dir).select("id", "filename", "features").withColumn("job_ref", F.expr(X.PICTURE_JOB))
+    images = X.pictures(spark, sf_dir).select(F.regexp_extract("image.origin", r"(\d+)$", 1).cast("long").alias("vec_id"), "image")
+    joined = v.withColumn("vec_id", F.col("id") % 1000000).join(images, "vec_id")
+    # each picture has its own path, as files have
+    return joined.withColumn("image", F.col("image").withField("origin", F.concat(F.lit("vec_"), F.col("id").cast("string")))).drop("vec_id")
+
+
+#: Limits for pictures of 8 x 8.
+_TINY = QualityLimits(min_side_fail=4, min_side_warn=8, global_sharpness_fail=2000.0, global_sharpness_warn=4000.0, luma_low=118.0, luma_high=139.0, clip_warn=0.01)
+
+
+@query("pictures_to_selection")
+def _(spark, sf_dir):
+    """A run from pixels to decisions: measured, gated and scored, near-duplicates by vectors and their clusters, uniqueness, rules, caps and target."""
+    rows = _picture_rows(spark, sf_dir)
+    faces = X.picture_faces(spark, sf_dir)
+    metrics = M.measure_images(rows.select("image"), faces).drop("perceptual", "hash")
+    d = rows.select("job_ref", "id", "filename", "features", F.col("image.origin").alias("path")).join(metrics, "path")
+    d = Q.quality_score(Q.quality_gate(d, _TINY), "face", _TINY)
+    pairs, best = D.similar(d.select("job_ref", "id", "features"))
+    clustered = D.cluster_ids(d.drop("features"), D.near_dup_components(pairs.select("job_ref", "a", "b")))
+    flagged = D.duplicate_flags(clustered).join(D.uniqueness(best), ["job_ref", "id"])
+    got = C.select_images(flagged.withColumn("vl", F.from_json(F.lit("{}"), X.EMPTY_EVALUATION)), "face", 40)
+    return got.select("job_ref", "id", "cluster_id", "uniqueness", "quality_verdict", six(F.col("combined_score")).alias("combined_score"), "auto_decision", "auto_reason")
+
+
 @query("phash_bits")
 def _(spark, sf_dir):
     return M.grid_hash_bits(X.grids(spark, sf_dir)).select("vec_id", "hash_bits")
