@@ -30,15 +30,15 @@ def upper_medians(df: DataFrame, value: str, carried: dict[str, Column]) -> Data
     middle is ranked by value. A sort spills, so no task holds a job's values in memory.
     """
     job, upto = Window.partitionBy("job_ref"), Window.partitionBy("job_ref").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("n").over(upto), F.lit(0))
+    before = F.coalesce(F.sum("_n").over(upto), F.lit(0))
     rows = df.select("job_ref", F.when(F.col(value) > 0, F.col(value)).alias("x"), F.when(F.col(value) > 0, F.floor(F.log2(value) * RANGES)).alias("at"), *(c.alias(k) for k, c in carried.items()))
-    ranges = rows.groupBy("job_ref", "at").agg(F.count("x").alias("n"), *(F.max(k).alias(k) for k in carried))
-    ranges = ranges.withColumn("place", F.floor(F.sum("n").over(job) / 2) - before)
-    here = F.col("at").isNotNull() & F.col("place").between(0, F.col("n") - 1)
+    ranges = rows.groupBy("job_ref", "at").agg(F.count("x").alias("_n"), *(F.max(k).alias(k) for k in carried))
+    ranges = ranges.withColumn("place", F.floor(F.sum("_n").over(job) / 2) - before)
+    here = F.col("at").isNotNull() & F.col("place").between(0, F.col("_n") - 1)
     jobs = ranges.groupBy("job_ref").agg(F.max(F.when(here, F.struct("at", "place"))).alias("middle"), *(F.max(k).alias(k) for k in carried))
     middle = jobs.where("middle is not null").select("job_ref", "middle.at", "middle.place")
-    inside = rows.select("job_ref", "x", "at").where("at is not null").join(middle, ["job_ref", "at"]).groupBy("job_ref", F.col("x").alias("at")).agg(F.count("*").alias("n"), F.max("place").alias("place"))
-    found = inside.withColumn("place", F.col("place") - before).where("place between 0 and n - 1").select("job_ref", F.col("at").alias("m"))
+    inside = rows.select("job_ref", "x", "at").where("at is not null").join(middle, ["job_ref", "at"]).groupBy("job_ref", F.col("x").alias("at")).agg(F.count("*").alias("_n"), F.max("place").alias("place"))
+    found = inside.withColumn("place", F.col("place") - before).where("place between 0 and _n - 1").select("job_ref", F.col("at").alias("m"))
     return jobs.join(found, "job_ref", "left").select("job_ref", "m", *carried)
 
 

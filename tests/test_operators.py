@@ -161,12 +161,12 @@ def test_pages_and_reasons_of_each_job(spark):
 
 @pytest.mark.parametrize("name", ["latest_override", "apply_summary", "review_categories", "final_decision"])
 def test_all_jobs_are_reviewed(spark, name):
-    got = QUERIES[f"{name}_all_jobs"](spark, "/root/testdata/sf0.001")
+    got = QUERIES[name](spark, "/root/testdata/sf0.001")
     assert {r["job_ref"] for r in got.select("job_ref").collect()} == {"de", "en", "es", "fr"}
 
 
 def test_all_attempts_are_coerced(spark):
-    got = {(r["doc_id"], r["attempt"]) for r in QUERIES["coerce_text_all_attempts"](spark, "/root/testdata/sf0.001").collect()}
+    got = {(r["doc_id"], r["attempt"]) for r in QUERIES["coerce_text"](spark, "/root/testdata/sf0.001").collect()}
     assert {a for _, a in got} == {1, 2, 3} and (23, 1) not in got and {(23, 2), (23, 3)} <= got
 
 
@@ -214,3 +214,45 @@ def test_a_cluster_needs_a_shared_folder(spark):
 
     with pytest.raises(RuntimeError):
         shared_folder(Session())
+
+
+def test_medians_of_ranges_like_a_sort(spark):
+    """Upper medians of jobs of one to many values, with ties, values that don't count, and jobs without any."""
+    r = random.Random(9)
+    kinds = [lambda: r.random() * 900, lambda: 5.0, lambda: r.choice([1e-300, 1e300, 2.5]), lambda: 100 + r.random() * 1e-9, lambda: r.choice([0.0, -4.0, None, 7.0]), lambda: None]
+    rows = [(f"{k}/{n}", kind()) for k, kind in enumerate(kinds) for n in (1, 2, 3, 10, 501) for _ in range(n)]
+    df = spark.createDataFrame(rows, "job_ref string, x double").repartition(6)
+    got = {x["job_ref"]: (x["m"], x["n"]) for x in C.upper_medians(df, "x", {"n": F.lit(3)}).collect()}
+    want = {}
+    for job in {x[0] for x in rows}:
+        own = sorted(x for j, x in rows if j == job and x is not None and x > 0)
+        want[job] = (own[len(own) // 2] if own else None, 3)
+    assert got == want
+
+
+def test_trim_ends_inside_a_slice_of_equal_scores(spark):
+    """All scores are equal: the trim goes by file, and a bucket's first stays, whatever the slice."""
+    rows = [{"view_angle": ["front", "back"][i % 2], "training_suitability": 80} for i in range(30)]
+    got = C.select_images(records(spark, rows), "face", 9, CoverageLimits(per_bucket_cap=12))
+    trimmed = sorted(x["filename"] for x in got.where("auto_reason like 'target trim%'").collect())
+    # of 24 that caps leave, 15 go, in order of files; f000 and f001 are first in their buckets
+    assert trimmed == [f"f{i:03d}" for i in range(2, 17)]
+    assert got.where("auto_decision = 'keep'").count() == 9
+
+
+def test_purposes_by_column(spark):
+    """Jobs of different purposes in one run have the decisions, counts, gaps and verdicts of runs of their own."""
+    r = random.Random(4)
+    rows = []
+    for p in (*PURPOSES, "nothing"):
+        rows += [{"job_ref": p, "view_angle": r.choice(["front", "back"]), "shot_type": "full_body", "garment_type": r.choice(["top", "dress"]), "garment_visible": r.random() < 0.8, "garment_clarity": r.choice(["sharp", "blurry"]), "face_clarity": r.choice(["sharp", "blurry"]), "quality_score": r.random(), "training_suitability": r.randint(30, 99)} for _ in range(40)]
+    df = records(spark, rows).withColumn("p", F.when(F.col("job_ref") != "nothing", F.col("job_ref"))).cache()
+    tidy = lambda d: sorted(map(tuple, d.collect()), key=repr)
+    own = F.col("p")
+    for of in (
+        lambda d, p: C.select_images(d, p, 12).select("job_ref", "filename", "bucket", "auto_decision", "auto_reason"),
+        lambda d, p: K.sufficiency(d, p),
+        lambda d, p: K.coverage_gaps(K.requirement_counts(C.survivors(d, p), p), p),
+    ):
+        apart = [x for job in (*PURPOSES, "nothing") for x in tidy(of(df.where(F.col("job_ref") == job), job))]
+        assert tidy(of(df, own)) == sorted(apart, key=repr)
