@@ -8,13 +8,20 @@ score, so of equal ones the piece that starts first stays, the rule of the
 public unigram tokenizer. A character that is no piece of its own may be unknown, at the least
 score less 10, and is written as its bytes.
 
+With `library` (the default of the functions on tables) sums are the library's own: it
+adds in 32 bits, and where the best sum of a start is far from 0 it takes that off all
+later ends, which rounds them. After a space mark, whose score is -10^9 in the file used
+here, most ends are then equal, and the piece that starts first stays (`▁the`, not `▁t`
+`he`). Ids are those of the library's plain encode. Without it sums are exact, and the
+segmentation is the first of the library's n-best list. A vocabulary whose mark does not weigh so much, or whose scores
+are no whole numbers, is always read with exact sums.
+
 No piece has a space mark after another character, so a text falls apart into
 words with their leading marks (and bytes that no piece has), and each distinct
 word of a stretch of text is segmented once. Words are read side by side: a step
 moves the automata of a whole block of words by a byte. A long word (text without
 blanks, packed data) is read in overlapping parts side by side, as a state depends on
 no more bytes than the longest piece has; what it matches is then relaxed in order.
-Sums are exact in 64-bit floats, where the library's 32-bit sums round over long texts.
 
 Null ids are passed through. Null texts have null ids, decoded texts and counts; empty texts have no pieces.
 Repeated rows give repeated results; other columns are ignored. The vocabulary
@@ -36,6 +43,8 @@ from .textbytes import KEPT, Texts, column, pieces
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
 STRETCH = 1 << 19
+#: From here on the library sets sums back (its own limit isn't known; 10^5 to 10^8 have the same results on the tables here).
+FAR = 1e5
 #: Cells of the table that one block of words fills.
 _CELLS = 1 << 17
 #: Bytes from which a word is read in parts; bytes of it whose matches are held at once; bytes of a part.
@@ -77,10 +86,57 @@ class Vocabulary:
         return cls([m.id_to_piece(i).encode() for i in normal], np.array(normal, np.int32), scores, surface, byte_ids, float(scores.min()) - 10.0)
 
 
+def _round(x: float) -> float:
+    """To 32 bits; whole numbers below 2^24 are exact."""
+    return x if -16777216.0 < x < 16777216.0 else float(np.float32(x))
+
+
+class _Sums:
+    """The library's sums of words side by side.
+
+    It goes by start: where the best sum of a start is FAR from 0, that is taken from all sums of later ends, with the
+    rounding of 32 bits, and counts as 0. Here ends are relaxed one after another, so an end's sum catches up with what
+    was taken off at the starts between two candidates before they are compared.
+    """
+
+    def __init__(self, long: int, n: int):
+        self.events = np.zeros((long + 1, n), np.int64)  # starts so far at which something was taken off
+        self.off = np.zeros((4, n), np.float32)
+        self.upto = np.zeros(n, np.int64)
+
+    def begin(self) -> None:
+        self.upto[:] = 0
+
+    def catch_up(self, best: np.ndarray, t: int, who: np.ndarray, start: np.ndarray) -> None:
+        """Brings best[t] of words `who` to the time of their starts."""
+        there = self.events[start, who]
+        while True:
+            late = self.upto[who] < there
+            if not late.any():
+                return
+            w = who[late]
+            best[t, w] -= self.off[self.upto[w], w]
+            self.upto[w] += 1
+
+    def finish(self, best: np.ndarray, t: int, starts: np.ndarray) -> None:
+        """Brings best[t] up to date and takes it off what follows, in words where t is a start."""
+        every = np.arange(best.shape[1])
+        self.catch_up(best, t, every, np.full(len(every), t - 1))
+        self.events[t] = self.events[t - 1]
+        far = np.flatnonzero(starts & (np.abs(best[t]) > FAR) & np.isfinite(best[t]))
+        if len(far):
+            if self.events[t].max() + 1 >= len(self.off):
+                self.off = np.concatenate([self.off, np.zeros_like(self.off)])
+            self.off[self.events[t, far], far] = best[t, far]
+            self.events[t, far] += 1
+            best[t, far] = 0.0
+
+
 class Automaton:
     """Aho-Corasick over a vocabulary's pieces, as arrays by state."""
 
-    def __init__(self, v: Vocabulary):
+    def __init__(self, v: Vocabulary, library: bool = False):
+        """`library`: sums are those of the public library's encode, see the module."""
         self.v = v
         used = np.zeros(256, bool)
         used[np.frombuffer(b"".join(v.pieces), np.uint8)] = True
@@ -120,9 +176,12 @@ class Automaton:
         self.head = np.where(self.piece >= 0, np.arange(n), self.link)
         self.longest = max((len(p) for p in v.pieces), default=1)
         self.marks_lead = not any(MARK in p.lstrip(MARK) for p in v.pieces)
+        # words of the library's sums fall apart where the mark itself weighs so much that they are set back after it
+        heavy = MARK in v.pieces and abs(v.scores[v.pieces.index(MARK)]) > FAR and abs(v.unknown) > FAR
+        self.library = library and heavy and self.marks_lead and bool((v.scores == np.rint(v.scores)).all())
 
-    def _block(self, text: np.ndarray, start: np.ndarray, size: np.ndarray, paths: bool):
-        """Viterbi over words side by side: pieces by word, and the steps' states and lengths if `paths`."""
+    def _block(self, text: np.ndarray, start: np.ndarray, size: np.ndarray, paths: bool, first: np.ndarray | None = None):
+        """Viterbi over words side by side, from the sums `first` where the library's rule holds: pieces by word, the steps' states and lengths if `paths`, and the last sums."""
         n, long = len(start), int(size.max())
         at = np.minimum(start[None, :] + np.arange(long)[:, None], len(text) - 1)
         raw = text[at]
@@ -130,11 +189,14 @@ class Automaton:
         kind = self.kind[raw]
         ends = np.ones((long, n), bool)  # the last byte of a character
         ends[:-1] = (raw[1:] & 0xC0) != 0x80
-        best = np.full((long + 1, n), -np.inf)
-        best[0] = 0.0
+        sums = np.float64 if first is None else np.float32
+        best = np.full((long + 1, n), -np.inf, sums)
+        best[0] = 0.0 if first is None else first
+        weight, unknown = self.score.astype(sums), sums(self.v.unknown)
         count = np.zeros((long + 1, n), np.int64)
         came = np.full((long + 1, n), -1, np.int32) if paths else None
         span = np.zeros((long + 1, n), np.int32) if paths else None
+        back_to = _Sums(long, n) if first is not None else None
         state, char = np.zeros(n, np.int64), np.zeros(n, np.int64)
         for t in range(1, long + 1):
             state = self.next[state, kind[t - 1]]
@@ -143,10 +205,14 @@ class Automaton:
             cur = self.head[state]
             who = np.flatnonzero(cur >= 0)
             cur = cur[who]
+            if back_to is not None:
+                back_to.begin()
             while len(who):
                 length = self.length[cur]
-                score = best[t - length, who] + self.score[cur]
+                score = best[t - length, who] + weight[cur]
                 single[who[length == char[who]]] = True
+                if back_to is not None:
+                    back_to.catch_up(best, t, who, t - length)
                 won = score > best[t, who]
                 w, s, back = who[won], cur[won], length[won]
                 best[t, w] = score[won]
@@ -159,15 +225,19 @@ class Automaton:
             who = np.flatnonzero(ends[t - 1] & ~single)
             if len(who):
                 back = char[who]
-                score = best[t - back, who] + self.v.unknown
+                score = best[t - back, who] + unknown
+                if back_to is not None:
+                    back_to.catch_up(best, t, who, t - back)
                 won = score > best[t, who]
                 w, back = who[won], back[won]
                 best[t, w] = score[won]
                 count[t, w] = count[t - back, w] + back
                 if paths:
                     came[t, w], span[t, w] = -1, back
+            if back_to is not None:
+                back_to.finish(best, t, ends[t - 1] & (t < size))
             char[ends[t - 1]] = 0
-        return count[size, np.arange(n)], came, span
+        return count[size, np.arange(n)], came, span, best[size, np.arange(n)]
 
     def _states(self, kind: np.ndarray, lo: int, hi: int) -> np.ndarray:
         """States after the bytes lo to hi of a long word, from parts that begin earlier by the longest piece."""
@@ -182,8 +252,8 @@ class Automaton:
                 out[t] = state
         return out.T.ravel()[: hi - lo]
 
-    def _long(self, raw: np.ndarray, paths: bool) -> tuple[int, np.ndarray]:
-        """Pieces of one long word, and their ids if `paths`."""
+    def _long(self, raw: np.ndarray, paths: bool, first: float | None = None) -> tuple[int, np.ndarray, float]:
+        """Pieces of one long word, their ids if `paths`, and the last sum; from the sum `first` by the library's rule."""
         n, kind = len(raw), self.kind[raw]
         starts = (raw & 0xC0) != 0x80
         starts[0] = True
@@ -192,6 +262,8 @@ class Automaton:
         ends = np.append(starts[1:], True)
         best, count = array("d", [0.0]) + array("d", [-np.inf]) * n, array("q", [0]) * (n + 1)
         came, span = (array("i", [-1]) * (n + 1), array("i", [0]) * (n + 1)) if paths else (None, None)
+        far: list[tuple[int, float]] = []  # starts at which something was taken off, and what
+        here, upto, best[0] = 0, 0, first or 0.0  # the end at hand, and how many of these its sum has seen
         for lo in range(0, n, _SPAN):
             hi = min(n, lo + _SPAN)
             cur = self.head[self._states(kind, lo, hi)]
@@ -211,22 +283,44 @@ class Automaton:
             at, back, score, piece = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.argsort(at, kind="stable")
             for t, b, x, p in zip((at[order] + lo + 1).tolist(), back[order].tolist(), score[order].tolist(), piece[order].tolist(), strict=True):
-                x += best[t - b]
+                if first is not None:
+                    if t != here:
+                        for end in range(here or 1, t):  # ends that are done, and those that nothing reached
+                            upto = self._settle(best, end, far, upto if end == here else len(far), end < n)
+                        here, upto = t, 0
+                    while upto < len(far) and far[upto][0] <= t - b:
+                        best[t] = _round(best[t] - far[upto][1])
+                        upto += 1
+                    x = _round(x + best[t - b])
+                else:
+                    x += best[t - b]
                 if x > best[t]:
                     best[t], count[t] = x, count[t - b] + (b if p < 0 else 1)
                     if paths:
                         came[t], span[t] = p, b
+        if first is not None and here:
+            self._settle(best, here, far, upto, False)
         if not paths:
-            return count[n], np.zeros(0, np.int32)
+            return count[n], np.zeros(0, np.int32), best[n]
         steps, t = [], n
         while t > 0:
             steps.append((came[t], t - span[t], span[t]))
             t -= span[t]
-        p, first, back = np.array(steps[::-1], np.int64).T
+        p, begin, back = np.array(steps[::-1], np.int64).T
         many = np.where(p < 0, back, 1)
         nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        p, first = np.repeat(p, many), np.repeat(first, many)
-        return count[n], np.where(p >= 0, self.v.ids[p], self.v.byte_ids[raw[np.minimum(first + nth, n - 1)]]).astype(np.int32)
+        p, begin = np.repeat(p, many), np.repeat(begin, many)
+        return count[n], np.where(p >= 0, self.v.ids[p], self.v.byte_ids[raw[np.minimum(begin + nth, n - 1)]]).astype(np.int32), best[n]
+
+    @staticmethod
+    def _settle(best, t: int, far: list[tuple[int, float]], upto: int, start: bool) -> int:
+        """Ends the work on end t: what was taken off since its last candidate, and what it takes off what follows."""
+        for _, x in far[upto:]:
+            best[t] = _round(best[t] - x)
+        if start and FAR < abs(best[t]) < np.inf:
+            far.append((t, best[t]))
+            best[t] = 0.0
+        return len(far)
 
     def _paths(self, text: np.ndarray, start: np.ndarray, size: np.ndarray, came, span) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a block's words, word after word, from its table: ids, word of each."""
@@ -245,29 +339,29 @@ class Automaton:
         word, p, begin = np.repeat(word, n), np.repeat(p, n), np.repeat(begin, n)
         return np.where(p >= 0, self.v.ids[p], self.v.byte_ids[text[np.minimum(start[word] + begin + nth, len(text) - 1)]]), word
 
-    def words(self, text: np.ndarray, start: np.ndarray, end: np.ndarray, paths: bool) -> tuple[np.ndarray, np.ndarray]:
-        """(pieces by word, their ids one word after another)."""
+    def words(self, text: np.ndarray, start: np.ndarray, end: np.ndarray, paths: bool, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pieces by word, their ids one word after another, last sums)."""
         order = np.argsort(end - start, kind="stable")
         size = (end - start)[order]
-        count = np.zeros(len(start), np.int64)
+        count, last = np.zeros(len(start), np.int64), np.zeros(len(start))
         ids: list[tuple[np.ndarray, np.ndarray]] = []
         lo, short = 0, int(np.searchsorted(size, _LONG))
         for i in order[short:].tolist():
-            count[i], x = self._long(text[start[i] : end[i]], paths)
+            count[i], x, last[i] = self._long(text[start[i] : end[i]], paths, None if first is None else float(first[i]))
             ids.append((x, np.full(len(x), i)))
         order, size = order[:short], size[:short]
         while lo < len(order):
             hi = lo + max(1, int(_CELLS // max(1, size[min(lo + _CELLS // max(1, size[lo]), len(order) - 1)])))
             these = order[lo:hi]
-            count[these], came, span = self._block(text, start[these], size[lo:hi], paths)
+            count[these], came, span, last[these] = self._block(text, start[these], size[lo:hi], paths, None if first is None else first[these])
             if paths:
                 x, word = self._paths(text, start[these], size[lo:hi], came, span)
                 ids.append((x, these[word]))
             lo = hi
         if not paths or not ids:
-            return count, np.zeros(0, np.int32)
+            return count, np.zeros(0, np.int32), last
         x, word = (np.concatenate(y) for y in zip(*ids, strict=True))
-        return count, x[np.argsort(word, kind="stable")]
+        return count, x[np.argsort(word, kind="stable")], last
 
     def segment(self, t: Texts, paths: bool) -> tuple[np.ndarray, np.ndarray]:
         """Of rows as normalised by `marked`: (pieces by row, ids one row after another)."""
@@ -278,8 +372,8 @@ class Automaton:
         first = np.zeros(n + 1, bool)
         first[t.off] = True
         first = first[:n]
+        mark = np.zeros(n, bool)
         if self.marks_lead:
-            mark = np.zeros(n, bool)
             mark[: n - 2] = (t.buf[: n - 2] == MARK[0]) & (t.buf[1 : n - 1] == MARK[1]) & (t.buf[2:] == MARK[2])
             after = np.zeros(n, bool)
             after[3:] = mark[:-3]
@@ -290,7 +384,10 @@ class Automaton:
         start = np.flatnonzero(first)
         end = np.append(start[1:], n)
         _, one, which = np.unique(t.hashes(start, end), return_index=True, return_inverse=True)
-        count, ids = self.words(t.buf, start[one], end[one], paths)
+        if self.library:
+            count, ids, which = self._chained(t, start, end, which, mark[start] & (end - start > len(MARK)), paths)
+        else:
+            count, ids, _ = self.words(t.buf, start[one], end[one], paths)
         own = count[which]
         at = np.searchsorted(start, t.off)
         total = np.concatenate([[0], np.cumsum(own)])
@@ -301,6 +398,38 @@ class Automaton:
         place = np.repeat(begin - total[:-1], own) + np.arange(total[-1])
         return by_row, ids[place]
 
+    def _chained(self, t: Texts, start: np.ndarray, end: np.ndarray, which: np.ndarray, marks: np.ndarray, paths: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words by the library's rule: (pieces, ids) of words with the sums they are read from, and which of them each place has.
+
+        A marked word's first sum matters only by what 32 bits lose of it next to the mark's score, a whole number of -32 to
+        32. What comes before any other word is a byte without a piece, after which sums are set back, so these begin at 0.
+        Each word is read from 0, then first sums follow from the words before, words with other ones are read from those, and
+        so on until nothing changes.
+        """
+        new = np.zeros(len(start) + 1, bool)
+        new[np.searchsorted(start, t.off[:-1])] = True
+        new = new[:-1]
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        known, slot, last = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)  # sorted keys, their results' numbers; last sums by number
+        lead = np.zeros(len(start), np.int64)
+        while True:
+            key = which * 128 + lead + 64
+            want, at = np.unique(key, return_index=True)
+            fresh = ~np.isin(want, known)
+            of = at[fresh]
+            count, ids, ends = self.words(t.buf, start[of], end[of], paths, lead[of].astype(np.float32))
+            done.append((count, ids))
+            known, slot, last = np.append(known, want[fresh]), np.append(slot, len(last) + np.arange(len(of))), np.append(last, ends)
+            order = np.argsort(known)
+            known, slot = known[order], slot[order]
+            mine = slot[np.searchsorted(known, key)]
+            before = np.append(0.0, last[mine][:-1])
+            before[new | (np.abs(before) > FAR)] = 0.0
+            again = np.where(marks, before - 64 * np.rint(before / 64), 0).astype(np.int64)
+            if (again == lead).all():
+                return np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done]), mine
+            lead = again
+
 
 def marked(buf: np.ndarray, off: np.ndarray) -> Texts:
     """Texts with space marks for blanks and one in front; empty ones as they are."""
@@ -313,16 +442,17 @@ def _automaton(shared) -> Automaton:
     """One for each Python worker, until it is put to other work."""
     if shared.id not in KEPT:
         KEPT.clear()
-        KEPT[shared.id] = Automaton(shared.value)
+        KEPT[shared.id] = Automaton(shared.value, shared.library)
     return KEPT[shared.id]
 
 
 class _Shared:
     """A broadcast vocabulary; `id` tells it from others in a worker that serves several."""
 
-    def __init__(self, df: DataFrame, v: Vocabulary):
+    def __init__(self, df: DataFrame, v: Vocabulary, library: bool = False):
         self._b = df.sparkSession.sparkContext.broadcast(v)
-        self.id = hash((v.unknown, len(v.pieces), v.pieces[0], v.pieces[-1], float(v.scores.sum())))
+        self.library = library
+        self.id = hash((library, v.unknown, len(v.pieces), v.pieces[0], v.pieces[-1], float(v.scores.sum())))
 
     @property
     def value(self) -> Vocabulary:
@@ -369,9 +499,9 @@ class _Decoder:
             yield lo, hi, pa.array(texts, pa.string())
 
 
-def encode(df: DataFrame, vocabulary: Vocabulary | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(df: DataFrame, vocabulary: Vocabulary | None = None, id_col: str = "doc_id", text_col: str = "text", library: bool = True) -> DataFrame:
     """(doc_id, text, ids) for each row of `df`."""
-    shared = _Shared(df, vocabulary or Vocabulary.load())
+    shared = _Shared(df, vocabulary or Vocabulary.load(), library)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, ids in _encoded(_automaton(shared), batches):
@@ -396,9 +526,9 @@ def decode(df: DataFrame, vocabulary: Vocabulary | None = None, ids_col: str = "
     return df.select(*kept).mapInArrow(run, schema)
 
 
-def round_trip(df: DataFrame, vocabulary: Vocabulary | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(df: DataFrame, vocabulary: Vocabulary | None = None, id_col: str = "doc_id", text_col: str = "text", library: bool = True) -> DataFrame:
     """(doc_id, text, ids, decoded): `encode` and `decode` in one pass, with one Python worker for a task instead of two."""
-    shared = _Shared(df, vocabulary or Vocabulary.load())
+    shared = _Shared(df, vocabulary or Vocabulary.load(), library)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts_of = _Decoder(shared.value)
@@ -409,9 +539,9 @@ def round_trip(df: DataFrame, vocabulary: Vocabulary | None = None, id_col: str
     return _docs(df, id_col, text_col).mapInArrow(run, "doc_id long, text string, ids array<int>, decoded string")
 
 
-def token_counts(df: DataFrame, vocabulary: Vocabulary | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_counts(df: DataFrame, vocabulary: Vocabulary | None = None, id_col: str = "doc_id", text_col: str = "text", library: bool = True) -> DataFrame:
     """(doc_id, n_tokens) for each row of `df`: as many as `encode` gives, without keeping paths."""
-    shared = _Shared(df, vocabulary or Vocabulary.load())
+    shared = _Shared(df, vocabulary or Vocabulary.load(), library)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = _automaton(shared)

@@ -137,3 +137,37 @@ def test_whole_documents_of_the_table(spark, library):
         if not any(library.is_byte(i) for i in mine + plain[k]):
             assert sum(score[i] for i in mine) > sum(score[i] for i in plain[k])
     print(f"differ: {len(differ)} of {len(words)} types, {sum(types[words[k]] for k in differ)} of {n_words} words")
+
+
+def segmented(a, t, paths=True):
+    raw = [x.encode() for x in t]
+    off = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    n, ids = a.segment(unigram.marked(np.frombuffer(b"".join(raw), np.uint8), off), paths)
+    at = np.concatenate([[0], np.cumsum(n)]).tolist()
+    return [ids[x:y].tolist() for x, y in zip(at[:-1], at[1:], strict=True)] if paths else n.tolist()
+
+
+def test_library_rule(library, monkeypatch):
+    """Ids of the library's plain encode: odd texts, runs of blanks, unknown characters, digits (whose sums are set back), long words."""
+    a = unigram.Automaton(unigram.Vocabulary.load(), library=True)
+    assert a.library
+    r = random.Random(8)
+    t = texts() + ["9" * 40 + " the end", "5996 the, 1 2 3 the", "\n\n\n\n\n the\n\nthe", "  the   the", "\ue000 the \ue001x the"]
+    t += [" ".join(r.choice(["the", "of", "and", "Wörter", "Straße", "inner", "5996", "x1", "über", "théâtre", "\n", "a", "über-all", "!!!"]) for _ in range(60)) for _ in range(200)]
+    t += ["".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789+/é中") for _ in range(n)) + " the" for n in (500, 600, 2000) for _ in range(4)] + [" " * 700 + "the", "a" * 900 + " the"]
+    assert segmented(a, t) == library.encode(t)
+    assert segmented(a, t, False) == [len(x) for x in library.encode(t)]
+    monkeypatch.setattr(unigram, "_LONG", 12)
+    assert segmented(a, t) == library.encode(t)
+
+
+def test_whole_documents_as_the_library(spark, library):
+    """Every text of the table has the ids of the library's plain encode, and as many are counted."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("text is not null")
+    got = unigram.encode(docs).collect()
+    want = library.encode([r["text"] for r in got])
+    assert sum(r["ids"] != w for r, w in zip(got, want, strict=True)) == 0
+    counts = {r["doc_id"]: r["n_tokens"] for r in unigram.token_counts(docs).collect()}
+    assert sum(counts.values()) == sum(map(len, want)) and all(counts[r["doc_id"]] == len(r["ids"]) for r in got)
+    exact = {r["doc_id"]: len(r["ids"]) for r in unigram.encode(docs, library=False).collect()}
+    assert sum(exact.values()) != sum(counts.values())
