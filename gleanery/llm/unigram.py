@@ -408,27 +408,31 @@ class Automaton:
         """
         new = np.zeros(len(start) + 1, bool)
         new[np.searchsorted(start, t.off[:-1])] = True
-        new = new[:-1]
+        follows = marks & ~new[:-1]  # words whose first sum comes from the word before
         done: list[tuple[np.ndarray, np.ndarray]] = []
-        known, slot, last = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)  # sorted keys, their results' numbers; last sums by number
-        lead = np.zeros(len(start), np.int64)
-        while True:
-            key = which * 128 + lead + 64
-            want, at = np.unique(key, return_index=True)
-            fresh = ~np.isin(want, known)
-            of = at[fresh]
-            count, ids, ends = self.words(t.buf, start[of], end[of], paths, lead[of].astype(np.float32))
-            done.append((count, ids))
-            known, slot, last = np.append(known, want[fresh]), np.append(slot, len(last) + np.arange(len(of))), np.append(last, ends)
-            order = np.argsort(known)
-            known, slot = known[order], slot[order]
-            mine = slot[np.searchsorted(known, key)]
-            before = np.append(0.0, last[mine][:-1])
-            before[new | (np.abs(before) > FAR)] = 0.0
-            again = np.where(marks, before - 64 * np.rint(before / 64), 0).astype(np.int64)
-            if (again == lead).all():
-                return np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done]), mine
-            lead = again
+        known, slot, last = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)  # sorted keys, numbers of their results; first sums of what follows, by number
+        lead, mine, at = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64), np.arange(len(start))
+        while len(at):
+            # only words whose first sum has changed, and then those after them
+            key = which[at] * 128 + lead[at] + 64
+            want, first = np.unique(key, return_index=True)
+            place = np.searchsorted(known, want)
+            fresh = known[np.minimum(place, len(known) - 1)] != want if len(known) else np.ones(len(want), bool)
+            if fresh.any():
+                of = at[first[fresh]]
+                count, ids, ends = self.words(t.buf, start[of], end[of], paths, lead[of].astype(np.float32))
+                done.append((count, ids))
+                ends = np.where(np.abs(ends) > FAR, 0.0, ends)
+                known, slot = np.insert(known, place[fresh], want[fresh]), np.insert(slot, place[fresh], len(last) + np.arange(len(of)))
+                last = np.append(last, (ends - 64 * np.rint(ends / 64)).astype(np.int64))
+            mine[at] = slot[np.searchsorted(known, key)]
+            after = at[at + 1 < len(start)]
+            after = after[follows[after + 1]] + 1
+            again = last[mine[after - 1]]
+            changed = again != lead[after]
+            at = after[changed]
+            lead[at] = again[changed]
+        return np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done]), mine
 
 
 def marked(buf: np.ndarray, off: np.ndarray) -> Texts:
