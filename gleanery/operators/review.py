@@ -134,12 +134,12 @@ def _keys(limits) -> dict[str, object]:
     return {KEYS.get(k, k): v for k, v in values.items()}
 
 
-#: Block of params ('' for the top) to the default of each key; those after the limits are of models and tools.
+#: Block of params ('' for the top) to the default of each key. Names of models and devices are no data's params and are ignored like unknown keys.
 PARAMS: dict[str, dict[str, object]] = {
     "quality": _keys(QualityLimits()) | {"face_detect_conf": 0.6},
-    "dedup": _keys(DedupLimits()) | {"use_clip_embeddings": False, "clip_model": "openai/clip-vit-base-patch32"},
+    "dedup": _keys(DedupLimits()) | {"use_clip_embeddings": False},
     "coverage": _keys(CoverageLimits()),
-    "": {"purpose": "face", "model_name_or_path": "huihui-ai/Huihui-Qwen3-VL-8B-Instruct-abliterated", "device": "cuda:0", "dtype": "bf16", "quantize": False, "qtype": "float8", "low_vram": False, "max_res": 1024, "vl_max_new_tokens": 512, "thumb_size": 384},
+    "": {"purpose": "face", "quantize": False, "max_res": 1024},
 }
 
 
