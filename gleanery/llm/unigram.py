@@ -162,6 +162,7 @@ class Automaton:
         self.length[at] = [len(p) for p in v.pieces]
         self.score[at] = v.scores
         self.next = np.zeros((n, kinds), np.int32)
+        self.depth = np.zeros(n, np.int32)
         fail, self.link = np.zeros(n, np.int64), np.full(n, -1, np.int64)
         level = [0]
         while level:  # by depth: a state first moves as its fallback does, then to its own children
@@ -172,6 +173,7 @@ class Automaton:
                 self.link[here] = np.where(self.piece[fail[here]] >= 0, fail[here], self.link[fail[here]])
                 fail[edges[:, 2]] = self.next[fail[edges[:, 0]], edges[:, 1]]
             self.next[edges[:, 0], edges[:, 1]] = edges[:, 2]
+            self.depth[edges[:, 2]] = self.depth[edges[:, 0]] + 1
             level = edges[:, 2].tolist()
         self.head = np.where(self.piece >= 0, np.arange(n), self.link)
         self.longest = max((len(p) for p in v.pieces), default=1)
@@ -385,7 +387,7 @@ class Automaton:
         end = np.append(start[1:], n)
         _, one, which = np.unique(t.hashes(start, end), return_index=True, return_inverse=True)
         if self.library:
-            count, ids, which = self._chained(t, start, end, which, mark[start] & (end - start > len(MARK)), paths)
+            count, ids, which = self._chained(t, start, end, one, which, mark[start] & (end - start > len(MARK)), paths)
         else:
             count, ids, _ = self.words(t.buf, start[one], end[one], paths)
         own = count[which]
@@ -398,14 +400,37 @@ class Automaton:
         place = np.repeat(begin - total[:-1], own) + np.arange(total[-1])
         return by_row, ids[place]
 
-    def _chained(self, t: Texts, start: np.ndarray, end: np.ndarray, which: np.ndarray, marks: np.ndarray, paths: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _first_sums(self, text: np.ndarray, start: np.ndarray, size: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """Classes (word, first sum from -32 to 32) of first sums that read a word alike: those that round all its first pieces to the same multiples of 64."""
+        turns = np.zeros((len(start), 65), bool)
+        who, state = np.flatnonzero(marks), np.zeros(int(marks.sum()), np.int64)
+        t = 0
+        while len(who):
+            state = self.next[state, self.kind[text[start[who] + t]]]
+            t += 1
+            on = self.depth[state] == t
+            who, state = who[on], state[on]
+            some = self.piece[state] >= 0
+            # the sum that lies halfway between two multiples is on its own
+            half = np.rint(32 - self.score[state[some]]).astype(np.int64) % 64
+            for shift in (0, 1):
+                at = (half + shift + 32) % 64  # place of that sum among -32 to 31
+                turns[who[some], at] = True
+                turns[who[some][at == 0], 64] = True
+            on = t < size[who]
+            who, state = who[on], state[on]
+        turns[:, 0] = False
+        return np.cumsum(turns, axis=1, dtype=np.uint8)
+
+    def _chained(self, t: Texts, start: np.ndarray, end: np.ndarray, one: np.ndarray, which: np.ndarray, marks: np.ndarray, paths: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Words by the library's rule: (pieces, ids) of words with the sums they are read from, and which of them each place has.
 
         A marked word's first sum matters only by what 32 bits lose of it next to the mark's score, a whole number of -32 to
         32. What comes before any other word is a byte without a piece, after which sums are set back, so these begin at 0.
         Each word is read from 0, then first sums follow from the words before, words with other ones are read from those, and
-        so on until nothing changes.
+        so on until nothing changes. First sums that read a word alike count as one.
         """
+        alike = self._first_sums(t.buf, start[one], (end - start)[one], marks[one])
         new = np.zeros(len(start) + 1, bool)
         new[np.searchsorted(start, t.off[:-1])] = True
         follows = marks & ~new[:-1]  # words whose first sum comes from the word before
@@ -414,7 +439,7 @@ class Automaton:
         lead, mine, at = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64), np.arange(len(start))
         while len(at):
             # only words whose first sum has changed, and then those after them
-            key = which[at] * 128 + lead[at] + 64
+            key = which[at] * 128 + alike[which[at], lead[at] + 32]
             want, first = np.unique(key, return_index=True)
             place = np.searchsorted(known, want)
             fresh = known[np.minimum(place, len(known) - 1)] != want if len(known) else np.ones(len(want), bool)
