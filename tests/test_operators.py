@@ -178,6 +178,16 @@ def test_params_of_every_block(spark):
     assert [b[k] for k in keys] == [False, "face", 512, 0.9, 200.0, 4, 4, 8, 0.004]
 
 
+def test_params_of_models_and_tools(spark):
+    """Every key that a job may set is a column, those of models and tools too."""
+    text = '{"device": "cpu", "vl_max_new_tokens": 64, "thumb_size": null, "low_vram": true, "dedup": {"clip_model": "other"}}'
+    a, b = A.job_params(spark.createDataFrame([(1, text), (2, None)], "job_id long, params string")).orderBy("job_id").collect()
+    keys = ("clip_model", "device", "dtype", "qtype", "low_vram", "vl_max_new_tokens", "thumb_size")
+    assert [a[k] for k in keys] == ["other", "cpu", "bf16", "float8", True, 64, 384]
+    assert [b[k] for k in keys] == ["openai/clip-vit-base-patch32", "cuda:0", "bf16", "float8", False, 512, 384]
+    assert {"model_name_or_path", "quantize", "max_res", "purpose", "face_detect_conf", "use_clip_embeddings"} <= set(a.asDict())
+
+
 def test_hyperplanes_find_near_pairs(spark):
     """Recall of 0.9 at least on pairs of cosine 0.9 and little more, within jobs only; copies are paired with the first."""
     r = np.random.default_rng(4)
