@@ -172,14 +172,14 @@ MEASURED = (
 )
 
 
-#: Bytes of pixels that are measured at once.
-STACK = 1 << 24
+#: Bytes of pixels that are measured at once, and of arrays beside them: for each image those of its hash and vector, for each pixel those of its colours.
+STACK, WORK, OF_IMAGE, OF_PIXEL = 1 << 24, 1 << 25, 96 << 10, 160
 
 
 def measure_images(images: DataFrame, detections: DataFrame | None = None, t: QualityLimits = LIMITS) -> DataFrame:
     """Metrics of rows of the `image` source that could be read. detections: path, x, y, w, h, rx, ry, lx, ly, score.
 
-    Images of one shape in an Arrow batch are stacked, up to STACK bytes, and measured together; only faces are cropped one by one.
+    Images of one shape in an Arrow batch are stacked, up to STACK bytes and WORK bytes of arrays made of them, and measured together; only faces are cropped one by one.
     """
     rows = images.where("image.height > 0").select(F.col("image.origin").alias("path"), "image.height", "image.width", "image.nChannels", "image.data")
     kinds = "struct<x:double,y:double,w:double,h:double,rx:double,ry:double,lx:double,ly:double,score:double>"
@@ -196,7 +196,7 @@ def measure_images(images: DataFrame, detections: DataFrame | None = None, t: Qu
             for shape in np.unique(shapes, axis=0):
                 same = np.flatnonzero((shapes == shape).all(1))
                 height, width, channels = shape.tolist()
-                for part in np.array_split(same, -(-len(same) * height * width * channels // STACK)):
+                for part in np.array_split(same, max(-(-len(same) * height * width * channels // STACK), -(-len(same) * (OF_IMAGE + OF_PIXEL * height * width) // WORK))):
                     some = batch.take(pa.array(part))
                     x = np.frombuffer(b"".join(some.column(4).to_pylist()), np.uint8).reshape(len(part), height, width, channels)
                     x = np.repeat(x, 3, 3) if channels == 1 else x[..., :3]
