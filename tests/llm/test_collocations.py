@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from gleanery.llm import collocations as C
 from gleanery.llm.collocations import collocations, frequent_phrases
 
 
@@ -77,6 +78,28 @@ def test_border_failures_lead_to_further_passes(table):
     assert {tuple(x) for x in none.select("lang", "phrase", "n").collect()} <= {tuple(x) for x in whole.select("lang", "phrase", "n").collect()}
 
 
+def test_few_failures_of_the_sample_need_no_further_pass(spark):
+    """What the sample never saw is spelled out and counted in the last pass, longer phrases of such words too."""
+    common = " ".join(f"w{i}" for i in range(40))
+    rows = spark.createDataFrame([("en", f"{common}. rare pair here. id{i}") for i in range(80)], "lang string, text string")
+    unseen = rows.where(F.xxhash64("text", "lang").bitwiseAND((1 << 30) - 1) >= 1 << 28).limit(10)
+    plain = spark.createDataFrame([("en", f"{common}. no{i}") for i in range(80)], "lang string, text string")
+    texts = spark.createDataFrame([tuple(x) for x in unseen.union(plain).collect()], "lang string, text string")
+    _, passes = frequent_phrases(texts)
+    assert passes == 1
+    got = sorted(map(tuple, collocations(texts).collect()))
+    assert got == brute([tuple(x) for x in texts.collect()])
+    assert ("rare pair here", 10, 10, 10) in {x[2:6] for x in got}
+
+
+def test_many_ranges_and_short_buffers(table, monkeypatch):
+    """Hashes in many ranges, sent after every piece, and phrases that a task sends several times."""
+    monkeypatch.setattr(C, "RANGE", 64)
+    monkeypatch.setattr(C, "HASHES", 100)
+    monkeypatch.setattr(C, "HELD", 1000)
+    assert sorted(map(tuple, collocations(table).collect())) == brute(corpus())
+
+
 def test_scores_of_large_counts_are_exact(spark):
     """a * a * 10^6 passes 64 bits."""
     a = 5_000_003
