@@ -2,15 +2,19 @@
 
 Every text is the set of its distinct word shingles, as 64-bit hashes; texts with
 equal sets are one node, named by a hash of the set, so copies cost nothing more.
-1. A pass over the texts finds the nodes and fills a counting sketch of fixed
-   size; it sets the order of shingles (rare first) and nothing else.
+1. A pass over the texts finds the nodes and fills counting sketches of fixed size,
+   of shingles and of words. They set the order of shingles (rare first) and nothing
+   else. What common words make by chance is added to a shingle's counter with weight,
+   so it is known for common at any size, when the load of the counters has long hidden it.
 2. Two sets that link share at least l of their first n - ceil(0.8 n) + l
    shingles in that order; l is 1 and a twentieth of the set. These prefixes are
    dealt by shingle. Nodes that share a shingle are candidates: in runs of up to
    SMALL nodes by pair, counted over all shingles; longer runs become stars
    between nodes of fitting size, so no run makes more rows than a multiple of
-   its length.
-3. Connected candidates are a family. Its whole sets go to one task, and a
+   its length. How often a node is in longer runs is counted, and one with fewer of
+   them than l stays out of stars: a passage in many long texts connects none of them.
+3. Connected candidates are a family. Only their texts are read again (a bitmap of
+   fixed size tells most others apart before the join). Its whole sets go to one task, and a
    T-occurrence search with DivideSkip finds links: short inverted lists are merged
    by a heap, long ones probed by binary search, and texts that reach the overlap
    are united. Nodes already united with the first one needn't be searched for
@@ -27,7 +31,7 @@ Sets are compared by 64-bit hashes, whose chance of a false match is about the
 number of compared shingles over 2**64. Rows with equal doc_id are separate rows.
 Null and empty texts have no shingles, link with nothing and keep their own
 doc_id; a null doc_id takes no part and has a null component. Other columns are
-ignored. Jobs run while the result is built, for sketch, components and families.
+ignored. Jobs run while the result is built, for sketches, components and families.
 """
 
 from __future__ import annotations
@@ -45,9 +49,12 @@ from pyspark.sql import functions as F
 from ..operators.graph import connected_components
 from ..plans.lineage import Scratch
 from .arrays import by_key, emit, packed, total
-from .textbytes import LOWER, Texts, column, forget, mix, pieces, shingles
+from .textbytes import BLANK, LOWER, Texts, column, forget, mix, pieces, shingle_sequence, weighed_shingles
 
-SKETCH = 1 << 20
+#: Counters of shingles and of words, and bits of the bitmap of texts that are read again.
+SKETCH, WORDS, FLAGS = 1 << 20, 1 << 18, 1 << 22
+#: Steps of a logarithm for each doubling, weight of a count by chance beside that of a counter, and the largest count.
+STEPS, CHANCE, _MOST = 16, 16, (1 << 24) - 1
 SMALL, BLOCK = 8, 512
 #: Shingles in a block, and nodes of a family that its blocks meet first.
 CELLS, HUBS = 1 << 19, 3
@@ -55,7 +62,7 @@ CELLS, HUBS = 1 << 19, 3
 SALTS = 8
 #: Entries of prefixes (15 bytes) in a bucket.
 BUCKET = 1 << 19
-_WHOLE = 1 << 30
+_ENTRY, _PAIR, _STAR, _OFTEN = range(4)
 #: Prefix entries that a task holds before it sends them.
 _FLUSH = 400_000
 
@@ -76,12 +83,28 @@ def node_of(s: np.ndarray) -> int:
     return int(mix(np.array([x], np.uint64)).view(np.int64)[0])
 
 
-def _each(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """Slices of batches with the sets of their texts (column 1)."""
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Texts]]:
+    """Slices of batches with their texts (column 1)."""
     for batch in batches:
         buf, off = column(batch.column(1))
         for lo, hi in pieces(off):
-            yield batch.slice(lo, hi - lo), shingles(Texts(LOWER[buf[off[lo] : off[hi]]], off[lo : hi + 1]), k=k)
+            yield batch.slice(lo, hi - lo), Texts(LOWER[buf[off[lo] : off[hi]]], off[lo : hi + 1])
+
+
+def _sets(g: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    return [np.unique(g[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def by_chance(words: np.ndarray, counter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(logarithms of the words' shares, STEPS for each doubling; counters of shingles) of the sums of all tasks."""
+    word = np.round(STEPS * (np.log2(np.maximum(words, 1)) - np.log2(max(int(words.sum()), 1))))
+    return word.astype(np.int16), np.minimum(counter, _MOST).astype(np.uint32)
+
+
+def ranks(s: np.ndarray, chance: np.ndarray, counter: np.ndarray, n: int) -> np.ndarray:
+    """The order of shingles: rare first, by their counter and how often their words make them by chance among n; of equal ones by hash."""
+    often = counter[(s & np.uint64(len(counter) - 1)).astype(np.int64)] + CHANCE * n * np.exp2(chance / STEPS)
+    return (np.minimum(often, _MOST).astype(np.uint64) << np.uint64(40)) | (s >> np.uint64(24))
 
 
 def links(sets: list[np.ndarray], percent: int = 80) -> list[tuple[int, int]]:
@@ -172,10 +195,27 @@ def _cover(size: np.ndarray) -> np.ndarray:
     return np.array(at)
 
 
-def _ahead(tok: np.ndarray, node: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
-    """Of a task's prefix entries those to send, whether they stand for a long run, and the stars of long runs.
+def _joint(node: np.ndarray) -> np.ndarray:
+    """Names of the joints through which long runs connect their texts, by the first text of each."""
+    return mix(node.view(np.uint64) ^ np.uint64(0x8CB92BA72F3D8DD7)).view(np.int64)
+
+
+def _stars(joint: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (joint, node), without those of a joint with itself."""
+    pairs = np.unique(np.stack([joint, node], 1)[joint != node], axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _often(node: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, how many entries, how many shingles it shares at least with any text that it links to)."""
+    name, at, count = np.unique(node, return_index=True, return_counts=True)
+    return name, count, shared_prefix(needed(size[at].astype(np.int64), percent))
+
+
+def _ahead(tok: np.ndarray, node: np.ndarray, size: np.ndarray, percent: int) -> tuple[tuple[np.ndarray, ...], ...]:
+    """Of a task's prefix entries those to send, and whether they stand for a long run; the stars of long runs; and how often texts are in them.
 
-    A shingle that many texts of a task have goes on by a few nodes that cover their sizes, so what a very common
+    A shingle that many texts of a task have goes on by a few joints that cover their sizes, so what a very common
     one sends grows with the tasks and not with the texts.
     """
     order = np.lexsort((node, size, tok))
@@ -186,21 +226,15 @@ def _ahead(tok: np.ndarray, node: np.ndarray, size: np.ndarray, percent: int) ->
     start = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
     run = np.diff(np.append(start, len(tok)))
     hot = np.repeat(run > SMALL, run)
-    send = ~hot
-    left, right = [], []
+    send, name = ~hot, node.copy()
     for s, k in zip(start[run > SMALL].tolist(), run[run > SMALL].tolist(), strict=True):
-        head = _near_stars(size[s : s + k], percent) + s
-        other = np.arange(s, s + k)
-        left.append(node[head[head != other]])
-        right.append(node[other[head != other]])
+        name[s : s + k] = _joint(node[_near_stars(size[s : s + k], percent) + s])
         send[s + _cover(size[s : s + k])] = True
-    stars = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right)]
-    pairs = np.unique(np.stack([np.minimum(*stars), np.maximum(*stars)], 1), axis=0)
-    return tok[send], node[send], size[send].astype(np.uint16), hot[send], pairs[:, 0], pairs[:, 1]
+    return (tok[send], name[send], size[send].astype(np.uint16), hot[send]), _stars(name[hot], node[hot]), _often(node[hot], size[hot], percent)
 
 
-def _candidates(tok: np.ndarray, node: np.ndarray, size: np.ndarray, hot: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
-    """Of prefix entries of one bucket: pairs a < b, how many shingles speak for each, how many must."""
+def _candidates(tok: np.ndarray, node: np.ndarray, size: np.ndarray, hot: np.ndarray, percent: int) -> tuple[tuple[np.ndarray, ...], ...]:
+    """Of prefix entries of one bucket: pairs a < b of short runs, how many shingles speak for each, how many must; the stars of long runs; and how often texts are in them."""
     order = np.argsort(tok, kind="stable")
     t = tok[order]
     same = t[1:] == t[:-1]
@@ -217,32 +251,29 @@ def _candidates(tok: np.ndarray, node: np.ndarray, size: np.ndarray, hot: np.nda
     start = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]])) if len(tok) else np.zeros(0, np.int64)
     run = np.diff(np.concatenate([start, [len(tok)]]))
     long = (run > SMALL) | np.logical_or.reduceat(hot, start) if len(start) else np.zeros(0, bool)
-    left, right, weight = [], [], []
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for k in range(2, SMALL + 1):
         at = start[(run == k) & ~long]
         for i in range(k):
             for j in range(i + 1, k):
                 left.append(at + i)
                 right.append(at + j)
-    weight = [np.ones(len(x), np.int64) for x in left]
-    for s, k in zip(start[long].tolist(), run[long].tolist(), strict=True):
-        head = _near_stars(size[s : s + k], percent) + s
-        other = np.arange(s, s + k)
-        left.append(head[head != other])
-        right.append(other[head != other])
-        weight.append(np.full(len(left[-1]), _WHOLE))
-    left, right = (np.concatenate(x or [np.zeros(0, np.int64)]).astype(np.int64) for x in (left, right))
-    weight = np.concatenate(weight or [np.zeros(0, np.int64)])
-    fits = (100 * size[left] >= percent * size[right]) | (size[right] == 0xFFFF) | (weight == _WHOLE)
-    left, right, weight = left[fits], right[fits], weight[fits]
+    left, right = np.concatenate(left), np.concatenate(right)
+    fits = (100 * size[left] >= percent * size[right]) | (size[right] == 0xFFFF)
+    left, right = left[fits], right[fits]
     need = shared_prefix(np.minimum(size[left], size[right]))
     a, b = np.minimum(node[left], node[right]), np.maximum(node[left], node[right])
     order = np.lexsort((b, a))
-    a, b, weight, need = a[order], b[order], weight[order], need[order]
-    if not len(a):
-        return a, b, weight, need
-    head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-    return a[head], b[head], np.minimum(np.add.reduceat(weight, head), _WHOLE), need[head]
+    a, b, need = a[order], b[order], need[order]
+    head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+    pairs = a[head], b[head], np.diff(np.append(head, len(a))), need[head]
+    name = node.copy()
+    for s, k in zip(start[long].tolist(), run[long].tolist(), strict=True):
+        head = _near_stars(size[s : s + k], percent) + s
+        name[s : s + k] = np.where(hot[head], node[head], _joint(node[head]))
+    whole = np.repeat(long, run)
+    plain = whole & ~hot
+    return pairs, _stars(name[whole], node[whole]), _often(node[plain], size[plain], percent)
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -253,52 +284,60 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def name(batches):
         forget()
-        counter = np.zeros(SKETCH, np.int64)
-        waiting: list[np.ndarray] = []
+        counters = [np.zeros(n, np.int64) for n in (SKETCH, WORDS)]
+        waiting: tuple[list[np.ndarray], ...] = ([], [])
 
         def count(least: int) -> None:
-            if waiting and sum(map(len, waiting)) >= least:
-                np.add(counter, np.bincount((np.concatenate(waiting) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), out=counter)
-                waiting.clear()
-
-        names = ["doc_id", "n_shingles", "node", "part", "task", "data"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        for batch, sets in _each(batches, words):
-            waiting += sets
+            for counter, held in zip(counters, waiting, strict=True):
+                if held and sum(map(len, held)) >= least:
+                    np.add(counter, np.bincount((np.concatenate(held) & np.uint64(len(counter) - 1)).astype(np.int64), minlength=len(counter)), out=counter)
+                    held.clear()
+
+        names = ["doc_id", "n_shingles", "node", "kind", "part", "task", "data"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+        for batch, t in _texts(batches):
+            in_words: list[np.ndarray] = []
+            sets = _sets(*shingle_sequence(t, BLANK, words, in_words))
+            waiting[0].extend(sets)
+            waiting[1].append(in_words[0])
             count(SKETCH // 2)
             n = len(sets)
-            columns = [batch.column(0), [len(s) for s in sets], [node_of(s) for s in sets], [None] * n, [None] * n, [None] * n]
+            columns = [batch.column(0), [len(s) for s in sets], [node_of(s) for s in sets], *([None] * n for _ in range(4))]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
         count(0)
-        for row in emit(counter):
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(([None], [None], [None], *([x] for x in row)), kinds, strict=True)], names=names)
+        for kind, counter in enumerate(counters):
+            for row in emit(counter):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(([None], [None], [None], [kind], *([x] for x in row)), kinds, strict=True)], names=names)
 
-    both = scratch.write(docs.mapInArrow(name, "doc_id long, n_shingles long, node long, part int, task int, data binary"))
+    both = scratch.write(docs.mapInArrow(name, "doc_id long, n_shingles long, node long, kind int, part int, task int, data binary"))
     named = both.where("part is null").select("doc_id", "n_shingles", "node")
-    sketch = spark.sparkContext.broadcast(np.minimum(total(both.where("part is not null"), SKETCH), (1 << 24) - 1).astype(np.uint64))
-    n_prefix = named.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) + n_prefix * (100 - percent + 5) // 100 // BUCKET
+    of_words, of_shingles = (total(both.where(F.col("kind") == k), n) for k, n in ((1, WORDS), (0, SKETCH)))
+    sketch = spark.sparkContext.broadcast(by_chance(of_words, of_shingles))
+    n_shingles = named.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) + n_shingles * (100 - percent + 5) // 100 // BUCKET
 
     def prefixes(batches):
-        count = sketch.value
+        word, counter = sketch.value
         held: list[tuple] = []
         n_held = 0
 
         def flush():
-            tok, node, size, hot, a, b = _ahead(*(np.concatenate(x) for x in zip(*held, strict=True)), percent)
+            entries, stars, often = _ahead(*(np.concatenate(x) for x in zip(*held, strict=True)), percent)
             held.clear()
-            rows = packed(0, (tok >> np.uint64(32)) % np.uint64(buckets), (tok.astype(np.uint32), node, size, hot)) + packed(1, a.view(np.uint64) % np.uint64(buckets), (a, b))
+            tok, *rest = entries
+            rows = packed(_ENTRY, (tok >> np.uint64(32)) % np.uint64(buckets), (tok.astype(np.uint32), *rest))
+            for kind, columns in ((_STAR, stars), (_OFTEN, often)):
+                rows += packed(kind, columns[0].view(np.uint64) % np.uint64(buckets), columns)
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "kind", "data"])
 
-        for batch, sets in _each(batches, words):
+        for batch, t in _texts(batches):
             valid = batch.column(0).is_valid().to_pylist()
-            for ok, s in zip(valid, sets, strict=True):
+            for ok, (s, chance) in zip(valid, weighed_shingles(t, lambda h: word[(h & np.uint64(WORDS - 1)).astype(np.int64)], k=words), strict=True):
                 n = len(s)
                 if not n or not ok:
                     continue
-                rank = (count[(s & np.uint64(SKETCH - 1)).astype(np.int64)] << np.uint64(40)) | (s >> np.uint64(24))
                 most = min(n, n - needed(n, percent) + shared_prefix(n))
-                head = np.argsort(rank, kind="stable")[:most]
+                head = np.argsort(ranks(s, chance, counter, n_shingles), kind="stable")[:most]
                 held.append((mix(s[head]), np.full(most, node_of(s), np.int64), np.full(most, min(n, 0xFFFF), np.uint16)))
                 n_held += most
             if n_held > _FLUSH:
@@ -309,40 +348,63 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def meet(key, table):
         entries: list[tuple] = []
-        stars: list[tuple] = []
+        found: dict[int, list[tuple]] = {_PAIR: [], _STAR: [], _OFTEN: []}
         for kind, d in zip(table.column("kind").to_pylist(), table.column("data").to_pylist(), strict=True):
-            if kind:
-                stars.append(tuple(np.frombuffer(d, np.int64).reshape(2, -1)))
+            if kind != _ENTRY:
+                found[kind].append(tuple(np.frombuffer(d, np.int64).reshape(2 if kind == _STAR else 3, -1)))
                 continue
             m = len(d) // 15
             part = lambda n, at, t: np.frombuffer(d, np.uint8, n * m, at * m).copy().view(t)  # noqa: B023, E731
             entries.append((part(4, 0, np.uint32), part(8, 4, np.int64), part(2, 12, np.uint16), part(1, 14, bool)))
-        found = []
         if entries:
-            found.append(_candidates(*(np.concatenate(x) for x in zip(*entries, strict=True)), percent))
-        if stars:
-            a, b = (np.concatenate(x) for x in zip(*stars, strict=True))
-            found.append((a, b, np.full(len(a), _WHOLE), np.ones(len(a), np.int64)))
-        for columns in found:
-            for i in range(0, len(columns[0]), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in columns], names=["a", "b", "weight", "need"])
-
-    pairs = by_key(docs.mapInArrow(prefixes, "bucket int, kind int, data binary"), ["bucket"], meet, "a long, b long, weight long, need long")
-    pairs = pairs.groupBy("a", "b").agg(F.sum("weight").alias("weight"), F.min("need").alias("need")).where("weight >= need")
-    family = scratch.write(connected_components(pairs, "a", "b"))
+            for kind, columns in zip(found, _candidates(*(np.concatenate(x) for x in zip(*entries, strict=True)), percent), strict=True):
+                found[kind].append(columns)
+        for kind, some in found.items():
+            columns = [np.concatenate(x) for x in zip(*some, strict=True)]
+            if kind == _STAR and some:
+                columns = _stars(*columns)
+            if kind == _OFTEN and some:
+                columns.insert(1, np.zeros(len(columns[0]), np.int64))
+            for i in range(0, len(columns[0]) if some else 0, 100_000):
+                part = [pa.array(x[i : i + 100_000]) for x in columns]
+                n = len(part[0])
+                part += [pa.array(np.zeros(n, np.int64))] * (4 - len(part))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *part], names=["kind", "a", "b", "weight", "need"])
+
+    met = scratch.write(by_key(docs.mapInArrow(prefixes, "bucket int, kind int, data binary"), ["bucket"], meet, "kind int, a long, b long, weight long, need long"))
+    family = scratch.write(connected_components(_candidate_edges(met), "a", "b"))
+    scratch.drop(met)
     of_node = named.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("size"))
     members = family.join(of_node, "node")
-    blocks = members.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / CELLS)).cast("int").alias("n_blocks"))
+    blocks = members.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / CELLS)).cast("int").alias("n_blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = members.join(blocks, "component").select("node", "component", "n_blocks", "doc_id", _place("node", "n_blocks").alias("block"))
 
+    def mark(batches):
+        marked = np.zeros(FLAGS, np.int32)
+        for batch in batches:
+            marked[(mix(batch.column(0).to_numpy().astype(np.uint64)) & np.uint64(FLAGS - 1)).astype(np.int64)] = 1
+        rows = list(zip(*emit(marked), strict=True)) or [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["part", "task", "data"])
+
+    flags = spark.sparkContext.broadcast(total(members.select("doc_id").mapInArrow(mark, "part int, task int, data binary"), FLAGS, np.int32) > 0)
+
+    def wanted(batches):
+        """Texts of members, and few others."""
+        flag = flags.value
+        for batch in batches:
+            ids = batch.column(0).fill_null(0).to_numpy().astype(np.uint64)
+            yield batch.filter(pa.array(flag[(mix(ids) & np.uint64(FLAGS - 1)).astype(np.int64)]))
+
     def whole_sets(batches):
-        for batch, sets in _each(batches, words):
+        for batch, t in _texts(batches):
+            sets = _sets(*shingle_sequence(t, BLANK, words))
             keep = [i for i, (s, x) in enumerate(zip(sets, batch.column("node").to_pylist(), strict=True)) if node_of(s) == x]
             out = batch.select(["component", "n_blocks", "block", "node"]).take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["component", "n_blocks", "block", "node", "data"])
 
-    sets = docs.join(members, "doc_id").select("doc_id", "text", "component", "n_blocks", "block", "node").mapInArrow(whole_sets, "component long, n_blocks int, block int, node long, data binary")
+    sets = docs.mapInArrow(wanted, docs.schema).join(members, "doc_id").select("doc_id", "text", "component", "n_blocks", "block", "node").mapInArrow(whole_sets, "component long, n_blocks int, block int, node long, data binary")
     sets = scratch.write(sets)
+    scratch.drop(family)
     met, searched = _blocks(scratch, sets, percent)
 
     def search(key, table):
@@ -354,6 +416,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     found = by_key(searched, ["component", "low", "high"], search, "src long, dst long")
     component = connected_components(found.union(met.select(F.col("hub").alias("src"), F.col("node").alias("dst"))))
+    scratch.drop(sets)
     # large groups are spread; texts that are alone need no join but the first
     spread = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = named.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
@@ -364,6 +427,25 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return linked.select("doc_id", "n_shingles", own.alias("component_id"), "node")
 
 
+def _candidate_edges(met: DataFrame) -> DataFrame:
+    """(a, b): edges that connect all texts that may link, of pairs, stars and counts (kind, a, b, weight, need).
+
+    A text that is in fewer long runs than it shares shingles with any text it links to (poor) can't link by these alone:
+    it stays out of stars, and its pairs speak for themselves with what long runs may add to them.
+    """
+    often = met.where(F.col("kind") == _OFTEN).groupBy("a").agg(F.sum("weight").alias("n"), F.max("need").alias("need"))
+    often = often.select(F.col("a").alias("node"), "n", (F.col("n") >= F.col("need")).alias("rich"))
+    star, pair = (met.where(F.col("kind") == k) for k in (_STAR, _PAIR))
+    poor = often.where("not rich").select(F.col("node").alias("b"))
+    stars = star.select("a", "b").distinct().join(poor, "b", "left_anti").select("a", "b")
+    pairs = pair.groupBy("a", "b").agg(F.sum("weight").alias("weight"), F.min("need").alias("need"))
+    for c in ("a", "b"):
+        pairs = pairs.join(often.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("rich").alias(f"rich_{c}")), c, "left")
+        pairs = pairs.where(F.col("weight") + F.coalesce(f"n_{c}", F.lit(0)) >= F.col("need"))
+    both = F.coalesce("rich_a", F.lit(False)) & F.coalesce("rich_b", F.lit(False))
+    return pairs.where((F.col("weight") >= F.col("need")) | ~both).select("a", "b").union(stars)
+
+
 def _place(node: str, n_blocks: str) -> Column:
     """The block of a node."""
     return F.when(F.col(n_blocks) == 1, 0).otherwise(F.pmod(F.xxhash64(node), F.col(n_blocks)).cast("int"))

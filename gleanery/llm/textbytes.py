@@ -160,12 +160,14 @@ def grams(h: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
     return mix(g[at]), at, np.searchsorted(at, off)
 
 
-def shingle_sequence(t: Texts, separator: np.ndarray = BLANK, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of k consecutive words in order, and their offsets by row; fewer words make one of all of them."""
+def shingle_sequence(t: Texts, separator: np.ndarray = BLANK, k: int = 5, words: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of k consecutive words in order, and their offsets by row; fewer words make one of all of them. `words` gets the words' hashes, and the first and end word of each shingle."""
     start, end, off = t.words(separator)
     h = t.hashes(start, end)
-    g, _, at = grams(h, off, k)
+    g, first, at = grams(h, off, k)
     few = np.flatnonzero((np.diff(off) > 0) & (np.diff(off) < k))
+    if words is not None:
+        words += [h, np.insert(first, at[few], off[few]), np.insert(first + k, at[few], off[few + 1])]
     if not len(few):
         return g, at
     short = np.empty(len(few), np.uint64)
@@ -183,3 +185,18 @@ def shingles(t: Texts, separator: np.ndarray = BLANK, k: int = 5) -> list[np.nda
     """For each row the sorted distinct hashes of its shingles; none without words."""
     g, at = shingle_sequence(t, separator, k)
     return [np.unique(g[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def weighed_shingles(t: Texts, value, separator: np.ndarray = BLANK, k: int = 5) -> list[tuple[np.ndarray, np.ndarray]]:
+    """As shingles, each with the sum of `value` (of word hashes, whole numbers) over its words."""
+    words: list[np.ndarray] = []
+    g, at = shingle_sequence(t, separator, k, words)
+    h, first, end = words
+    total = np.zeros(len(h) + 1, np.int64)
+    np.cumsum(value(h), out=total[1:])
+    weight = total[end] - total[first]
+    out = []
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        s, i = np.unique(g[a:b], return_index=True)
+        out.append((s, weight[a + i]))
+    return out

@@ -1,11 +1,13 @@
 import random
 
 import numpy as np
-from helpers import components
+import pytest
+from helpers import components, shingle_set
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from gleanery.llm import jaccard
+from gleanery.operators.graph import connected_components
 
 
 def brute_links(sets, percent=80):
@@ -139,3 +141,64 @@ def test_large_families_of_several_groups(spark, monkeypatch):
             rows.append((1000 + 100 * g + i, " ".join(w)))
     check(spark, rows)
     check(spark, corpus(120, 5))
+
+
+def test_long_texts_with_a_common_passage_are_no_family(spark, monkeypatch):
+    """Only texts that may link have their sets read again and sent, though no counter tells the passage from what is rare."""
+    r = random.Random(5)
+    word = lambda: r.choice(["the", "of", "and"]) if r.random() < 0.5 else f"w{r.randrange(10**6)}"
+    passage = " ".join(f"p{r.randrange(10**6)}" for _ in range(40))
+    rows = [(i, " ".join(word() for _ in range(700)) + " " + passage) for i in range(60)]
+    near = [(100 + i, t.replace("the", "a", 3)) for i, t in rows[:2]]
+    total = jaccard.total
+    monkeypatch.setattr(jaccard, "total", lambda rows, size, *kind: np.full(size, 5000) if size == jaccard.SKETCH else total(rows, size, *kind))
+    read, real = [], jaccard._blocks
+    monkeypatch.setattr(jaccard, "_blocks", lambda scratch, sets, percent: read.append(sets.count()) or real(scratch, sets, percent))
+    check(spark, rows + near)
+    assert read == [4]
+
+
+def test_ranks_put_rare_words_first_when_counters_are_full():
+    """Every counter holds the same load; the words tell what is common by chance."""
+    words = np.full(jaccard.WORDS, 3)
+    words[7] = 10**7
+    of_words, counter = jaccard.by_chance(words, np.full(1 << 10, 5000))
+    s = np.arange(1, 5, dtype=np.uint64) << np.uint64(50)
+    chance = np.array([5 * of_words[7], 5 * of_words[1], 4 * of_words[7] + of_words[1], 5 * of_words[1]], np.int64)
+    order = np.argsort(jaccard.ranks(s, chance, counter, 5_000_000), kind="stable").tolist()
+    assert order == [1, 3, 2, 0]
+
+
+@pytest.mark.parametrize("small", [1, 2, 4])
+def test_candidates_connect_all_that_link(spark, monkeypatch, small):
+    """Runs of any length count as long ones, in tasks and in buckets; what links is connected by pairs, by joints, or by both together."""
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    r, named = random.Random(small), {}
+    texts = []
+    for _ in range(14):
+        base = [f"w{r.randrange(60)}" for _ in range(r.randint(30, 130))]
+        for _ in range(9):
+            w = base[r.randint(0, 3) :]
+            for _ in range(r.choice([0, 0, 1, 2])):
+                w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+            texts.append(" ".join(w + (["p"] * r.randint(0, 2) + [f"p{k}" for k in range(12)]) * (r.random() < 0.5)))
+    sets = [np.array(sorted(named.setdefault(x, r.getrandbits(64)) for x in sorted(shingle_set(t))), np.uint64) for t in texts]
+    sets = list({s.tobytes(): s for s in sets}.values())
+    name = [jaccard.node_of(s) for s in sets]
+    rows, entries = [], []
+    for task in range(3):
+        held = []
+        for k in range(task, len(sets), 3):
+            n = len(sets[k])
+            most = min(n, n - jaccard.needed(n, 80) + jaccard.shared_prefix(n))
+            held.append((sets[k][:most], np.full(most, name[k]), np.full(most, n, np.uint16)))
+        sent, stars, often = jaccard._ahead(*(np.concatenate(x) for x in zip(*held, strict=True)), 80)
+        entries.append(sent)
+        rows += [(2, int(a), int(b), 0, 0) for a, b in zip(*stars, strict=True)] + [(3, int(a), 0, int(n), int(x)) for a, n, x in zip(*often, strict=True)]
+    pairs, stars, often = jaccard._candidates(*(np.concatenate(x) for x in zip(*entries, strict=True)), 80)
+    rows += [(1, *map(int, x)) for x in zip(*pairs, strict=True)] + [(2, int(a), int(b), 0, 0) for a, b in zip(*stars, strict=True)] + [(3, int(a), 0, int(n), int(x)) for a, n, x in zip(*often, strict=True)]
+    met = spark.createDataFrame(rows, "kind int, a long, b long, weight long, need long")
+    root = {x["node"]: x["component"] for x in connected_components(jaccard._candidate_edges(met), "a", "b").collect()}
+    linked = brute_links(sets)
+    assert 14 <= len(set(linked)) < len(sets) - 40
+    assert all(root.get(name[i]) == root.get(name[linked[i]], 0) for i in range(len(sets)) if linked[i] != i)
