@@ -281,6 +281,7 @@ j AS (SELECT d.doc_id, d.lang AS job_ref, b.j IS NULL AS parse_failed, coalesce(
 SELECT doc_id AS image_id, job_ref, parse_failed, {_FIELDS['view_angle']} AS view_angle, {_FIELDS['subject_count']} AS subject_count, CASE WHEN parse_failed THEN 'model output could not be parsed' ELSE {_REASON} END AS reason FROM j""",
     "vector_choice": "SELECT concat('job', label % 3) AS job_ref, vec_id, CAST(CASE WHEN bool_and(NOT (label % 3 = 1 AND vec_id % 10 = 0)) OVER (PARTITION BY label % 3) THEN 64 ELSE 1 END AS BIGINT) AS dims FROM embeddings",
     "cosine_pairs": f"{_VECTORS} SELECT a, b, {_six('sim')} AS sim FROM sims WHERE sim >= 0.9e0",
+    "cosine_pairs_lsh": f"{_VECTORS}, firsts AS (SELECT min(id) AS id, v FROM v GROUP BY v) SELECT a, b, {_six('sim')} AS sim FROM sims WHERE sim >= 0.9e0 AND a IN (SELECT id FROM firsts) AND b IN (SELECT id FROM firsts) UNION ALL SELECT f.id, v.id, {_six('1e0')} FROM v JOIN firsts f ON v.v = f.v AND v.id <> f.id",
     "cosine_lsh_recall": f"{_VECTORS} SELECT count(*) AS n_pairs, true AS enough FROM sims WHERE sim >= 0.9e0",
     "similar_uniqueness": f"{_VECTORS}, near AS (SELECT id, count(*) AS n_near FROM (SELECT a AS id FROM sims WHERE sim >= 0.9e0 UNION ALL SELECT b FROM sims WHERE sim >= 0.9e0) GROUP BY id) SELECT t.id, round((1 - max_sim - min(1 - max_sim) OVER ()) / (max(1 - max_sim) OVER () - min(1 - max_sim) OVER ()), 3) AS uniqueness, coalesce(n_near, 0) AS n_near FROM tops t LEFT JOIN near n ON t.id = n.id",
     "hamming_pairs": f"{_VECTORS}, firsts AS (SELECT min(id) AS id, bits FROM v GROUP BY bits) SELECT a, b, distance FROM sims WHERE distance <= 4 AND a IN (SELECT id FROM firsts) AND b IN (SELECT id FROM firsts) UNION ALL SELECT f.id, v.id, 0 FROM v JOIN firsts f ON v.bits = f.bits AND v.id <> f.id",
