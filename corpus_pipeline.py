@@ -44,9 +44,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates one row stays, that with the smallest doc_id; rows without one come last."""
-    rows = Scratch(spark).write(docs.select(F.struct(*docs.columns).alias("_of"), "doc_id", "text", F.monotonically_increasing_id().alias("_row")))
-    found = jaccard_components(rows, "_row").where("n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id")
-    named = found.join(rows.select("_row", "doc_id"), "_row")
+    # the texts are written once, not beside the row that holds them
+    rows = Scratch(spark).write(docs.select(F.struct(*docs.columns).alias("_of"), F.monotonically_increasing_id().alias("_row")))
+    found = jaccard_components(rows.select("_row", F.col("_of.text").alias("text")), "_row").where("n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id")
+    named = found.join(rows.select("_row", F.col("_of.doc_id").alias("doc_id")), "_row")
     top = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row"))["_row"].alias("_top"), F.count("*").alias("n")).where("n > 1")
     gone = named.join(top, "component_id").where("_row != _top").select("_row")
     return rows.join(gone, "_row", "left_anti").select("_of.*")

@@ -125,3 +125,11 @@ def test_further_columns_stay(spark, sf_dir):
         assert sorted(map(tuple, out.select(*plain.columns).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
         assert out.where(" or ".join(f"`{n}` != concat('{n} ', coalesce(doc_id, -1))" for n in names)).count() == 0
         docs, plain = out, want
+
+
+def test_near_duplicates_write_texts_once(spark, monkeypatch):
+    written, real = [], cp.Scratch.write
+    monkeypatch.setattr(cp.Scratch, "write", lambda self, df: written.append(df.schema.simpleString()) or real(self, df))
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, None)], "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in cp.near_duplicates(spark, docs, "").collect()) == [1, 3]
+    assert written[0].count("text:string") == 1
